@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, language_id, packing, quality, token_counts, toxicity
+from tallyspark.llm import bpe, kd_search, language_id, packing, quality, token_counts, toxicity
 
 #: Name of the public vocabulary file of the encoding queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -54,8 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op8_bpe": op8_bpe,
         "op9_packing": op9_packing,
+        "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": kd_search.ORACLE_SQL}
