@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, fingerprints, kd_search, language_id, packing, quality, token_counts, toxicity
+from tallyspark.llm import bpe, fingerprints, jaccard_tree, kd_search, language_id, packing, quality, token_counts, toxicity
 
 #: Name of the public vocabulary file of the encoding queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_token_counts": op3_token_counts,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op7_fingerprints": op7_fingerprints,
