@@ -456,3 +456,13 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
+
+
+def one_of_each(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose id is the smallest of its component.
+
+    Rows of one id stay or go together; rows with a null id stay.
+    """
+    gone = jaccard_join(docs, n, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = materialize(gone, "jaccard-gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")

@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import words as W
 from tallyspark.llm.labels import labelled_sample, remainder
@@ -131,19 +132,19 @@ def score_blocks(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarr
     return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of each row."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (which has text) and the score of each row."""
     bits = (len(weights) - 1).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(float)
         for batch in batches:
-            found = score_blocks(W.utf8(batch.column(1)), w, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
+            found = score_blocks(W.utf8(batch.column(len(keep))), w, bits)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
 
 def classify(
@@ -153,9 +154,16 @@ def classify(
     """Train on labelled rows outside the held-out remainder and score every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = train(labelled_sample(rows, labels, label, remainder("doc_id", modulus) != held_out, bound))
-    return score(rows, weights).select(
+    return score(rows, weights, ["doc_id"]).select(
         "doc_id",
         (remainder("doc_id", modulus) == held_out).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_poor(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score 0.5 or more; every labelled row may train."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    weights = train(labelled_sample(rows.select("doc_id", "text"), labels, "quality", F.lit(True), bound))
+    return score(rows, weights, ["row"]).filter("score >= 0.5").select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, fingerprints, jaccard_tree, kd_search, language_id, packing, quality, token_counts, toxicity
+from tallyspark.llm import bpe, fingerprints, jaccard_tree, kd_search, language_id, license_scan, packing, quality, token_counts, toxicity
 
 #: Name of the public vocabulary file of the encoding queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -61,6 +65,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_license_scan": op2_license_scan,
         "op3_token_counts": op3_token_counts,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_language_id": op5_language_id,

@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import words as W
 from tallyspark.llm.labels import labelled_sample, remainder
@@ -166,8 +167,8 @@ def learn_lexicon(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
-def features(docs: DataFrame, lexicon: np.ndarray, *keep: str) -> DataFrame:
-    """The columns ``keep`` (longs) and each text's feature array."""
+def features(docs: DataFrame, lexicon: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as they are, and each text's feature array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +177,8 @@ def features(docs: DataFrame, lexicon: np.ndarray, *keep: str) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), flat], [*keep, "features"])
 
-    rows = docs.select(*(F.col(c).cast("long").alias(c) for c in keep), "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", features array<double>")
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 class Model:
@@ -187,7 +188,7 @@ class Model:
         self.constant, self.lexicon, self.trees, self.calibration = 0.0, np.zeros(0, np.uint64), None, None
         sample = materialize(sample, "toxicity-sample")
         self.lexicon = learn_lexicon(sample)
-        rows = materialize(features(sample, self.lexicon, "doc_id", "label"), "toxicity-features").coalesce(8)
+        rows = materialize(features(sample, self.lexicon, ["doc_id", "label"]), "toxicity-features").coalesce(8)
         rows = rows.select("label", array_to_vector("features").alias("features"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part"))
         seen = rows.groupBy((F.col("part") == 0).alias("calibrates"), "label").count().collect()
         n = sum(r["count"] for r in seen)
@@ -200,13 +201,13 @@ class Model:
         raw = self.trees.transform(checked).select("label", vector_to_array("probability")[1].alias("raw"))
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id and score of each row of ``docs`` (doc_id, text)."""
+    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns ``keep`` of ``docs`` (which has text) and the score of each row."""
         if self.trees is None:
-            return docs.select("doc_id", F.lit(float(self.constant)).alias("score"))
-        rows = features(docs, self.lexicon, "doc_id").select("doc_id", array_to_vector("features").alias("features"))
-        raw = self.trees.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("raw"))
-        return self.calibration.transform(raw).select("doc_id", "score")
+            return docs.select(*keep, F.lit(float(self.constant)).alias("score"))
+        rows = features(docs, self.lexicon, keep).select(*keep, array_to_vector("features").alias("features"))
+        raw = self.trees.transform(rows).select(*keep, vector_to_array("probability")[1].alias("raw"))
+        return self.calibration.transform(raw).select(*keep, "score")
 
 
 def toxicity(
@@ -216,9 +217,16 @@ def toxicity(
     """Train on labelled rows outside the held-out remainder and score every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = Model(labelled_sample(rows, labels, label, remainder("doc_id", modulus) != held_out, bound))
-    return model.score(rows).select(
+    return model.score(rows, ["doc_id"]).select(
         "doc_id",
         (remainder("doc_id", modulus) == held_out).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score below 0.5; every labelled row may train."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = Model(labelled_sample(rows.select("doc_id", "text"), labels, "toxic", F.lit(True), bound))
+    return model.score(rows, ["row"]).filter("score < 0.5").select("row.*")
