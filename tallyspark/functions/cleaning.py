@@ -26,9 +26,10 @@ NON_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
 #: A time zone at the end of a date and time.
 OFFSET = r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|z|[+-]\d{2}:?\d{2})\s*$"
 
-# Date formats tried in order, ISO first.
+#: An ISO date, with or without a time, and without a zone.
+ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+# Date formats tried in order where a cell is not ISO.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd",
     "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
     "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
 )
@@ -71,8 +72,8 @@ def number_class(value: Column) -> Column:
 def local_time(value: Column) -> Column:
     """The recorded wall clock of a cell without a zone, by the first format that fits."""
     cell = text(value)
-    parsed = [F.try_to_timestamp(cell, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    parsed = [F.try_to_timestamp(cell, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
+    return F.when(cell.rlike(ISO), cell.try_cast("timestamp_ntz")).otherwise(F.coalesce(*parsed))
 
 
 def time_class(value: Column) -> Column:

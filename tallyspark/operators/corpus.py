@@ -51,17 +51,19 @@ def trade_documents(journals: DataFrame, source: Column | None = None) -> DataFr
     key = C.ticket(C.quoted(at(C.TICKET_COLUMNS)))
     bound = "excursion_status" in df.columns
     status = F.coalesce("excursion_status", F.lit("NO_MARKET_DATA")) if bound else F.lit("NO_M1_EVIDENCE")
+    df = df.withColumns({"_key": key, "_status": status, "_label": R.status_label(status)}).filter(F.col("_key").isNotNull())
+    key, status, label_text = F.col("_key"), F.col("_status"), F.col("_label")
     lines = [_line("Ticket", key), *(_line(k, _plain(C.quoted(c), kinds[c])) for k, names in listed if (c := at(names)))]
     lines.append(_line("Realised movement", R.movement_text(F.col("movement_value"), F.col("movement_label"))))
     lines.append(F.when(F.col("movement_disagreement"), R.calculated_note(F.col("movement_calculated"))))
-    lines.append(_line("Bar Evidence", R.status_label(status)))
+    lines.append(_line("Bar Evidence", label_text))
     for label, name, unit in (("Approx. Window High", "interval_high", ""), ("Approx. Window Low", "interval_low", ""), ("Approx. MFE", "mfe", " price pts"), ("Approx. MAE", "mae", " price pts")):
         shown = F.concat(R.evidence_text(F.col(f"excursion_{name}")), F.lit(unit)) if bound else F.lit("")
-        lines.append(F.concat(F.lit(f"{label}: "), F.when(status == "COMPUTED", shown).otherwise(F.concat(F.lit("Unavailable ("), R.status_label(status), F.lit(")")))))
+        lines.append(F.concat(F.lit(f"{label}: "), F.when(status == "COMPUTED", shown).otherwise(F.concat(F.lit("Unavailable ("), label_text, F.lit(")")))))
     symbol = C.symbol(C.quoted("Symbol")) if "Symbol" in df.columns else F.lit(None).cast("string")
     provenance = F.to_json(F.struct("journal_fingerprint", F.lit(TRADE).alias("document_type"), key.alias("source_record_key"), (source if source is not None else F.lit(None).cast("string")).alias("source"), status.alias("bar_evidence_status"), symbol.alias("symbol")))
     return _finished(
-        df.filter(key.isNotNull()).select(
+        df.select(
             "journal_id", F.concat(F.lit(f"{TRADE}:ticket:"), key).alias("document_id"), F.lit(TRADE).alias("document_type"),
             "journal_fingerprint", key.alias("source_record_key"), F.concat_ws("\n", *lines).alias("content"),
             status.alias("evidence_status"), symbol.alias("symbol"), provenance.alias("provenance"),

@@ -87,9 +87,10 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
     candidates = docs.join(filters, "journal_id").filter(fits)
     columns = ["document_id", "document_type", "journal_fingerprint", "source_record_key", "content", "evidence_status"]
 
-    exact = asked.filter("ticket IS NOT NULL").join(candidates.filter("document_type = 'TRADE_EVIDENCE'").select("combo", C.ticket(F.col("source_record_key")).alias("ticket"), *columns), ["combo", "ticket"])
+    plain = asked.select("query_id", "journal_id", "combo", "ticket", "text", "top_k")
+    exact = plain.filter("ticket IS NOT NULL").join(candidates.filter("document_type = 'TRADE_EVIDENCE'").select("combo", C.ticket(F.col("source_record_key")).alias("ticket"), *columns), ["combo", "ticket"])
     exact = exact.select("query_id", "journal_id", "top_k", *columns, F.lit("EXACT_TICKET").alias("method"), F.lit(None).cast("double").alias("score"))
-    free = asked.filter("ticket IS NULL AND text <> ''")
+    free = plain.filter("ticket IS NULL AND text <> ''")
     terms = term_counts(candidates, ["combo", "document_id"])
     wanted = term_counts(free, ["combo", "query_id"], "text")
     scored = score(terms, wanted, ["combo"])

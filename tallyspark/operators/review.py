@@ -38,26 +38,29 @@ def calculated_movement(side: Column, entry: Column, exit_price: Column) -> Colu
     return F.when(C.side(side) == "buy", move).when(C.side(side) == "sell", -move)
 
 
+def _movement(told: Column, own: Column) -> dict[str, Column]:
+    apart = F.coalesce(F.abs(told - own) > DISAGREEMENT, F.lit(False))
+    some = F.when(told.isNotNull(), "BROKER").when(own.isNotNull(), "CALCULATED")
+    return {
+        "value": F.coalesce(told, own), "label": F.when(told.isNotNull(), PIPS).when(own.isNotNull(), POINTS), "calculated": own,
+        "source": F.coalesce(some, F.lit("UNAVAILABLE")), "disagreement": apart,
+        "status": F.when(apart, "DISAGREEMENT").when(some.isNotNull(), "OK").otherwise("UNAVAILABLE"),
+    }
+
+
 def movement(pips: Column, side: Column, entry: Column, exit_price: Column) -> Column:
     """struct: value, label, calculated, source, disagreement, status; broker pips win if finite."""
-    told, own = C.number(pips), calculated_movement(side, entry, exit_price)
-    return F.struct(
-        F.coalesce(told, own).alias("value"),
-        F.when(told.isNotNull(), PIPS).when(own.isNotNull(), POINTS).alias("label"),
-        own.alias("calculated"),
-        F.when(told.isNotNull(), "BROKER").when(own.isNotNull(), "CALCULATED").otherwise("UNAVAILABLE").alias("source"),
-        F.coalesce(F.abs(told - own) > DISAGREEMENT, F.lit(False)).alias("disagreement"),
-        F.when(F.abs(told - own) > DISAGREEMENT, "DISAGREEMENT").when(told.isNotNull() | own.isNotNull(), "OK").otherwise("UNAVAILABLE").alias("status"),
-    )
+    found = _movement(C.number(pips), calculated_movement(side, entry, exit_price))
+    return F.struct(*(v.alias(k) for k, v in found.items()))
 
 
 def enrich(df: DataFrame) -> DataFrame:
     """Six movement columns beside each trade."""
     cell = lambda names: C.quoted(at) if (at := C.first_present(df.columns, names)) else F.lit(None).cast("string")
-    found = movement(cell(("Pips",)), cell(C.SIDE_COLUMNS), cell(C.ENTRY_COLUMNS), cell(C.EXIT_COLUMNS))
-    joined = df.withColumn("_m", found)
-    parts = ("value", "label", "calculated", "source", "disagreement", "status")
-    return joined.withColumns({f"movement_{p}": F.col(f"_m.{p}") for p in parts}).drop("_m")
+    told, own = C.number(cell(("Pips",))), calculated_movement(cell(C.SIDE_COLUMNS), cell(C.ENTRY_COLUMNS), cell(C.EXIT_COLUMNS))
+    joined = df.withColumns({"_told": told, "_own": own})
+    found = _movement(F.col("_told"), F.col("_own"))
+    return joined.withColumns({f"movement_{k}": v for k, v in found.items()}).drop("_told", "_own")
 
 
 def sort_order(df: DataFrame, key: str, descending: bool = False, order_by: str = "row_ord") -> list[Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Recorded times are wall clock or UTC, so the session's zone must be UTC; AQE splits skewed joins.
 SETTINGS = {
@@ -16,3 +18,13 @@ def with_settings(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder, for tables that several steps read."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tally-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
