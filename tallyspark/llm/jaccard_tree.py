@@ -259,7 +259,7 @@ def routes(sets: DataFrame, entries: int) -> DataFrame:
 def clusters(routed: DataFrame) -> DataFrame:
     """(id, label): classes that share routing shingles, directly or through others."""
     firsts = routed.groupBy("route").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most")
-    edges = routed.join(firsts, "route").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    edges = routed.join(firsts.hint("merge"), "route").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
     return components(edges.distinct(), "clusters")
 
 
@@ -406,7 +406,7 @@ def cluster_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
     shingles, so blocks stay small and each set is sent to as many tasks as its
     cluster has blocks.
     """
-    rows = sets.join(labels.select(F.col("id").alias("cls"), "label"), "cls")
+    rows = sets.join(labels.select(F.col("id").alias("cls"), "label").hint("merge"), "cls")
     sizes = sets.select("cls", "n_shingles").join(labels.select(F.col("id").alias("cls"), "label"), "cls")
     sizes = sizes.groupBy("label").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.sqrt("members") / 4)).cast("int")
@@ -435,7 +435,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     alive = materialize(
         classes.join(hits, "cls").filter(F.col("hits") > F.floor(F.col("n_shingles") / 25)).drop("hits"), "shingle-alive"
     )
-    sets = materialize(class_sets(rows.join(alive.select("doc_id", "cls", "copies"), "doc_id"), n), "shingle-sets")
+    sets = materialize(class_sets(rows.join(alive.select("doc_id", "cls", "copies").hint("merge"), "doc_id"), n), "shingle-sets")
     routed = materialize(routes(sets, alive.agg(F.sum("n_shingles")).first()[0]), "shingle-routes")
     found = materialize(cluster_links(sets, clusters(routed)), "shingle-links")
     joined = components(found.filter("cls <> near").select(F.col("cls").alias("a"), F.col("near").alias("b")), "jaccard")
