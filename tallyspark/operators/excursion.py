@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import cleaning as C
 from tallyspark.functions.digests import table_digest
 from tallyspark.functions.timebasis import to_utc
+from tallyspark.session import settled
 
 # Limits and tolerances.
 MAX_WINDOW_MINUTES = 10_080
@@ -171,7 +172,8 @@ def evidence(journals: DataFrame, bases: DataFrame, bars: DataFrame, journal: st
     keys = [journal, "row_ord", "ticket"]
     trades = checked_trades(journals, bases, journal)
     gate = key_gate(journals, C.quoted(tickets), journal) if tickets else journals.select(journal, F.lit("TICKET_COLUMN_MISSING").alias("gate")).distinct()
-    trades = trades.join(gate, journal).withColumns(
+    # Written once: a filter on the status below would otherwise be rewritten in terms of every parsing step.
+    trades = settled(trades.join(gate, journal)).withColumns(
         {
             "status": F.when(F.col("gate") != "OK", "JOIN_KEY_UNAVAILABLE").otherwise(F.col("status")),
             "reason": F.when(F.col("gate") != "OK", F.col("gate")).otherwise(F.col("reason")),

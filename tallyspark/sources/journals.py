@@ -17,7 +17,9 @@ from tallyspark.functions.cleaning import basename, contract, first_present, nor
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
 DELIMITERS = ",;\t|"
 HEAD_CHARS = 2048
-SPARK_NAME = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "iso-8859-1": "ISO-8859-1"}
+#: Spark has no cp1252: such files are read as Latin-1 and the characters that differ are replaced.
+SPARK_NAME = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
+DIFFERING = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
 
 FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "encoding", "sep", "header")])
 
@@ -77,7 +79,11 @@ def read_journals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         if not names:
             continue
         unique = [n if names.index(n) == i else f"{n}.{names[:i].count(n)}" for i, n in enumerate(n or f"_c{k}" for k, n in enumerate(names))]
-        part = normalise(read_rows(spark, paths, unique, sep, SPARK_NAME[encoding]))
+        raw = read_rows(spark, paths, unique, sep, SPARK_NAME[encoding])
+        if encoding == "cp1252":
+            latin, meant = ("".join(x[i] for x in DIFFERING if x[1]) for i in (0, 1))
+            raw = raw.withColumns({c: F.translate(quoted(c), latin, meant) for c in unique})
+        part = normalise(raw)
         cleaned = part if cleaned is None else cleaned.unionByName(part, allowMissingColumns=True)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("journal_id"), "length")
     kind = F.lower(F.regexp_extract("journal_id", r"\.([^./\\]+)$", 1))
