@@ -383,6 +383,7 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per class of a pair of blocks with links there: a class of its local component, documents linked."""
     first, second = int(pdf["first"].iloc[0]), int(pdf["second"].iloc[0])
+    pdf = pdf.drop_duplicates("cls")  # rows repeated under one id bring their class again
     a = pdf[pdf["block"] == first]
     b = a if first == second else pdf[pdf["block"] == second]
     if a.empty or b.empty:

@@ -82,7 +82,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     """(template, license, size_class, tset, bands) of notices of five words or more."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(templates)))
+    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(templates or [("", "")])))
     rows = spark.range(1).select(F.inline(listed)).withColumn("words", _words("text")).filter(F.size("words") >= WORDS)
     rows = rows.withColumn("seq", _shingles("words"))
     size = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("seq")))).cast("int")
