@@ -86,9 +86,10 @@ def packet_fields(results: DataFrame) -> DataFrame:
     excursion = F.col("field_key").isin(*EXCURSION_FIELDS)
     plain = F.when(excursion, F.regexp_replace("value", r" price pts$", "")).otherwise(F.col("value"))
     unknown = F.col("field_key").isNull()
-    fault = F.when(unknown & (F.col("document_type") == KPI), "EVIDENCE_FIELD_INVALID").when(~unknown & ~F.coalesce(valid_value(plain, F.col("value_type")), F.lit(False)), "EVIDENCE_FIELD_INVALID")
+    unused = F.coalesce(excursion, F.lit(False)) & (F.col("evidence_status") != "COMPUTED")
+    fault = F.when(unused, None).when(unknown & (F.col("document_type") == KPI), "EVIDENCE_FIELD_INVALID").when(~unknown & ~F.coalesce(valid_value(plain, F.col("value_type")), F.lit(False)), "EVIDENCE_FIELD_INVALID")
     fault = F.coalesce(fault, F.when((F.col("field_key") == "symbol") & F.col("symbol").isNotNull() & (F.col("symbol") != F.col("value")), "REQUEST_MISMATCH"))
-    told = joined.withColumns({"value": plain, "fault": fault}).filter((~unknown & ~(excursion & (F.col("evidence_status") != "COMPUTED"))) | F.col("fault").isNotNull())
+    told = joined.withColumns({"value": plain, "fault": fault}).filter((~unknown & ~unused) | F.col("fault").isNotNull())
     columns = ["request_id", "rank", "field_key", "label", "value", "value_type", "unit", "fault"]
     states = items.filter(F.col("document_type") == TRADE).select("request_id", "rank", F.lit("bar_evidence_status").alias("field_key"), F.lit("Bar Evidence Status").alias("label"), F.col("evidence_status").alias("value"), F.lit("ENUM").alias("value_type"), F.lit("").alias("unit"), F.lit(None).cast("string").alias("fault"))
     named = told.filter("label = 'Symbol'").select("request_id", "rank")

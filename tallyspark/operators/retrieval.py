@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import cleaning as C
 
@@ -17,7 +18,7 @@ QUANTUM_DIGITS = 9
 TYPE_PRIORITY = {"TRADE_EVIDENCE": 0, "KPI_EVIDENCE": 1, "DATASET_CONTEXT": 2}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -44,13 +45,13 @@ def score(terms: DataFrame, query_terms: DataFrame, scope: list[str], document:
     n = terms.groupBy(*scope, document).agg(F.count(F.lit(1)).alias("_")).groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     join_n = (lambda x: x.join(n, scope)) if scope else (lambda x: x.join(F.broadcast(n), F.lit(True)))  # one row
     idf = join_n(df).select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = terms.join(idf, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy(*scope, document).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_len"))
-    asked = query_terms.join(idf, [*scope, "term"]).select(*scope, query, "term", (F.col("tf") * F.col("idf")).alias("q"))
-    q_len = asked.groupBy(*scope, query).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_len"))
-    dots = asked.join(weighted.select(*scope, document, "term", "w"), [*scope, "term"]).groupBy(*scope, query, document).agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    weighted = terms.join(idf, [*scope, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    length = weighted.groupBy(*scope, document).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_d_len"))
+    asked = query_terms.join(idf, [*scope, "term"]).select(*scope, query, "term", (F.col("tf") * F.col("idf")).alias("_q"))
+    q_len = asked.groupBy(*scope, query).agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_q_len"))
+    dots = asked.join(weighted.select(*scope, document, "term", "_w"), [*scope, "term"]).groupBy(*scope, query, document).agg(F.sum(F.col("_q") * F.col("_w")).alias("_dot"))
     found = dots.join(length, [*scope, document]).join(q_len, [*scope, query])
-    value = F.bround(F.col("dot") / (F.col("d_len") * F.col("q_len")), QUANTUM_DIGITS)
+    value = F.bround(F.col("_dot") / (F.col("_d_len") * F.col("_q_len")), QUANTUM_DIGITS)
     return found.select(*scope, query, document, value.alias("score")).filter("score > 0")
 
 
