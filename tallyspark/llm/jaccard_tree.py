@@ -243,7 +243,8 @@ def routes(sets: DataFrame, entries: int) -> DataFrame:
         order = np.argsort(cls, kind="stable")
         cls, route = cls[order], route[order]
         own, at = np.unique(cls, return_index=True)
-        return pd.DataFrame({"cls": own, "routes": np.split(route, at[1:]) if len(own) else []})
+        lists = pd.Series(np.split(route, at[1:]) if len(own) else [], dtype=object)
+        return pd.DataFrame({"cls": own, "routes": lists})
 
     found = _dealt(sets.select("cls", "tokens"), take, ranges, CAP).groupBy("part").applyInPandas(settle, "cls long, routes array<long>")
     found = found.groupBy("cls").agg(F.sort_array(F.flatten(F.collect_list("routes"))).alias("routes"))  # one set's shingles
