@@ -547,7 +547,7 @@ def lexicon_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", validation.answer_numbers(F.col("text"), empty, empty).alias("numbers"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", validation.answer_numbers(F.col("text"), empty, empty).alias("numbers"))
     return rows.filter(F.size("numbers") > 0)
 
 
