@@ -72,10 +72,13 @@ def run(df: DataFrame, query: str, journal: str = "journal_id") -> StrictResult:
         status = everyone.select(journal, "n_rows", F.when(F.col("n_rows") == 0, "NO_DATA").otherwise("REQUIRED_COLUMN_MISSING").alias("status"))
         return StrictResult(df.select(journal).limit(0), status)
     none = F.lit(None).cast("string")
+    typed = bool(date) and dict(df.dtypes)[date].startswith("timestamp")  # such a column has been parsed and states no zone
+    day = (quoted(date) if typed else recorded_time(quoted(date))) if date else none
+    zone = F.lit("naive") if typed else F.coalesce(offset_text(quoted(date)), F.lit("naive")) if date else none
     checked = df.withColumns(
         {
-            "_bad_date": recorded_time(quoted(date)).isNull() if by in ("day", "month") else F.lit(False),
-            "_zone": F.coalesce(offset_text(quoted(date)), F.lit("naive")) if by in ("day", "month") else none,
+            "_bad_date": day.isNull() if by in ("day", "month") else F.lit(False),
+            "_zone": zone if by in ("day", "month") else none,
             "_bad_symbol": text(quoted("Symbol")).isNull() if by == "symbol" else F.lit(False),
             "_profit": number_class(quoted("Profit")) if measure == "profit" else F.lit("ok"),
         }
@@ -109,11 +112,10 @@ def run(df: DataFrame, query: str, journal: str = "journal_id") -> StrictResult:
     warned = F.array_sort(F.array_compact(F.array(F.when(F.col("duplicate_rows") > 0, "DUPLICATE_ROWS"), F.when(F.coalesce("variants", F.lit(0)) > 0, "SYMBOL_VARIANTS"))))
     audit = audit.join(extra, journal).select(
         journal, "n_rows", "status", "issues", warned.alias("warnings"), "duplicate_rows",
-        F.when(F.element_at("zones", 1) != "naive", F.element_at("zones", 1)).alias("recorded_offset"),
+        F.when(F.try_element_at("zones", F.lit(1)) != "naive", F.try_element_at("zones", F.lit(1))).alias("recorded_offset"),
     )
 
     good = checked.join(audit.filter("status = 'OK'").select(journal), journal, "left_semi")
-    day = recorded_time(quoted(date)) if date else None
     keyed = {
         None: lambda: good.withColumn("key", F.lit("ALL")),
         "day": lambda: good.withColumn("key", F.date_format(day, "yyyy-MM-dd")),
