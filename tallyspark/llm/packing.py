@@ -99,5 +99,6 @@ def pack(
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    placed = table.join(bases, "pid").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n", "width", "ids")
+    # A row of two numbers per input split: some megabytes even for a million splits.
+    placed = table.join(F.broadcast(bases), "pid").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n", "width", "ids")
     return placed.mapInArrow(cut, PIECES)
