@@ -13,8 +13,8 @@ OPEN_COLUMNS = ("Open Time", "Open", "Date")
 CLOSE_COLUMNS = ("Close Time", "Close")
 SYMBOL_COLUMNS = ("Symbol",)
 SIDE_COLUMNS = ("Type", "Side")
-ENTRY_COLUMNS = ("Entry", "Entry Price", "Price")
-EXIT_COLUMNS = ("Exit", "Exit Price", "Price.1")
+ENTRY_COLUMNS = ("Entry", "Price", "Open Price", "Entry Price")
+EXIT_COLUMNS = ("Exit", "Price.1", "Close Price", "Exit Price")
 TICKET_COLUMNS = ("Ticket",)
 DURATION_COLUMNS = ("Trade duration in seconds",)
 RR_COLUMNS = ("RR", "rr", "R:R", "risk_reward", "Risk Reward")

@@ -28,7 +28,7 @@ STATUS_LABELS = {
     "COMPUTED": "Computed", "NO_MARKET_DATA": "No market data", "INCOMPLETE_COVERAGE": "Incomplete coverage",
     "INVALID_TRADE_DATA": "Invalid trade data", "AMBIGUOUS_LOCAL_TIME": "Ambiguous local time",
     "NONEXISTENT_LOCAL_TIME": "Nonexistent local time", "TIME_BASIS_INCONSISTENT": "Time basis inconsistent",
-    "INVARIANT_VIOLATION": "Invariant violation", "JOIN_KEY_UNAVAILABLE": "Join key unavailable",
+    "INVARIANT_VIOLATION": "Evidence unavailable", "JOIN_KEY_UNAVAILABLE": "Join key unavailable",
     "TIME_BASIS_UNDECLARED": "Time basis undeclared", "NO_M1_EVIDENCE": "No M1 evidence",
 }
 

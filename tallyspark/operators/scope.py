@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.cleaning import OPEN_COLUMNS, first_present, number, quoted
 
 # The columns that a search looks into.
-SEARCH_TEXT = ("Symbol", "Type", "Notes", "Strategy", "Comment", "Comments", "Tag", "Tags", "Reason", "Ticket")
-SEARCH_NUMBERS = ("Profit", "Commission", "Swap", "Pips", "Volume", "Size", "Entry", "Exit", "Balance")
+SEARCH_TEXT = ("Symbol", "Type", "Side", "Tag", "Tags", "Notes", "Comment", "Comments", "Strategy", "Reason")
+SEARCH_NUMBERS = ("Profit", "Commission", "Swap", "Balance", "Pips", "Size", "Volume")
 
 
 def clean(value: object) -> str:

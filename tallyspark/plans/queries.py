@@ -55,13 +55,13 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS} SELECT event_id AS ticket FROM ev
 WHERE contains(lower(symbol), '2024-01-1') OR contains(lower(side), '2024-01-1') OR contains(lower(props), '2024-01-1')
-   OR contains(CAST(event_id AS VARCHAR), '2024-01-1') OR contains(strftime(ts, '%Y-%m-%d'), '2024-01-1')""")
+   OR contains(strftime(ts, '%Y-%m-%d'), '2024-01-1')""")
 def scope_search_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.apply_scope(event_journal(spark, sf_dir), {"q": "2024-01-1"}).select(F.col("Ticket").alias("ticket"))
 
 
 @query(f"""WITH {EVENTS} SELECT event_id AS ticket FROM ev
-WHERE contains(lower(symbol), '25') OR contains(lower(side), '25') OR contains(lower(props), '25') OR contains(CAST(event_id AS VARCHAR), '25')
+WHERE contains(lower(symbol), '25') OR contains(lower(side), '25') OR contains(lower(props), '25')
    OR round(p, 8) = 25 OR round(value, 8) = 25 OR contains(strftime(ts, '%Y-%m-%d'), '25') OR contains(strftime(ts, '%Y-%m'), '25')""")
 def scope_search_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.apply_scope(event_journal(spark, sf_dir), {"q": "25"}).select(F.col("Ticket").alias("ticket"))
@@ -583,7 +583,7 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS}, r AS (SELECT journal_id, event_id, symbol, p, row_number() OVER (PARTITION BY journal_id ORDER BY event_id) AS place, count(*) OVER (PARTITION BY journal_id) AS total_rows FROM ev)
-SELECT journal_id, CAST(place AS INTEGER) AS place, event_id AS "Ticket", symbol AS "Symbol", p AS "Profit", total_rows, least(total_rows, 25) AS displayed_rows FROM r WHERE place <= 25""")
+SELECT journal_id, CAST(place AS INTEGER) AS place, symbol AS "Symbol", p AS "Profit", total_rows, least(total_rows, 25) AS displayed_rows FROM r WHERE place <= 25""")
 def report_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.preview(event_journal(spark, sf_dir))
-    return found.select("journal_id", "place", "Ticket", "Symbol", "Profit", "total_rows", "displayed_rows")
+    return found.select("journal_id", "place", "Symbol", "Profit", "total_rows", "displayed_rows")

@@ -151,7 +151,9 @@ def export(df: DataFrame, path: str, columns: Sequence[str], meta: DataFrame, kp
 
 
 # Columns that a report shows first.
-PREVIEW_COLUMNS = ("Ticket", "Open Time", "Symbol", "Type", "Volume", "Entry", "Exit", "Profit")
+PREVIEW_COLUMNS = (
+    "Open Time", "Open", "Date", "Symbol", "Type", "Side", "Size", "Volume", "Profit", "Commission", "Swap", "Balance", "Pips",
+)
 
 
 def preview(df: DataFrame, order_by: str = "row_ord", rows: int = 25, columns: Sequence[str] = PREVIEW_COLUMNS) -> DataFrame:
