@@ -432,16 +432,21 @@ s AS (SELECT lang, item_id, doc_id, round(round_even(sum(q * w) / (any_value(dl)
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)"""
 
 
+def _scored(docs: DataFrame, asked: DataFrame, scope: str) -> DataFrame:
+    """(scope, item_id, doc_id, score, rank) of the asked (item_id, term) rows in every scope of ``docs``."""
+    terms = retrieval.term_counts(docs, [scope, "doc_id"], "text", normalise=False)
+    scopes = docs.select(scope).distinct().agg(F.collect_list(scope).alias("scopes"))  # a handful of languages
+    asked = asked.join(F.broadcast(scopes), F.lit(True)).select(F.explode("scopes").alias(scope), "item_id", "term").groupBy(scope, "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    scored = retrieval.score(terms, asked, [scope], "doc_id", "item_id").withColumn("score", F.round("score", 6)).filter("score > 0")
+    place = F.row_number().over(Window.partitionBy(scope, "item_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", place.cast("long"))
+
+
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``TFIDF`` says: the first eight tokens of a passage, documents with a language."""
     docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
-    terms = retrieval.term_counts(docs, ["lang", "doc_id"], "text", normalise=False)
     first = F.slice(retrieval.tokens(F.col("text"), normalise=False), 1, 8)
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(first).alias("term"))
-    langs = docs.select("lang").distinct().agg(F.collect_list("lang").alias("langs"))  # a handful of languages
-    asked = asked.join(F.broadcast(langs), F.lit(True)).select(F.explode("langs").alias("lang"), "item_id", "term").groupBy("lang", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    scored = retrieval.score(terms, asked, ["lang"], "doc_id", "item_id").withColumn("score", F.round("score", 6)).filter("score > 0")
-    place = F.row_number().over(Window.partitionBy("lang", "item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", place.cast("long"))
+    return _scored(docs, table(spark, sf_dir, "benchmark").select("item_id", F.explode(first).alias("term")), "lang")
 
 
 @query(f"WITH {TFIDF} SELECT lang, item_id, doc_id, score, rank FROM r WHERE rank <= 5")
@@ -449,6 +454,19 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tfidf(spark, sf_dir).filter("rank <= 5").select("lang", "item_id", "doc_id", "score", "rank")
 
 
+def _whole_tfidf(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every token of every passage against every document."""
+    asked = benchmark.select("item_id", F.explode(retrieval.tokens(F.col("text"), normalise=False)).alias("term"))
+    return _scored(docs, asked, "lang")
+
+
+@query()
+def tfidf_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
+    found = _whole_tfidf(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter("rank <= 5").select("lang", "item_id", "doc_id", "score", "rank")
+
+
 @query(f"""WITH {TFIDF}, h AS (SELECT item_id, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 5) AS n5 FROM r JOIN labels USING (doc_id) WHERE lang = 'en' AND rank <= 10 AND quality = 1 GROUP BY 1)
 SELECT item_id AS case_id, first_rank, CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_1, CASE WHEN first_rank <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_3,
   round(coalesce(1.0 / first_rank, 0), 6)::DOUBLE AS reciprocal_rank, (coalesce(n5, 0) / 5.0)::DOUBLE AS precision_5 FROM benchmark LEFT JOIN h USING (item_id)""")
