@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PRECISION_AT = 5
 
 
-def case_metrics(cases: DataFrame, results: DataFrame, relevance: DataFrame) -> DataFrame:
+def case_metrics(cases: DataFrame, results: DataFrame, relevance: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per case: first relevant rank, hit@1, hit@3, reciprocal rank, precision@5 (always over 5).
 
     ``cases`` has case_id; ``results`` (case_id, document_id, rank); ``relevance`` (case_id, document_id).
+    All three have the ``scope`` columns besides, none of them null; a case counts once in each scope.
     """
-    hits = results.join(relevance.select("case_id", "document_id").distinct(), ["case_id", "document_id"])
-    found = hits.groupBy("case_id").agg(F.min("rank").alias("first_rank"), F.count_if(F.col("rank") <= PRECISION_AT).alias("relevant_5"))
+    keys = [*scope, "case_id"]
+    hits = results.join(relevance.select(*keys, "document_id").distinct(), [*keys, "document_id"])
+    found = hits.groupBy(*keys).agg(F.min("rank").alias("first_rank"), F.count_if(F.col("rank") <= PRECISION_AT).alias("relevant_5"))
     rank = F.col("first_rank")
-    return cases.select("case_id").join(found, "case_id", "left").select(
-        "case_id", "first_rank",
+    return cases.select(*keys).join(found, keys, "left").select(
+        *keys, "first_rank",
         F.when(rank <= 1, 1.0).otherwise(0.0).alias("hit_1"), F.when(rank <= 3, 1.0).otherwise(0.0).alias("hit_3"),
         F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal_rank"),
         (F.coalesce("relevant_5", F.lit(0)) / F.lit(float(PRECISION_AT))).alias("precision_5"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
@@ -454,17 +454,28 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tfidf(spark, sf_dir).filter("rank <= 5").select("lang", "item_id", "doc_id", "score", "rank")
 
 
+#: Scope of the documents whose language is null; a language's scope is '=' and its name.
+NO_LANG = "-"
+
+
+def _scopes(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("scope", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(NO_LANG)))
+
+
+def _lang() -> Column:
+    return F.when(F.col("scope") != NO_LANG, F.expr("substr(scope, 2)")).alias("lang")
+
+
 def _whole_tfidf(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every token of every passage against every document."""
+    """Every token of every passage against every document; a null language is a scope of its own."""
     asked = benchmark.select("item_id", F.explode(retrieval.tokens(F.col("text"), normalise=False)).alias("term"))
-    return _scored(docs, asked, "lang")
+    return _scored(_scopes(docs), asked, "scope")
 
 
 @query()
 def tfidf_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
-    found = _whole_tfidf(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("rank <= 5").select("lang", "item_id", "doc_id", "score", "rank")
+    found = _whole_tfidf(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.filter("rank <= 5").select(_lang(), "item_id", "doc_id", "score", "rank")
 
 
 @query(f"""WITH {TFIDF}, h AS (SELECT item_id, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 5) AS n5 FROM r JOIN labels USING (doc_id) WHERE lang = 'en' AND rank <= 10 AND quality = 1 GROUP BY 1)
@@ -479,6 +490,22 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
+def _whole_metrics(docs: DataFrame, benchmark: DataFrame, labels: DataFrame) -> DataFrame:
+    results = _whole_tfidf(docs, benchmark).filter("rank <= 10").select("scope", F.col("item_id").alias("case_id"), F.col("doc_id").alias("document_id"), "rank")
+    results = settled(results)
+    cases = benchmark.select(F.col("item_id").alias("case_id")).join(_scopes(docs).select("scope").distinct(), F.lit(True))
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("document_id")).distinct()
+    relevance = results.select("scope", "case_id", "document_id").join(good, "document_id", "left_semi")
+    found = retrieval_eval.case_metrics(cases, results, relevance, ["scope"])
+    return found.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6)).select(_lang(), *(c for c in found.columns if c != "scope"))
+
+
+@query()
+def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per (lang, benchmark item), a null language included."""
+    return _whole_metrics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "labels"))
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = event_journal(spark, sf_dir)
     prints = settled(excursion.fingerprint(journal))
