@@ -440,7 +440,13 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     sets = materialize(class_sets(rows.join(alive.select("doc_id", "cls", "copies").hint("merge"), "doc_id"), n), "shingle-sets")
     routed = materialize(routes(sets, alive.agg(F.sum("n_shingles")).first()[0]), "shingle-routes")
     found = materialize(cluster_links(sets, clusters(routed)), "shingle-links")
-    joined = components(found.filter("cls <> near").select(F.col("cls").alias("a"), F.col("near").alias("b")), "jaccard")
+    # Ids with several texts: their classes belong together, and a text without a set belongs to them.
+    split = table.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("cls").alias("own"), F.max("cls").alias("last"), F.bool_or(F.col("cls").isNull()).alias("bare")
+    )
+    split = materialize(split.filter("own < last OR (own IS NOT NULL AND bare)").select("doc_id", "own"), "jaccard-split")
+    held = known.join(split, "doc_id").filter("cls <> own").select(F.col("own").alias("a"), F.col("cls").alias("b"))
+    joined = components(found.filter("cls <> near").select(F.col("cls").alias("a"), F.col("near").alias("b")).unionByName(held), "jaccard")
     firsts = joined.select(F.col("id").alias("cls"), "label").join(classes.select("cls", "doc_id"), "cls")
     component = firsts.groupBy("label").agg(F.min("doc_id").alias("least"))
     of_class = firsts.join(component, "label").select("cls", "least")
@@ -453,18 +459,25 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
         ),
         "jaccard-classes",
     )
-    return table.join(answer, "cls", "left").select(
+    placed = table.join(split, "doc_id", "left").withColumns({"bare": F.col("cls").isNull(), "cls": F.coalesce("cls", "own")})
+    return placed.join(answer, "cls", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"),
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("bare"), 0).otherwise(F.coalesce("n_links", F.lit(0)))).alias("n_links"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, whose id is the smallest of its component.
 
-    Rows of one id stay or go together; rows with a null id stay.
+    Texts of one id stay or go together, equal rows (id and text) as one row; rows
+    with a null id stay.
     """
     gone = jaccard_join(docs, n, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = materialize(gone, "jaccard-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    key = docs[id_col].cast("long")
+    again = docs.select(key.alias("again")).groupBy("again").agg(F.count(F.lit(1)).alias("n")).filter("again IS NOT NULL AND n > 1")
+    again = materialize(again.select("again"), "jaccard-again")
+    kept = docs.join(gone, key == gone["gone"], "left_anti")
+    single = kept.join(again, key == again["again"], "left_anti")
+    return single.unionByName(kept.join(again, key == again["again"], "left_semi").dropDuplicates([id_col, text_col]))
