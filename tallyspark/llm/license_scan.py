@@ -119,11 +119,21 @@ def scan(
         F.first("license").alias("license"), F.first("part").alias("part"), F.first("tset").alias("tset")
     )
     contained = F.size(F.array_intersect("tset", "part")) / F.size("tset")
+    places_of = F.expr("filter(transform(part, (h, i) -> if(array_contains(tset, h), w * size_class + i, -1)), x -> x >= 0)")
+    matched = per_window.withColumn("contained", contained).filter(F.col("contained") >= CONTAINED).withColumn("at", places_of)
+    matched = materialize(matched.drop("part", "tset"), "license-matched")
     return (
-        per_window.withColumn("contained", contained).filter(F.col("contained") >= CONTAINED)
-        .groupBy("row", "doc_id", "license")
+        _best(matched).groupBy("row", "doc_id", "license")
         .agg(
             F.max("contained").alias("containment"), F.count(F.lit(1)).alias("n_windows"),
             F.min(F.col("w") * F.col("size_class")).cast("long").alias("first_word"),
         )
     )
+
+
+def _best(matched: DataFrame) -> DataFrame:
+    """``matched`` without what another license of the size class, there or a window off, holds with more words around it."""
+    more = matched.select("row", "size_class", F.explode(F.array(*(F.col("w") + i for i in (-1, 0, 1)))).alias("w"), F.col("license").alias("other"), F.col("at").alias("wide"))
+    inside = (F.size("wide") > F.size("at")) & (F.size(F.array_except("at", "wide")) == 0) & (F.col("other") != F.col("license"))
+    beaten = matched.join(more, ["row", "size_class", "w"]).filter(inside).select("row", "size_class", "w", "template").distinct()
+    return matched.join(beaten, ["row", "size_class", "w", "template"], "left_anti")
