@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators.retrieval import _nfkc
+from tallyspark.operators.retrieval import compatible
+from tallyspark.session import settled
 
 TRADE, KPI, DATASET = "TRADE_EVIDENCE", "KPI_EVIDENCE", "DATASET_CONTEXT"
 REQUEST_VERSION, TASK_TYPE = "grounded-ai-request-v1", "EVIDENCE_SUMMARY"
@@ -61,7 +62,7 @@ def valid_value(value: Column, value_type: Column) -> Column:
 
 def clean_question(question: Column) -> Column:
     """Compatibility forms folded, control characters gone, trimmed; null if empty or too long."""
-    plain = F.trim(F.regexp_replace(_nfkc(question), r"\p{C}", ""))
+    plain = F.trim(F.regexp_replace(compatible(question), r"\p{C}", ""))
     return F.when(F.char_length(plain).between(1, MAX_QUESTION_CHARS), plain)
 
 
@@ -98,12 +99,12 @@ def packet_fields(results: DataFrame) -> DataFrame:
     return every.withColumns({"alias": F.concat(F.lit("E"), F.col("rank").cast("string")), "claimable": F.col("value_type").isin("DECIMAL", "INTEGER")})
 
 
-def packets(results: DataFrame, states: DataFrame, questions: DataFrame) -> DataFrame:
-    """Per request: fault (null if sound), limitation codes, question, sha256 of the canonical request.
+def packets(results: DataFrame, states: DataFrame, questions: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """Per request: fault (null if sound), limitation codes, question, sha256 of the canonical request, what is secret.
 
-    ``states``: request_id, state, candidate_count; ``questions``: request_id, question.
+    ``states``: request_id, state, candidate_count; ``questions``: request_id, question; ``fields``: of ``packet_fields``, where known.
     """
-    fields = packet_fields(results)
+    fields = settled(packet_fields(results)) if fields is None else fields
     per = fields.groupBy("request_id").agg(
         F.min("fault").alias("field_fault"),
         F.bool_or(F.col("field_key").isin("approx_mfe", "approx_mae")).alias("approx"),
@@ -114,6 +115,7 @@ def packets(results: DataFrame, states: DataFrame, questions: DataFrame) -> Data
     shape = results.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.count_distinct("rank").alias("ranks"), F.count_distinct("journal_fingerprint").alias("prints"),
         F.bool_or(F.col("evidence_status") == "NO_MARKET_DATA").alias("unavailable"),
+        F.min("journal_fingerprint").alias("journal_fingerprint"), F.array_sort(F.collect_set("document_id")).alias("document_ids"),  # at most 10
     )
     full = fields.filter(F.col("field_key").isin(*EXCURSION_FIELDS)).groupBy("request_id", "rank").agg(F.count_distinct("field_key").alias("k"))
     lacking = results.filter((F.col("document_type") == TRADE) & (F.col("evidence_status") == "COMPUTED")).join(full.filter(F.col("k") == 4), ["request_id", "rank"], "left_anti").select("request_id").distinct().withColumn("lacking", F.lit(True))
@@ -133,7 +135,7 @@ def packets(results: DataFrame, states: DataFrame, questions: DataFrame) -> Data
         )
     )
     request = F.to_json(F.struct(c("fields"), c("limitation_codes"), c("question"), F.lit(REQUEST_VERSION).alias("schema_version"), F.lit(TASK_TYPE).alias("task_type")))
-    return joined.withColumns({"fault": fault, "limitation_codes": limits}).select("request_id", "question", "fault", "limitation_codes", F.sha2(request, 256).alias("request_sha256"), c("n").alias("n_items"))
+    return joined.withColumns({"fault": fault, "limitation_codes": limits}).select("request_id", "question", "fault", "limitation_codes", F.sha2(request, 256).alias("request_sha256"), c("n").alias("n_items"), "journal_fingerprint", "document_ids")
 
 
 def integrity(fields: DataFrame, headers: DataFrame) -> DataFrame:

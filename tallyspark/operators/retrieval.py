@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import cleaning as C
+from tallyspark.session import settled
 
 # Token pattern, limits, score step, order of document types.
 TOKEN = r"-?\d+(?:\.\d+)?|[a-z0-9]+"
@@ -17,106 +19,203 @@ DEFAULT_TOP_K, MAX_TOP_K, MAX_QUERY_CHARS = 5, 10, 500
 QUANTUM_DIGITS = 9
 TYPE_PRIORITY = {"TRADE_EVIDENCE": 0, "KPI_EVIDENCE": 1, "DATASET_CONTEXT": 2}
 
+#: Documents per chunk and queries per block that one task compares, about.
+CHUNK_DOCUMENTS, BLOCK_QUERIES = 4096, 512
+
 
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility forms folded. Plain ASCII has none, so it never leaves the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def tokens(text: Column, normalise: bool = True) -> Column:
-    """Lower-cased tokens. Compatibility forms are folded first unless the text is known to be plain."""
-    folded = _nfkc(text) if normalise else text
+    """Lower-cased tokens. Compatibility forms are folded first unless the text is known to have none."""
+    folded = compatible(text) if normalise else text
     return F.regexp_extract_all(F.lower(folded), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def term_counts(documents: DataFrame, keys: list[str], content: str = "content", normalise: bool = True) -> DataFrame:
-    """(keys, term, tf). Documents are counted where they lie before anything is shuffled."""
-    return documents.select(*keys, F.explode(tokens(F.col(content), normalise)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def score(terms: DataFrame, query_terms: DataFrame, scope: list[str], document: str = "document_id", query: str = "query_id") -> DataFrame:
-    """(scope, query, document, score): cosine of TF-IDF vectors, in steps of 1e-9, above 0 only.
-
-    ``terms`` has (scope, document, term, tf), ``query_terms`` (scope, query, term, tf).
-    idf = ln((1 + N) / (1 + df)) + 1 within a scope; query terms that no document
-    has are left out; both vectors have length 1. Only query terms meet documents.
+    """(keys, term, tf). Texts are dealt by their keys, so a text's many words are counted where it then lies, without another shuffle."""
+    dealt = documents.select(*keys, F.col(content).alias("_text")).repartition(*keys)
+    return dealt.select(*keys, F.explode(tokens(F.col("_text"), normalise)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighted(terms: DataFrame, query_terms: DataFrame, sizes: DataFrame, scope: list[str], document: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of documents, (scope, document, length, terms, weights) of asked terms, and of queries; terms as 64-bit hashes."""
+    df = terms.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = settled(df.join(sizes, scope).select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("_df"))) + 1).alias("_idf")))  # a row per word
+    on = [c for c in (*scope, "term") if c in query_terms.columns]
+    known = idf.join(query_terms.select(*on).distinct().withColumn("_asked", F.lit(True)), on, "left")
+    weighted = terms.join(known, [*scope, "term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
+    pair = F.when(F.col("_asked"), F.struct(F.xxhash64("term").alias("term"), "_w"))
+    docs = weighted.groupBy(*scope, document).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("length"), F.collect_list(pair).alias("pairs"))
+    asked = query_terms.join(idf, on).withColumn("_w", F.col("tf") * F.col("_idf"))
+    asked = asked.groupBy(*scope, query).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("length"), F.collect_list(F.struct(F.xxhash64("term").alias("term"), "_w")).alias("pairs"))
+    flat = lambda rows, key: rows.filter(F.size("pairs") > 0).select(*scope, key, "length", F.col("pairs.term").alias("terms"), F.col("pairs._w").alias("weights"))
+    return flat(docs, document), flat(asked, query)
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(all entries, first entry of each row)."""
+    return np.concatenate(list(lists)), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+
+def _compare(k: int, scope: list[str], document: str, query: str):
+    """The ``k`` best documents of a chunk for every query of a block, ties to the lower ``tie``."""
+
+    def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        columns = [*scope, query, document, "score"]
+        if docs.empty or asked.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        docs = docs.sort_values("tie", kind="stable")
+        terms, edges = _flat(asked["terms"])
+        words, at = np.unique(terms, return_inverse=True)
+        table = np.zeros((len(words), len(asked)))
+        table[at, np.repeat(np.arange(len(asked)), np.diff(edges))] = _flat(asked["weights"])[0]
+        table /= asked["length"].to_numpy()
+        terms, edges = _flat(docs["terms"])
+        at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
+        weight, length = np.where(words[at] == terms, _flat(docs["weights"])[0], 0.0), docs["length"].to_numpy()
+        best, best_at = np.zeros((0, len(asked))), np.zeros((0, len(asked)), np.int64)
+        for start in range(0, len(docs), 1024):
+            stop = min(start + 1024, len(docs))
+            scores = np.zeros((stop - start, len(asked)))
+            for i in range(start, stop):
+                here = slice(edges[i], edges[i + 1])
+                scores[i - start] = weight[here] @ table[at[here]] / length[i]
+            scores = np.round(scores, QUANTUM_DIGITS)
+            rows = np.broadcast_to(np.arange(start, stop)[:, None], scores.shape)
+            best, best_at = np.concatenate([best, scores]), np.concatenate([best_at, rows])
+            order = np.argsort(-best, axis=0, kind="stable")[:k]
+            best, best_at = np.take_along_axis(best, order, 0), np.take_along_axis(best_at, order, 0)
+        i, j = np.nonzero(best > 0)
+        out = {c: docs[c].iloc[0] for c in scope} | {query: asked[query].to_numpy()[j], document: docs[document].to_numpy()[best_at[i, j]], "score": best[i, j]}
+        return pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def top_k(
+    terms: DataFrame, query_terms: DataFrame, ties: DataFrame, scope: list[str], k: int = MAX_TOP_K,
+    document: str = "document_id", query: str = "query_id",
+) -> DataFrame:
+    """(scope, query, document, score, rank <= k): cosine of TF-IDF vectors above 0, in steps of 1e-9.
+
+    ``terms`` has (scope, document, term, tf), ``query_terms`` (scope, query, term,
+    tf), or no scope where every scope is asked, ``ties`` every document of a scope
+    with its ``tie``, whose order decides between equal scores; a document without a
+    term counts in N. Scope keys are not null. idf = ln((1 + N) / (1 + df)) + 1 within a scope; query terms that no
+    document has are left out. Queries go in blocks against chunks of documents of
+    bounded size, and each task keeps its k best a query, so what is shuffled are
+    vectors of asked terms and k rows per query and chunk, never the pairs that
+    share a word.
     """
-    df = terms.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = terms.groupBy(*scope, document).agg(F.count(F.lit(1)).alias("_")).groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-    join_n = (lambda x: x.join(n, scope)) if scope else (lambda x: x.join(F.broadcast(n), F.lit(True)))  # one row
-    idf = join_n(df).select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = terms.join(idf, [*scope, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy(*scope, document).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_d_len"))
-    asked = query_terms.join(idf, [*scope, "term"]).select(*scope, query, "term", (F.col("tf") * F.col("idf")).alias("_q"))
-    q_len = asked.groupBy(*scope, query).agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_q_len"))
-    dots = asked.join(weighted.select(*scope, document, "term", "_w"), [*scope, "term"]).groupBy(*scope, query, document).agg(F.sum(F.col("_q") * F.col("_w")).alias("_dot"))
-    found = dots.join(length, [*scope, document]).join(q_len, [*scope, query])
-    value = F.bround(F.col("_dot") / (F.col("_d_len") * F.col("_q_len")), QUANTUM_DIGITS)
-    return found.select(*scope, query, document, value.alias("score")).filter("score > 0")
-
-
-def rank_order(score_column: str = "score") -> list[Column]:
-    """Score, type, numeric record key before text, id."""
+    sizes = ties.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    docs, asked = _weighted(terms, query_terms, sizes, scope, document, query)
+    per = sizes.join(asked.groupBy(*scope).agg(F.count(F.lit(1)).alias("m")), scope)
+    per = per.select(*scope, F.ceil(F.col("n") / CHUNK_DOCUMENTS).alias("chunks"), F.ceil(F.col("m") / BLOCK_QUERIES).alias("blocks"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = docs.join(ties, [*scope, document]).join(per, scope)
+    dealt = dealt.withColumns({"chunk": F.pmod(F.xxhash64(document), F.col("chunks")), "block": upto("blocks")}).drop("chunks", "blocks")
+    asked = asked.join(per, scope).withColumns({"block": F.pmod(F.xxhash64(query), F.col("blocks")), "chunk": upto("chunks")}).drop("chunks", "blocks")
+    kinds = dict(dealt.dtypes) | dict(asked.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*scope, query, document)), "score double"])
+    keys = [*scope, "chunk", "block"]
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # both sides come from one table: tell their columns apart
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_compare(k, scope, document, query), shape)
+    place = F.row_number().over(Window.partitionBy(*scope, query).orderBy(F.desc("score"), "tie"))
+    return found.join(ties, [*scope, document]).withColumn("rank", place).filter(F.col("rank") <= k).drop("tie")
+
+
+def rank_key() -> Column:
+    """Text whose order is: type, numeric record key before text, id."""
     known = F.create_map(*[F.lit(x) for pair in TYPE_PRIORITY.items() for x in pair])
     key = F.coalesce(C.ticket(F.col("source_record_key")), F.col("source_record_key"))
     whole = F.when(key.rlike(r"^[+-]?\d+$"), key.try_cast("decimal(38,0)"))
-    return [
-        F.col(score_column).desc_nulls_last(), F.coalesce(F.try_element_at(known, F.col("document_type")), F.lit(99)).asc(),
-        whole.isNull().asc(), whole.asc_nulls_last(), key.asc(), F.col("document_id").asc(),
-    ]
+    raised = (whole + F.lit("9" * 37).cast("decimal(38,0)")).cast("string")  # below 0 too, digits in order
+    number = F.when(whole.isNotNull() & (F.abs(whole) < F.lit("1" + "0" * 37).cast("decimal(38,0)")), F.lpad(raised, 39, "0"))
+    return F.concat(
+        F.lpad(F.coalesce(F.try_element_at(known, F.col("document_type")), F.lit(99)).cast("string"), 2, "0"),
+        F.when(number.isNotNull(), F.concat(F.lit("0"), number)).otherwise(F.concat(F.lit("1"), F.coalesce(key, F.lit("")))),
+        F.lit("\x00"), F.coalesce("document_id", F.lit("")),
+    )
 
 
 def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, states) of a query table over a document table.
 
-    ``queries``: query_id, journal_id, text, ticket, symbol, document_type, top_k (null: default).
-    Statistics belong to the distinct (journal, type, symbol) filters, not to queries.
+    ``queries``: query_id, journal_id, text, ticket, symbol, document_type, top_k (null: default) and, if
+    the column is there, the journal_fingerprint that the journal's documents must carry.
+    A query that cannot be asked (text over the limit, top_k below 1, a ticket that is
+    no ticket, an unknown type) gives no rows and counts nothing. A ticket's candidates
+    are the trades with that ticket. Documents are read once; statistics belong to the
+    distinct (journal, type, symbol) filters, not to queries.
     """
+    guarded = "journal_fingerprint" in queries.columns
     asked = queries.select(
         "query_id", "journal_id", F.trim(F.coalesce("text", F.lit(""))).alias("text"), C.ticket(F.col("ticket")).alias("ticket"),
-        F.lower(_nfkc(F.trim("symbol"))).alias("symbol"), "document_type",
+        (C.text(F.col("ticket")).isNotNull() & C.ticket(F.col("ticket")).isNull()).alias("no_ticket"),
+        F.lower(compatible(F.trim("symbol"))).alias("symbol"), "document_type",
         F.least(F.coalesce("top_k", F.lit(DEFAULT_TOP_K)), F.lit(MAX_TOP_K)).alias("top_k"),
+        (F.col("journal_fingerprint") if guarded else F.lit(None).cast("string")).alias("wanted_print"),
     )
     asked = asked.withColumn("symbol", F.when(F.col("symbol") != "", F.col("symbol")))
+    prints = documents.groupBy("journal_id").agg(F.min("journal_fingerprint").alias("print0"), F.max("journal_fingerprint").alias("print1"), F.count(F.lit(1)).alias("corpus_size"))
+    asked = asked.join(prints, "journal_id", "left")
+    if verdicts is not None:
+        asked = asked.join(verdicts.select("journal_id", "verdict"), "journal_id", "left")
+        sound = F.coalesce(F.col("verdict") == "OK", F.lit(False))
+    else:
+        sound = F.lit(True)
+    if guarded:
+        sound &= F.coalesce((F.col("print0") == F.col("wanted_print")) & (F.col("print1") == F.col("wanted_print")), F.lit(False))
+    fault = (
+        F.when(F.char_length("text") > MAX_QUERY_CHARS, "INVALID_QUERY").when(F.col("top_k") < 1, "INVALID_TOP_K").when(~sound, "CORPUS_INVALID")
+        .when(~F.col("document_type").isin(*TYPE_PRIORITY), "INVALID_DOCUMENT_TYPE").when(F.col("no_ticket"), "INVALID_TICKET")
+    )
     combo = F.sha2(F.to_json(F.struct("journal_id", "document_type", "symbol"), {"ignoreNullFields": "false"}), 256)
-    asked = asked.withColumn("combo", combo)
-    docs = documents.withColumn("_symbol", F.lower(_nfkc(F.trim("symbol"))))
-    filters = asked.select("combo", "journal_id", F.col("document_type").alias("want_type"), F.col("symbol").alias("want_symbol")).distinct()
+    asked = settled(asked.withColumns({"fault": fault, "combo": combo}))
+    live = asked.filter("fault IS NULL")
+    docs = documents.withColumns({"_symbol": F.lower(compatible(F.trim("symbol"))), "tie": rank_key()})
+    filters = live.select("combo", "journal_id", F.col("document_type").alias("want_type"), F.col("symbol").alias("want_symbol")).distinct()
     fits = (F.col("want_type").isNull() | (F.col("want_type") == F.col("document_type"))) & (
         F.col("want_symbol").isNull() | ((F.col("document_type") == "TRADE_EVIDENCE") & (F.col("_symbol") == F.col("want_symbol")))
     )
-    candidates = docs.join(filters, "journal_id").filter(fits)
-    columns = ["document_id", "document_type", "journal_fingerprint", "source_record_key", "content", "evidence_status"]
-
-    plain = asked.select("query_id", "journal_id", "combo", "ticket", "text", "top_k")
-    exact = plain.filter("ticket IS NOT NULL").join(candidates.filter("document_type = 'TRADE_EVIDENCE'").select("combo", C.ticket(F.col("source_record_key")).alias("ticket"), *columns), ["combo", "ticket"])
-    exact = exact.select("query_id", "journal_id", "top_k", *columns, F.lit("EXACT_TICKET").alias("method"), F.lit(None).cast("double").alias("score"))
+    columns = ["document_id", "document_type", "journal_fingerprint", "source_record_key", "content", "evidence_status", "symbol"]
+    candidates = docs.join(filters, "journal_id").filter(fits).select("combo", "journal_id", "tie", *columns)
+
+    plain = live.select("query_id", "journal_id", "combo", "ticket", "text", "top_k")
+    trades = candidates.filter("document_type = 'TRADE_EVIDENCE'").withColumn("ticket", C.ticket(F.col("source_record_key"))).drop("journal_id")
+    exact = plain.filter("ticket IS NOT NULL").join(trades, ["combo", "ticket"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tie"))
+    exact = exact.select("query_id", "journal_id", "top_k", *columns, F.lit("EXACT_TICKET").alias("method"), F.lit(None).cast("double").alias("score"), place.alias("rank"))
     free = plain.filter("ticket IS NULL AND text <> ''")
-    terms = term_counts(candidates, ["combo", "document_id"])
-    wanted = term_counts(free, ["combo", "query_id"], "text")
-    scored = score(terms, wanted, ["combo"])
-    ranked = scored.join(candidates.select("combo", *columns), ["combo", "document_id"]).join(free.select("query_id", "journal_id", "top_k"), "query_id")
-    ranked = ranked.select("query_id", "journal_id", "top_k", *columns, F.lit("TFIDF_COSINE").alias("method"), "score")
-    everything = exact.unionByName(ranked)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*rank_order()))
-    results = everything.withColumn("rank", place).filter(F.col("rank") <= F.col("top_k"))
-    if verdicts is not None:
-        results = results.join(verdicts.filter("verdict = 'OK'").select("journal_id"), "journal_id", "left_semi")
-
-    sizes = documents.groupBy("journal_id").agg(F.count(F.lit(1)).alias("corpus_size"))
-    held = candidates.groupBy("combo").agg(F.count(F.lit(1)).alias("candidate_count"))
+    words = term_counts(docs.join(live.select("journal_id").distinct(), "journal_id", "left_semi"), ["journal_id", "document_id"])
+    held = candidates.select("combo", "journal_id", "document_id", "tie")
+    terms = words.join(held.drop("tie"), ["journal_id", "document_id"]).select("combo", "document_id", "term", "tf")
+    ranked = top_k(terms, term_counts(free, ["combo", "query_id"], "text"), held.drop("journal_id"), ["combo"])
+    ranked = ranked.join(candidates.select("combo", *columns), ["combo", "document_id"]).join(free.select("query_id", "journal_id", "top_k"), "query_id")
+    ranked = ranked.select("query_id", "journal_id", "top_k", *columns, F.lit("TFIDF_COSINE").alias("method"), "score", "rank")
+    results = settled(exact.unionByName(ranked).filter(F.col("rank") <= F.col("top_k")))  # at most ten rows a query
+
+    by_combo = candidates.groupBy("combo").agg(F.count(F.lit(1)).alias("candidates"))
+    by_ticket = trades.groupBy("combo", "ticket").agg(F.count(F.lit(1)).alias("with_ticket"))
     returned = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
-    states = asked.join(sizes, "journal_id", "left").join(held, "combo", "left").join(returned, "query_id", "left")
-    states = states.join(verdicts, "journal_id", "left") if verdicts is not None else states.withColumn("verdict", F.lit("OK"))
-    state = (
-        F.when(F.coalesce("verdict", F.lit("")) != "OK", "CORPUS_INVALID").when(F.coalesce("returned", F.lit(0)) > 0, "OK")
-        .when(F.col("ticket").isNull() & (F.col("text") == ""), "EMPTY_QUERY").otherwise("NO_RELEVANT_EVIDENCE")
-    )
-    invalid = F.char_length("text") > MAX_QUERY_CHARS
-    bad = F.col("state") == "CORPUS_INVALID"
-    states = states.withColumn("state", F.when(invalid, "INVALID_QUERY").otherwise(state)).select(
-        "query_id", "journal_id", "state", "top_k",
-        F.when(bad, 0).otherwise(F.coalesce("corpus_size", F.lit(0))).alias("corpus_size"),
-        F.when(bad, 0).otherwise(F.coalesce("candidate_count", F.lit(0))).alias("candidate_count"),
+    states = asked.join(by_combo, "combo", "left").join(by_ticket, ["combo", "ticket"], "left").join(returned, "query_id", "left")
+    state = F.coalesce(
+        "fault",
+        F.when(F.coalesce("returned", F.lit(0)) > 0, "OK").when(F.col("ticket").isNull() & (F.col("text") == ""), "EMPTY_QUERY").otherwise("NO_RELEVANT_EVIDENCE"),
+    )
+    met = F.when(F.col("ticket").isNotNull(), F.col("with_ticket")).otherwise(F.col("candidates"))
+    asked_well = F.col("fault").isNull()
+    states = states.select(
+        "query_id", "journal_id", state.alias("state"), "top_k",
+        F.when(asked_well, F.coalesce("corpus_size", F.lit(0))).otherwise(0).alias("corpus_size"),
+        F.when(asked_well, F.coalesce(met, F.lit(0))).otherwise(0).alias("candidate_count"),
     )
     return results.drop("top_k"), states

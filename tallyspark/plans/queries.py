@@ -146,12 +146,15 @@ def winloss_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.win_loss(event_journal(spark, sf_dir), [], "Symbol", "Type", "Profit")
 
 
-@query("""WITH c AS (SELECT l_returnflag AS flag, p_brand AS brand, count(*) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 20 OR p_brand < 'Brand#3' GROUP BY 1, 2),
-n AS (SELECT flag, CASE WHEN v / sum(v) OVER (PARTITION BY flag) * 100 < 2.5 THEN 'Other' ELSE brand END AS slice, v FROM c),
-f AS (SELECT flag, slice, CAST(sum(v) AS BIGINT) AS total FROM n GROUP BY 1, 2)
-SELECT flag, slice, total, round(total / sum(total) OVER (PARTITION BY flag) * 100, 6) AS share_pct, total = max(total) OVER (PARTITION BY flag) AS largest FROM f""")
+def _pie_sql(counts: str, key: str) -> str:
+    return f"""WITH c AS ({counts}), n AS (SELECT {key}, CASE WHEN v / sum(v) OVER (PARTITION BY {key}) * 100 < 2.5 THEN 'Other' ELSE kind END AS slice, v FROM c),
+f AS (SELECT {key}, slice, CAST(sum(v) AS BIGINT) AS total FROM n GROUP BY 1, 2)
+SELECT {key}, slice, total, round(total / sum(total) OVER (PARTITION BY {key}) * 100, 6) AS share_pct, total = max(total) OVER (PARTITION BY {key}) AS largest FROM f"""
+
+
+@query(_pie_sql("SELECT l_returnflag AS flag, p_brand AS kind, count(*) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", "flag"))
 def pie_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter("p_size < 20 OR p_brand < 'Brand#3'")
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     counts = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_returnflag").alias("flag"), F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("v"))
     return charts.pie(counts, ["flag"], "brand", "v").withColumn("share_pct", F.round("share_pct", 6))
 
@@ -163,7 +166,7 @@ def _tax_shares(lines: DataFrame) -> DataFrame:
     return charts.pie(counts, ["status"], "kind", "v").withColumn("share_pct", F.round("share_pct", 6))
 
 
-@query()
+@query(_pie_sql("SELECT l_linestatus AS status, concat_ws(' ', l_returnflag, CAST(l_tax AS VARCHAR)) AS kind, count(*) AS v FROM lineitem GROUP BY 1, 2", "status"))
 def pie_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tax_shares(table(spark, sf_dir, "lineitem"))
 
@@ -173,7 +176,7 @@ def _strict(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SEVEN = f"WITH {EVENTS.replace('CAST(user_id AS VARCHAR)', 'CAST(user_id % 7 AS VARCHAR)')}"
-MONEY = "CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS value, CAST(CAST(sum(CAST(p AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS display"
+MONEY = "round(CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE), 6) AS value, CAST(CAST(sum(CAST(p AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS display"
 
 
 @query(f"{SEVEN} SELECT journal_id, 'ALL' AS key, count(*) AS value FROM ev GROUP BY 1")
@@ -195,7 +198,7 @@ def strict_busiest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SEVEN} SELECT journal_id, strftime(ts, '%Y-%m-%d') AS key, {MONEY} FROM ev GROUP BY 1, 2")
 def strict_profit_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strict(spark, sf_dir, "PROFIT_BY_DAY")
+    return _strict(spark, sf_dir, "PROFIT_BY_DAY").withColumn("value", F.round("value", 6))
 
 
 @query(f"{SEVEN} SELECT journal_id, symbol AS key, count(*) AS value FROM ev GROUP BY 1, 2")
@@ -212,12 +215,12 @@ def strict_most_traded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SEVEN} SELECT journal_id, symbol AS key, {MONEY} FROM ev GROUP BY 1, 2")
 def strict_profit_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strict(spark, sf_dir, "PROFIT_BY_SYMBOL")
+    return _strict(spark, sf_dir, "PROFIT_BY_SYMBOL").withColumn("value", F.round("value", 6))
 
 
 @query(f"{SEVEN} SELECT journal_id, strftime(ts, '%Y-%m') AS key, {MONEY} FROM ev GROUP BY 1, 2")
 def strict_monthly_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strict(spark, sf_dir, "MONTHLY_PROFIT")
+    return _strict(spark, sf_dir, "MONTHLY_PROFIT").withColumn("value", F.round("value", 6))
 
 
 @query(f"{SEVEN} SELECT journal_id, count(*) AS n_rows, 'OK' AS status, CAST(0 AS BIGINT) AS duplicate_rows FROM ev GROUP BY 1")
@@ -226,9 +229,17 @@ def strict_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_returnflag, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows FROM
-(SELECT l_returnflag, l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1""")
+(SELECT l_returnflag, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1""")
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict_queries.duplicate_rows(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    """Lines of one supplier that are alike but for their order, part, price and date: some are."""
+    alike = ["l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus"]
+    return strict_queries.duplicate_rows(table(spark, sf_dir, "lineitem"), ["l_returnflag"], alike)
+
+
+@query("""SELECT l_returnflag, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1""")
+def duplicate_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return strict_queries.duplicate_rows(lines, ["l_returnflag"], [c for c in lines.columns if c != "l_returnflag"])
 
 
 @query("""SELECT folded, count(DISTINCT s) AS spellings FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN ' ' || lower(p_type) ELSE p_type END AS s,
@@ -327,8 +338,7 @@ def time_basis_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _excursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = event_trades(spark, sf_dir).filter("close_utc >= open_utc")
-    return excursion.window_join(trades, event_bars(spark, sf_dir), ["ticket"], BAR_SECONDS)
+    return excursion.window_join(event_trades(spark, sf_dir), event_bars(spark, sf_dir), ["ticket"], BAR_SECONDS)
 
 
 TRADES = f"""{BARS}, tr AS (SELECT * FROM (SELECT event_id AS ticket, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, value AS entry,
@@ -424,10 +434,10 @@ def manual_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT c_custkey, c_acctbal AS b, (30 + c_custkey % 50) / 100.0 AS w, 0.5 + (c_custkey % 7) * 0.5 AS rr FROM customer),
-k AS (SELECT *, CASE WHEN w - (1 - w) / rr < 0 THEN 0.001 ELSE w - (1 - w) / rr END AS k FROM s WHERE b > 0), p AS (SELECT *, greatest(0.1, least(k * 0.25 * 100, 1.0)) AS pct FROM k)
-SELECT c_custkey, round(k * 100, 3) AS raw_kelly_pct, round(pct, 3) AS risk_pct, round(b * pct / 100, 2) AS risk_amount FROM p""")
+k AS (SELECT *, CASE WHEN w - (1 - w) / rr < 0 THEN 0.001 ELSE w - (1 - w) / rr END AS k FROM s), p AS (SELECT *, greatest(0.1, least(k * 0.25 * 100, 1.0)) AS pct FROM k)
+SELECT c_custkey, CASE WHEN b > 0 THEN round(k * 100, 3) END AS raw_kelly_pct, CASE WHEN b > 0 THEN round(pct, 3) END AS risk_pct, CASE WHEN b > 0 THEN round(b * pct / 100, 2) END AS risk_amount FROM p""")
 def position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
+    rows = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_acctbal").alias("balance"), (30 + F.col("c_custkey") % 50).cast("double").alias("win_rate"), (0.5 + (F.col("c_custkey") % 7) * 0.5).alias("rr"),
         *(F.lit(v).alias(k) for k, v in {"atr_pips": 20.0, "atr_mult": 1.5, "kelly_scale": 0.25, "max_risk_pct": 1.0, "pip_value": 1.0, "floor_pct": 0.1}.items()),
     )
@@ -435,36 +445,15 @@ def position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = "regexp_extract_all(lower({0}), '-?[0-9]+(?:\\.[0-9]+)?|[a-z0-9]+')"
-TFIDF = f"""d AS (SELECT lang, doc_id, unnest({WORDS.format('text')}) AS term FROM documents WHERE lang IS NOT NULL), tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2, 3),
-q0 AS (SELECT item_id, unnest(list_slice({WORDS.format('text')}, 1, 8)) AS term FROM benchmark), lg AS (SELECT DISTINCT lang FROM tf), q AS (SELECT lang, item_id, term, count(*) AS tf FROM q0, lg GROUP BY 1, 2, 3),
-n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM tf GROUP BY 1), idf AS (SELECT lang, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf JOIN n USING (lang) GROUP BY lang, term, n),
-w AS (SELECT lang, doc_id, term, tf * idf AS w FROM tf JOIN idf USING (lang, term)), dl AS (SELECT lang, doc_id, sqrt(sum(w * w)) AS dl FROM w GROUP BY 1, 2),
-qw AS (SELECT lang, item_id, term, tf * idf AS q FROM q JOIN idf USING (lang, term)), ql AS (SELECT lang, item_id, sqrt(sum(q * q)) AS ql FROM qw GROUP BY 1, 2),
-s AS (SELECT lang, item_id, doc_id, round(round_even(sum(q * w) / (any_value(dl) * any_value(ql)), 9), 6) AS score FROM qw JOIN w USING (lang, term) JOIN dl USING (lang, doc_id) JOIN ql USING (lang, item_id) GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang, item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)"""
-
-
-def _scored(docs: DataFrame, asked: DataFrame, scope: str) -> DataFrame:
-    """(scope, item_id, doc_id, score, rank) of the asked (item_id, term) rows in every scope of ``docs``."""
-    terms = retrieval.term_counts(docs, [scope, "doc_id"], "text", normalise=False)
-    scopes = docs.select(scope).distinct().agg(F.collect_list(scope).alias("scopes"))  # a handful of languages
-    asked = asked.join(F.broadcast(scopes), F.lit(True)).select(F.explode("scopes").alias(scope), "item_id", "term").groupBy(scope, "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    scored = retrieval.score(terms, asked, [scope], "doc_id", "item_id").withColumn("score", F.round("score", 6)).filter("score > 0")
-    place = F.row_number().over(Window.partitionBy(scope, "item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", place.cast("long"))
-
-
-def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``TFIDF`` says: the first eight tokens of a passage, documents with a language."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
-    first = F.slice(retrieval.tokens(F.col("text"), normalise=False), 1, 8)
-    return _scored(docs, table(spark, sf_dir, "benchmark").select("item_id", F.explode(first).alias("term")), "lang")
-
-
-@query(f"WITH {TFIDF} SELECT lang, item_id, doc_id, score, rank FROM r WHERE rank <= 5")
-def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tfidf(spark, sf_dir).filter("rank <= 5").select("lang", "item_id", "doc_id", "score", "rank")
-
+#: Every token of every passage against every document of every scope: a language, or none. NFKC changes none of the given texts.
+TFIDF = f"""dc AS (SELECT coalesce('=' || lang, '-') AS scope, doc_id, text FROM documents), d AS (SELECT scope, doc_id, unnest({WORDS.format('text')}) AS term FROM dc),
+tf AS (SELECT scope, doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2, 3), q0 AS (SELECT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark),
+n AS (SELECT scope, count(DISTINCT doc_id) AS n FROM dc GROUP BY 1), q AS (SELECT scope, item_id, term, count(*) AS tf FROM q0, n GROUP BY 1, 2, 3),
+idf AS (SELECT scope, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf JOIN n USING (scope) GROUP BY scope, term, n),
+w AS (SELECT scope, doc_id, term, tf * idf AS w FROM tf JOIN idf USING (scope, term)), dl AS (SELECT scope, doc_id, sqrt(sum(w * w)) AS dl FROM w GROUP BY 1, 2),
+qw AS (SELECT scope, item_id, term, tf * idf AS q FROM q JOIN idf USING (scope, term)), ql AS (SELECT scope, item_id, sqrt(sum(q * q)) AS ql FROM qw GROUP BY 1, 2),
+s AS (SELECT scope, item_id, doc_id, round_even(sum(q * w) / (any_value(dl) * any_value(ql)), 9) AS score FROM qw JOIN w USING (scope, term) JOIN dl USING (scope, doc_id) JOIN ql USING (scope, item_id) GROUP BY 1, 2, 3),
+r AS (SELECT *, CASE WHEN scope <> '-' THEN substr(scope, 2) END AS lang, row_number() OVER (PARTITION BY scope, item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)"""
 
 #: Scope of the documents whose language is null; a language's scope is '=' and its name.
 NO_LANG = "-"
@@ -479,45 +468,62 @@ def _lang() -> Column:
 
 
 def _whole_tfidf(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every token of every passage against every document; a null language is a scope of its own."""
-    asked = benchmark.select("item_id", F.explode(retrieval.tokens(F.col("text"), normalise=False)).alias("term"))
-    return _scored(_scopes(docs), asked, "scope")
+    """Every token of every passage against every document; a null language is a scope of its own. Ten ranks each."""
+    docs = _scopes(docs).filter(F.col("doc_id").isNotNull())
+    terms = retrieval.term_counts(docs, ["scope", "doc_id"], "text")
+    ties = docs.select("scope", "doc_id", F.col("doc_id").alias("tie")).distinct()
+    asked = retrieval.term_counts(benchmark, ["item_id"], "text")  # of every scope
+    found = retrieval.top_k(terms, asked, ties, ["scope"], document="doc_id", query="item_id")
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def tfidf_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _whole_tfidf(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.filter("rank <= 5").select(_lang(), "item_id", "doc_id", "score", "rank")
+    return found.filter("rank <= 5").select(_lang(), "item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {TFIDF}, h AS (SELECT item_id, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 5) AS n5 FROM r JOIN labels USING (doc_id) WHERE lang = 'en' AND rank <= 10 AND quality = 1 GROUP BY 1)
-SELECT item_id AS case_id, first_rank, CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_1, CASE WHEN first_rank <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_3,
-  round(coalesce(1.0 / first_rank, 0), 6)::DOUBLE AS reciprocal_rank, (coalesce(n5, 0) / 5.0)::DOUBLE AS precision_5 FROM benchmark LEFT JOIN h USING (item_id)""")
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _tfidf(spark, sf_dir).filter("lang = 'en' AND rank <= 10").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("document_id"), "rank")
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"))
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("document_id")).distinct()
-    relevance = results.select("case_id", "document_id").join(good, "document_id", "left_semi")
-    found = retrieval_eval.case_metrics(cases, results, relevance)
-    return found.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
+TOP_FIVE = f"WITH {TFIDF} SELECT lang, item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"
+
+
+@query(TOP_FIVE)
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_five(spark, sf_dir)
+
+
+@query(TOP_FIVE)
+def tfidf_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier name of the whole-text form, which ``tfidf_topk`` now is too."""
+    return _top_five(spark, sf_dir)
 
 
 def _whole_metrics(docs: DataFrame, benchmark: DataFrame, labels: DataFrame) -> DataFrame:
     results = _whole_tfidf(docs, benchmark).filter("rank <= 10").select("scope", F.col("item_id").alias("case_id"), F.col("doc_id").alias("document_id"), "rank")
     results = settled(results)
-    cases = benchmark.select(F.col("item_id").alias("case_id")).join(_scopes(docs).select("scope").distinct(), F.lit(True))
+    cases = benchmark.select(F.col("item_id").alias("case_id")).join(_scopes(docs).select("scope").distinct())  # a row per item and language is the result
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("document_id")).distinct()
     relevance = results.select("scope", "case_id", "document_id").join(good, "document_id", "left_semi")
     found = retrieval_eval.case_metrics(cases, results, relevance, ["scope"])
     return found.withColumn("reciprocal_rank", F.round("reciprocal_rank", 6)).select(_lang(), *(c for c in found.columns if c != "scope"))
 
 
-@query()
-def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+METRICS = f"""WITH {TFIDF}, h AS (SELECT scope, item_id, min(rank) AS first_rank, count(*) FILTER (WHERE rank <= 5) AS n5 FROM r WHERE rank <= 10
+  AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2)
+SELECT CASE WHEN scope <> '-' THEN substr(scope, 2) END AS lang, item_id AS case_id, first_rank, CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_1, CASE WHEN first_rank <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_3,
+  round(coalesce(1.0 / first_rank, 0), 6)::DOUBLE AS reciprocal_rank, (coalesce(n5, 0) / 5.0)::DOUBLE AS precision_5 FROM (SELECT scope, item_id FROM n, benchmark) LEFT JOIN h USING (scope, item_id)"""
+
+
+@query(METRICS)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per (lang, benchmark item), a null language included."""
     return _whole_metrics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "labels"))
 
 
+@query(METRICS)
+def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier name of the form over all languages, which ``retrieval_metrics`` now is too."""
+    return retrieval_metrics(spark, sf_dir)
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = event_journal(spark, sf_dir)
     prints = settled(excursion.fingerprint(journal))
@@ -536,15 +542,20 @@ def corpus_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.integrity(_corpus(spark, sf_dir))
 
 
+#: Requests of every user: kind -> text, ticket (of a hit or a miss), symbol, document type.
+REQUESTS = {
+    "ticket": (None, "own", None, None), "miss": (None, "-1", None, None), "words": ("total profit click", None, None, None), "symbol": ("ticket", None, " CLICK", None),
+    "typed": ("win rate", None, None, "KPI_EVIDENCE"), "blank": (" ", None, None, None), "long": ("x" * 501, None, None, None), "alien": ("zzzz", None, None, None),
+}
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two requests per user: one for a ticket, one in words."""
-    by_user = event_journal(spark, sf_dir).groupBy("journal_id").agg(F.min("Ticket").alias("t"))
-    kinds = F.explode(F.array(F.lit("ticket"), F.lit("words")))
-    rows = by_user.withColumn("kind", kinds)
-    return rows.select(
-        F.concat_ws("-", "journal_id", "kind").alias("query_id"), "journal_id", F.when(F.col("kind") == "words", "total profit click").alias("text"),
-        F.when(F.col("kind") == "ticket", F.col("t").cast("string")).alias("ticket"), F.lit(None).cast("string").alias("symbol"),
-        F.lit(None).cast("string").alias("document_type"), F.lit(None).cast("int").alias("top_k"),
+    """Eight requests per user: a ticket's, a miss, words, a symbol's, a type's, none, too many words, unknown words."""
+    by_user = event_journal(spark, sf_dir).groupBy("journal_id").agg(F.min("Ticket").alias("own"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), *(F.lit(v).cast("string").alias(n) for n, v in zip(("text", "ticket", "symbol", "document_type"), of, strict=True))) for k, of in REQUESTS.items()))
+    return by_user.select("journal_id", "own", F.inline(kinds)).select(
+        F.concat_ws("-", "journal_id", "kind").alias("query_id"), "journal_id", "text", F.when(F.col("ticket") == "own", F.col("own").cast("string")).otherwise(F.col("ticket")).alias("ticket"),
+        "symbol", "document_type", F.lit(None).cast("int").alias("top_k"),
     )
 
 
@@ -554,82 +565,207 @@ def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("query_id", "rank", "document_id", "method", "score", "evidence_status")
 
 
-@query(f"""WITH {EVENTS} SELECT journal_id || '-' || k AS query_id, journal_id, 'OK' AS state, CAST(count(*) + 19 AS BIGINT) AS corpus_size, CAST(count(*) + 19 AS BIGINT) AS candidate_count FROM ev, (VALUES ('ticket'), ('words')) v(k) GROUP BY journal_id, k""")
+@query(f"""WITH {EVENTS}, u AS (SELECT journal_id, min(event_id) AS own, count(*) AS n, count(*) FILTER (WHERE symbol = 'click') AS clicks FROM ev GROUP BY 1)
+SELECT journal_id || '-ticket' AS query_id, 1 AS rank, 'TRADE_EVIDENCE:ticket:' || own AS document_id, 'EXACT_TICKET' AS method, CAST(NULL AS DOUBLE) AS score, 'NO_M1_EVIDENCE' AS evidence_status FROM u""")
+def retrieve_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the requests by ticket find, misses included."""
+    asked = _asked(spark, sf_dir).filter("query_id LIKE '%-ticket' OR query_id LIKE '%-miss'")
+    results, _ = retrieval.retrieve(_corpus(spark, sf_dir), asked)
+    return results.select("query_id", "rank", "document_id", "method", "score", "evidence_status")
+
+
+STATES = f"""{EVENTS}, u AS (SELECT journal_id, count(*) AS n, count(*) FILTER (WHERE symbol = 'click') AS clicks FROM ev GROUP BY 1),
+st AS (SELECT journal_id || '-' || k AS query_id, journal_id, k,
+ CASE k WHEN 'miss' THEN 'NO_RELEVANT_EVIDENCE' WHEN 'alien' THEN 'NO_RELEVANT_EVIDENCE' WHEN 'blank' THEN 'EMPTY_QUERY' WHEN 'long' THEN 'INVALID_QUERY'
+   WHEN 'symbol' THEN CASE WHEN clicks > 0 THEN 'OK' ELSE 'NO_RELEVANT_EVIDENCE' END ELSE 'OK' END AS state,
+ CAST(CASE k WHEN 'long' THEN 0 ELSE n + 19 END AS BIGINT) AS corpus_size,
+ CAST(CASE k WHEN 'ticket' THEN 1 WHEN 'miss' THEN 0 WHEN 'long' THEN 0 WHEN 'symbol' THEN clicks WHEN 'typed' THEN 18 ELSE n + 19 END AS BIGINT) AS candidate_count
+ FROM u, (VALUES ('ticket'), ('miss'), ('words'), ('symbol'), ('typed'), ('blank'), ('long'), ('alien')) v(k))"""
+
+
+@query(f"WITH {STATES} SELECT query_id, journal_id, state, corpus_size, candidate_count FROM st")
 def retrieval_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, states = retrieval.retrieve(_corpus(spark, sf_dir), _asked(spark, sf_dir))
     return states.select("query_id", "journal_id", "state", F.col("corpus_size").cast("long").alias("corpus_size"), F.col("candidate_count").cast("long").alias("candidate_count"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, states, questions) of all requests, and of three spoiled forms of each ticket's: no rows, a bad field, another symbol."""
     results, states = retrieval.retrieve(_corpus(spark, sf_dir), _asked(spark, sf_dir))
-    symbol = F.get_json_object("content", "$.none")
-    results = settled(results.withColumnRenamed("query_id", "request_id").withColumn("symbol", symbol))
-    states = settled(states.withColumnRenamed("query_id", "request_id"))
-    questions = states.select("request_id", F.lit("What was the profit?").alias("question"))
-    return results, states, questions
-
-
-@query()
+    results, states = results.withColumnRenamed("query_id", "request_id"), settled(states.withColumnRenamed("query_id", "request_id"))
+    own, asked = results.filter("request_id LIKE '%-ticket'"), states.filter("request_id LIKE '%-ticket'")
+    named = lambda rows, kind: rows.withColumn("request_id", F.replace("request_id", F.lit("-ticket"), F.lit(f"-{kind}")))
+    bad = named(own, "invalid").withColumn("content", F.replace("content", F.lit("Profit: "), F.lit("Profit: x")))
+    other = named(own, "other").withColumn("symbol", F.lit("OTHER"))
+    results = results.unionByName(bad).unionByName(other)
+    for kind in ("empty", "invalid", "other"):
+        states = states.unionByName(named(asked, kind))
+    return results, states, states.select("request_id", F.lit("What was the profit?").alias("question"))
+
+
+@query(f"""WITH {STATES}, rq AS (SELECT query_id AS request_id, k, state, least(5, candidate_count) AS top, candidate_count, NULL AS fault FROM st UNION ALL
+ SELECT journal_id || '-' || v.k, v.k, state, 1, 1, v.fault FROM st, (VALUES ('empty', 'REQUEST_EMPTY_EVIDENCE'), ('invalid', 'EVIDENCE_FIELD_INVALID'), ('other', 'REQUEST_MISMATCH')) v(k, fault) WHERE st.k = 'ticket')
+SELECT request_id, 'What was the profit?' AS question, CASE WHEN state <> 'OK' THEN 'REQUEST_STATE_NOT_OK' ELSE fault END AS fault,
+  CASE WHEN state = 'OK' AND candidate_count > top AND k <> 'typed' THEN 'PARTIAL_EVIDENCE' WHEN k = 'typed' THEN 'PARTIAL_EVIDENCE' ELSE '' END AS limitations,
+  CASE WHEN state = 'OK' AND k <> 'typed' AND k <> 'empty' THEN top END AS n_items FROM rq WHERE k <> 'typed'""")
 def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packet.packets(*_requests(spark, sf_dir))
+    """Packets of every request but those by type, whose number of hits is what the scores make it."""
+    found = packet.packets(*_requests(spark, sf_dir)).filter("request_id NOT LIKE '%-typed'")
+    return found.select("request_id", "question", "fault", F.array_join("limitation_codes", " ").alias("limitations"), F.col("n_items").cast("long").alias("n_items"))
 
 
 @query()
-def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each ticket request answered with its own profit, then checked."""
+def packet_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packet.packets(*_requests(spark, sf_dir)).select("request_id", "fault", "limitation_codes", "request_sha256", "n_items")
+
+
+def _body(answer: str = "Profit is @P [E1].", claims: str = '{"evidence":"E1","field":"profit","value":"@P"}', citations: str = '"E1"', limits: str = "", version: str = "grounded-ai-response-v1", more: str = "") -> str:
+    return f'{{"schema_version":"{version}","answer":"{answer}","claims":[{claims}],"citations":[{citations}],"limitation_codes":[{limits}]{more}}}'
+
+
+def _claim(field: str = "profit", value: str = '"@P"', evidence: str = "E1", more: str = "") -> str:
+    return f'{{"evidence":"{evidence}","field":"{field}","value":{value}{more}}}'
+
+
+ENDED = "It ended [E1]."
+#: Candidate answers: the request they answer, the text (@P its profit, @T its ticket, @S its symbol) and the codes that each must give.
+ANSWERS = {
+    "sound": ("ticket", _body(), ""), "named": ("ticket", _body("Ticket @T of symbol @S made @P [E1]."), ""), "dotted": ("ticket", _body("It made @P [E1], says ticket @T."), ""),
+    "no_request": ("nowhere", _body(), "REQUEST_STATE_NOT_OK"), "not_ok": ("miss", _body(), "REQUEST_STATE_NOT_OK"), "empty": ("empty", _body(), "REQUEST_EMPTY_EVIDENCE"),
+    "changed": ("changed", _body(), "REQUEST_MISMATCH"), "invalid": ("invalid", _body(), "EVIDENCE_FIELD_INVALID"), "other_symbol": ("other", _body(), "REQUEST_MISMATCH"),
+    "text": ("ticket", "Profit is @P", "SCHEMA_INVALID_JSON"), "cut": ("ticket", _body()[:-1], "SCHEMA_INVALID_JSON"), "list": ("ticket", f"[{_body()}]", "SCHEMA_TYPE_ERROR"),
+    "version": ("ticket", _body(version="v0"), "SCHEMA_VERSION_MISMATCH"), "extra": ("ticket", _body(more=',"more":1'), "SCHEMA_UNKNOWN_FIELD"),
+    "lacks": ("ticket", _body().replace(',"limitation_codes":[]', ""), "SCHEMA_MISSING_FIELD"), "claim_extra": ("ticket", _body(ENDED, _claim(more=',"x":1')), "SCHEMA_UNKNOWN_FIELD"),
+    "claim_lacks": ("ticket", _body(ENDED, '{"evidence":"E1"}'), "SCHEMA_MISSING_FIELD"), "claim_number": ("ticket", _body(ENDED, _claim(value="5")), "SCHEMA_TYPE_ERROR"),
+    "claim_text": ("ticket", _body(ENDED, '"E1"'), "SCHEMA_TYPE_ERROR"), "cited_number": ("ticket", _body(ENDED, "", "1"), "SCHEMA_TYPE_ERROR"),
+    "limit_twice": ("ticket", _body(limits='"PARTIAL_EVIDENCE","PARTIAL_EVIDENCE"'), "SCHEMA_TYPE_ERROR STATUS_CONTRADICTION"),
+    "too_long": ("ticket", _body("word " * 400 + "[E1]"), "SCHEMA_LIMIT_EXCEEDED"), "blank": ("ticket", _body("  ", ""), "ANSWER_EMPTY CITATION_INLINE_MISMATCH"),
+    "uncited": ("ticket", _body("It ended.", "", ""), "CITATION_MISSING"), "alien": ("ticket", _body("It ended [E1] [E2].", "", '"E1","E2"'), "CITATION_UNKNOWN_ALIAS"),
+    "twice": ("ticket", _body(citations='"E1","E1"'), "CITATION_DUPLICATE"), "no_mark": ("ticket", _body("Profit is @P."), "CITATION_INLINE_MISMATCH"),
+    "internal": ("ticket", _body(ENDED, "", '"E1","DATASET_CONTEXT:journal"'), "CITATION_INLINE_MISMATCH CITATION_INTERNAL_ID"),
+    "claim_uncited": ("ticket", _body("It ended.", _claim(), ""), "CITATION_MISSING CLAIM_ALIAS_NOT_CITED"),
+    "not_claimable": ("ticket", _body(ENDED, _claim("symbol", '"@S"')), "CLAIM_FIELD_NOT_CLAIMABLE"), "mismatch": ("ticket", _body(ENDED, _claim(value='"x"')), "CLAIM_VALUE_MISMATCH"),
+    "unavailable": ("ticket", _body(ENDED, _claim("swap")), "CLAIM_FIELD_UNAVAILABLE"), "loose": ("ticket", _body("Profit is @P, later 123456789012345678901 [E1]."), "NUMBER_UNGROUNDED"),
+    "percent": ("ticket", _body("Profit is @P% [E1]."), "NUMBER_UNGROUNDED"), "unproved": ("ticket", _body(claims=""), "NUMBER_UNGROUNDED"),
+    "other_ticket": ("ticket", _body("Ticket nosuch ended [E1].", ""), "IDENTIFIER_UNGROUNDED"), "other_name": ("ticket", _body("Symbol NOSUCH ended [E1].", ""), "IDENTIFIER_UNGROUNDED"),
+    "contradicts": ("ticket", _body(limits='"PARTIAL_EVIDENCE"'), "STATUS_CONTRADICTION"), "unlimited": ("words", _body(ENDED, ""), "LIMITATION_REQUIRED_MISSING"),
+    "limited": ("words", _body(ENDED, "", limits='"PARTIAL_EVIDENCE"'), ""), "no_limit": ("ticket", _body(limits='"NO_SUCH"'), "LIMITATION_UNKNOWN_CODE"),
+    "recommends": ("ticket", _body("You should buy [E1].", ""), "PROHIBITED_RECOMMENDATION"), "predicts": ("ticket", _body("It will rise [E1].", ""), "PROHIBITED_PREDICTION"),
+    "precise": ("ticket", _body("The exact MFE is known [E1].", ""), "PROHIBITED_PRECISION_CLAIM"), "supposes": ("ticket", _body("It could have made more [E1].", ""), "PROHIBITED_COUNTERFACTUAL"),
+    "leaks": ("ticket", _body("The owner_id ended [E1].", ""), "LEAKAGE_DETECTED"), "leaks_coded": ("ticket", _body("The \\u006fwner_id ended [E1].", ""), "LEAKAGE_DETECTED"),
+    "leaks_deep": ("ticket", _body(ENDED, _claim("\\u0075ser_id")), "CLAIM_FIELD_UNAVAILABLE LEAKAGE_DETECTED"),
+    "leaks_id": ("ticket", _body("See TRADE_EVIDENCE:ticket:@T [E1].", ""), "LEAKAGE_DETECTED"), "again": ("ticket", '{"answer":5,' + _body()[1:], ""),
+}
+
+
+def _candidates(results: DataFrame, fields: DataFrame) -> DataFrame:
+    """Every form of ``ANSWERS`` for every user, with the user's own ticket, symbol and profit."""
+    of = lambda key: F.max(F.when(F.col("field_key") == key, F.col("value"))).alias(key)
+    facts = fields.filter("request_id LIKE '%-ticket'").groupBy("request_id").agg(of("profit"), of("ticket"), of("symbol"))
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), F.lit(kind).alias("kind"), F.lit(text).alias("text"), F.lit(codes).alias("codes")) for k, (kind, text, codes) in ANSWERS.items()))
+    rows = facts.select(F.regexp_extract("request_id", "^(.*)-ticket$", 1).alias("user"), "profit", "ticket", "symbol", F.inline(forms))
+    text = F.replace(F.replace(F.replace("text", F.lit("@P"), F.col("profit")), F.lit("@T"), F.col("ticket")), F.lit("@S"), F.col("symbol"))
+    return rows.select(F.concat_ws("-", "user", "form").alias("case_id"), F.concat_ws("-", "user", "kind").alias("request_id"), text.alias("candidate_json"), "form", "codes")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, verdicts)."""
     results, states, questions = _requests(spark, sf_dir)
     fields = settled(packet.packet_fields(results))
-    headers = packet.packets(results, states, questions)
-    prints = results.groupBy("request_id").agg(F.min("journal_fingerprint").alias("journal_fingerprint"))
-    claim = fields.filter("field_key = 'profit' AND rank = 1 AND request_id LIKE '%-ticket'").join(headers, "request_id")
-    body = F.struct(
-        F.lit(validation.RESPONSE_VERSION).alias("schema_version"), F.format_string("Profit is %s [E1].", "value").alias("answer"),
-        F.array(F.struct(F.lit("E1").alias("evidence"), F.lit("profit").alias("field"), F.col("value"))).alias("claims"),
-        F.array(F.lit("E1")).alias("citations"), F.col("limitation_codes"),
+    headers = settled(packet.packets(results, states, questions, fields)).withColumn("context_sha256", F.col("request_sha256"))
+    renamed = F.replace("request_id", F.lit("-ticket"), F.lit("-changed"))
+    own = "request_id LIKE '%-ticket'"
+    headers = headers.unionByName(headers.filter(own).withColumns({"request_id": renamed, "context_sha256": F.lit("a" * 64)}))
+    fields = fields.unionByName(fields.filter(own).withColumn("request_id", renamed))
+    candidates = settled(_candidates(results, fields))
+    return candidates, settled(validation.validate(candidates.drop("form", "codes"), fields, headers))
+
+
+ANSWER_SQL = f"""WITH {EVENTS}, f(form, codes) AS (VALUES {", ".join(f"('{k}', '{codes}')" for k, (_, _, codes) in ANSWERS.items())}), u AS (SELECT DISTINCT journal_id FROM ev)"""
+
+
+@query(f"""{ANSWER_SQL} SELECT journal_id || '-' || form AS case_id, CASE WHEN codes = '' THEN 'PASSED_DETERMINISTIC_CHECKS' ELSE 'REJECTED' END AS status, codes, true AS review_required FROM u, f""")
+def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's ticket answered soundly and with each fault there is, then checked: the SQL states each form's codes."""
+    _, found = _judged(spark, sf_dir)
+    return found.select("case_id", "status", F.array_join("rejection_codes", " ").alias("codes"), "review_required")
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, found = _judged(spark, sf_dir)
+    split = F.when(F.col("codes") == "", F.array().cast("array<string>")).otherwise(F.split("codes", " "))
+    cases = candidates.select(
+        "case_id", F.array("form").alias("categories"), F.when(F.col("form") == "sound", "KNOWN_LIMITATION").when(F.col("codes") == "", "PASS").otherwise("REJECT").alias("expected_outcome"),
+        split.alias("required_codes"), F.array(F.lit("NO_CODE")).alias("forbidden_codes"), F.lit(None).cast("string").alias("documented_status"),
     )
-    candidates = claim.select(F.col("request_id").alias("case_id"), "request_id", F.to_json(body).alias("candidate_json"))
-    return validation.validate(candidates, fields, headers.join(prints, "request_id", "left"))
+    return validation_eval.matches(cases, found.select("case_id", "status", "rejection_codes"))
+
+
+@query(f"{ANSWER_SQL} SELECT count(*) AS total, count(*) AS matched, CAST(0 AS BIGINT) AS unexpected, CAST(0 AS BIGINT) AS false_accepts, CAST(0 AS BIGINT) AS false_rejects FROM u, f")
+def answer_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation_eval.summary(_evaluated(spark, sf_dir))
+
+
+CODE_LIST = ", ".join(f"('{c}')" for c in validation.ALL_CODES)
 
 
-@query("""SELECT conv_id, turn, len(string_split(text, ' ')) > 0 AS any_word, regexp_matches(text, '(?i)\\b(?:you should buy|you should sell|i recommend|enter now|exit now)\\b') AS recommends,
-regexp_matches(text, '(?i)\\b(?:will rise|will fall|likely to rise|likely to fall|predict(?:ion|ing|ed)?|forecast(?:s|ed|ing)?)\\b') AS predicts FROM conversations WHERE text IS NOT NULL""")
+@query(f"""{ANSWER_SQL}, x AS (SELECT journal_id || '-' || form AS case_id, string_split(codes, ' ') AS codes FROM u, f WHERE codes <> ''), o AS (SELECT c.code, min(case_id) AS case_id FROM x, unnest(x.codes) c(code) GROUP BY 1)
+SELECT k.code, o.case_id, o.case_id IS NOT NULL AS covered, o.case_id IS NOT NULL AS sensitive, coalesce(len(x.codes) = 1, false) AS sole_reason FROM (VALUES {CODE_LIST}) k(code) LEFT JOIN o USING (code) LEFT JOIN x ON x.case_id = o.case_id""")
+def answer_code_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of the 30 codes has a rejected candidate that needs it."""
+    return validation_eval.code_coverage(_evaluated(spark, sf_dir), list(validation.ALL_CODES))
+
+
+@query(f"""{ANSWER_SQL} SELECT journal_id || '-' || a AS attack_id, journal_id || '-' || c AS control_id, true AS holds FROM u, (VALUES ('loose', 'sound'), ('leaks_coded', 'named'), ('unlimited', 'limited')) p(a, c)""")
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attacks beside the sound form that they spoil."""
+    rows = settled(_evaluated(spark, sf_dir))
+    listed = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("c")) for a, b in (("loose", "sound"), ("leaks_coded", "named"), ("unlimited", "limited"))))
+    users = rows.filter("case_id LIKE '%-sound'").select(F.regexp_extract("case_id", "^(.*)-sound$", 1).alias("user"), F.inline(listed))
+    pairs = users.select(F.concat_ws("-", "user", "a").alias("attack_id"), F.concat_ws("-", "user", "c").alias("control_id"))
+    return validation_eval.pair_check(pairs, rows)
+
+
+def _hits(words: str) -> str:
+    return f"coalesce(regexp_matches(text, '(?i)\\b(?:{words})\\b'), false)"
+
+
+@query("SELECT conv_id, turn, coalesce(len(string_split(text, ' ')) > 0, false) AS any_word, " + ", ".join(f"{_hits('|'.join(words))} AS {name}" for name, words in zip(("recommends", "predicts", "precise", "supposes"), validation.PROHIBITED.values(), strict=True)) + " FROM conversations")
 def lexicon_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).withColumn("codes", validation.prohibited(F.col("text")))
-    return rows.select(
-        "conv_id", "turn", (F.size(F.split("text", " ")) > 0).alias("any_word"), F.array_contains("codes", "PROHIBITED_RECOMMENDATION").alias("recommends"),
-        F.array_contains("codes", "PROHIBITED_PREDICTION").alias("predicts"),
-    )
+    rows = table(spark, sf_dir, "conversations").withColumn("codes", validation.prohibited(F.col("text")))
+    flags = zip(("recommends", "predicts", "precise", "supposes"), validation.PROHIBITED, strict=True)
+    return rows.select("conv_id", "turn", F.coalesce(F.size(F.split("text", " ")) > 0, F.lit(False)).alias("any_word"), *(F.array_contains("codes", code).alias(name) for name, code in flags))
 
 
 @query()
 def answer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "documents").select("doc_id", validation.answer_numbers(F.col("text"), empty, empty).alias("numbers"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", validation.answer_numbers(F.col("text")).alias("numbers"))
     return rows.filter(F.size("numbers") > 0)
 
 
-CASES = "SELECT doc_id AS case_id, quality = 1 AS want, toxic = 0 AS got FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL"
+CASES = """SELECT doc_id AS case_id, quality, toxic, coalesce(CASE WHEN quality = 1 THEN toxic = 0 WHEN quality = 0 THEN toxic = 1 ELSE toxic IS NOT NULL END, false) AS matched FROM labels"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL")
+    """Labels as cases: quality says what is expected (null: a known limitation), toxic what came (null: nothing)."""
+    labels = table(spark, sf_dir, "labels")
     none = F.array().cast("array<string>")
     codes = F.when(F.col("toxic") == 0, none).otherwise(F.array(F.lit("LEAKAGE_DETECTED")))
     cases = labels.select(
         F.col("doc_id").alias("case_id"), F.array(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"), F.lit("all")).alias("categories"),
-        F.when(F.col("quality") == 1, "PASS").otherwise("REJECT").alias("expected_outcome"), none.alias("required_codes"), none.alias("forbidden_codes"),
+        F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "REJECT").otherwise("KNOWN_LIMITATION").alias("expected_outcome"), none.alias("required_codes"), none.alias("forbidden_codes"),
         F.lit(None).cast("string").alias("documented_status"),
     )
-    found = labels.select(F.col("doc_id").alias("case_id"), F.when(F.col("toxic") == 0, "PASSED").otherwise("REJECTED").alias("status"), codes.alias("rejection_codes"))
+    found = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("case_id"), F.when(F.col("toxic") == 0, "PASSED").otherwise("REJECTED").alias("status"), codes.alias("rejection_codes"))
     return validation_eval.matches(cases, found)
 
 
-@query(f"WITH c AS ({CASES}) SELECT count(*) AS total, count(*) FILTER (WHERE want = got) AS matched, count(*) FILTER (WHERE want <> got) AS unexpected, count(*) FILTER (WHERE NOT want AND got) AS false_accepts, count(*) FILTER (WHERE want AND NOT got) AS false_rejects FROM c")
+@query(f"WITH c AS ({CASES}) SELECT count(*) AS total, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE NOT matched) AS unexpected, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS false_accepts, count(*) FILTER (WHERE quality = 1 AND coalesce(toxic <> 0, true)) AS false_rejects FROM c")
 def validation_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation_eval.summary(_cases(spark, sf_dir))
 
 
-@query(f"WITH c AS ({CASES}), k AS (SELECT *, CASE WHEN case_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM c UNION ALL SELECT *, 'all' FROM c) SELECT category, count(*) AS cases, count(*) FILTER (WHERE want = got) AS matched FROM k GROUP BY 1")
+@query(f"WITH c AS ({CASES}), k AS (SELECT *, CASE WHEN case_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM c UNION ALL SELECT *, 'all' FROM c) SELECT category, count(*) AS cases, count(*) FILTER (WHERE matched) AS matched FROM k GROUP BY 1")
 def validation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation_eval.category_counts(_cases(spark, sf_dir))
 

@@ -6,8 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Recorded times are wall clock or UTC, so the session's zone must be UTC; AQE splits skewed joins.
+#: Recorded times are wall clock or UTC, so the session's zone must be UTC; AQE splits skewed joins; of a key
+#: given twice in a JSON object the last counts.
 SETTINGS = {
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -19,5 +19,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tallyspark.session import with_settings
+
+    with_settings(session)
     yield session
     session.stop()

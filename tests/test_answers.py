@@ -59,14 +59,15 @@ def test_retrieval(answers):
         got.setdefault(r["query_id"], []).append(r["document_id"].split(":")[-1])
     assert got == {"profit": ["2"], "both": ["2", "1"], "exact": ["1"], "typed": ["Win Rate (%)"], "symbol": ["1"]}
     state = {r["query_id"]: (r["state"], r["candidate_count"]) for r in states.collect()}
-    assert state["gone"][0] == "NO_RELEVANT_EVIDENCE" and state["blank"][0] == "EMPTY_QUERY" and state["typed"] == ("OK", 1) and state["symbol"] == ("OK", 1)
+    assert state["gone"] == ("NO_RELEVANT_EVIDENCE", 0) and state["exact"] == ("OK", 1) and state["blank"] == ("EMPTY_QUERY", 4) and state["typed"] == ("OK", 1) and state["symbol"] == ("OK", 1)
     assert {r["score"] for r in results.filter("query_id = 'exact'").collect()} == {None}
 
 
 def test_scores_are_cosines(spark):
     docs = spark.createDataFrame([("s", "a", "x x y"), ("s", "b", "y z")], "s string, d string, content string")
     asked = spark.createDataFrame([("s", "q", "x"), ("s", "q", "w")], "s string, q string, term string").groupBy("s", "q", "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = {r["d"]: r["score"] for r in retrieval.score(retrieval.term_counts(docs, ["s", "d"]), asked, ["s"], "d", "q").collect()}
+    ties = docs.select("s", "d", F.col("d").alias("tie"))
+    found = {r["d"]: r["score"] for r in retrieval.top_k(retrieval.term_counts(docs, ["s", "d"]), asked, ties, ["s"], document="d", query="q").collect()}
     rare, common = math.log(3 / 2) + 1, 1.0
     assert found == {"a": pytest.approx(2 * rare / math.hypot(2 * rare, common), abs=1e-9)}
 

@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
 from tallyspark.operators import charts, kpis, prefix_scan, scope, strict_queries
-from tallyspark.operators.exact_sum import exact_sums
+from tallyspark.operators.exact_sum import exact_sums, two_places
 from tallyspark.sources import journals
 
 
@@ -103,8 +104,8 @@ def test_files(spark, tmp_path):
 
 
 SCOPED = [
-    ("2026-09-01 10:00:00", "XAUUSD", "buy", 100, "breakout"), ("2026-09-02 23:30:00", "EURUSD", "sell", -50, "reversal"),
-    ("2026-09-03 08:00:00", "XAUEUR", "buy", 25, "continuation"), ("2026-09-04 12:00:00", "BTCUSD", "sell", 10, "range"),
+    ("2025-03-10 07:15:00", "NAT_GAS", "buy", 31, "gap fill"), ("2025-03-11 21:45:00", "CORN", "sell", -8, "fade"),
+    ("2025-03-12 09:05:00", "GASOIL", "buy", 64, "trend day"), ("2025-03-14 16:20:00", "WHEAT", "sell", 12, "roll"),
 ]
 
 
@@ -116,9 +117,9 @@ def scoped(spark):
 @pytest.mark.parametrize(
     ("params", "symbols"),
     [
-        ({"start_date": "2026-09-03"}, ["BTCUSD", "XAUEUR"]), ({"end_date": "2026-09-02"}, ["EURUSD", "XAUUSD"]), ({"symbol": "xau"}, ["XAUEUR", "XAUUSD"]),
-        ({"q": "buy"}, ["XAUEUR", "XAUUSD"]), ({"q": "25"}, ["XAUEUR"]), ({"q": "2026-09-03"}, ["XAUEUR"]), ({"q": "none"}, []),
-        ({"start_date": "bad", "q": None}, ["BTCUSD", "EURUSD", "XAUEUR", "XAUUSD"]),
+        ({"start_date": "2025-03-12"}, ["GASOIL", "WHEAT"]), ({"end_date": "2025-03-11"}, ["CORN", "NAT_GAS"]), ({"symbol": "gas"}, ["GASOIL", "NAT_GAS"]),
+        ({"q": "buy"}, ["GASOIL", "NAT_GAS"]), ({"q": "64"}, ["GASOIL"]), ({"q": "2025-03-12"}, ["GASOIL"]), ({"q": "none"}, []),
+        ({"start_date": "bad", "q": None}, ["CORN", "GASOIL", "NAT_GAS", "WHEAT"]),
     ],
 )
 def test_scope(spark, params, symbols):
@@ -156,8 +157,29 @@ def test_strict_queries(spark):
 
 
 def test_half_even_display(spark):
-    df = spark.createDataFrame([(1.005,), (1.015,), (0.1 + 0.2 + 0.3,)], "v double")
-    assert [str(r[0]) for r in df.select(strict_queries.display_profit(F.col("v"))).collect()] == ["1.00", "1.02", "0.60"]
+    df = spark.createDataFrame([(1.005,), (1.015,), (0.1 + 0.2 + 0.3,), (1e30,), (None,)], "v double")
+    found = [r[0] for r in df.select(two_places(F.col("v"))).collect()]
+    assert found == ["1.00", "1.02", "0.60", "1" + "0" * 30 + ".00", None]
+
+
+SUMS = {"tiny": [1e-11, 2e-11], "huge": [1e30, 1.0, -1e30], "wide": [1e308, 1e-320, -1e308, 5e-324], "tenths": [0.1] * 10, "none": [0.0, -0.0], "over": [1.7e308] * 3}
+
+
+def test_sums_are_exact_in_any_order(spark):
+    rows = [(k, v) for k, values in SUMS.items() for v in values] + [("tiny", None), ("odd", float("inf")), ("odd", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for dealt in (df, df.orderBy(F.desc("v")).repartition(5)):
+        found = {r["k"]: r["exact_sum"] for r in exact_sums(dealt, ["k"], "v").collect()}
+        assert found == {k: math.fsum(v) for k, v in SUMS.items() if k != "over"} | {"over": math.inf, "odd": math.inf}
+    r = np.random.default_rng(4)
+    values = (r.normal(size=3000) * 10.0 ** r.integers(-40, 40, 3000)).tolist()
+    found = exact_sums(spark.createDataFrame([(v,) for v in values], "v double").repartition(6), [], "v").first()["exact_sum"]
+    assert found == math.fsum(values)
+
+
+def test_one_large_cell_spoils_no_journal(spark):
+    status, rows = strict(spark, [("a", "1e30"), ("a", "1"), ("b", "0.00000000001"), ("b", "2e-11")], "Symbol string, Profit string", "PROFIT_BY_SYMBOL")
+    assert status["status"] == "OK" and rows == [("a", 1e30), ("b", math.fsum([1e-11, 2e-11]))]
 
 
 def test_digest_ignores_order(spark):
@@ -182,6 +204,6 @@ def test_exports(spark, tmp_path):
     df = scoped(spark).withColumn("RR", F.lit(2.0))
     assert journals.export_rows(df, ["Open Time", "Symbol"], 2.5).count() == 0
     first = journals.export_rows(df, ["Open Time", "Symbol", "Nope"], 2.0).orderBy("Open Time").first()
-    assert tuple(first) == ("2026-09-01 10:00", "XAUUSD")
+    assert tuple(first) == ("2025-03-10 07:15", "NAT_GAS")
     journals.persist(df.withColumn("row_ord", F.monotonically_increasing_id()), str(tmp_path / "kept"))
     assert journals.reload(spark, str(tmp_path / "kept")).count() == 4
