@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.scratch import materialize
+from tallyspark.llm.scratch import drop, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, label) of every id in ``edges`` (a, b): label is the smallest id it reaches.
+    """(id, label, moved) of every id in ``edges`` (a, b): label is the smallest id it reaches.
 
     Each round takes the smallest label among an id's neighbours and then the
     label of that label, so the distance covered doubles; rounds are written to
-    shared tables. Neighbours' labels are reduced before they are shuffled, so an
-    id with very many edges costs one row per task.
+    shared tables, and those of the round before are removed. Neighbours' labels are reduced before they are shuffled, so an
+    id with very many edges costs one row per task. Null ids are no ids; an empty
+    table gives an empty one.
     """
+    edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, f"{name}-edges")
     first = both.groupBy("a").agg(F.min("b").alias("b"))
@@ -31,11 +33,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             "id", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         better = materialize(better, f"{name}-{step}a")
+        drop(labels)
         onward = better.select(F.col("id").alias("label"), F.col("label").alias("further"))
         labels = better.join(onward, "label", "left").select(
             "id", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("moved")
         )
         labels = materialize(labels, f"{name}-{step}b")
+        drop(better)
         if labels.filter("moved").isEmpty():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
+            drop(both)
+            return labels

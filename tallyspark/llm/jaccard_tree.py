@@ -13,8 +13,8 @@ sets are one class. Two classes link when 100 * intersection >= 80 * union.
    one of their first n/5 + 1. The order by degree puts rare shingles first, so
    sets that share only common passages do not meet. Classes that share a routing
    shingle, directly or through others, form a cluster.
-3. Signature trees. Each cluster, cut into blocks of bounded size, is joined block
-   against block: a tree per block whose nodes hold OR-combined token bitmaps and
+3. Signature trees. Each cluster, cut into bands of set sizes and these into blocks
+   of bounded size, is joined block against block: a tree per block whose nodes hold OR-combined token bitmaps and
    size ranges, and a traversal of both trees that drops a pair of nodes when the
    largest possible overlap is too small for their sizes. Where the block pair has
    more distinct tokens than bits, the bound allows for shared bits and the pairs
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.llm.components import components
-from tallyspark.llm.scratch import materialize
+from tallyspark.llm.scratch import drop, materialize
 
 SHINGLE = 5
 #: Degrees are told apart up to this many sets.
@@ -49,6 +49,10 @@ RANGE_ENTRIES, BLOCK_SHINGLES = 500_000, 400_000
 MIN_RANGES = 64
 #: Sets per leaf, children per node, and bits of a bitmap at most.
 LEAF, FAN, MAX_BITS = 32, 4, 1 << 15
+#: Factor of the bands of set sizes: linked sets' sizes differ by 1.25 at most.
+BAND = 1.26
+#: Parts into which a cluster's rows are dealt where they meet a row per cluster.
+SALTS = 16
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -386,7 +390,7 @@ def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     first, second = int(pdf["first"].iloc[0]), int(pdf["second"].iloc[0])
     pdf = pdf.drop_duplicates("cls")  # rows repeated under one id bring their class again
     a = pdf[pdf["block"] == first]
-    b = a if first == second else pdf[pdf["block"] == second]
+    b = a if first == second else pdf[pdf["block"] == second]  # a block of the band above has a negative number
     if a.empty or b.empty:
         return pd.DataFrame({"cls": [], "near": [], "n_links": []}, dtype="int64")
     as_sets = lambda side: [np.asarray(t, np.int64).view(np.uint64) for t in side["tokens"]]
@@ -401,23 +405,53 @@ def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": cls[some], "near": cls[root[some]], "n_links": linked[some].astype(np.int64)})
 
 
+def block_counts(sizes: DataFrame) -> DataFrame:
+    """(label, band, salt, blocks) of the bands that need more than one block, once per salt."""
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.sqrt("members") / 4)).cast("int")
+    large = sizes.select("label", "band", blocks.alias("blocks")).filter("blocks > 1")
+    return large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def cluster_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """(cls, near, n_links) from the trees of every cluster, block against block.
 
-    A cluster of m sets has about sqrt(m) / 4 blocks, more if they hold many
-    shingles, so blocks stay small and each set is sent to as many tasks as its
-    cluster has blocks.
+    A cluster's sets are told apart by size first: in bands of a factor of 1.26
+    linked sets are in one band or in neighbouring ones, so other block pairs never
+    exist. A band of m sets has about sqrt(m) / 4 blocks, more if they hold many
+    shingles, so blocks stay small, and a set is sent to as many tasks as its band
+    and the two beside it have blocks. Block pairs, not clusters, are what tasks are
+    dealt by, and joins on the cluster are salted, so one large cluster is spread
+    over all tasks. The sets themselves travel once, to the tasks of their pairs.
     """
-    rows = sets.join(labels.select(F.col("id").alias("cls"), "label").hint("merge"), "cls")
-    sizes = sets.select("cls", "n_shingles").join(labels.select(F.col("id").alias("cls"), "label"), "cls")
-    sizes = sizes.groupBy("label").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.sqrt("members") / 4)).cast("int")
-    rows = rows.join(sizes.select("label", blocks.alias("blocks")), "label")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "cls", "copies", "tokens", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
-    )
-    return dealt.groupBy("label", "first", "second").applyInPandas(_join_blocks, "cls long, near long, n_links long")
+    rows = labels.select(F.col("id").alias("cls"), "label").join(sets.select("cls", "n_shingles"), "cls")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    rows = rows.withColumns({"band": band, "salt": F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(SALTS)).cast("int")})
+    sizes = rows.groupBy("label", "band").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("members"))
+    many = materialize(block_counts(sizes), "shingle-blocks")  # of bands too large for one block
+    present = materialize(sizes.select("label", "band", "members"), "shingle-bands")
+    rows = rows.join(many, ["label", "band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    for side in (-1, 1):
+        # A neighbouring band that is not listed has one block or does not exist.
+        beside = many.select("label", (F.col("band") - side).alias("band"), "salt", F.col("blocks").alias(f"blocks{side}"))
+        rows = rows.join(beside, ["label", "band", "salt"], "left").withColumn(f"blocks{side}", F.coalesce(f"blocks{side}", F.lit(1)))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    pair = lambda lo, first, second: F.struct(lo.alias("band"), first.alias("first"), second.alias("second"))
+    # The pair of (band, block i) and (band + 1, block j) is written as (band, i, -1 - j); inside one band as (band, i, j), i <= j.
+    inside = F.transform(upto("blocks"), lambda o: pair(F.col("band"), F.least("block", o), F.greatest("block", o)))
+    above = F.transform(upto("blocks1"), lambda o: pair(F.col("band"), F.col("block"), -1 - o))
+    below = F.transform(upto("blocks-1"), lambda o: pair(F.col("band") - 1, o, -1 - F.col("block")))
+    placed = rows.withColumn("block", block).select("cls", "label", "block", F.col("band").alias("own"), F.explode(F.concat(inside, above, below)).alias("pair"))
+    placed = placed.select("cls", "label", F.when(F.col("own") == F.col("pair.band"), F.col("block")).otherwise(-1 - F.col("block")).alias("block"), "pair.*")
+    # Inside a band a pair needs two members, between bands one on the other side too.
+    crossing = F.col("second") < 0
+    other = F.when(crossing & (F.col("block") >= 0), F.col("band") + 1).otherwise(F.col("band"))
+    bands = present.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("band", "other")
+    placed = placed.withColumns({"other": other, "salt": F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(SALTS)).cast("int")})
+    placed = placed.join(bands, ["label", "other", "salt"]).filter(crossing | (F.col("members") > 1)).drop("other", "salt", "members")
+    dealt = placed.join(sets.select("cls", "copies", "tokens"), "cls")
+    keys = ["label", "band", "first", "second"]
+    return dealt.repartition(*keys).groupBy(*keys).applyInPandas(_join_blocks, "cls long, near long, n_links long")
 
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -439,7 +473,9 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     )
     sets = materialize(class_sets(rows.join(alive.select("doc_id", "cls", "copies").hint("merge"), "doc_id"), n), "shingle-sets")
     routed = materialize(routes(sets, alive.agg(F.sum("n_shingles")).first()[0]), "shingle-routes")
-    found = materialize(cluster_links(sets, clusters(routed)), "shingle-links")
+    labels = clusters(routed)
+    found = materialize(cluster_links(sets, labels), "shingle-links")
+    drop(alive, sets, routed, labels)
     # Ids with several texts: their classes belong together, and a text without a set belongs to them.
     split = table.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("cls").alias("own"), F.max("cls").alias("last"), F.bool_or(F.col("cls").isNull()).alias("bare")
@@ -459,6 +495,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
         ),
         "jaccard-classes",
     )
+    drop(found, joined)
     placed = table.join(split, "doc_id", "left").withColumns({"bare": F.col("cls").isNull(), "cls": F.coalesce("cls", "own")})
     return placed.join(answer, "cls", "left").select(
         "doc_id", "n_shingles",
