@@ -1,12 +1,15 @@
 """Byte-pair encoding and decoding by tree concatenation (operator 8).
 
-A text is split into the pieces between which no merge can happen, and each
-distinct piece is encoded once per worker. A long unsplit piece is cut into
-leaves, which are encoded side by side; neighbours are then joined pairwise,
-level by level. A join re-encodes a window of tokens around the seam and grows
-it until the new tokens agree with the old ones at both ends. An encoding is the
-right one when each adjacent pair of its tokens is, so agreement in one token at
-either end makes the joined list exact.
+A text is halved, wherever the middle falls, until its parts are short. The parts
+are encoded by themselves, and neighbours are joined pairwise, level by level: a
+window of text around the seam is encoded anew, and grown until its first pieces
+are those of the left half and its last ones those of the right half. A piece is
+what no merge crosses; where it ends depends on what follows it and on nothing
+before it, so from a common end on both sides go on alike, and the joined list is
+exact. Each distinct piece is encoded once per worker. A piece longer than a leaf
+is a tree of its own, over tokens: an encoding is the right one when each adjacent
+pair of its tokens is, so agreement in one token at either end of a window makes
+the joined list exact.
 
 Edge cases: null text counts as empty; empty text gives no ids; each input row
 gives one output row, repeated rows and null ids included; only the named id and
@@ -16,6 +19,7 @@ text columns are read, so further columns never clash.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -23,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters above which a piece is encoded as a tree of leaves.
-LEAF_CHARS = 1024
+#: Characters above which a piece is encoded as a tree of leaves, and above which a text is.
+LEAF_CHARS, LEAF_TEXT = 1024, 512
+#: Characters on either side of a seam that the first window holds.
+SEAM_CHARS = 24
 #: Pieces that a worker remembers before it starts anew.
 MEMORY_PIECES = 400_000
 
@@ -65,6 +71,7 @@ class PieceEncoder:
     """Ids of texts under one vocabulary file of word-final BPE."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -82,13 +89,16 @@ class PieceEncoder:
         self.token = {i: t for t, i in self.whole.get_vocab().items()}
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
-    def pieces(self, text: str) -> list[str]:
-        """The text's pieces in order, each as its bytes' letters or a special token."""
+    def plain(self, text: str) -> bool:
+        """Whether the text has code points below U+0100 only and no special token."""
         try:
-            latin = text.encode("latin-1")
+            return b"<|" not in text.encode("latin-1")
         except UnicodeEncodeError:
-            latin = None
-        if latin is not None and b"<|" not in latin:
+            return False
+
+    def pieces(self, text: str, plain: bool | None = None) -> list[str]:
+        """The text's pieces in order, each as its bytes' letters or a special token."""
+        if self.plain(text) if plain is None else plain:
             return LATIN_PIECE.findall(text.lower())
         out: list[str] = []
         for chunk in BLANK.findall(text):
@@ -100,6 +110,40 @@ class PieceEncoder:
                     out += [MAPPED + piece for piece, _ in mapped]
         return out
 
+    def tree_pieces(self, text: str) -> list[str]:
+        """As ``pieces``, by halves that are encoded on their own and joined."""
+        plain = self.plain(text)
+
+        def tree(start: int, stop: int) -> list[str]:
+            if stop - start <= LEAF_TEXT:
+                return self.pieces(text[start:stop], plain)
+            middle = (start + stop) // 2
+            return seam(start, middle, stop, tree(start, middle), tree(middle, stop))
+
+        def seam(start: int, middle: int, stop: int, left: list[str], right: list[str]) -> list[str]:
+            width = SEAM_CHARS
+            while True:
+                a, b = max(middle - width, start), min(middle + width, stop)
+                if a == start and b == stop:
+                    return self.pieces(text[a:b], plain)
+                before, new, after = (self.pieces(text[x:y], plain) for x, y in ((a, middle), (a, b), (middle, b)))
+                # The window's outermost piece may be cut; those beside it must be the halves' own. At the halves' ends nothing is cut.
+                if a == start:
+                    n_left, skip, agrees = len(left), 0, before == left
+                else:
+                    n_left, skip = len(before) - 1, 1
+                    agrees = n_left >= 2 and before[1:] == left[-n_left:] and new[:2] == before[:2]
+                if agrees and b == stop:
+                    n_right, keep, agrees = len(right), len(new), after == right
+                elif agrees:
+                    n_right, keep = len(after) - 1, len(new) - 1
+                    agrees = n_right >= 2 and after[:-1] == right[:n_right] and new[-2:] == after[-2:]
+                if agrees and keep > skip:
+                    return left[: len(left) - n_left] + new[skip:keep] + right[n_right:]
+                width *= 2
+
+        return tree(0, len(text))
+
     def piece_ids(self, piece: str) -> list[int]:
         if piece in self.special:
             return [self.special[piece]]
@@ -137,7 +181,7 @@ class PieceEncoder:
             width *= 2
 
     def ids(self, text: str) -> list[int]:
-        return [i for piece in self.pieces(text) for i in self.piece_ids(piece)]
+        return [i for piece in self.tree_pieces(text) for i in self.piece_ids(piece)]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary names no decoder: its tokens are joined by blanks."""
@@ -203,7 +247,7 @@ def encode_digests(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col
             decoded = remembered(vocab, "decoded", coder.decode)
             counts, id_sums, text_sums = [], [], []
             for text in batch.column(1).to_pylist():
-                pieces = coder.pieces(text or "")
+                pieces = coder.tree_pieces(text or "")
                 joined = " ".join([id_text[p] for p in pieces])
                 counts.append(joined.count(" ") + 1 if joined else 0)
                 id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
