@@ -17,7 +17,6 @@ name; each input row gives one row; only the named columns are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,13 @@ SHARE = 0.02
 #: Languages that one bitmask word holds; more languages take more words.
 WORD_BITS = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model learns at most: those with the most documents.
+MAX_LANGUAGES = 256
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; numerals such as ² and ½ are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def grams(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,12 +72,14 @@ def lowered(column: pa.Array) -> list[bytes]:
 def learn(docs: DataFrame, keep, train_docs: int = TRAIN_DOCS, share: float = SHARE) -> tuple[list[str], np.ndarray]:
     """(languages, filter of shape (mask words, places)) from ``docs`` (doc_id, text, lang).
 
-    About ``train_docs`` documents of each language are taken, by hash of their ids.
+    About ``train_docs`` documents of each language are taken, by hash of their ids;
+    of a column with more than ``MAX_LANGUAGES`` values the most frequent are learnt.
     What reaches the driver is at most (n-grams per document / share) n-grams for
     each language.
     """
     usable = keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    counts = {r["lang"]: r["n"] for r in docs.filter(usable).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_lang = docs.filter(usable).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["n"] for r in by_lang.limit(MAX_LANGUAGES).collect()}
     languages = sorted(counts)
     planes = max(1, -(-len(languages) // WORD_BITS))
     table = np.zeros((planes, PLACES), np.uint64)
@@ -80,7 +87,7 @@ def learn(docs: DataFrame, keep, train_docs: int = TRAIN_DOCS, share: float = SH
         return languages, table
     million = 1_000_000
     limits = F.create_map(*[F.lit(x) for k in languages for x in (k, min(million, million * train_docs // counts[k] + 1))])
-    taken = docs.filter(usable & (F.pmod(F.xxhash64("doc_id"), F.lit(million)) < limits[F.col("lang")]))
+    taken = docs.filter(usable & F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id"), F.lit(million)) < limits[F.col("lang")]))
     number = {k: i for i, k in enumerate(languages)}
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +161,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            lettered = [bool(t and languages and _LETTER.search(t)) for t in texts]
+            lettered = [bool(languages) and has_letter(t) for t in texts]
             if languages:
                 best, score = decide(lowered(batch.column(1)), held.value, fp)
             names = [languages[best[i]] if has else "und" for i, has in enumerate(lettered)]
