@@ -14,16 +14,18 @@ def remainder(id_col: str, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most ``bound`` labelled documents.
 
-    ``docs`` has doc_id and text. The label rows with the smallest hashes of their
-    ids are taken, so the choice is the same at each run; rows without a label
-    take no part. The chosen ids are a table of at most ``bound`` rows, which is
-    why it may be broadcast. A document with repeated rows trains with each.
+    ``docs`` has doc_id and text. The ids with the smallest hashes are taken, so the
+    choice is the same at each run; rows without an id or a label take no part. An
+    id with both labels trains with each; of an id whose rows repeat the smallest
+    text trains, so copies of one id never swell the sample. The chosen ids are a
+    table of at most ``bound`` rows, which is why it may be broadcast.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & keep)
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(bound)
-        .dropDuplicates(["doc_id", "label"])
     )
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
