@@ -17,7 +17,8 @@ All of it is DataFrame functions. Templates are a list of bounded length
 Edge cases: null and empty texts and texts of fewer than five words match nothing;
 a template needs five words; repeated rows are reported each (``row`` tells them
 apart); null ids are reported with a null id; a text that holds a notice several
-times counts its windows; an empty table gives no rows; only the named columns
+times counts the windows that hold it (up to two for each) and has the first place
+of its words; an empty table gives no rows; only the named columns
 are read.
 """
 
@@ -126,7 +127,7 @@ def scan(
         _best(matched).groupBy("row", "doc_id", "license")
         .agg(
             F.max("contained").alias("containment"), F.count(F.lit(1)).alias("n_windows"),
-            F.min(F.col("w") * F.col("size_class")).cast("long").alias("first_word"),
+            F.min(F.array_min("at")).cast("long").alias("first_word"),
         )
     )
 
