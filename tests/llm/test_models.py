@@ -1,10 +1,15 @@
 """Classifiers: planted signals are learnt, held-out rows included; odd rows do not crash."""
 
+import math
+import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, quality, toxicity
+from tallyspark.llm.labels import labelled_sample
 
 LONG = "word " * 30_000
 ODD = [(-1, None), (-2, ""), (-3, "   \n"), (-4, "12345 !!"), (-5, LONG), (-6, "a b"), (-6, "a b"), (None, "no id here")]
@@ -67,6 +72,78 @@ def test_language(spark, docs):
     assert all(r["lang_pred"] == ("de" if r["doc_id"] % 3 == 0 else "en") for r in good)
 
 
+def test_numerals_are_no_letters(spark, docs):
+    odd = spark.createDataFrame([(9001, "½ ² ① 12", None), (9002, "² é", None)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(docs.select("doc_id", "text", "lang").unionByName(odd)).collect()}
+    assert found[9001] == "und" and found[9002] in ("de", "en")
+
+
+def test_copies_of_an_id_train_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    rows = labelled_sample(docs, marks, "quality", F.lit(True), 10).collect()
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in rows) == [(1, "a", 0), (1, "a", 1), (2, None, 1)]
+
+
+def test_empty_tables(spark, docs):
+    marks = docs.select("doc_id", "quality", "toxic")
+    assert quality.classify(docs.limit(0), marks).count() == 0 and toxicity.toxicity(docs.limit(0), marks).count() == 0
+
+
+def brute_quality(texts, w, bits):
+    """Scores gram by gram, from the features' own hashes of one text at a time."""
+    out = []
+    for t in texts:
+        z = w[0]
+        for _, _, data, starts in quality.W.blocks([t]):
+            for _, index in quality.block_features(data, starts, bits):
+                z += quality.SCALE * sum(w[i] for i in index.tolist()) / max(len(index), 1)
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_quality_scores_are_sparse_dot_products():
+    r = np.random.default_rng(2)
+    w = r.normal(size=(1 << 10) + 1)
+    texts = [b"", b"one", b"Some words, some WORDS 12 times", b"x " * 500, "\u00fcber".encode()]
+    assert quality.score_blocks(texts, w, 10).tolist() == pytest.approx(brute_quality(texts, w, 10))
+
+
+def test_language_filters_against_sets():
+    """Hits counted over the filter equal hits counted over plain sets, where no n-gram is a false positive."""
+    texts = [b"the other thing stands", b"gegen die zwischen keit", b"unrelated xqz", b""]
+    known = [{g for *_, gs in language_id.grams([t]) for g in gs.tolist()} for t in texts[:2]]
+    table = np.zeros((1, language_id.PLACES), np.uint64)
+    for i, of in enumerate(known):
+        for k in range(language_id.HASHES):
+            table[0, language_id.places(np.array(sorted(of), np.uint32), language_id.PLACES, k)] |= np.uint64(1 << i)
+    best, score = language_id.decide(texts, language_id.smallest(table, 2), language_id.false_positive_rates(table, 2))
+    for t, b, s in zip(texts, best.tolist(), score.tolist(), strict=True):
+        hits = [sum(g in of for *_, gs in language_id.grams([t]) for g in gs.tolist()) for of in known]
+        assert hits[b] == max(hits) and s == pytest.approx(max(hits) / sum(hits) if sum(hits) else 0, abs=1e-3)
+
+
+def brute_toxicity(text, lexicon):
+    words = re.findall("[a-z]+", text.lower())
+    hits = [i for i, x in enumerate(words) if x in lexicon]
+    yours = [i for i, x in enumerate(words) if x in toxicity.SECOND_PERSON]
+    capitals = sum(c.isupper() for c in text)
+    return {
+        "lexicon_count": len(hits), "lexicon_share": len(hits) / max(len(words), 1), "near_count": sum(any(abs(i - j) <= toxicity.NEAR for j in yours) for i in hits),
+        "second_share": len(yours) / max(len(words), 1), "capital_share": capitals / max(sum(c.isalpha() for c in text), 1), "log_words": math.log1p(len(words)),
+    }
+
+
+def test_toxicity_features_against_plain_counts():
+    texts = ["You SLIME! you are here", "slime " * 3 + "far away from all of those seven words you", "calm text", "", "YOUR rotter, slime"]
+    raw = [t.encode() for t in texts]
+    found = toxicity.vectors(raw, [t.lower().encode() for t in texts], toxicity.word_keys(["slime", "rotter"]))
+    at = {name: i for i, name in enumerate(toxicity.FEATURES)}
+    for t, row in zip(texts, found, strict=True):
+        want = brute_toxicity(t, {"slime", "rotter"})
+        assert {k: row[at[k]] for k in want} == pytest.approx(want)
+
+
 def test_language_without_training(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language_id.language_id(df).first()["lang_pred"] == "und"

@@ -72,6 +72,22 @@ def test_tree_concatenation(whole, monkeypatch):
         assert coder.ids(text) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_halves_join_anywhere(whole, monkeypatch):
+    coder, r = bpe.PieceEncoder(VOCAB), random.Random(7)
+    parts = ["a", "the ", "ing", " ", "  ", "\n", "é", "ß", "İ", "日本", "!", "'s", "'", "’", "12", "½", "e\u0301", "\xa0", "\x85", "<|endoftext|>", "<|", "--", "ﬁ"]
+    for leaf in (2, 9, 40):
+        monkeypatch.setattr(bpe, "LEAF_TEXT", leaf)
+        monkeypatch.setattr(bpe, "SEAM_CHARS", 3)
+        for _ in range(250):
+            text = "".join(r.choice(parts) for _ in range(r.randint(1, 120)))
+            assert coder.tree_pieces(text) == coder.pieces(text)
+            assert coder.ids(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_digests_of_an_empty_table(spark, docs):
+    assert bpe.encode_digests(docs.limit(0), VOCAB).count() == 0
+
+
 def test_packing(spark, docs, whole):
     pieces = packing.pack(docs, VOCAB).toPandas()
     want = Counter((r["doc_id"], len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
@@ -90,9 +106,13 @@ def test_packing(spark, docs, whole):
 def test_token_counts(spark, docs, whole):
     lengths = np.array([len(whole.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()])
     found = token_counts.token_counts(docs, VOCAB).collect()
-    assert {r["context_limit"] for r in found} == set(lengths.tolist())
+    assert {r["context_limit"] for r in found if r["kind"] == "length"} == set(lengths.tolist())
+    assert {r["context_limit"] for r in found if r["kind"] == "limit"} == set(token_counts.LIMITS)
+    for q, limit in ((r["quantile"], r["context_limit"]) for r in found if r["kind"] == "quantile"):
+        assert (lengths <= limit).mean() >= q > (lengths < limit).mean() or limit == lengths.min()
     for r in found:
         limit = r["context_limit"]
+        assert r["n_docs"] == (lengths == limit).sum() and r["docs_at_least"] == (lengths >= limit).sum()
         assert r["truncated_tokens"] == np.minimum(lengths, limit).sum() and r["tokens_at_least"] == lengths[lengths >= limit].sum()
         assert r["docs_within"] == pytest.approx((lengths <= limit).mean())
     assert token_counts.token_counts(docs.limit(0), VOCAB).count() == 0
@@ -133,14 +153,32 @@ def test_jaccard_join(spark, docs):
             assert r["component_id"] is None
         else:
             assert (r["n_shingles"], r["component_id"]) == (sizes[r["doc_id"]], label[r["doc_id"]])
-            if r["doc_id"]:  # id 0 is a repeated row: its links are counted for both rows together
-                assert r["n_links"] == links[r["doc_id"]]
+            both = 2 if r["doc_id"] == 0 else 1  # id 0 is a repeated row: its links are counted for each of its rows
+            assert r["n_links"] == links[r["doc_id"]] // both
     kept = jaccard_tree.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i in label if label[i] == i} | {None}
     assert jaccard_tree.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_one_large_cluster_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "BLOCK_SHINGLES", 900)
+    r = random.Random(9)
+    stem = [f"stem{i}" for i in range(60)]
+    rows = []
+    for i in range(220):  # one family of near copies whose sizes spread over several bands, in many blocks
+        words = stem[: 60 - i % 12] + [f"tail{k}" for k in range(i % 30)]
+        words[r.randrange(len(words))] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    sizes, label, links = brute_components(rows)
+    found = jaccard_tree.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in found} == {i: (sizes[i], label[i], links[i]) for i, _ in rows}
+    sets = [(i, 1, n, [0] * n) for i, n in ((k, 50 + k % 20) for k in range(400))]
+    labels = spark.createDataFrame([(i, 7) for i, *_ in sets], "id long, label long")
+    plan = jaccard_tree.cluster_links(spark.createDataFrame(sets, "cls long, copies long, n_shingles long, tokens array<long>"), labels)
+    assert "hashpartitioning(label" in (text := plan._jdf.queryExecution().executedPlan().toString()) and "second" in text.split("FlatMapGroupsInPandas")[1].split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_trees_lose_no_link():
     r = np.random.default_rng(3)
     centres = [r.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(8)]
@@ -201,6 +239,7 @@ def test_license_scan(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
     found = license_scan.scan(df).collect()
     assert Counter((r["doc_id"], r["license"]) for r in found if r["containment"] == 1) == {(1, "mit"): 1, (None, "mit"): 1, (4, "mit"): 2}
+    assert {r["first_word"] for r in found if r["doc_id"] == 1} == {300} and {r["first_word"] for r in found if r["doc_id"] == 4} == {0}
     assert all(r["containment"] >= 0.8 for r in found)
     assert license_scan.scan(df.limit(0)).count() == 0 and license_scan.scan(df, []).count() == 0
 
