@@ -148,10 +148,11 @@ def is_trade_like(df: DataFrame) -> bool:
     return "Profit" in df.columns or {"Symbol", "Type"} <= set(df.columns)
 
 
-def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord")) -> DataFrame:
+def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord"), dates: bool = True) -> DataFrame:
     """Trim header names, drop index columns and empty rows, rename, parse dates and numbers.
 
-    ``key_columns`` are not journal data: an all-empty row is dropped whatever its keys.
+    ``key_columns`` are not journal data: an all-empty row is dropped whatever its keys. Without ``dates``
+    they are left to the caller.
     """
     names = [c if c in key_columns else c.strip() for c in df.columns]
     df = df.toDF(*names)
@@ -162,7 +163,7 @@ def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_or
         df = df.withColumnRenamed("Commissions", "Commission")
     date = first_present(df.columns, OPEN_COLUMNS)
     changed = {c: number(quoted(c)) for c in df.columns if c in NUMERIC_COLUMNS}
-    if date:
+    if date and dates:
         changed[date] = recorded_time(quoted(date))
     return df.withColumns(changed) if changed else df
 

@@ -13,18 +13,24 @@ def row_digest(columns: Sequence[Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), {"ignoreNullFields": "false"}), 256)
 
 
+#: First hex digits of a row's digest that a leaf's rows share, then those that each higher level's do.
+PREFIXES = (9, 6, 3, 0)
+
+
 def table_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[Column], name: str = "sha256") -> DataFrame:
     """Per key: one digest that does not depend on row order.
 
-    Row digests are counted per value first (copies cost one row), then digested
-    per first three hex digits, then once more, so no task sees a whole key.
+    Row digests are counted per value first (copies cost one row). A tree of digests
+    follows: the entries that share nine first hex digits give one, then those that
+    share six, three and none. A node has at most 4096 children, and a leaf a few
+    rows even of a key with 10^11 rows, so no task sees a whole key.
     """
     rows = df.select(*keys, row_digest(columns).alias("d")).groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("n"))
-    entry = F.concat_ws(":", "d", F.col("n").cast("string"))
-    leaves = rows.groupBy(*keys, F.substring("d", 1, 3).alias("bucket")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "|"), 256).alias("d"), F.sum("n").alias("n")
-    )
-    pair = F.concat_ws(":", "bucket", "d")
-    return leaves.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(pair)), "|"), 256).alias(name), F.sum("n").alias("n_rows")
-    )
+    level = rows.select(*keys, F.col("d").alias("path"), F.concat_ws(":", "d", F.col("n").cast("string")).alias("entry"), "n")
+    for digits in PREFIXES:
+        node = F.substring("path", 1, digits) if digits else F.lit("")
+        level = level.groupBy(*keys, node.alias("path")).agg(
+            F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "|"), 256).alias("digest"), F.sum("n").alias("n")
+        )
+        level = level.select(*keys, "path", "digest", F.concat_ws(":", "path", "digest").alias("entry"), "n")
+    return level.select(*keys, F.col("digest").alias(name), F.col("n").alias("n_rows"))

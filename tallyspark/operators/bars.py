@@ -10,27 +10,37 @@ from tallyspark.functions.cleaning import basename, number, text
 # Columns of a bar file.
 COLUMNS = ("TimestampUTC", "Symbol", "Open", "High", "Low", "Close")
 SYMBOL_CHARS = 64
-UTC = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|\+00:00)$"
-ANY_ZONE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:?\d{2})?$"
+FILE_FAULTS = ("EMPTY_FILE", "DECODE_ERROR", "CSV_PARSE_ERROR", "TOO_FEW_ROWS", "MISSING_REQUIRED_COLUMNS")
+UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|\+00:00)$"
+OTHER_ZONE = r"[+-]\d{2}:\d{2}$"
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """(bar_set_id, ts, symbol, open, high, low, close, reason) of raw string bars."""
+    """(bar_set_id, ts, symbol, open, high, low, close, reason) of raw string bars.
+
+    A file's ``fault``, if there is one, is the reason of its only row; a required
+    column that ``raw`` lacks is a fault of all of it.
+    """
+    lacking = [c for c in COLUMNS if c not in raw.columns]
+    if lacking:
+        raw = raw.withColumns({c: F.lit(None).cast("string") for c in lacking})
+    fault = F.lit("MISSING_REQUIRED_COLUMNS") if lacking else F.col("fault") if "fault" in raw.columns else F.lit(None).cast("string")
     stamp, symbol = F.trim("TimestampUTC"), text(F.col("Symbol"))
-    clock = F.regexp_replace(F.regexp_replace(stamp, r"(Z|\+00:00)$", ""), "T", " ")
-    ts = F.coalesce(F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm")))
+    ts = F.try_to_timestamp(F.replace(F.substring(stamp, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
     prices = {c.lower(): number(F.col(c)) for c in COLUMNS[2:]}
     o, h, lo, c = prices.values()
     reason = (
-        F.when(symbol.isNull() | (F.char_length(symbol) > SYMBOL_CHARS), "INVALID_SYMBOL")
-        .when(stamp.isNull() | (stamp == ""), "INVALID_TIMESTAMP")
-        .when(~stamp.rlike(UTC) & stamp.rlike(ANY_ZONE), "NON_UTC_TIMESTAMP")
-        .when(~stamp.rlike(UTC) | ts.isNull(), "INVALID_TIMESTAMP")
-        .when((F.second(ts) != 0) | stamp.rlike(r"\.\d*[1-9]"), "TIMESTAMP_NOT_MINUTE_ALIGNED")
+        F.when(fault.isNotNull(), fault)
+        .when(symbol.isNull(), "EMPTY_SYMBOL").when(F.char_length(symbol) > SYMBOL_CHARS, "SYMBOL_TOO_LONG")
+        .when(stamp.isNull(), "INVALID_TIMESTAMP")
+        .when(~stamp.rlike(UTC) & stamp.rlike(OTHER_ZONE) & ~stamp.endswith("+00:00"), "NON_UTC_TIMESTAMP")
+        .when(~stamp.rlike(UTC), "INVALID_TIMESTAMP")
+        .when(stamp.rlike(r"\.\d*[1-9]"), "TIMESTAMP_NOT_MINUTE_ALIGNED").when(ts.isNull(), "INVALID_TIMESTAMP")
+        .when(F.second(ts) != 0, "TIMESTAMP_NOT_MINUTE_ALIGNED")
         .when(o.isNull() | h.isNull() | lo.isNull() | c.isNull(), "INVALID_OHLC")
         .when((o <= 0) | (h <= 0) | (lo <= 0) | (c <= 0), "NON_POSITIVE_OHLC")
         .when((h < F.greatest(o, lo, c)) | (lo > F.least(o, h, c)), "IMPOSSIBLE_OHLC")
-    )
+    )
     return raw.select("bar_set_id", ts.alias("ts"), symbol.alias("symbol"), *(v.alias(k) for k, v in prices.items()), reason.alias("reason"))
 
 
@@ -78,8 +88,8 @@ def verdicts(checked: DataFrame, resolution_seconds: int = 60) -> DataFrame:
     coarse = finest.groupBy("bar_set_id").agg(F.bool_or((F.col("n") < 2) | F.col("gap").isNull() | (F.col("gap") != resolution_seconds)).alias("coarse"))
     joined = sets.join(twice, "bar_set_id", "left").join(coarse, "bar_set_id", "left")
     verdict = (
-        F.when(F.col("n_rows") < 2, "TOO_FEW_ROWS").when(F.col("row_reason").isNotNull(), F.col("row_reason"))
-        .when(F.coalesce("twice", F.lit(False)), "DUPLICATE_BAR").when(F.coalesce("coarse", F.lit(True)), "INVALID_RESOLUTION").otherwise("OK")
+        F.when(F.col("row_reason").isin(*FILE_FAULTS), F.col("row_reason")).when(F.col("n_rows") < 2, "TOO_FEW_ROWS").when(F.col("row_reason").isNotNull(), F.col("row_reason"))
+        .when(F.coalesce("twice", F.lit(False)), "DUPLICATE_BAR").when(F.coalesce("coarse", F.lit(True)), "M1_RESOLUTION_UNCONFIRMED").otherwise("OK")
     )
     return joined.select("bar_set_id", "n_rows", verdict.alias("verdict"))
 

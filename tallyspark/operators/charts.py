@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import prefix_scan
 
 
 def monthly_profit(df: DataFrame, keys: Sequence[str], time: str, profit: str) -> DataFrame:
@@ -16,22 +17,18 @@ def monthly_profit(df: DataFrame, keys: Sequence[str], time: str, profit: str) -
 
 def equity_curve(df: DataFrame, keys: Sequence[str], profit: str, order_by: Sequence[str]) -> DataFrame:
     """Position from 0, running sum (missing profit is 0) and the sign of the final total."""
-    by_key = Window.partitionBy(*keys)
-    upto = by_key.orderBy(*order_by)
-    value = F.coalesce(F.col(profit), F.lit(0))
-    return df.select(
-        *keys,
-        (F.row_number().over(upto) - 1).alias("position"),
-        F.sum(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("equity"),
-        F.signum(F.sum(value).over(by_key)).alias("final_sign"),
-    )
+    rows = df.select(*dict.fromkeys([*keys, *order_by]), F.coalesce(F.col(profit).cast("double"), F.lit(0.0)).alias("_value"))
+    curve = prefix_scan.running_sum(rows, "_value", order_by, keys)
+    totals = rows.groupBy(*keys).agg(F.signum(F.sum("_value")).alias("final_sign"))
+    return curve.join(totals, list(keys)).select(*keys, "position", F.col("running").alias("equity"), "final_sign")
 
 
 def profit_series(df: DataFrame, keys: Sequence[str], profit: str, order_by: Sequence[str]) -> DataFrame:
     value = F.coalesce(F.col(profit), F.lit(0))
+    rows = prefix_scan.running_sum(df.select(*dict.fromkeys([*keys, *order_by]), value.alias("_value")), "_value", order_by, keys)
+    value = F.col("_value")
     sign = F.when(value > 0, "win").when(value < 0, "loss").otherwise("flat")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1
-    return df.select(*keys, place.alias("position"), value.alias("profit"), sign.alias("sign"))
+    return rows.select(*keys, "position", value.alias("profit"), sign.alias("sign"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], profit: str, bins: int = 40) -> DataFrame:

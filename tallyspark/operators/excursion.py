@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,21 +92,23 @@ def checked_trades(journals: DataFrame, bases: DataFrame, journal: str = "journa
 
 
 def window_join(
-    trades: DataFrame, bars: DataFrame, keys: list[str], step_seconds: int = 60, bucket_seconds: int = 86_400
+    trades: DataFrame, bars: DataFrame, keys: list[str], step_seconds: int = 60, levels: Sequence[int] = (1, 16, 256, 4096)
 ) -> DataFrame:
     """Evidence of trades (keys, symbol, side, entry, exit, open_utc, close_utc) over bars (symbol, ts, high, low).
 
-    The interval join is an equi-join on (symbol, bucket): a trade is dealt to the
-    buckets its window touches. Buckets that lie wholly inside a window meet one
-    summary row per bucket instead of their bars; maxima, minima and counts
-    compose, so the result is the same with far fewer rows.
+    The interval join is an equi-join on (symbol, level, bucket). Bars are
+    summarised at several levels, of 1, 16, 256 and 4096 bars a bucket; a window is
+    dealt to the largest buckets that lie wholly inside it, from its ends inwards,
+    so it meets at most 30 rows a level below the top, and as many of the top as
+    its limit allows. Maxima, minima and counts compose, so the result is that of
+    all its bars. The two boundary bars are looked up by themselves.
     """
-    step, bucket = step_seconds, bucket_seconds
+    step = step_seconds
     floor = lambda t: F.unix_timestamp(t) - F.pmod(F.unix_timestamp(t), F.lit(step))
     limit = MAX_WINDOW_MINUTES * 60
     placed = trades.withColumns({"w0": floor("open_utc"), "w1": floor("close_utc")})
     placed = placed.withColumn("bars_expected", ((F.col("w1") - F.col("w0")) / step).cast("long") + 1)
-    flat = bars.select("symbol", floor("ts").alias("t"), "high", "low").withColumn("b", F.floor(F.col("t") / bucket))
+    flat = bars.select("symbol", floor("ts").alias("t"), "high", "low")
     ranges = flat.groupBy("symbol").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     placed = placed.join(ranges, "symbol", "left")
     reason = (
@@ -113,22 +117,35 @@ def window_join(
     )
     placed = placed.withColumn("reason", reason)
     live = placed.filter("reason IS NULL").select(*keys, "symbol", "w0", "w1")
-    spread = live.withColumn("b", F.explode(F.sequence(F.floor(F.col("w0") / bucket), F.floor(F.col("w1") / bucket))))
-    whole = (F.col("b") * bucket >= F.col("w0")) & ((F.col("b") + 1) * bucket - step <= F.col("w1"))
-    summary = flat.groupBy("symbol", "b").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
-    inner = spread.filter(whole).join(summary, ["symbol", "b"]).select(
+    # Buckets [first, stop) of each level, cut to what no higher level covers: what is left of it lies at the window's two ends.
+    inside = {}
+    for n in levels:
+        size = n * step
+        inside[n] = (F.ceil(F.col("w0") / size), F.floor((F.col("w1") + step) / size))
+    pieces = []
+    for i, n in enumerate(levels):
+        first, stop = inside[n]
+        span = lambda a, z: F.when(z > a, F.sequence(a, z - 1)).otherwise(F.array().cast("array<bigint>"))
+        if i + 1 < len(levels):
+            ratio = levels[i + 1] // n
+            up_first, up_stop = (x * ratio for x in inside[levels[i + 1]])
+            some = up_stop > up_first
+            listed = F.when(some, F.concat(span(first, up_first), span(up_stop, stop))).otherwise(span(first, stop))
+        else:
+            listed = span(first, stop)
+        pieces.append(F.arrays_zip(F.array_repeat(F.lit(n), F.size(listed)).alias("level"), listed.alias("b")))
+    spread = live.select(*keys, "symbol", F.explode(F.flatten(F.array(*pieces))).alias("at")).select(*keys, "symbol", "at.*")
+    by_level = flat.withColumn("at", F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col("t") / (n * step)).alias("b")) for n in levels))))
+    summary = by_level.groupBy("symbol", "at.level", "at.b").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
+    within = spread.join(summary, ["symbol", "level", "b"]).select(
         *keys, "high", "low", "n", *(F.lit(None).cast("double").alias(c) for c in ("h0", "l0", "h1", "l1"))
     )
-    edge = spread.filter(~whole).join(flat, ["symbol", "b"]).filter("t BETWEEN w0 AND w1")
     at = lambda side, c: F.when(F.col("t") == F.col(side), F.col(c))
-    edge = edge.select(*keys, "high", "low", F.lit(1).cast("long").alias("n"), at("w0", "high").alias("h0"), at("w0", "low").alias("l0"), at("w1", "high").alias("h1"), at("w1", "low").alias("l1"))
-    # A whole bucket may hold a boundary bar of the window: its bars are read for that bar alone.
-    ends = spread.filter(whole).withColumn("t", F.explode(F.array_distinct(F.array("w0", "w1")))).filter(F.floor(F.col("t") / bucket) == F.col("b"))
-    ends = ends.join(flat.select("symbol", "t", "high", "low"), ["symbol", "t"]).select(
+    ends = live.withColumn("t", F.explode(F.array_distinct(F.array("w0", "w1")))).join(flat, ["symbol", "t"]).select(
         *keys, F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(0).cast("long").alias("n"),
         at("w0", "high").alias("h0"), at("w0", "low").alias("l0"), at("w1", "high").alias("h1"), at("w1", "low").alias("l1"),
     )
-    found = inner.unionByName(edge).unionByName(ends).groupBy(*keys).agg(
+    found = within.unionByName(ends).groupBy(*keys).agg(
         F.max("high").alias("interval_high"), F.min("low").alias("interval_low"), F.sum("n").alias("bars_used"),
         *(F.max(c).alias(c) for c in ("h0", "l0", "h1", "l1")),
     )
@@ -166,8 +183,8 @@ def window_join(
     )
 
 
-def evidence(journals: DataFrame, bases: DataFrame, bars: DataFrame, journal: str = "journal_id") -> DataFrame:
-    """One evidence row per trade; a journal without usable tickets has the gate's fault on every row."""
+def evidence(journals: DataFrame, bases: DataFrame, bars: DataFrame, journal: str = "journal_id", step_seconds: int = 60) -> DataFrame:
+    """One evidence row per trade over bars of ``step_seconds``; a journal without usable tickets has the gate's fault on every row."""
     tickets = C.first_present(journals.columns, C.TICKET_COLUMNS)
     keys = [journal, "row_ord", "ticket"]
     trades = checked_trades(journals, bases, journal)
@@ -179,7 +196,7 @@ def evidence(journals: DataFrame, bases: DataFrame, bars: DataFrame, journal: st
             "reason": F.when(F.col("gate") != "OK", F.col("gate")).otherwise(F.col("reason")),
         }
     )
-    valid = window_join(trades.filter("status IS NULL").drop("reason", "status", "gate"), bars, keys)
+    valid = window_join(trades.filter("status IS NULL").drop("reason", "status", "gate"), bars, keys, step_seconds)
     none = {k: F.lit(None).cast("double") for k in MEASURES} | {k: F.lit(None).cast("long") for k in ("bars_used", "bars_expected")}
     failed = trades.filter("status IS NOT NULL").select(*keys, "status", "reason", *(v.alias(k) for k, v in none.items()), *(F.lit(False).alias(f) for f in FLAGS))
     return valid.unionByName(failed)

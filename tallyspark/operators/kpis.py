@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators import prefix_scan
+
 # Measure names in their fixed order, with the column that holds each.
 RENDERED = [
     ("Total Trades", "total_trades"), ("Winning Trades", "winning_trades"), ("Losing Trades", "losing_trades"),
@@ -21,17 +25,15 @@ RENDERED = [
 def kpis(df: DataFrame, keys: Sequence[str], profit: str, order_by: Sequence[str]) -> DataFrame:
     """One row per key with a numeric profit. Losses are below 0; break-evens count in the win rate.
 
-    One window by key for the drawdown and one aggregation; both use the same
-    partitioning. A single huge sequence is ``prefix_scan.max_drawdown``'s work.
+    The drawdown comes from a scan over ranges of each key, the rest from one
+    aggregation with partial sums, so a key with very many rows is no single task.
     """
     p = F.col(profit)
     rows = df.filter(p.isNotNull() & ~F.isnan(p)).select(*keys, p.cast("double").alias("p"), *(c for c in order_by if c not in keys))
-    upto = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    level = rows.withColumn("level", F.sum("p").over(upto))
-    fall = level.withColumn("fall", F.greatest(F.lit(0.0), F.max("level").over(upto)) - F.col("level"))
+    falls = prefix_scan.max_drawdown(rows, "p", order_by, keys)
     win, loss = F.when(F.col("p") > 0, F.col("p")), F.when(F.col("p") < 0, F.col("p"))
     zero = F.lit(0.0)
-    base = fall.groupBy(*keys).agg(
+    base = rows.groupBy(*keys).agg(
         F.count("p").alias("total_trades"),
         F.count_if(F.col("p") > 0).alias("winning_trades"),
         F.count_if(F.col("p") < 0).alias("losing_trades"),
@@ -44,9 +46,10 @@ def kpis(df: DataFrame, keys: Sequence[str], profit: str, order_by: Sequence[str
         F.coalesce(F.abs(F.avg(loss)), zero).alias("average_loss"),
         F.max("p").alias("best_trade"),
         F.min("p").alias("worst_trade"),
-        F.max("fall").alias("max_drawdown"),
         F.coalesce(F.stddev_samp("p"), zero).alias("volatility"),
     )
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    base = base.join(falls.withColumnsRenamed({k: f"_{k}" for k in keys}), same).drop(*(f"_{k}" for k in keys))
     return base.withColumns(
         {
             "win_rate_pct": F.col("winning_trades") / F.col("total_trades") * 100,

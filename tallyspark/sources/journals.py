@@ -3,110 +3,184 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+import io
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.cleaning import basename, contract, first_present, normalise, number, quoted
+from tallyspark.functions.cleaning import OPEN_COLUMNS, basename, contract, first_present, normalise, number, quoted, recorded_time
+from tallyspark.session import settled
 
-# Encodings in the order tried, and the characters that may part fields.
+# Encodings in the order tried, the characters that may part fields, and the columns of a bar file.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
 DELIMITERS = ",;\t|"
 HEAD_CHARS = 2048
-#: Spark has no cp1252: such files are read as Latin-1 and the characters that differ are replaced.
-SPARK_NAME = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
-DIFFERING = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+BAR_COLUMNS = ("TimestampUTC", "Symbol", "Open", "High", "Low", "Close")
+#: Rows that leave a file's reader together.
+BATCH_ROWS = 10_000
 
-FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "encoding", "sep", "header")])
+JOURNAL_ROWS = "journal_id string, row_ord long, cells map<string,string>"
+BAR_ROWS = "bar_set_id string, fault string, " + ", ".join(f"{c} string" for c in BAR_COLUMNS)
 
 
-def _form(head: bytes) -> tuple[str, str, str]:
-    """Encoding, delimiter and header line of a file's content."""
+def decoded(content: bytes) -> str:
+    """A file's text by the first encoding that reads all of it."""
     for encoding in ENCODINGS:
         try:
-            decoded = head.decode(encoding)
-            break
+            return content.decode(encoding)
         except UnicodeDecodeError:
             continue
+    return content.decode(ENCODINGS[-1], "replace")
+
+
+def delimiter(content: str) -> str:
+    """What parts the fields, seen from the file's head."""
     try:
-        sep = csv.Sniffer().sniff(decoded[:HEAD_CHARS], DELIMITERS).delimiter
+        return csv.Sniffer().sniff(content[:HEAD_CHARS], DELIMITERS).delimiter
     except csv.Error:
-        sep = ","
-    return encoding, sep, decoded.lstrip("﻿").split("\n", 1)[0].rstrip("\r")
+        return ","
+
+
+def header_names(fields: list[str]) -> list[str]:
+    """Trimmed names, told apart where they repeat; empty ones count their place."""
+    out: list[str] = []
+    for i, field in enumerate(fields):
+        name = field.strip() or f"_c{i}"
+        out.append(name if name not in out else f"{name}.{sum(n == name or n.startswith(f'{name}.') for n in out)}")
+    if "Commissions" in out and "Commission" not in out:
+        out[out.index("Commissions")] = "Commission"
+    return out
+
+
+def journal_lines(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(place, cells) of a journal file's data rows; a quoted field may hold line breaks.
+
+    Rows with more fields than the header are left out, short ones lack their last
+    cells, blank lines are no rows.
+    """
+    csv.field_size_limit(1 << 30)
+    text = decoded(content)
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text))
+    names: list[str] = []
+    place = 0
+    try:
+        for fields in rows:
+            if not fields:
+                continue
+            if not names:
+                names = header_names(fields)
+            elif len(fields) <= len(names):
+                yield place, [*zip(names, fields, strict=False), *((n, None) for n in names[len(fields) :])]
+                place += 1
+    except csv.Error:  # the rest of the file is no CSV
+        return
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def file_forms(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, sep, header) of each CSV file below ``path``, found on the executors."""
+def _parsed(files: DataFrame, read: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``read`` gives for each file, in batches; a file is read by one task, which a quoted line break demands."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_form(bytes(c)) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "encoding": [f[0] for f in found], "sep": [f[1] for f in found], "header": [f[2] for f in found]})
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = read(path, content.as_py())
+                while chunk := list(itertools.islice(rows, BATCH_ROWS)):
+                    kinds = [pa.map_(pa.string(), pa.string()) if n == "cells" else pa.int64() if n == "row_ord" else pa.string() for n in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.filter(F.lower("path").endswith(".csv")).mapInPandas(run, FORMS)
+    return files.filter(F.lower("path").endswith(".csv")).select("path", "content").mapInArrow(run, schema)
 
 
-def read_rows(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """String rows of files of one form: over-long rows dropped, short rows padded with nulls.
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(journal_id, row_ord, cells) of all CSV files below ``path``: the file, the row's place in it, name -> text."""
+    return _parsed(_files(spark, path), lambda p, content: ((p, place, cells) for place, cells in journal_lines(content)), JOURNAL_ROWS)
 
-    ``journal_id`` is the file's name, ``row_ord`` the row's place in it.
-    """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_extra"]])
-    rows = spark.read.csv(list(paths), schema=schema, header=True, sep=sep, encoding=encoding, quote='"', escape='"', enforceSchema=True)
-    rows = rows.withColumns(
-        {"journal_id": F.col("_metadata.file_path"), "row_ord": F.monotonically_increasing_id()}
-    )
-    return rows.filter(F.col("_extra").isNull()).drop("_extra")
+
+def widened(cells: DataFrame) -> DataFrame:
+    """A column per name that any file has. A file's date column is parsed: the first of the open columns in its own header."""
+    headers = [r[0] for r in cells.select(F.array_sort(F.map_keys("cells"))).distinct().collect()]  # a row per kind of file
+    names = sorted({n for h in headers for n in h})
+    rows = cells.select("journal_id", "row_ord", F.array_sort(F.map_keys("cells")).alias("_header"), *(F.try_element_at("cells", F.lit(n)).alias(n) for n in names))
+    dates = {}
+    for i, c in enumerate(OPEN_COLUMNS):
+        if c in names:
+            chosen = ~F.arrays_overlap("_header", F.array(*map(F.lit, OPEN_COLUMNS[:i]))) if i else F.lit(True)
+            always = all(first_present(h, OPEN_COLUMNS) == c for h in headers if c in h)
+            parsed = recorded_time(quoted(c))
+            dates[c] = parsed if always else F.when(chosen, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")).otherwise(quoted(c))
+    return normalise(rows.withColumns(dates).drop("_header"), dates=False)
 
 
 def read_journals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows of all usable journals, audit of every file) below a folder.
 
-    Files of one form (encoding, delimiter, header) are read together. Unsupported
-    extensions and unusable journals are rows of the audit, never errors.
+    Encoding, delimiter and header are found per file where the file is read.
+    Unsupported extensions and unusable journals are rows of the audit, never errors.
     """
-    by_form: dict[tuple, list[str]] = defaultdict(list)
-    for f in file_forms(spark, path).toLocalIterator():  # a row per file
-        by_form[f["encoding"], f["sep"], f["header"]].append(f["path"])
-    cleaned: DataFrame | None = None
-    for (encoding, sep, header), paths in by_form.items():
-        names = next(csv.reader([header], delimiter=sep), [])
-        if not names:
-            continue
-        unique = [n if names.index(n) == i else f"{n}.{names[:i].count(n)}" for i, n in enumerate(n or f"_c{k}" for k, n in enumerate(names))]
-        raw = read_rows(spark, paths, unique, sep, SPARK_NAME[encoding])
-        if encoding == "cp1252":
-            latin, meant = ("".join(x[i] for x in DIFFERING if x[1]) for i in (0, 1))
-            raw = raw.withColumns({c: F.translate(quoted(c), latin, meant) for c in unique})
-        part = normalise(raw)
-        cleaned = part if cleaned is None else cleaned.unionByName(part, allowMissingColumns=True)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("journal_id"), "length")
+    cleaned = widened(settled(read_cells(spark, path)))
+    files = _files(spark, path).select(F.col("path").alias("journal_id"), "length")
     kind = F.lower(F.regexp_extract("journal_id", r"\.([^./\\]+)$", 1))
     files = files.withColumn("supported", kind == "csv")
-    if cleaned is None:
-        audit = files.select("journal_id", F.when(F.col("supported"), "EMPTY_DATASET").otherwise("UNSUPPORTED_FILE").alias("reason"), F.lit(0).cast("long").alias("n_rows"))
-    else:
-        verdict = contract(cleaned)
-        audit = files.join(verdict, "journal_id", "left").select(
-            "journal_id",
-            F.when(~F.col("supported"), "UNSUPPORTED_FILE").otherwise(F.coalesce("status", F.lit("EMPTY_DATASET"))).alias("reason"),
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        )
-        cleaned = cleaned.join(verdict.filter("status = 'OK'").select("journal_id"), "journal_id", "left_semi")
+    verdict = contract(cleaned)
+    audit = files.join(verdict, "journal_id", "left").select(
+        "journal_id",
+        F.when(~F.col("supported"), "UNSUPPORTED_FILE").otherwise(F.coalesce("status", F.lit("EMPTY_DATASET"))).alias("reason"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+    cleaned = cleaned.join(verdict.filter("status = 'OK'").select("journal_id"), "journal_id", "left_semi")
     audit = audit.withColumn("status", F.when(F.col("reason") == "OK", "processed").otherwise("error")).withColumn("file", basename(F.col("journal_id")))
-    return (cleaned if cleaned is not None else spark.createDataFrame([], "journal_id string, row_ord long, Profit double")), audit
+    return cleaned, audit
+
+
+def append_audit(audit: DataFrame, path: str) -> None:
+    """Keep the outcomes of a run beside those of earlier ones."""
+    audit.withColumn("seen_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def outcomes(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """(journal_id, status, reason, n_rows) of each listed file: its last kept outcome, or pending."""
+    last = kept.groupBy("journal_id").agg(F.max_by(F.struct("status", "reason", "n_rows"), "seen_at").alias("last"))
+    joined = files.select("journal_id").distinct().join(last, "journal_id", "left")
+    return joined.select("journal_id", F.coalesce("last.status", F.lit("pending")).alias("status"), "last.reason", F.coalesce("last.n_rows", F.lit(0)).alias("n_rows"))
+
+
+def bar_lines(path: str, content: bytes) -> Iterator[tuple]:
+    """(file, fault, the six columns) of a bar file's rows by its own header: short rows padded, further fields and columns ignored.
+
+    A file that cannot be read as a whole is one row with its fault.
+    """
+    nothing = (None,) * len(BAR_COLUMNS)
+    if not content:
+        yield (path, "EMPTY_FILE", *nothing)
+        return
+    try:
+        text = content.decode("utf-8-sig")
+        rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
+    except (UnicodeDecodeError, csv.Error) as error:
+        yield (path, "DECODE_ERROR" if isinstance(error, UnicodeDecodeError) else "CSV_PARSE_ERROR", *nothing)
+        return
+    names = [n.strip() for n in rows[0]] if rows else []
+    if len(rows) < 3:
+        yield (path, "TOO_FEW_ROWS", *nothing)
+    elif missing := [c for c in BAR_COLUMNS if c not in names]:
+        yield (path, "MISSING_REQUIRED_COLUMNS", *(c if c in missing else None for c in BAR_COLUMNS))
+    else:
+        at = [len(names) - 1 - names[::-1].index(c) for c in BAR_COLUMNS]  # of a repeated name the last counts
+        for fields in rows[1:]:
+            yield (path, None, *(fields[i] if i < len(fields) else "" for i in at))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Raw one-minute bars as strings with ``bar_set_id``; short rows padded, further fields ignored."""
-    found = spark.read.csv(path, header=True, encoding="UTF-8", mode="PERMISSIVE", quote='"', escape='"', inferSchema=False)
-    found = found.toDF(*[c.strip().lstrip("﻿") for c in found.columns])
-    return found.withColumn("bar_set_id", F.col("_metadata.file_path"))
+    """Raw bars as strings with ``bar_set_id`` and the file's ``fault``, each file by its own header. Spark lists no empty files."""
+    return _parsed(_files(spark, path), bar_lines, BAR_ROWS)
 
 
 def persist(df: DataFrame, path: str, buckets: int = 64) -> None:

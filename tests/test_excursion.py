@@ -97,7 +97,7 @@ def test_basis_declarations():
 
 REASONS = [
     (1, "2026-06-25T10:30:00+02:00", "NON_UTC_TIMESTAMP"), (1, "junk", "INVALID_TIMESTAMP"), (1, "2026-06-25T10:30:05Z", "TIMESTAMP_NOT_MINUTE_ALIGNED"),
-    (2, " ", "INVALID_SYMBOL"), (2, "x" * 65, "INVALID_SYMBOL"), (4, "abc", "INVALID_OHLC"), (5, "0", "NON_POSITIVE_OHLC"), (4, "99", "IMPOSSIBLE_OHLC"),
+    (2, " ", "EMPTY_SYMBOL"), (2, "x" * 65, "SYMBOL_TOO_LONG"), (4, "abc", "INVALID_OHLC"), (5, "0", "NON_POSITIVE_OHLC"), (4, "99", "IMPOSSIBLE_OHLC"),
 ]
 
 
@@ -113,7 +113,7 @@ def test_bar_reasons(spark):
 
 
 def test_bar_verdicts(spark):
-    sets = {"OK": BARS, "DUPLICATE_BAR": [*BARS, BARS[0]], "INVALID_RESOLUTION": BARS[::2], "TOO_FEW_ROWS": BARS[:1]}
+    sets = {"OK": BARS, "DUPLICATE_BAR": [*BARS, BARS[0]], "M1_RESOLUTION_UNCONFIRMED": BARS[::2], "TOO_FEW_ROWS": BARS[:1]}
     checked = bars(spark, [(name, *b[1:]) for name, rows in sets.items() for b in rows])
     assert all(r["bar_set_id"] == r["verdict"] for r in B.verdicts(checked).collect())
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
-from tallyspark.operators import charts, kpis, prefix_scan, scope, strict_queries
+from tallyspark.operators import bars, charts, kpis, prefix_scan, scope, strict_queries
 from tallyspark.operators.exact_sum import exact_sums, two_places
+from tallyspark.session import settled
 from tallyspark.sources import journals
 
 
@@ -38,7 +39,7 @@ def test_eighteen_measures(spark):
 )
 def test_drawdown_depends_on_order(spark, values, fall):
     assert float(measured(spark, values)["Max Drawdown"]) == fall
-    assert prefix_scan.max_drawdown(profits(spark, values), "Profit", ["row_ord"], 3).first()[0] == fall
+    assert prefix_scan.max_drawdown(profits(spark, values), "Profit", ["row_ord"], partitions=3).first()[0] == fall
 
 
 @pytest.mark.parametrize(("values", "factor"), [([10, 20], "∞"), ([0, 0], "N/A"), ([100, -25], "4.00")])
@@ -54,7 +55,7 @@ def test_bad_profits_are_dropped_or_nothing_is_left(spark):
 def test_prefix_scan_equals_window(spark):
     values = [math.sin(i * 7) * 100 for i in range(500)]
     df = profits(spark, values)
-    curve = {r["position"]: r["running"] for r in prefix_scan.running_sum(df, "Profit", ["row_ord"], 7).collect()}
+    curve = {r["position"]: r["running"] for r in prefix_scan.running_sum(df, "Profit", ["row_ord"], partitions=7).collect()}
     total = 0.0
     for i, v in enumerate(values):
         total += v
@@ -103,6 +104,61 @@ def test_files(spark, tmp_path):
     assert "£ gain" in {r["Notes"] for r in rows.collect()}
 
 
+def test_quoted_line_breaks_and_places(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Symbol,Notes,Profit\nCORN,"first\nsecond",5\nRICE,plain,-2\n\nOATS,"x ""y"" z",1\n')
+    (tmp_path / "b.csv").write_text("Date,Profit,Profit\n2025-03-10,1,2\n")
+    (tmp_path / "c.csv").write_text("Open Time,Date,Profit\n2025-03-11 10:00:00,as text,4\n")
+    rows, _ = journals.read_journals(spark, str(tmp_path))
+    found = {(r["journal_id"].rsplit("/", 1)[1], r["row_ord"]): r for r in rows.collect()}
+    assert {k: r["Profit"] for k, r in found.items()} == {("a.csv", 0): 5, ("a.csv", 1): -2, ("a.csv", 2): 1, ("b.csv", 0): 1, ("c.csv", 0): 4}
+    assert found["a.csv", 0]["Notes"] == "first\nsecond" and found["a.csv", 2]["Notes"] == 'x "y" z'
+    assert (found["b.csv", 0]["Date"], found["c.csv", 0]["Date"], found["b.csv", 0]["Profit.1"]) == ("2025-03-10 00:00:00", "as text", "2")
+
+
+def test_outcomes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Symbol,Profit\nCORN,5\n")
+    _, audit = journals.read_journals(spark, str(tmp_path / "in"))
+    journals.append_audit(audit, str(tmp_path / "audit"))
+    journals.append_audit(audit.withColumn("reason", F.lit("AGAIN")), str(tmp_path / "audit"))
+    listed = audit.select("journal_id").unionByName(spark.createDataFrame([("later.csv",)], "journal_id string"))
+    found = {r["journal_id"].rsplit("/", 1)[-1]: (r["status"], r["reason"]) for r in journals.outcomes(listed, spark.read.parquet(str(tmp_path / "audit"))).collect()}
+    assert found == {"a.csv": ("processed", "AGAIN"), "later.csv": ("pending", None)}
+
+
+def test_an_empty_bar_file():
+    assert [r[1] for r in journals.bar_lines("d.csv", b"")] == ["EMPTY_FILE"]
+
+
+def test_bar_files_by_their_own_headers(spark, tmp_path):
+    row = "2025-03-10T00:0{}:00.000Z,CORN,2,3,1,2\n"
+    (tmp_path / "a.csv").write_text("TimestampUTC,Symbol,Open,High,Low,Close\n" + row.format(0) + row.format(1))
+    (tmp_path / "b.csv").write_text("\ufeff Close ,Low,High,Open,Symbol,TimestampUTC,More\n2,1,3,2,RICE,2025-03-10T00:00:00Z,x,y\n2,1,3,2,RICE,2025-03-10T00:01:00+00:00\n", "utf-8")
+    (tmp_path / "c.csv").write_text("TimestampUTC,Symbol,Open\n" + row.format(0) * 2)
+    (tmp_path / "e.csv").write_bytes(b"TimestampUTC,Symbol\n\xff\xfe\n\n")
+    (tmp_path / "f.csv").write_text("TimestampUTC,Symbol,Open,High,Low,Close\n" + row.format(0))
+    checked = settled(bars.parse(journals.read_bars(spark, str(tmp_path))))
+    verdicts = {r["bar_set_id"].rsplit("/", 1)[1]: r["verdict"] for r in bars.verdicts(checked).collect()}
+    assert verdicts == {"a.csv": "OK", "b.csv": "OK", "c.csv": "MISSING_REQUIRED_COLUMNS", "e.csv": "DECODE_ERROR", "f.csv": "TOO_FEW_ROWS"}
+    good = {(r["symbol"], r["open"], r["high"], r["low"], r["close"]) for r in bars.clean_bars(checked).collect()}
+    assert good == {("CORN", 2, 3, 1, 2), ("RICE", 2, 3, 1, 2)}
+
+
+STAMPS = {
+    "2025-03-10T00:00:00Z": None, "2025-03-10T00:00:00.000Z": None, "2025-03-10T00:00:00+00:00": None, "2025-03-10T00:00:00.001Z": "TIMESTAMP_NOT_MINUTE_ALIGNED",
+    "2025-03-10T00:00:30Z": "TIMESTAMP_NOT_MINUTE_ALIGNED", "2025-03-10T00:00:00+01:00": "NON_UTC_TIMESTAMP", "2025-03-10 00:00:00Z": "INVALID_TIMESTAMP",
+    "2025-03-10T00:00Z": "INVALID_TIMESTAMP", "2025-03-10T00:00:00": "INVALID_TIMESTAMP", "2025-02-30T00:00:00Z": "INVALID_TIMESTAMP", None: "INVALID_TIMESTAMP",
+}
+
+
+def test_bar_stamps(spark):
+    rows = [("s", i, t, "CORN", "2", "3", "1", "2") for i, t in enumerate(STAMPS)]
+    df = spark.createDataFrame(rows, "bar_set_id string, i int, TimestampUTC string, Symbol string, Open string, High string, Low string, Close string")
+    assert {(r["reason"]) for r in bars.parse(df.drop("Close")).collect()} == {"MISSING_REQUIRED_COLUMNS"}
+    for t, want in STAMPS.items():
+        assert bars.parse(df.filter(F.col("TimestampUTC").eqNullSafe(F.lit(t)))).first()["reason"] == want, t
+
+
 SCOPED = [
     ("2025-03-10 07:15:00", "NAT_GAS", "buy", 31, "gap fill"), ("2025-03-11 21:45:00", "CORN", "sell", -8, "fade"),
     ("2025-03-12 09:05:00", "GASOIL", "buy", 64, "trend day"), ("2025-03-14 16:20:00", "WHEAT", "sell", 12, "roll"),
