@@ -53,6 +53,8 @@ LEAF, FAN, MAX_BITS = 32, 4, 1 << 15
 BAND = 1.26
 #: Parts into which a cluster's rows are dealt where they meet a row per cluster.
 SALTS = 16
+#: Copies from which on a class is met in that many parts.
+MANY_COPIES = 1000
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -489,7 +491,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     counted = found.groupBy("cls").agg(F.sum("n_links").alias("others"))
     answer = materialize(
         classes.join(of_class, "cls", "left").join(counted, "cls", "left").select(
-            "cls",
+            "cls", "copies",
             F.coalesce("least", "doc_id").alias("component_id"),
             (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         ),
@@ -497,13 +499,31 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     )
     drop(found, joined)
     placed = table.join(split, "doc_id", "left").withColumns({"bare": F.col("cls").isNull(), "cls": F.coalesce("cls", "own")})
-    return placed.join(answer, "cls", "left").select(
+    return of_classes(placed, answer).select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("bare"), 0).otherwise(F.coalesce("n_links", F.lit(0)))).alias("n_links"),
     )
 
 
+def of_classes(rows: DataFrame, answer: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, cls, ...) with component_id and n_links of their class, null where there is none.
+
+    A class of very many copies is met in ``SALTS`` parts, and rows without a class,
+    or whose class is known by then, are spread by their ids, so no value of the
+    class gathers its rows in one task.
+    """
+    own = -1 - F.pmod(F.xxhash64("doc_id", "n_shingles"), F.lit(1 << 40))  # classes are 0 or more
+    large = answer.filter(F.col("copies") >= MANY_COPIES).select(
+        F.col("cls").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("component_id").alias("large_id"), F.col("n_links").alias("large_links")
+    )
+    rows = rows.withColumns({"key": F.coalesce("cls", own), "salt": F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)).cast("int")})
+    rows = rows.join(large, ["key", "salt"], "left").withColumn("key", F.when(F.col("large_id").isNotNull(), own).otherwise(F.col("key")))
+    small = answer.filter(F.col("copies") < MANY_COPIES).select(F.col("cls").alias("key"), "component_id", "n_links")
+    found = rows.join(small, "key", "left")
+    return found.withColumns({"component_id": F.coalesce("large_id", "component_id"), "n_links": F.coalesce("large_links", "n_links")})
+
+
 def one_of_each(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, whose id is the smallest of its component.
 

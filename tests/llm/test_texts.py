@@ -179,6 +179,14 @@ def test_one_large_cluster_is_dealt_to_many_tasks(spark, monkeypatch):
     assert "hashpartitioning(label" in (text := plan._jdf.queryExecution().executedPlan().toString()) and "second" in text.split("FlatMapGroupsInPandas")[1].split("hashpartitioning(")[1].split(")")[0]
 
 
+def test_classes_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "MANY_COPIES", 5)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text) for i in range(40)] + [(100 + i, "") for i in range(30)] + [(200, text + " more"), (300, "alone in here with five words")]
+    found = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_tree.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (0, 40) for i in range(40)} | {100 + i: (100 + i, 0) for i in range(30)} | {200: (0, 40), 300: (300, 0)}
+
+
 def test_trees_lose_no_link():
     r = np.random.default_rng(3)
     centres = [r.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(8)]
