@@ -53,13 +53,13 @@ def _uniform(word: Column, part: int) -> Column:
     return (bits + 0.5) / _UNIT
 
 
-def _sample(weight: Column) -> Column:
-    """A draw's key for one term: its value's order above, the sample's identity below."""
-    level = F.floor(F.log(weight.cast("double")) / F.col("r") + F.col("beta"))
+def _sample(log_weight: Column) -> Column:
+    """A draw's key for one term: its value's order above, the sample's identity below; null for a term without weight."""
+    level = F.floor(log_weight / F.col("r") + F.col("beta"))
     value = F.col("log_c") - F.col("r") * (level - F.col("beta") + 1)
     rank = F.shiftleft(F.floor((F.greatest(F.least(value, F.lit(1000.0)), F.lit(-1000.0)) + 1024) * (1 << 20)), 32)
     identity = F.xxhash64("term", "draw", level).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(weight > 0, rank.bitwiseOR(identity))
+    return F.when(log_weight.isNotNull(), rank.bitwiseOR(identity))
 
 
 def _words(text: str) -> Column:
@@ -79,6 +79,8 @@ def sampled(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> Dat
         .groupBy("doc_id", "term")
         .agg(*(F.sum((F.col("side") == i).cast("long")).alias(f"n{i}") for i in range(len(columns))))
     )
+    logs = (F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}").cast("double"))).alias(f"n{i}") for i in range(len(columns)))
+    terms = terms.select("doc_id", "term", *logs)  # once a term, not once a draw
     draws = terms.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     first, second = F.xxhash64("term", "draw", F.lit(1)), F.xxhash64("term", "draw", F.lit(2))
     hashed = draws.withColumns({"h1": first, "h2": second})
