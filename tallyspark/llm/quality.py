@@ -132,19 +132,21 @@ def score_blocks(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarr
     return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (which has text) and the score of each row."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], inside: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score of each row; the text is ``docs.text``, or the field ``inside`` of the first kept column."""
     bits = (len(weights) - 1).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(float)
         for batch in batches:
-            found = score_blocks(W.utf8(batch.column(len(keep))), w, bits)
+            text = W.text_field(batch.column(0), inside) if inside else batch.column(len(keep))
+            found = score_blocks(W.utf8(text), w, bits)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, "score"])
 
-    rows = docs.select(*keep, "text")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    W.small_batches(docs.sparkSession)
+    rows = docs.select(*keep) if inside else docs.select(*keep, "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))
 
 
 def classify(
@@ -166,4 +168,4 @@ def without_poor(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id
     """The rows of ``docs``, as they are, that score 0.5 or more; every labelled row may train."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = train(labelled_sample(rows.select("doc_id", "text"), labels, "quality", F.lit(True), bound))
-    return score(rows, weights, ["row"]).filter("score >= 0.5").select("row.*")
+    return score(rows, weights, ["row"], text_col).filter("score >= 0.5").select("row.*")

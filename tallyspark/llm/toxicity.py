@@ -167,18 +167,19 @@ def learn_lexicon(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
-def features(docs: DataFrame, lexicon: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` as they are, and each text's feature array."""
+def features(docs: DataFrame, lexicon: np.ndarray, keep: list[str], inside: str | None = None) -> DataFrame:
+    """The columns ``keep`` as they are, and each text's feature array; the text is ``docs.text``, or the field ``inside`` of the first kept column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(len(keep))
+            text = W.text_field(batch.column(0), inside) if inside else batch.column(len(keep))
             found = vectors(W.utf8(text), lowered(text), lexicon)
             flat = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), flat], [*keep, "features"])
 
-    rows = docs.select(*keep, "text")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    W.small_batches(docs.sparkSession)
+    rows = docs.select(*keep) if inside else docs.select(*keep, "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 class Model:
@@ -201,11 +202,11 @@ class Model:
         raw = self.trees.transform(checked).select("label", vector_to_array("probability")[1].alias("raw"))
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns ``keep`` of ``docs`` (which has text) and the score of each row."""
+    def score(self, docs: DataFrame, keep: list[str], inside: str | None = None) -> DataFrame:
+        """The columns ``keep`` of ``docs`` and the score of each row; the text as in ``features``."""
         if self.trees is None:
             return docs.select(*keep, F.lit(float(self.constant)).alias("score"))
-        rows = features(docs, self.lexicon, keep).select(*keep, array_to_vector("features").alias("features"))
+        rows = features(docs, self.lexicon, keep, inside).select(*keep, array_to_vector("features").alias("features"))
         raw = self.trees.transform(rows).select(*keep, vector_to_array("probability")[1].alias("raw"))
         return self.calibration.transform(raw).select(*keep, "score")
 
@@ -229,4 +230,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, i
     """The rows of ``docs``, as they are, that score below 0.5; every labelled row may train."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = Model(labelled_sample(rows.select("doc_id", "text"), labels, "toxic", F.lit(True), bound))
-    return model.score(rows, ["row"]).filter("score < 0.5").select("row.*")
+    return model.score(rows, ["row"], text_col).filter("score < 0.5").select("row.*")

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 20
 
@@ -53,6 +55,22 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Rows that reach a Python worker at a time: texts are long.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold ``BATCH_ROWS`` rows at most, which bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
+def text_field(column: pa.Array, name: str) -> pa.Array:
+    """The text inside a column of whole rows, so that it need not be sent beside them."""
+    return pc.struct_field(column, name).cast(pa.string())
+
+
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, start of each row's text) for block after block."""
     at = 0

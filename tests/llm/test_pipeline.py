@@ -44,3 +44,29 @@ def test_stages(spark, tmp_path):
     before, pieces = seen["packing"]
     assert ids(pieces) == ids(before)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == pieces.count()
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, no labels, and columns with the operators' own names."""
+    long = " ".join(f"{w}{i}" for i, w in enumerate(GOOD * 900))
+    rows = [(None, prose(1)), (None, None), (1, None), (2, ""), (3, "  \n"), (4, long), (5, prose(5)), (5, prose(5)), (6, prose(5)), (6, "another text of the sixth one here"), (7, "x" * 30_000)]
+    df = spark.createDataFrame([(i, t, "en", None, None, "c", 1, 2.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, cls string, row int, score double")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    # Without labels nothing is toxic and every score of quality is one half, which stays; of copies the smallest id stays, once.
+    assert kept["toxicity"] == kept["quality"] == sorted(rows, key=str)
+    assert kept["near_copies"] == sorted([r for i, r in enumerate(rows) if i not in (7, 8, 9)], key=str)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == {None, 1, 2, 3, 4, 5, 7}
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
