@@ -272,3 +272,23 @@ def test_top_k(spark):
         want = sorted(((-int(s), i) for i, s in enumerate(scores) if i != q))[:10]
         assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert kd_search.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_hot_vectors_repeats_and_large_values(spark, monkeypatch):
+    """A vector that a third of all rows hold, an id of many rows, two lengths, and products past 2^53."""
+    monkeypatch.setattr(kd_search, "SHARD_ROWS", 64)
+    monkeypatch.setattr(kd_search, "BLOCK_ROWS", 2)
+    r = np.random.default_rng(2)
+    for size in (1.0, 1e5):
+        rows = [(i, (r.normal(size=4) * size).tolist()) for i in range(500)] + [(i, [size, -size, 0.0, size]) for i in range(500, 750)]
+        rows += [(777, [size, size, size, size])] * 30 + [(i, [size + i, -size]) for i in range(800, 1000, 25)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = {}
+        for x in kd_search.top_k(df).collect():
+            found.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+        whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+        asked = {i: v for i, v in whole if i % 100 == 0}
+        for q, v in asked.items():
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
+            assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+        assert set(found) == set(asked)
