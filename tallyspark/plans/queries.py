@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
+from tallyspark.functions import digests
 from tallyspark.functions.timebasis import to_utc
 from tallyspark.operators import bars as B
 from tallyspark.operators import charts, corpus, excursion, kpis, manual, packet, prefix_scan, retrieval, retrieval_eval, review, scope, strict_queries, validation, validation_eval
@@ -249,7 +250,20 @@ def symbol_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_queries.symbol_variants(table(spark, sf_dir, "part").select(spelled.alias("Symbol")), [])
 
 
-@query()
+def _levels() -> str:
+    """SQL of the digest tree over e0 (journal_id, path, entry, n); the roots are in the last level."""
+    found = []
+    for i, digits in enumerate(digests.PREFIXES):
+        cut = f"SELECT journal_id, left(path, {digits}) AS node, entry, n FROM e{i}"
+        found.append(f"n{i} AS (SELECT journal_id, node AS path, sha256(string_agg(entry, '|' ORDER BY entry)) AS digest, sum(n)::BIGINT AS n FROM ({cut}) GROUP BY 1, 2)")
+        found.append(f"e{i + 1} AS (SELECT journal_id, path, path || ':' || digest AS entry, n FROM n{i})")
+    return ", ".join(found)
+
+
+@query(f"""WITH {EVENTS}, cells AS (SELECT journal_id, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS opened, CAST(p AS VARCHAR) AS profit FROM ev),
+rows AS (SELECT journal_id, sha256('{{"c0":"' || opened || '","c1":"' || profit || '"}}') AS d, count(*) AS n FROM cells GROUP BY 1, 2),
+e0 AS (SELECT journal_id, d AS path, d || ':' || n AS entry, n FROM rows), {_levels()}
+SELECT journal_id, digest AS input_sha256, n AS n_rows FROM n{len(digests.PREFIXES) - 1}""")
 def input_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_queries.input_digest(event_journal(spark, sf_dir), ["Open Time", "Profit"])
 
@@ -329,12 +343,21 @@ def time_basis_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("f.utc").cast("timestamp_ntz").alias("utc"), F.col("f.verdict").alias("verdict"))
 
 
-@query()
+#: Summer time of London: from the last Sunday of March to that of October (until 1995: the fourth), at one o'clock UTC.
+ZONES = """w AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST((o_orderkey * 37) % 1440 AS INTEGER)) AS wall FROM orders),
+y AS (SELECT *, make_date(year(wall)::INTEGER, 3, 31) AS m, make_date(year(wall)::INTEGER, 10, CASE WHEN year(wall) < 1996 THEN 28 ELSE 31 END) AS e FROM w),
+z AS (SELECT *, CAST(m - dayofweek(m)::INTEGER AS TIMESTAMP) + INTERVAL 1 HOUR AS spring, CAST(e - dayofweek(e)::INTEGER AS TIMESTAMP) + INTERVAL 1 HOUR AS autumn FROM y),
+v AS (SELECT *, CASE WHEN wall >= spring AND wall < spring + INTERVAL 1 HOUR THEN 'NONEXISTENT' WHEN wall >= autumn AND wall < autumn + INTERVAL 1 HOUR THEN 'AMBIGUOUS' ELSE 'VALID' END AS verdict FROM z)"""
+
+
+@query(f"""WITH {ZONES} SELECT o_orderkey, verdict,
+CASE WHEN verdict = 'VALID' THEN CASE WHEN wall > spring AND wall < autumn THEN wall - INTERVAL 1 HOUR ELSE wall END END AS utc FROM v""")
 def time_basis_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates as wall clock of a zone with summer time, hour by hour: verdict counts."""
+    """Order dates, at an hour of their own, as wall clock of a zone with summer time."""
     wall = F.timestamp_add("MINUTE", ((F.col("o_orderkey") * 37) % 1440).cast("int"), F.col("o_orderdate"))
     found = to_utc(wall, F.lit("IANA"), F.lit(None).cast("int"), F.lit("Europe/London"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("f")).groupBy(F.col("f.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", found.alias("f"))
+    return rows.select("o_orderkey", F.col("f.verdict").alias("verdict"), F.col("f.utc").cast("timestamp_ntz").alias("utc"))
 
 
 def _excursion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,9 +428,57 @@ def volume_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", review.volume_text(value).alias("volume"))
 
 
-@query()
+def _cells(shown: DataFrame, keys: list[str]) -> DataFrame:
+    """A column per part of each display cell."""
+    cells = [c for c, kind in shown.dtypes if kind.startswith("struct")]
+    return shown.select(*keys, *(F.col(f"{c}.{part}").alias(f"{c}_{part}") for c in cells for part in ("value", "note", "flag")))
+
+
+def _cells_sql(cells: dict[str, str]) -> str:
+    """value, note and flag of cells; what is not named is blank."""
+    return ", ".join(f"{cells.get(f'{c}_{part}', chr(39) * 2)} AS {c}_{part}" for c in dict.fromkeys(k.rsplit("_", 1)[0] for k in cells) for part in ("value", "note", "flag"))
+
+
+def _bare(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+def _volume(value: str) -> str:
+    places = _bare(f"CAST(CAST({value} AS DECIMAL(18,2)) AS VARCHAR)")
+    return f"CASE WHEN {value} = 0 THEN '0' WHEN round({value}, 2) = 0 THEN '<0.01' ELSE {places} END"
+
+
+def _signed(value: str) -> str:
+    digits = _bare(f"printf('%.2f', abs({value}))")
+    return f"CASE WHEN {value} = 0 THEN '0' WHEN {value} > 0 THEN '+' || {digits} ELSE '-' || {digits} END"
+
+
+EVENT_CELLS = {
+    "ticket_value": "CAST(event_id AS VARCHAR)", "open_time_value": "strftime(ts, '%Y-%m-%d %H:%M:%S')", "symbol_value": "symbol", "side_value": "side",
+    "volume_value": _volume("value"), "profit_value": "CAST(p AS VARCHAR)", "movement_value": "''",
+}
+LINE_CELLS = {
+    "symbol_value": "symbol", "side_value": "side", "volume_value": _volume("volume"), "entry_value": "CAST(entry AS VARCHAR)", "exit_value": "CAST(exit AS VARCHAR)",
+    "movement_value": f"{_signed('coalesce(pips, calc)')} || CASE WHEN pips IS NULL THEN ' price pts' ELSE ' pips' END",
+    "movement_note": f"CASE WHEN apart THEN 'Calculated move: ' || {_signed('calc')} || ' price pts' ELSE '' END", "movement_flag": "CASE WHEN apart THEN 'Mismatch' ELSE '' END",
+}
+
+
+@query(f"WITH {EVENTS} SELECT journal_id, event_id AS row_ord, {_cells_sql(EVENT_CELLS)} FROM ev")
 def review_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.review_rows(review.enrich(event_journal(spark, sf_dir)), bound=False)
+    return _cells(review.review_rows(review.enrich(event_journal(spark, sf_dir)), bound=False), ["journal_id", "row_ord"])
+
+
+@query(f"""WITH {LINES}, m AS (SELECT *, CASE side WHEN 'buy' THEN exit - entry ELSE -(exit - entry) END AS calc FROM ln),
+a AS (SELECT *, coalesce(abs(pips - calc) > 0.1, false) AS apart FROM m)
+SELECT CAST(l_orderkey AS VARCHAR) AS journal_id, CAST(l_linenumber AS BIGINT) AS row_ord, {_cells_sql(LINE_CELLS)} FROM a""")
+def review_movement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as trades with the broker's figure or without: movements, notes on disagreement, flags."""
+    names = {"symbol": "Symbol", "side": "Type", "volume": "Volume", "entry": "Entry", "exit": "Exit", "pips": "Pips"}
+    lines = priced_lines(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("journal_id"), F.col("l_linenumber").cast("long").alias("row_ord"), *(F.col(k).alias(v) for k, v in names.items())
+    )
+    return _cells(review.review_rows(review.enrich(lines), bound=False), ["journal_id", "row_ord"])
 
 
 def _manual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -737,10 +808,16 @@ def lexicon_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.coalesce(F.size(F.split("text", " ")) > 0, F.lit(False)).alias("any_word"), *(F.array_contains("codes", code).alias(name) for name, code in flags))
 
 
-@query()
+#: A plus behind a word's sign ends the word, a percent sign before one is none; words then hold one number or no number.
+NUMBERS = r"""plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\[E[1-9][0-9]*\]', ' ', 'g'),
+  '([A-Za-z0-9._-])\+', '\1 ', 'g'), '%([A-Za-z0-9_-]|\.[A-Za-z0-9._-])', ' \1', 'g') AS t FROM documents),
+found AS (SELECT doc_id, list_transform(regexp_extract_all(t, '\+?[A-Za-z0-9._-]+%?'), lambda x: regexp_extract(CASE WHEN starts_with(x, '+-') THEN x[2:] ELSE x END,
+  '^([+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?%?)\.?%?$', 1)) AS all_words FROM plain)"""
+
+
+@query(f"WITH {NUMBERS} SELECT doc_id, coalesce(array_to_string(list_filter(all_words, lambda x: x <> ''), ' '), '') AS numbers FROM found")
 def answer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", validation.answer_numbers(F.col("text")).alias("numbers"))
-    return rows.filter(F.size("numbers") > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(validation.answer_numbers(F.col("text")), " ").alias("numbers"))
 
 
 CASES = """SELECT doc_id AS case_id, quality, toxic, coalesce(CASE WHEN quality = 1 THEN toxic = 0 WHEN quality = 0 THEN toxic = 1 ELSE toxic IS NOT NULL END, false) AS matched FROM labels"""
