@@ -608,6 +608,20 @@ def evidence_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(spark, sf_dir)
 
 
+UNAVAILABLE = "".join(f"\nApprox. {name}: Unavailable (No M1 evidence)" for name in ("Window High", "Window Low", "MFE", "MAE"))
+
+
+@query(f"""WITH {EVENTS}, docs AS (SELECT journal_id, 'TRADE_EVIDENCE:ticket:' || event_id AS document_id, 'TRADE_EVIDENCE' AS document_type, symbol,
+  'Ticket: ' || event_id || '\nSymbol: ' || symbol || '\nType: ' || side || '\nOpen Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '\nProfit: '
+  || {_bare("CAST(CAST(p AS DECIMAL(18,2)) AS VARCHAR)")} || '\nBar Evidence: No M1 evidence{UNAVAILABLE}' AS content FROM ev
+UNION ALL SELECT journal_id, 'DATASET_CONTEXT:journal', 'DATASET_CONTEXT', NULL, 'Journal row count: ' || count(*) || '\nJournal evidence availability: No M1 evidence\n{corpus.CROSS_SYMBOL}' FROM ev GROUP BY 1)
+SELECT *, sha256(content) AS content_sha256, 'NO_M1_EVIDENCE' AS evidence_status FROM docs""")
+def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' documents of trades and of journals, without fingerprints."""
+    names = ["journal_id", "document_id", "document_type", "symbol", "content", "content_sha256", "evidence_status"]
+    return _corpus(spark, sf_dir).filter(F.col("document_type") != corpus.KPI).select(*names)
+
+
 @query(f"WITH {EVENTS} SELECT journal_id, count(*) + 19 AS n_documents, 'OK' AS verdict FROM ev GROUP BY 1")
 def corpus_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.integrity(_corpus(spark, sf_dir))
