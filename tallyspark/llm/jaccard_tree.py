@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import words as W
 from tallyspark.llm.components import components
 from tallyspark.llm.scratch import drop, materialize
+from tallyspark.llm.skew import spread_join
 
 SHINGLE = 5
 #: Degrees are told apart up to this many sets.
@@ -266,7 +267,7 @@ def routes(sets: DataFrame, entries: int) -> DataFrame:
 def clusters(routed: DataFrame) -> DataFrame:
     """(id, label): classes that share routing shingles, directly or through others."""
     firsts = routed.groupBy("route").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most")
-    edges = routed.join(firsts.hint("merge"), "route").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    edges = spread_join(routed, firsts.select("route", "least"), "route").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
     return components(edges.distinct(), "clusters")
 
 
@@ -487,7 +488,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, id_col: str = "doc_id", text
     joined = components(found.filter("cls <> near").select(F.col("cls").alias("a"), F.col("near").alias("b")).unionByName(held), "jaccard")
     firsts = joined.select(F.col("id").alias("cls"), "label").join(classes.select("cls", "doc_id"), "cls")
     component = firsts.groupBy("label").agg(F.min("doc_id").alias("least"))
-    of_class = firsts.join(component, "label").select("cls", "least")
+    of_class = spread_join(firsts, component, "label").select("cls", "least")
     counted = found.groupBy("cls").agg(F.sum("n_links").alias("others"))
     answer = materialize(
         classes.join(of_class, "cls", "left").join(counted, "cls", "left").select(
