@@ -8,8 +8,9 @@ holds it whole. A window retrieves the templates of its class that share a band:
 ``BANDS`` MinHash values, one row each. A template of which the window holds four
 fifths has a Jaccard similarity of at least 0.19 with it, so it is missed with a
 probability below (1 - 0.19) ** BANDS, about 0.001 at 32 bands. Exact shingle
-containment then decides. Bands are only worked out for windows that hold a
-template's shingle: without one, no MinHash value can be a template's.
+containment then decides. A window can only share a band's row if it holds the
+shingle that has the template's least value there (its lead), so leads are looked up
+in the texts, and the bands of the windows around each are worked out and compared.
 
 All of it is DataFrame functions. Templates are a list of bounded length
 (``MAX_TEMPLATES``), which is why their tables may be broadcast.
@@ -58,6 +59,12 @@ TEMPLATES = [
     ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    # Whole short licenses.
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 
@@ -79,15 +86,21 @@ def _bands(shingles: str) -> Column:
     )
 
 
+def _leads(shingles: str) -> Column:
+    """The distinct shingles whose values are the bands' MinHash values."""
+    valued = lambda b: F.transform(F.col(shingles), lambda h: F.struct(F.xxhash64(h, b).alias("value"), h.alias("lead")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(valued(b))["lead"]))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, size_class, tset, bands) of notices of five words or more."""
+    """(template, license, size_class, tset, bands, leads) of notices of five words or more."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(templates or [("", "")])))
     rows = spark.range(1).select(F.inline(listed)).withColumn("words", _words("text")).filter(F.size("words") >= WORDS)
     rows = rows.withColumn("seq", _shingles("words"))
     size = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("seq")))).cast("int")
-    return rows.select("template", "license", size.alias("size_class"), F.array_distinct("seq").alias("tset"), _bands("seq").alias("bands"))
+    return rows.select("template", "license", size.alias("size_class"), F.array_distinct("seq").alias("tset"), _bands("seq").alias("bands"), _leads("seq").alias("leads"))
 
 
 def scan(
@@ -96,20 +109,17 @@ def scan(
     """(row, doc_id, license, containment, n_windows, first_word) of each text and license found in it."""
     spark = docs.sparkSession
     notices = materialize(template_table(spark, TEMPLATES if templates is None else templates).coalesce(1), "license-templates")
-    known = [r[0] for r in notices.select(F.explode("tset")).distinct().collect()]  # of at most MAX_TEMPLATES notices
-    sizes = [r[0] for r in notices.select("size_class").distinct().collect()]
+    leads = notices.select("size_class", F.explode("leads").alias("h")).distinct()  # MAX_TEMPLATES * BANDS rows at most
+    known = [r[0] for r in leads.select("h").distinct().collect()] or [0]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", _words("text").alias("words"))
     # The row number keeps the filter below from being pushed into the words, which would split a text anew per shingle.
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", _shingles("words").alias("seq"))
-    if not known:
-        known, sizes = [0], [1]
-    some = F.arrays_overlap("seq", F.array(*map(F.lit, known)))
-    held = materialize(rows.filter(some), "license-texts")
-
-    touched = held.select("row", F.posexplode("seq").alias("pos", "h")).filter(F.col("h").isin(known))
-    around = F.explode(F.array(*(F.struct(F.lit(c).alias("size_class"), F.floor(F.col("pos") / c - back).cast("int").alias("w")) for c in sizes for back in (0, 1))))
-    places = touched.select("row", around.alias("place")).select("row", "place.*").filter("w >= 0").distinct()
+    held = materialize(rows.filter(F.exists("seq", lambda h: h.isin(known))), "license-texts")
+
+    touched = held.select("row", F.posexplode("seq").alias("pos", "h")).join(F.broadcast(leads), "h")
+    around = F.explode(F.array(*(F.floor(F.col("pos") / F.col("size_class") - back).cast("int") for back in (0, 1)))).alias("w")
+    places = touched.select("row", "size_class", around).filter("w >= 0").distinct()
     windows = places.join(held, "row").select(
         "row", "doc_id", "size_class", "w", F.expr("slice(seq, w * size_class + 1, 2 * size_class)").alias("part")
     )
@@ -133,8 +143,9 @@ def scan(
 
 
 def _best(matched: DataFrame) -> DataFrame:
-    """``matched`` without what another license of the size class, there or a window off, holds with more words around it."""
-    more = matched.select("row", "size_class", F.explode(F.array(*(F.col("w") + i for i in (-1, 0, 1)))).alias("w"), F.col("license").alias("other"), F.col("at").alias("wide"))
-    inside = (F.size("wide") > F.size("at")) & (F.size(F.array_except("at", "wide")) == 0) & (F.col("other") != F.col("license"))
+    """``matched`` without what another license of the size class, there or a window off, has with more words around it, or with the same words and more of its own text held."""
+    more = matched.select("row", "size_class", F.explode(F.array(*(F.col("w") + i for i in (-1, 0, 1)))).alias("w"), F.col("license").alias("other"), F.col("at").alias("wide"), F.col("contained").alias("more"))
+    better = (F.size("wide") > F.size("at")) | ((F.size("wide") == F.size("at")) & (F.col("more") > F.col("contained")))
+    inside = better & (F.size(F.array_except("at", "wide")) == 0) & (F.col("other") != F.col("license"))
     beaten = matched.join(more, ["row", "size_class", "w"]).filter(inside).select("row", "size_class", "w", "template").distinct()
     return matched.join(beaten, ["row", "size_class", "w", "template"], "left_anti")

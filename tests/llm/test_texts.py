@@ -252,6 +252,43 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0 and license_scan.scan(df, []).count() == 0
 
 
+def test_license_recall_against_every_window(spark):
+    """Notices of five to 230 words, whole or with words changed, against exact containment in each window."""
+    r = random.Random(4)
+    notices = [(f"l{k}", " ".join(f"n{k}x{r.randrange(300)}" for _ in range(n))) for k, n in enumerate([5, 7, 9, 12, 20, 33, 60, 120, 230])]
+    rows = []
+    for i in range(270):
+        words = notices[i % len(notices)][1].split()
+        for _ in range(len(words) * (i % 3) // 60):
+            words[r.randrange(len(words))] = "changed"
+        rows.append((i, " ".join([f"f{r.randrange(50)}" for _ in range(r.randrange(90))] + words + ["tail"] * r.randrange(9))))
+    grams = lambda t: [tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)]
+    want = set()
+    for i, text in rows:
+        seq = grams(text)
+        for name, notice in notices:
+            own = set(grams(notice))
+            c = 1 << (len(grams(notice)) - 1).bit_length()
+            if any(len(own & set(seq[at : at + 2 * c])) >= 0.8 * len(own) for at in range(0, len(seq), c)):
+                want.add((i, name))
+    found = {(x["doc_id"], x["license"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices).collect()}
+    assert found <= want and len(found) >= 0.99 * len(want) > 150
+
+
+def test_whole_licenses(spark):
+    """A whole license is found as itself, though it holds the words of a shorter notice or of a sibling."""
+    text = {}
+    for name, t in license_scan.TEMPLATES:
+        text[name] = max(text.get(name, ""), t, key=len)
+    ids = {i: name for i, name in enumerate(["mit", "isc", "bsd-2-clause", "zlib", "unlicense"])}
+    long = "word " * 20_000
+    rows = [(i, f"{long if i == 0 else ''}Copyright holder. {text[name]} The end.") for i, name in ids.items()]
+    found = {}
+    for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(x["doc_id"], set()).add(x["license"])
+    assert {i: {"bsd", "bsd-2-clause"} if name == "bsd-2-clause" else {name} for i, name in ids.items()} == found
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vectors = r.normal(size=(900, 8)).round(2)
