@@ -200,7 +200,9 @@ class Model:
         self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=17).fit(fit)
         checked = rows.filter("part = 0") if any(r["calibrates"] for r in seen) else fit
         raw = self.trees.transform(checked).select("label", vector_to_array("probability")[1].alias("raw"))
-        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
+        # Equal outputs are one weighted row: they are many where trees are few, and would be fitted in one task.
+        level = raw.groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(level)
 
     def score(self, docs: DataFrame, keep: list[str], inside: str | None = None) -> DataFrame:
         """The columns ``keep`` of ``docs`` and the score of each row; the text as in ``features``."""
