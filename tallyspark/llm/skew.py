@@ -21,8 +21,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, heavy: DataFrame |
 
     Keys are 0 or more. A key of many rows is met in ``SALTS`` parts: ``keyed`` is
     repeated for those keys only. What is met by then, and a null key, goes on under a
-    negative key of the row's own, so no key gathers its rows in one task. A value
-    named like a column of ``rows`` is not brought along.
+    negative key of the row's own, so no key gathers its rows in one task. ``keyed``
+    grows with the data and is never broadcast. A value named like a column of
+    ``rows`` is not brought along.
     """
     heavy = heavy_keys(rows, key) if heavy is None else heavy
     names, values = rows.columns, [c for c in keyed.columns if c != key and c not in rows.columns]
@@ -34,5 +35,5 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, heavy: DataFrame |
     own = -1 - F.pmod(spread, F.lit(1 << 40))
     met = met.withColumn("_key", F.when(F.col("_large").isNull(), F.coalesce(key, own)).otherwise(own))
     small = keyed.select(F.col(key).alias("_key"), F.struct(*values).alias("_small"))
-    found = met.join(small, "_key", "left").withColumn("_value", F.coalesce("_large", "_small"))
+    found = met.join(small.hint("merge"), "_key", "left").withColumn("_value", F.coalesce("_large", "_small"))
     return found.select(*names, *(F.col(f"_value.{c}").alias(c) for c in values))
