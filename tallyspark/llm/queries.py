@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, fingerprints, jaccard_tree, kd_search, language_id, license_scan, merkle, packing, quality, quality_rules, token_counts, toxicity
+from tallyspark.llm import bpe, fingerprints, jaccard_tree, kd_search, language_id, license_scan, merkle, packing, prefix_trie, quality, quality_rules, token_counts, toxicity
 
 #: Name of the public vocabulary file of the encoding queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -82,10 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_packing": op9_packing,
         "op10_topk": op10_topk,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_quality_rules": op12_quality_rules,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": kd_search.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
+    return {"op10_topk": kd_search.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
