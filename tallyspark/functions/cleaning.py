@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,19 @@ OFFSET = r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|z|[+-]
 
 #: An ISO date, with or without a time, and without a zone.
 ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
-# Date formats tried in order where a cell is not ISO.
-DATE_FORMATS = (
-    "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
-    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
-)
+# Date formats by the form that a column has, in the order tried where no column decides.
+DATE_FORMS = {
+    "dotted": ("yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm"),
+    "named": ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy"),
+    "day_first": ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy"),
+    "month_first": ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"),
+}
+FORMS = ("iso", *DATE_FORMS)
+
+#: Columns of tables that hold journals of different headers: each row's own header, and the form of its dates by column.
+HEADER, DATE_FORM = "_header", "_date_form"
+#: What the names of columns begin with that this library adds to every journal.
+ADDED = ("movement_", "excursion_")
 
 
 def quoted(name: str) -> Column:
@@ -44,6 +52,57 @@ def first_present(columns: Sequence[str], wanted: Sequence[str]) -> str | None:
     return next((c for c in wanted if c in columns), None)
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """Whether the row's own journal has the column."""
+    if name not in df.columns:
+        return F.lit(False)
+    return F.array_contains(HEADER, name) if HEADER in df.columns and not name.startswith(ADDED) else F.lit(True)
+
+
+def own_any(df: DataFrame, wanted: Sequence[str]) -> Column:
+    """Whether the row's own journal has one of the columns."""
+    present = [c for c in wanted if c in df.columns]
+    if HEADER not in df.columns or not present or any(c.startswith(ADDED) for c in present):
+        return F.lit(bool(present))
+    return F.arrays_overlap(F.col(HEADER), F.array(*map(F.lit, present)))
+
+
+def by_header(df: DataFrame, wanted: Sequence[str], cell: Callable[[Column, str], Column] | None = None) -> Column:
+    """The cell of the first wanted column that the row's own journal has, as text or by ``cell`` (value, kind); null if it has none.
+
+    A column is chosen by the header, never by what its cells hold. A table without
+    ``HEADER`` has one header, its columns.
+    """
+    kinds = dict(df.dtypes)
+    cell = cell or (lambda value, kind: value.cast("string"))
+    present = [c for c in wanted if c in kinds]
+    if HEADER not in kinds:
+        return cell(quoted(present[0]), kinds[present[0]]) if present else cell(F.lit(None).cast("string"), "string")
+    out = F.lit(None)
+    for c in reversed(present):
+        out = F.when(own(df, c), cell(quoted(c), kinds[c])).otherwise(out)
+    return out if present else cell(F.lit(None).cast("string"), "string")
+
+
+def name_by_header(df: DataFrame, wanted: Sequence[str]) -> Column:
+    """The name of the column that ``by_header`` takes."""
+    present = [c for c in wanted if c in df.columns]
+    if HEADER not in df.columns:
+        present = present[:1]
+    return F.coalesce(*(F.when(own(df, c), c) for c in present), F.lit(None).cast("string"))
+
+
+def form_by_header(df: DataFrame, wanted: Sequence[str]) -> Column:
+    """The form of the dates in the column that ``by_header`` takes; null if it is not known."""
+    return F.try_element_at(F.col(DATE_FORM), name_by_header(df, wanted)) if DATE_FORM in df.columns else F.lit(None).cast("string")
+
+
+def opened(df: DataFrame, wanted: Sequence[str] = OPEN_COLUMNS) -> Column:
+    """The recorded wall clock in the journal's own date column, by the column's form."""
+    form = form_by_header(df, wanted) if DATE_FORM in df.columns else None
+    return by_header(df, wanted, lambda value, kind: value if kind.startswith("timestamp") else recorded_time(value, form))
+
+
 def text(value: Column) -> Column:
     """The trimmed text of a cell, null if blank."""
     trimmed = F.trim(value.cast("string"))
@@ -69,19 +128,33 @@ def number_class(value: Column) -> Column:
     )
 
 
-def local_time(value: Column) -> Column:
-    """The recorded wall clock of a cell without a zone, by the first format that fits."""
+def forms_read(value: Column) -> dict[str, Column]:
+    """What each form reads in a cell without a zone; null where it does not read it."""
     cell = text(value)
-    parsed = [F.try_to_timestamp(cell, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
-    return F.when(cell.rlike(ISO), cell.try_cast("timestamp_ntz")).otherwise(F.coalesce(*parsed))
+    found = {"iso": F.when(cell.rlike(ISO), cell.try_cast("timestamp_ntz"))}
+    for form, formats in DATE_FORMS.items():
+        found[form] = F.coalesce(*(F.try_to_timestamp(cell, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats))
+    return found
+
 
+def local_time(value: Column, form: Column | None = None) -> Column:
+    """The recorded wall clock of a cell without a zone, by its column's form; where that is not known by the first form that fits.
 
-def time_class(value: Column) -> Column:
-    """blank, aware (it states a zone), ok or invalid."""
+    Canonical text (ISO) is read whatever the form, as columns read before hold it.
+    """
+    read = forms_read(value)
+    if form is None:
+        return F.coalesce(*read.values())
+    return F.coalesce(read["iso"], *(F.when(form.isNull() | (form == k), read[k]) for k in DATE_FORMS))
+
+
+def time_class(value: Column, local: Column | None = None) -> Column:
+    """blank, aware (it states a zone), ok or invalid; ``local`` is what was read from the cell, if that has been done."""
     cell = text(value)
+    local = local_time(value) if local is None else local
     return (
         F.when(cell.isNull(), "blank").when(cell.rlike(OFFSET), "aware")
-        .when(local_time(value).isNotNull(), "ok").otherwise("invalid")
+        .when(local.isNotNull(), "ok").otherwise("invalid")
     )
 
 
@@ -92,9 +165,13 @@ def offset_text(value: Column) -> Column:
     return F.when(F.lower(zone) == "z", "+00:00").when(zone != "", F.concat(plain.substr(1, 3), F.lit(":"), plain.substr(4, 2)))
 
 
-def recorded_time(value: Column) -> Column:
+def without_zone(value: Column) -> Column:
+    return F.regexp_replace(value.cast("string"), r"\s*(Z|z|[+-]\d{2}:?\d{2})\s*$", "")
+
+
+def recorded_time(value: Column, form: Column | None = None) -> Column:
     """The wall clock of a cell as written, its zone left aside."""
-    return local_time(F.regexp_replace(value.cast("string"), r"\s*(Z|z|[+-]\d{2}:?\d{2})\s*$", "")).cast("timestamp_ntz")
+    return local_time(without_zone(value), form).cast("timestamp_ntz")
 
 
 def ticket(value: Column) -> Column:
@@ -148,7 +225,7 @@ def is_trade_like(df: DataFrame) -> bool:
     return "Profit" in df.columns or {"Symbol", "Type"} <= set(df.columns)
 
 
-def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord"), dates: bool = True) -> DataFrame:
+def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord", HEADER, DATE_FORM), dates: bool = True) -> DataFrame:
     """Trim header names, drop index columns and empty rows, rename, parse dates and numbers.
 
     ``key_columns`` are not journal data: an all-empty row is dropped whatever its keys. Without ``dates``
@@ -169,10 +246,11 @@ def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_or
 
 
 def contract(df: DataFrame, journal: str = "journal_id") -> DataFrame:
-    """One status per journal: OK, EMPTY_DATASET, MISSING_PROFIT or NO_PARSABLE_PROFIT."""
-    has_profit = "Profit" in df.columns
-    n_profits = F.count(number(quoted("Profit"))) if has_profit else F.count(F.lit(None))
-    counts = df.groupBy(journal).agg(F.count(F.lit(1)).alias("n_rows"), n_profits.alias("n_profits"))
-    bad = "NO_PARSABLE_PROFIT" if has_profit else "MISSING_PROFIT"
-    status = F.when(F.col("n_rows") == 0, "EMPTY_DATASET").when(F.col("n_profits") == 0, bad).otherwise("OK")
+    """One status per journal: OK, EMPTY_DATASET, MISSING_PROFIT (by its own header) or NO_PARSABLE_PROFIT."""
+    profit = number(quoted("Profit")) if "Profit" in df.columns else F.lit(None)
+    counts = df.groupBy(journal).agg(F.count(F.lit(1)).alias("n_rows"), F.count(profit).alias("n_profits"), F.bool_or(own(df, "Profit")).alias("has"))
+    status = (
+        F.when(F.col("n_rows") == 0, "EMPTY_DATASET").when(~F.col("has"), "MISSING_PROFIT")
+        .when(F.col("n_profits") == 0, "NO_PARSABLE_PROFIT").otherwise("OK")
+    )
     return counts.select(journal, "n_rows", status.alias("status"))

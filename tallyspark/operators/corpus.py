@@ -39,28 +39,27 @@ def _finished(rows: DataFrame) -> DataFrame:
 def trade_documents(journals: DataFrame, source: Column | None = None) -> DataFrame:
     """A document per trade. ``journals`` carries journal_fingerprint and, if bound, evidence columns.
 
-    Empty fields leave no line; notes, tags and strategies never enter.
+    Fields are those of each journal's own header. Empty fields leave no line; notes, tags
+    and strategies never enter.
     """
     df = R.enrich(journals)
-    kinds = dict(df.dtypes)
-    at = lambda names: C.first_present(df.columns, names)
     listed = [
         ("Symbol", C.SYMBOL_COLUMNS), ("Type", C.SIDE_COLUMNS), ("Open Time", C.OPEN_COLUMNS), ("Close Time", C.CLOSE_COLUMNS),
         ("Entry", C.ENTRY_COLUMNS), ("Exit", C.EXIT_COLUMNS), ("Profit", ("Profit",)), ("Commission", ("Commission", "Commissions")), ("Swap", ("Swap",)),
     ]
-    key = C.ticket(C.quoted(at(C.TICKET_COLUMNS)))
+    key = C.ticket(C.by_header(df, C.TICKET_COLUMNS))
     bound = "excursion_status" in df.columns
     status = F.coalesce("excursion_status", F.lit("NO_MARKET_DATA")) if bound else F.lit("NO_M1_EVIDENCE")
     df = df.withColumns({"_key": key, "_status": status, "_label": R.status_label(status)}).filter(F.col("_key").isNotNull())
     key, status, label_text = F.col("_key"), F.col("_status"), F.col("_label")
-    lines = [_line("Ticket", key), *(_line(k, _plain(C.quoted(c), kinds[c])) for k, names in listed if (c := at(names)))]
+    lines = [_line("Ticket", key), *(_line(k, C.by_header(df, names, _plain)) for k, names in listed)]
     lines.append(_line("Realised movement", R.movement_text(F.col("movement_value"), F.col("movement_label"))))
     lines.append(F.when(F.col("movement_disagreement"), R.calculated_note(F.col("movement_calculated"))))
     lines.append(_line("Bar Evidence", label_text))
     for label, name, unit in (("Approx. Window High", "interval_high", ""), ("Approx. Window Low", "interval_low", ""), ("Approx. MFE", "mfe", " price pts"), ("Approx. MAE", "mae", " price pts")):
         shown = F.concat(R.evidence_text(F.col(f"excursion_{name}")), F.lit(unit)) if bound else F.lit("")
         lines.append(F.concat(F.lit(f"{label}: "), F.when(status == "COMPUTED", shown).otherwise(F.concat(F.lit("Unavailable ("), label_text, F.lit(")")))))
-    symbol = C.symbol(C.quoted("Symbol")) if "Symbol" in df.columns else F.lit(None).cast("string")
+    symbol = C.symbol(C.by_header(df, C.SYMBOL_COLUMNS))
     provenance = F.to_json(F.struct("journal_fingerprint", F.lit(TRADE).alias("document_type"), key.alias("source_record_key"), (source if source is not None else F.lit(None).cast("string")).alias("source"), status.alias("bar_evidence_status"), symbol.alias("symbol")))
     return _finished(
         df.select(
@@ -137,7 +136,7 @@ def integrity(documents: DataFrame) -> DataFrame:
 
 def parity(journals: DataFrame, evidence: DataFrame) -> DataFrame:
     """Tickets on one side only, and computed evidence that lacks a measure."""
-    tickets = journals.select("journal_id", C.ticket(C.quoted(C.first_present(journals.columns, C.TICKET_COLUMNS))).alias("ticket")).filter("ticket IS NOT NULL").distinct()
+    tickets = journals.select("journal_id", C.ticket(C.by_header(journals, C.TICKET_COLUMNS)).alias("ticket")).filter("ticket IS NOT NULL").distinct()
     has = evidence.select("journal_id", "ticket").distinct()
     only = lambda a, b, why: a.join(b, ["journal_id", "ticket"], "left_anti").withColumn("fault", F.lit(why))
     lacking = evidence.filter((F.col("status") == "COMPUTED") & F.coalesce(*(F.when(F.col(m).isNull(), F.lit(True)) for m in ("interval_high", "interval_low", "mfe", "mae"))).isNotNull())

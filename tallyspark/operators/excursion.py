@@ -25,42 +25,60 @@ FLAGS = (
 MEASURES = ("interval_high", "interval_low", "mfe", "mae")
 
 
-def key_gate(journals: DataFrame, ticket: Column, journal: str = "journal_id", order_by: str = "row_ord") -> DataFrame:
-    """Per journal: OK, or the fault of its first row whose ticket is null, blank, invalid or repeated."""
-    key = C.ticket(ticket)
-    rows = journals.select(journal, order_by, key.alias("key"), ticket.cast("string").alias("raw"))
-    again = F.row_number().over(Window.partitionBy(journal, "key").orderBy(order_by)) > 1
+def key_gate(journals: DataFrame, ticket: Column, journal: str = "journal_id", order_by: str = "row_ord", present: Column | None = None) -> DataFrame:
+    """Per journal: OK, TICKET_COLUMN_MISSING, or the fault of its first row whose ticket is null, blank, invalid or repeated.
+
+    ``present`` says whether the row's journal has a ticket column. Rows without a key are no twins and share no task.
+    """
+    present = F.lit(True) if present is None else present
+    rows = journals.select(journal, order_by, ticket.cast("string").alias("raw"), present.alias("present")).withColumn("key", C.ticket(F.col("raw")))
+    alone = F.when(F.col("key").isNull(), F.col(order_by))
+    again = F.row_number().over(Window.partitionBy(journal, "key", alone).orderBy(order_by)) > 1
     reason = (
         F.when(F.col("raw").isNull(), "TICKET_NULL").when(F.trim("raw") == "", "TICKET_BLANK")
         .when(F.col("key").isNull(), "TICKET_INVALID").when(again, "DUPLICATE_TICKET")
     )
     found = rows.withColumn("reason", reason)
-    return found.groupBy(journal).agg(F.coalesce(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col(order_by))), F.lit("OK")).alias("gate"))
+    first = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col(order_by)))
+    gate = F.when(~F.bool_or("present"), "TICKET_COLUMN_MISSING").otherwise(F.coalesce(first, F.lit("OK")))
+    return found.groupBy(journal).agg(gate.alias("gate"))
 
 
 def checked_trades(journals: DataFrame, bases: DataFrame, journal: str = "journal_id") -> DataFrame:
     """Rows with ticket, parsed fields, UTC window and the first failed check.
 
-    ``bases`` has (journal_id, kind, offset_minutes, zone), a row per journal.
+    ``bases`` has (journal_id, kind, offset_minutes, zone), a row per journal. Columns
+    are those of each journal's own header, dates are read by each column's form.
     Checks come in a fixed order: columns, open, close, symbol, side, entry, exit,
-    duration, zones, order of the times, duration against the times.
+    duration, zones, order of the times, duration against the times. Each cell is read
+    once, into a column of its own, before anything is judged.
     """
     names = {
         "open": C.OPEN_COLUMNS, "close": C.CLOSE_COLUMNS, "symbol": C.SYMBOL_COLUMNS, "side": C.SIDE_COLUMNS,
         "entry": C.ENTRY_COLUMNS, "exit": C.EXIT_COLUMNS, "duration": C.DURATION_COLUMNS, "ticket": C.TICKET_COLUMNS,
     }
-    at = {k: C.first_present(journals.columns, v) for k, v in names.items()}
-    cell = {k: C.quoted(c) if c else F.lit(None).cast("string") for k, c in at.items()}
-    rows = journals.join(bases.select(journal, "kind", "offset_minutes", "zone"), journal, "left")
-    missing = next((k for k in ("open", "close", "symbol", "side", "entry", "exit") if not at[k]), None)
-    parsed = rows.select(
-        journal, "row_ord", C.ticket(cell["ticket"]).alias("ticket"),
-        C.time_class(cell["open"]).alias("open_class"), C.local_time(cell["open"]).alias("open_local"),
-        C.time_class(cell["close"]).alias("close_class"), C.local_time(cell["close"]).alias("close_local"),
-        C.symbol(cell["symbol"]).alias("symbol"), C.side(cell["side"]).alias("side"),
-        C.price(cell["entry"]).alias("entry"), C.price_reason(cell["entry"], "ENTRY").alias("entry_reason"),
-        C.price(cell["exit"]).alias("exit"), C.price_reason(cell["exit"], "EXIT").alias("exit_reason"),
-        C.duration_class(cell["duration"]).alias("duration_class"), C.number(cell["duration"]).alias("duration"),
+    needed = ("open", "close", "symbol", "side", "entry", "exit")
+    missing = F.coalesce(*(F.when(~C.own_any(journals, names[k]), f"MISSING_{k.upper()}") for k in needed), F.lit(None).cast("string"))
+    cells = journals.select(
+        journal, "row_ord", missing.alias("missing"), *(C.by_header(journals, v).alias(k) for k, v in names.items()),
+        *(C.form_by_header(journals, names[k]).alias(f"{k}_form") for k in ("open", "close")),
+    )
+    rows = cells.join(bases.select(journal, "kind", "offset_minutes", "zone"), journal, "left")
+    told = lambda k: F.coalesce(C.number(F.col(k)), F.lit(None).cast("double"))
+    read = rows.select(
+        journal, "row_ord", "missing", "ticket", "open", "close", "symbol", "side", "entry", "exit", "duration", "kind", "offset_minutes", "zone",
+        *(C.local_time(F.col(k), F.col(f"{k}_form")).alias(f"{k}_local") for k in ("open", "close")),
+        *(told(k).alias(f"{k}_number") for k in ("entry", "exit", "duration")),
+    )
+    positive = lambda k: F.when(F.col(f"{k}_number") > 0, F.col(f"{k}_number"))
+    bad_price = lambda k: F.when(F.col(f"{k}_number") <= 0, f"NON_POSITIVE_{k.upper()}").when(F.col(f"{k}_number").isNull(), f"INVALID_{k.upper()}")
+    blank = F.col("duration").isNull() | (F.trim("duration") == "") | F.lower(F.trim("duration")).isin("nan", "none")
+    parsed = read.select(
+        journal, "row_ord", "missing", C.ticket(F.col("ticket")).alias("ticket"),
+        *(C.time_class(F.col(k), F.col(f"{k}_local")).alias(f"{k}_class") for k in ("open", "close")), "open_local", "close_local",
+        C.symbol(F.col("symbol")).alias("symbol"), C.side(F.col("side")).alias("side"),
+        *(positive(k).alias(k) for k in ("entry", "exit")), *(bad_price(k).alias(f"{k}_reason") for k in ("entry", "exit")),
+        F.when(blank, "skip").when(F.col("duration_number") >= 0, "ok").otherwise("invalid").alias("duration_class"), F.col("duration_number").alias("duration"),
         "kind", "offset_minutes", "zone",
     )
     basis = [F.col("kind"), F.col("offset_minutes"), F.col("zone")]
@@ -70,7 +88,7 @@ def checked_trades(journals: DataFrame, bases: DataFrame, journal: str = "journa
         F.when(F.col(f"{k}_class") == "aware", "AWARE_TIMESTAMP").when(F.col(f"{k}_class") != "ok", f"INVALID_{k.upper()}")
     )
     reason = F.coalesce(
-        F.lit(f"MISSING_{missing.upper()}" if missing else None),
+        "missing",
         bad("open"), bad("close"),
         F.when(F.col("symbol").isNull(), "BLANK_SYMBOL"), F.when(F.col("side").isNull(), "INVALID_SIDE"),
         F.when(F.col("entry").isNull(), F.col("entry_reason")), F.when(F.col("exit").isNull(), F.col("exit_reason")),
@@ -185,10 +203,9 @@ def window_join(
 
 def evidence(journals: DataFrame, bases: DataFrame, bars: DataFrame, journal: str = "journal_id", step_seconds: int = 60) -> DataFrame:
     """One evidence row per trade over bars of ``step_seconds``; a journal without usable tickets has the gate's fault on every row."""
-    tickets = C.first_present(journals.columns, C.TICKET_COLUMNS)
     keys = [journal, "row_ord", "ticket"]
     trades = checked_trades(journals, bases, journal)
-    gate = key_gate(journals, C.quoted(tickets), journal) if tickets else journals.select(journal, F.lit("TICKET_COLUMN_MISSING").alias("gate")).distinct()
+    gate = key_gate(journals, C.by_header(journals, C.TICKET_COLUMNS), journal, present=C.own_any(journals, C.TICKET_COLUMNS))
     # Written once: a filter on the status below would otherwise be rewritten in terms of every parsing step.
     trades = settled(trades.join(gate, journal)).withColumns(
         {
@@ -213,20 +230,18 @@ def counts(found: DataFrame, journal: str = "journal_id") -> DataFrame:
 
 
 def fingerprint(journals: DataFrame, journal: str = "journal_id") -> DataFrame:
-    """Order-independent digest of ticket, times, symbol, side, prices and duration; profit and notes do not count."""
-    at = [C.first_present(journals.columns, v) for v in (C.TICKET_COLUMNS, C.OPEN_COLUMNS, C.CLOSE_COLUMNS, C.SYMBOL_COLUMNS, C.SIDE_COLUMNS, C.ENTRY_COLUMNS, C.EXIT_COLUMNS, C.DURATION_COLUMNS)]
-    cells = [C.ticket(C.quoted(at[0])) if at[0] else F.lit(None)]
-    cells += [C.text(C.quoted(c)) if c else F.lit(None) for c in at[1:5]]
-    cells += [F.coalesce(C.number(C.quoted(c)).cast("string"), C.text(C.quoted(c))) if c else F.lit(None) for c in at[5:]]
-    named = [F.lit(c or "") for c in at]
+    """Order-independent digest of ticket, times, symbol, side, prices and duration, in the columns of each journal's own header; profit and notes do not count."""
+    used = (C.TICKET_COLUMNS, C.OPEN_COLUMNS, C.CLOSE_COLUMNS, C.SYMBOL_COLUMNS, C.SIDE_COLUMNS, C.ENTRY_COLUMNS, C.EXIT_COLUMNS, C.DURATION_COLUMNS)
+    ticket, *texts = (C.by_header(journals, names) for names in used)
+    cells = [C.ticket(ticket), *map(C.text, texts[:4]), *(F.coalesce(C.number(c).cast("string"), C.text(c)) for c in texts[4:])]
+    named = [F.coalesce(C.name_by_header(journals, names), F.lit("")) for names in used]
     return table_digest(journals, [journal], [c.cast("string") for c in (*cells, *named)], "journal_fingerprint")
 
 
 def attach(journals: DataFrame, found: DataFrame, journal: str = "journal_id") -> DataFrame:
     """Evidence beside each row by canonical ticket; no match gives null measures and false flags."""
-    at = C.first_present(journals.columns, C.TICKET_COLUMNS)
     right = found.drop("row_ord").withColumnRenamed("ticket", "_ticket").withColumnsRenamed({c: f"excursion_{c}" for c in ("status", "reason", *MEASURES, "bars_used", "bars_expected", *FLAGS)})
-    left = journals.withColumn("_ticket", C.ticket(C.quoted(at)))
+    left = journals.withColumn("_ticket", C.ticket(C.by_header(journals, C.TICKET_COLUMNS)))
     joined = left.join(right, [journal, "_ticket"], "left").drop("_ticket")
     return joined.withColumns({f"excursion_{f}": F.coalesce(f"excursion_{f}", F.lit(False)) for f in FLAGS})
 

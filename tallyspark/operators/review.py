@@ -55,8 +55,8 @@ def movement(pips: Column, side: Column, entry: Column, exit_price: Column) -> C
 
 
 def enrich(df: DataFrame) -> DataFrame:
-    """Six movement columns beside each trade."""
-    cell = lambda names: C.quoted(at) if (at := C.first_present(df.columns, names)) else F.lit(None).cast("string")
+    """Six movement columns beside each trade, from the columns of its own journal's header."""
+    cell = lambda names: C.by_header(df, names)
     told, own = C.number(cell(("Pips",))), calculated_movement(cell(C.SIDE_COLUMNS), cell(C.ENTRY_COLUMNS), cell(C.EXIT_COLUMNS))
     joined = df.withColumns({"_told": told, "_own": own})
     found = _movement(F.col("_told"), F.col("_own"))
@@ -64,19 +64,21 @@ def enrich(df: DataFrame) -> DataFrame:
 
 
 def sort_order(df: DataFrame, key: str, descending: bool = False, order_by: str = "row_ord") -> list[Column]:
-    """Nulls (blank and nan-like text too) last either way; ties by numeric ticket, then input order."""
-    ties = [C.number(C.quoted("Ticket")).asc_nulls_last()] if "Ticket" in df.columns else []
+    """Nulls (blank and nan-like text too) last either way; ties by numeric ticket, then input order.
+
+    The sorted column is that of each journal's own header; a journal without one stays in input order.
+    """
     names, kind = SORT_KEYS.get(key, ((), ""))
-    at = C.first_present(df.columns, names)
-    if not at:
+    if not any(c in df.columns for c in names):
         return [F.col(order_by).asc()]
-    cell = C.quoted(at)
+    has = C.own_any(df, names)
+    ties = [F.when(has, C.number(C.by_header(df, C.TICKET_COLUMNS))).asc_nulls_last()] if "Ticket" in df.columns else []
     if kind == "number":
-        value = C.number(cell)
+        value = C.number(C.by_header(df, names))
     elif kind == "date":
-        value = cell if dict(df.dtypes)[at].startswith("timestamp") else C.recorded_time(cell)
+        value = C.opened(df, names)
     else:
-        lower = F.lower(C.text(cell))
+        lower = F.lower(C.text(C.by_header(df, names)))
         value = F.when(~lower.isin("nan", "none", "nat", "<na>"), lower)
     return [value.desc_nulls_last() if descending else value.asc_nulls_last(), *ties, F.col(order_by).asc()]
 
@@ -146,18 +148,16 @@ def notes(prefix: str = "excursion_") -> Column:
     return F.when(F.col(f"{prefix}status") == "COMPUTED", F.array_join(F.array_compact(F.array(*texts)), "; ")).otherwise("")
 
 
-def review_columns(df: DataFrame) -> list[tuple[str, str]]:
-    """(key, column) of what a review shows, in order."""
-    found = [(k, C.first_present(df.columns, names)) for k, (names, _) in SORT_KEYS.items()]
-    return [(k, c) for k, c in found if c]
+def review_columns(df: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
+    """(key, the columns it may stand for) of what a review of some journal of the table shows, in order."""
+    return [(k, names) for k, (names, _) in SORT_KEYS.items() if any(c in df.columns for c in names)]
 
 
 def review_rows(df: DataFrame, bound: bool = True) -> DataFrame:
-    """One display cell (value, note, flag) per review column; null shows as blank."""
-    kinds = dict(df.dtypes)
+    """One display cell (value, note, flag) per review column; null shows as blank, a column that the row's journal lacks is null."""
     cells: list[Column] = []
-    for key, column in review_columns(df):
-        cell, note, flag = C.quoted(column), F.lit(""), F.lit("")
+    for key, names in review_columns(df):
+        cell, note, flag = C.by_header(df, names), F.lit(""), F.lit("")
         if key == "movement":
             value, note = movement_text(cell, F.col("movement_label")), F.when(F.col("movement_disagreement"), calculated_note(F.col("movement_calculated"))).otherwise("")
             flag = F.when(F.col("movement_disagreement"), "Mismatch").otherwise("")
@@ -168,14 +168,14 @@ def review_rows(df: DataFrame, bound: bool = True) -> DataFrame:
             note, flag = (F.coalesce(F.col("excursion_reason"), F.lit("")), notes()) if bound else (note, flag)
         elif key in ("interval_high", "interval_low", "mfe", "mae"):
             value = evidence_text(cell)
-        elif kinds[column].startswith("timestamp"):
-            value = F.coalesce(F.date_format(cell, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
         else:
-            value = F.coalesce(cell.cast("string"), F.lit(""))
-        cells.append(F.struct(value.alias("value"), note.alias("note"), flag.alias("flag")).alias(key))
+            shown = lambda v, kind: F.date_format(v, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else v.cast("string")
+            value = F.coalesce(C.by_header(df, names, shown), F.lit(""))
+        shown_cell = F.struct(value.alias("value"), note.alias("note"), flag.alias("flag"))
+        cells.append((F.when(C.own_any(df, names), shown_cell) if C.HEADER in df.columns else shown_cell).alias(key))
     return df.select("journal_id", "row_ord", *cells)
 
 
 def shown_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     known = dict(review_columns(df))
-    return [known[k] for k in wanted if k in known]
+    return [next(c for c in known[k] if c in df.columns) for k in wanted if k in known]

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.cleaning import OPEN_COLUMNS, first_present, number, quoted
+from tallyspark.functions.cleaning import HEADER, OPEN_COLUMNS, number, opened, own, own_any, quoted
 
 # The columns that a search looks into.
 SEARCH_TEXT = ("Symbol", "Type", "Side", "Tag", "Tags", "Notes", "Comment", "Comments", "Strategy", "Reason")
@@ -33,38 +33,46 @@ def _any(found: list[Column]) -> Column:
 
 
 def search(df: DataFrame, query: str) -> Column:
-    """Literal, case-insensitive match in text, numbers (8 places) or dates; null never matches."""
+    """Literal, case-insensitive match in text, numbers (8 places) or dates; null never matches.
+
+    Text is looked for in the named columns that the row's own journal has, or else in all its text.
+    """
     kinds = dict(df.dtypes)
-    named = [c for c in SEARCH_TEXT if c in kinds] or [c for c, k in kinds.items() if k == "string"]
-    found = [F.lower(quoted(c).cast("string")).contains(query.lower()) for c in named]
+    listed = [c for c in SEARCH_TEXT if c in kinds]
+    others = [c for c, k in kinds.items() if k == "string" and c != "journal_id"]
+    within = lambda columns: _any([F.coalesce(F.lower(quoted(c).cast("string")).contains(query.lower()), F.lit(False)) for c in columns])
+    found = [F.when(own_any(df, listed), within(listed)).otherwise(within(others)) if HEADER in kinds else within(listed or others)]
     try:
         wanted = float(query.replace(",", ""))
         found += [F.round(number(quoted(c)), 8) == round(wanted, 8) for c in SEARCH_NUMBERS if c in kinds]
     except ValueError:
         pass
-    for c, kind in kinds.items():
-        if kind.startswith("timestamp") or kind == "date":
-            found += [F.date_format(quoted(c), form).contains(query) for form in ("yyyy-MM-dd", "yyyy-MM")]
-    return F.coalesce(_any(found), F.lit(False))
+    dates = [quoted(c) for c, kind in kinds.items() if kind.startswith("timestamp") or kind == "date"]
+    dates += [opened(df)] if HEADER in kinds else []
+    found += [F.date_format(c, form).contains(query) for c in dates for form in ("yyyy-MM-dd", "yyyy-MM")]
+    return F.coalesce(_any([F.coalesce(f, F.lit(False)) for f in found]), F.lit(False))
+
 
+def predicate(df: DataFrame, params: Mapping[str, object]) -> tuple[Column, dict[str, tuple[Column, str]]]:
+    """The scope's predicate, and per filter whether it is active in the row's journal and its value.
 
-def predicate(df: DataFrame, params: Mapping[str, object]) -> tuple[Column, dict[str, str]]:
-    """The scope's predicate and the filters that are active in it."""
+    A filter is active where the row's own journal has the column that it needs.
+    """
     keep, active = F.lit(True), {}
-    date = first_present(df.columns, OPEN_COLUMNS)
+    dated = own_any(df, OPEN_COLUMNS)
     for key, compare in (("start_date", operator.ge), ("end_date", operator.le)):
         bound = _date(clean(params.get(key)))
-        if bound and date:
-            keep &= F.coalesce(compare(F.to_date(quoted(date)), F.lit(bound)), F.lit(False))
-            active[key] = bound.isoformat()
+        if bound:
+            keep &= ~dated | F.coalesce(compare(F.to_date(opened(df)), F.lit(bound)), F.lit(False))
+            active[key] = (dated, bound.isoformat())
     wanted = clean(params.get("symbol"))
     if wanted and "Symbol" in df.columns:
-        keep &= F.coalesce(F.lower(F.col("Symbol").cast("string")).contains(wanted.lower()), F.lit(False))
-        active["symbol"] = wanted
+        keep &= ~own(df, "Symbol") | F.coalesce(F.lower(F.col("Symbol").cast("string")).contains(wanted.lower()), F.lit(False))
+        active["symbol"] = (own(df, "Symbol"), wanted)
     query = clean(params.get("q"))
     if query:
         keep &= search(df, query)
-        active["q"] = query
+        active["q"] = (F.lit(True), query)
     return keep, active
 
 
@@ -73,14 +81,12 @@ def apply_scope(df: DataFrame, params: Mapping[str, object]) -> DataFrame:
 
 
 def lineage(df: DataFrame, params: Mapping[str, object], journal: str = "journal_id") -> DataFrame:
-    """Per journal: source rows, analysed rows, active filters, and whether nothing is left."""
+    """Per journal: source rows, analysed rows, the filters active in it, and whether nothing is left."""
     keep, active = predicate(df, params)
-    pairs = [F.lit(x) for k, v in active.items() for x in (k, v)]
-    return (
-        df.groupBy(journal)
-        .agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(keep).alias("analysed_rows"))
-        .select("*", (F.create_map(*pairs) if pairs else F.expr("map()").cast("map<string,string>")).alias("active_filters"), (F.col("analysed_rows") == 0).alias("zero_result"))
-    )
+    pairs = F.array_compact(F.array(*(F.when(F.bool_or(on), F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))) for k, (on, v) in active.items())))
+    filters = F.map_from_entries(pairs) if active else F.expr("map()").cast("map<string,string>")
+    counted = df.groupBy(journal).agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(keep).alias("analysed_rows"), filters.alias("active_filters"))
+    return counted.withColumn("zero_result", F.col("analysed_rows") == 0)
 
 
 def select_raw(df: DataFrame, symbol: object) -> DataFrame:

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import itertools
+import operator
+import re
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.cleaning import OPEN_COLUMNS, basename, contract, first_present, normalise, number, quoted, recorded_time
+from tallyspark.functions.cleaning import (
+    CLOSE_COLUMNS, DATE_FORM, FORMS, HEADER, OPEN_COLUMNS, RR_COLUMNS, basename, by_header, contract, forms_read, normalise, number, own, quoted,
+    recorded_time, text, without_zone,
+)
 from tallyspark.session import settled
 
 # Encodings in the order tried, the characters that may part fields, and the columns of a bar file.
@@ -23,7 +30,7 @@ BAR_COLUMNS = ("TimestampUTC", "Symbol", "Open", "High", "Low", "Close")
 #: Rows that leave a file's reader together.
 BATCH_ROWS = 10_000
 
-JOURNAL_ROWS = "journal_id string, row_ord long, cells map<string,string>"
+JOURNAL_ROWS = "journal_id string, row_ord long, cells map<string,string>, fault string"
 BAR_ROWS = "bar_set_id string, fault string, " + ", ".join(f"{c} string" for c in BAR_COLUMNS)
 
 
@@ -56,34 +63,61 @@ def header_names(fields: list[str]) -> list[str]:
     return out
 
 
-def journal_lines(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]]]]:
-    """(place, cells) of a journal file's data rows; a quoted field may hold line breaks.
+class _Lines:
+    """The lines of a text, and whether the last has been asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.rest, self.over = io.StringIO(text, newline=""), False
+
+    def __iter__(self) -> _Lines:
+        return self
+
+    def __next__(self) -> str:
+        line = self.rest.readline()
+        if not line:
+            self.over = True
+            raise StopIteration
+        return line
+
+
+def journal_lines(content: bytes) -> Iterator[tuple[int | None, list[tuple[str, str]], str | None]]:
+    """(place, cells, fault) of a journal file's data rows; a quoted field may hold line breaks.
 
     Rows with more fields than the header are left out, short ones lack their last
-    cells, blank lines are no rows.
+    cells, blank lines are no rows. What is no CSV, or ends inside quotes, ends with a row of
+    the fault UNREADABLE_FILE, which goes for the whole file.
     """
     csv.field_size_limit(1 << 30)
     text = decoded(content)
-    rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text))
+    lines = _Lines(text)
+    rows = csv.reader(lines, delimiter=delimiter(text))
     names: list[str] = []
     place = 0
     try:
         for fields in rows:
+            if lines.over:  # the reader asked for more inside quotes
+                raise csv.Error("the file ends inside quotes")
             if not fields:
                 continue
             if not names:
                 names = header_names(fields)
             elif len(fields) <= len(names):
-                yield place, [*zip(names, fields, strict=False), *((n, None) for n in names[len(fields) :])]
+                yield place, [*zip(names, fields, strict=False), *((n, None) for n in names[len(fields) :])], None
                 place += 1
-    except csv.Error:  # the rest of the file is no CSV
-        return
+    except csv.Error:
+        yield None, [], "UNREADABLE_FILE"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(journal_id) of every file below ``path``, empty ones too, of which Spark's readers give no row; a name per file, as Spark itself lists them."""
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in _files(spark, path).inputFiles()]  # as Spark writes paths in rows
+    return spark.createDataFrame(names, "journal_id string")
+
+
 def _parsed(files: DataFrame, read: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """The rows that ``read`` gives for each file, in batches; a file is read by one task, which a quoted line break demands."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -100,41 +134,89 @@ def _parsed(files: DataFrame, read: Callable[[str, bytes], Iterator[tuple]], sch
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(journal_id, row_ord, cells) of all CSV files below ``path``: the file, the row's place in it, name -> text."""
-    return _parsed(_files(spark, path), lambda p, content: ((p, place, cells) for place, cells in journal_lines(content)), JOURNAL_ROWS)
+    """(journal_id, row_ord, cells, fault) of all CSV files below ``path``: the file, the row's place in it, name -> text."""
+    return _parsed(_files(spark, path), lambda p, content: ((p, *row) for row in journal_lines(content)), JOURNAL_ROWS)
 
 
-def widened(cells: DataFrame) -> DataFrame:
-    """A column per name that any file has. A file's date column is parsed: the first of the open columns in its own header."""
-    headers = [r[0] for r in cells.select(F.array_sort(F.map_keys("cells"))).distinct().collect()]  # a row per kind of file
-    names = sorted({n for h in headers for n in h})
-    rows = cells.select("journal_id", "row_ord", F.array_sort(F.map_keys("cells")).alias("_header"), *(F.try_element_at("cells", F.lit(n)).alias(n) for n in names))
+def date_forms(cells: DataFrame) -> DataFrame:
+    """(journal_id, column, form, verdict) of every date column of the journals in ``cells``.
+
+    Each form is counted over the cells that it reads, and the column has the form that
+    reads most; among equals one that reads the column's first cell, and of those
+    month before day. The verdict is AMBIGUOUS where both of them read every cell of the
+    column, PARTIAL where some cell is not read by the form, else OK. Each task sends one row
+    of counts per journal and column.
+    """
+    dates = [c for c in (*OPEN_COLUMNS, *CLOSE_COLUMNS)]
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.try_element_at("cells", F.lit(c)).alias("cell")) for c in dates))
+    listed = cells.select("journal_id", "row_ord", F.inline(pairs)).filter(text(F.col("cell")).isNotNull())
+    listed = listed.select("journal_id", "row_ord", "column", without_zone(F.col("cell")).alias("cell"))
+    read = listed.select("journal_id", "row_ord", "column", *(v.isNotNull().alias(k) for k, v in forms_read(F.col("cell")).items()))
+    first = F.min_by(F.struct(*FORMS), "row_ord")
+    counted = read.groupBy("journal_id", "column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("day_first") & F.col("month_first")).alias("either"), first.alias("first"), *(F.count_if(k).alias(k) for k in FORMS)
+    )
+    order = ("month_first", "day_first", *(k for k in FORMS if k not in ("month_first", "day_first")))
+    votes = F.array(*(F.struct(F.col(k).alias("cells"), F.col("first")[k].alias("first"), F.lit(-i).alias("rank"), F.lit(k).alias("form")) for i, k in enumerate(order)))
+    won = counted.withColumn("won", F.array_max(votes))
+    verdict = F.when(F.col("either") == F.col("n"), "AMBIGUOUS").when(F.col("won.cells") < F.col("n"), "PARTIAL").otherwise("OK")
+    return won.select("journal_id", "column", F.when(F.col("won.cells") > 0, F.col("won.form")).alias("form"), verdict.alias("verdict"))
+
+
+#: Names that a table of journals of several headers may have in all; more are told apart by the reader, in parts.
+MAX_NAMES = 4096
+
+
+def widened(cells: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """A column per name that any file has, and each row's own header and date forms.
+
+    Each journal is read by its own header. Its date column, the first of the open columns
+    there, is parsed by the column's form. Of the headers only their distinct names reach
+    the driver.
+    """
+    names = sorted(r[0] for r in cells.select(F.explode(F.map_keys("cells"))).distinct().limit(MAX_NAMES + 1).collect())
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"the files have more than {MAX_NAMES} column names; read them in parts")
+    forms = date_forms(cells) if forms is None else forms
+    by_journal = forms.filter("form IS NOT NULL").groupBy("journal_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "form"))).alias(DATE_FORM))  # three columns at most
+    rows = cells.select("journal_id", "row_ord", F.map_keys("cells").alias(HEADER), *(F.try_element_at("cells", F.lit(n)).alias(n) for n in names))
+    rows = rows.join(by_journal, "journal_id", "left")
     dates = {}
     for i, c in enumerate(OPEN_COLUMNS):
         if c in names:
-            chosen = ~F.arrays_overlap("_header", F.array(*map(F.lit, OPEN_COLUMNS[:i]))) if i else F.lit(True)
-            always = all(first_present(h, OPEN_COLUMNS) == c for h in headers if c in h)
-            parsed = recorded_time(quoted(c))
-            dates[c] = parsed if always else F.when(chosen, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")).otherwise(quoted(c))
-    return normalise(rows.withColumns(dates).drop("_header"), dates=False)
+            earlier = [~own(rows, x) for x in OPEN_COLUMNS[:i] if x in names]
+            parsed = recorded_time(quoted(c), F.try_element_at(F.col(DATE_FORM), F.lit(c)))
+            if any(x in names for x in OPEN_COLUMNS if x != c):  # some journal may have this column as plain text
+                chosen = functools.reduce(operator.and_, earlier, F.lit(True))
+                parsed = F.when(chosen, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")).otherwise(quoted(c))
+            dates[c] = parsed
+    return normalise(rows.withColumns(dates), dates=False)
 
 
 def read_journals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows of all usable journals, audit of every file) below a folder.
 
     Encoding, delimiter and header are found per file where the file is read.
-    Unsupported extensions and unusable journals are rows of the audit, never errors.
+    Unsupported extensions, files that are no CSV to their end and unusable journals are
+    rows of the audit, never errors, and no row of such a file is handed on.
     """
-    cleaned = widened(settled(read_cells(spark, path)))
-    files = _files(spark, path).select(F.col("path").alias("journal_id"), "length")
+    cells = settled(read_cells(spark, path))
+    broken = cells.filter("fault IS NOT NULL").select("journal_id", "fault").distinct()
+    sound = cells.filter("fault IS NULL").drop("fault").join(broken.select("journal_id"), "journal_id", "left_anti")
+    forms = settled(date_forms(sound))
+    cleaned = widened(sound, forms)
+    files = listed_files(spark, path)
     kind = F.lower(F.regexp_extract("journal_id", r"\.([^./\\]+)$", 1))
     files = files.withColumn("supported", kind == "csv")
     verdict = contract(cleaned)
-    audit = files.join(verdict, "journal_id", "left").select(
+    # A file's date column is the first of the open columns; of the forms of others nothing is parsed.
+    rank = F.array_position(F.array(*map(F.lit, OPEN_COLUMNS)), F.col("column"))
+    dates = forms.filter(F.col("column").isin(*OPEN_COLUMNS)).groupBy("journal_id").agg(F.min_by(F.struct("form", "verdict"), rank).alias("date"))
+    audit = files.join(verdict, "journal_id", "left").join(broken, "journal_id", "left").join(dates, "journal_id", "left").select(
         "journal_id",
-        F.when(~F.col("supported"), "UNSUPPORTED_FILE").otherwise(F.coalesce("status", F.lit("EMPTY_DATASET"))).alias("reason"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-    )
+        F.when(~F.col("supported"), "UNSUPPORTED_FILE").otherwise(F.coalesce("fault", "status", F.lit("EMPTY_DATASET"))).alias("reason"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("date.form").alias("date_form"), F.col("date.verdict").alias("date_verdict"),
+    )
     cleaned = cleaned.join(verdict.filter("status = 'OK'").select("journal_id"), "journal_id", "left_semi")
     audit = audit.withColumn("status", F.when(F.col("reason") == "OK", "processed").otherwise("error")).withColumn("file", basename(F.col("journal_id")))
     return cleaned, audit
@@ -197,14 +279,13 @@ def reload(spark: SparkSession, path: str) -> DataFrame:
 
 def download(df: DataFrame, path: str) -> None:
     """The whole cleaned table as CSV, whatever filters a view has."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.drop(HEADER, DATE_FORM).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_rows(df: DataFrame, columns: Sequence[str], min_rr: float | None = None) -> DataFrame:
     """The export's rows: chosen columns that exist, dates to the minute, blanks for nulls."""
-    rr = first_present(df.columns, ("RR", "rr", "R:R", "risk_reward", "Risk Reward"))
-    if min_rr is not None and rr:
-        df = df.filter(number(quoted(rr)) >= min_rr)
+    if min_rr is not None and any(c in df.columns for c in RR_COLUMNS):
+        df = df.filter(number(by_header(df, RR_COLUMNS)) >= min_rr)
     kinds = dict(df.dtypes)
     shown = [c for c in columns if c in df.columns]
 

@@ -95,7 +95,7 @@ def test_files(spark, tmp_path):
     rows, audit = journals.read_journals(spark, str(tmp_path))
     reasons = {r["file"]: r["reason"] for r in audit.collect()}
     assert reasons == {
-        "semi.csv": "OK", "latin.csv": "OK", "none.csv": "EMPTY_DATASET", "text.csv": "NO_PARSABLE_PROFIT", "bad.csv": "NO_PARSABLE_PROFIT",
+        "semi.csv": "OK", "latin.csv": "OK", "none.csv": "EMPTY_DATASET", "text.csv": "MISSING_PROFIT", "bad.csv": "NO_PARSABLE_PROFIT",
         "book.xlsx": "UNSUPPORTED_FILE",
     }
     assert {"Commission", "#"} <= set(rows.columns) and "Unnamed: 0" not in rows.columns
