@@ -28,14 +28,16 @@ OFFSET = r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|z|[+-]
 
 #: An ISO date, with or without a time, and without a zone.
 ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
-# Date formats by the form that a column has, in the order tried where no column decides.
-DATE_FORMS = {
-    "dotted": ("yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm"),
-    "named": ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy"),
-    "day_first": ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy"),
-    "month_first": ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"),
+# Shapes of dates by the form that a column has, in the order tried where no column decides, each with its parts put in ISO order.
+CLOCK = r"( \d{2}:\d{2}(?::\d{2})?)"
+DATE_SHAPES = {
+    "dotted": (rf"^(\d{{4}})\.(\d{{2}})\.(\d{{2}}){CLOCK}$", "$1-$2-$3$4"),
+    "named": (rf"^\d{{1,2}} [A-Za-z]{{3}} \d{{4}}{CLOCK}?$", None),
+    "day_first": (rf"^(\d{{2}})/(\d{{2}})/(\d{{4}}){CLOCK}?$", "$3-$2-$1$4"),
+    "month_first": (rf"^(\d{{2}})/(\d{{2}})/(\d{{4}}){CLOCK}?$", "$3-$1-$2$4"),
 }
-FORMS = ("iso", *DATE_FORMS)
+NAMED_FORMATS = ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
+FORMS = ("iso", *DATE_SHAPES)
 
 #: Columns of tables that hold journals of different headers: each row's own header, and the form of its dates by column.
 HEADER, DATE_FORM = "_header", "_date_form"
@@ -132,8 +134,12 @@ def forms_read(value: Column) -> dict[str, Column]:
     """What each form reads in a cell without a zone; null where it does not read it."""
     cell = text(value)
     found = {"iso": F.when(cell.rlike(ISO), cell.try_cast("timestamp_ntz"))}
-    for form, formats in DATE_FORMS.items():
-        found[form] = F.coalesce(*(F.try_to_timestamp(cell, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats))
+    for form, (shape, iso) in DATE_SHAPES.items():
+        if iso:
+            read = F.regexp_replace(cell, shape, iso).try_cast("timestamp_ntz")
+        else:
+            read = F.coalesce(*(F.try_to_timestamp(cell, F.lit(fmt)).cast("timestamp_ntz") for fmt in NAMED_FORMATS))
+        found[form] = F.when(cell.rlike(shape), read)
     return found
 
 
@@ -145,7 +151,7 @@ def local_time(value: Column, form: Column | None = None) -> Column:
     read = forms_read(value)
     if form is None:
         return F.coalesce(*read.values())
-    return F.coalesce(read["iso"], *(F.when(form.isNull() | (form == k), read[k]) for k in DATE_FORMS))
+    return F.coalesce(read["iso"], *(F.when(form.isNull() | (form == k), read[k]) for k in DATE_SHAPES))
 
 
 def time_class(value: Column, local: Column | None = None) -> Column:
@@ -221,26 +227,30 @@ def basename(path: Column) -> Column:
     return F.when(name != "", name)
 
 
+#: Names of columns that an export adds to count its rows.
+INDEX_COLUMN = r"Unnamed: \d+|_c\d+"
+
+
 def is_trade_like(df: DataFrame) -> bool:
     return "Profit" in df.columns or {"Symbol", "Type"} <= set(df.columns)
 
 
-def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord", HEADER, DATE_FORM), dates: bool = True) -> DataFrame:
+def normalise(df: DataFrame, key_columns: Sequence[str] = ("journal_id", "row_ord", HEADER, DATE_FORM), read: bool = False) -> DataFrame:
     """Trim header names, drop index columns and empty rows, rename, parse dates and numbers.
 
-    ``key_columns`` are not journal data: an all-empty row is dropped whatever its keys. Without ``dates``
-    they are left to the caller.
+    ``key_columns`` are not journal data: an all-empty row is dropped whatever its keys. Where the caller has
+    ``read`` the files, it has dropped empty rows and parsed dates.
     """
     names = [c if c in key_columns else c.strip() for c in df.columns]
     df = df.toDF(*names)
-    df = df.drop(*[c for c in names if re.fullmatch(r"Unnamed: \d+|_c\d+", c)])
+    df = df.drop(*[c for c in names if re.fullmatch(INDEX_COLUMN, c)])
     data = [c for c in df.columns if c not in key_columns]
-    df = df.filter(F.coalesce(*(text(quoted(c)) for c in data)).isNotNull()) if data else df
+    df = df.filter(F.coalesce(*(text(quoted(c)) for c in data)).isNotNull()) if data and not read else df
     if "Commissions" in data and "Commission" not in data:
         df = df.withColumnRenamed("Commissions", "Commission")
     date = first_present(df.columns, OPEN_COLUMNS)
     changed = {c: number(quoted(c)) for c in df.columns if c in NUMERIC_COLUMNS}
-    if date and dates:
+    if date and not read:
         changed[date] = recorded_time(quoted(date))
     return df.withColumns(changed) if changed else df
 

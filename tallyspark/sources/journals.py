@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.cleaning import (
-    CLOSE_COLUMNS, DATE_FORM, FORMS, HEADER, OPEN_COLUMNS, RR_COLUMNS, basename, by_header, contract, forms_read, normalise, number, own, quoted,
+    CLOSE_COLUMNS, DATE_FORM, FORMS, HEADER, INDEX_COLUMN, OPEN_COLUMNS, RR_COLUMNS, basename, by_header, contract, forms_read, normalise, number, own, quoted,
     recorded_time, text, without_zone,
 )
 from tallyspark.session import settled
@@ -149,8 +149,8 @@ def date_forms(cells: DataFrame) -> DataFrame:
     """
     dates = [c for c in (*OPEN_COLUMNS, *CLOSE_COLUMNS)]
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.try_element_at("cells", F.lit(c)).alias("cell")) for c in dates))
-    listed = cells.select("journal_id", "row_ord", F.inline(pairs)).filter(text(F.col("cell")).isNotNull())
-    listed = listed.select("journal_id", "row_ord", "column", without_zone(F.col("cell")).alias("cell"))
+    listed = cells.select("journal_id", "row_ord", F.inline(pairs)).select("journal_id", "row_ord", "column", without_zone(text(F.col("cell"))).alias("cell"))
+    listed = listed.filter("cell IS NOT NULL")
     read = listed.select("journal_id", "row_ord", "column", *(v.isNotNull().alias(k) for k, v in forms_read(F.col("cell")).items()))
     first = F.min_by(F.struct(*FORMS), "row_ord")
     counted = read.groupBy("journal_id", "column").agg(
@@ -179,6 +179,8 @@ def widened(cells: DataFrame, forms: DataFrame | None = None) -> DataFrame:
         raise ValueError(f"the files have more than {MAX_NAMES} column names; read them in parts")
     forms = date_forms(cells) if forms is None else forms
     by_journal = forms.filter("form IS NOT NULL").groupBy("journal_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "form"))).alias(DATE_FORM))  # three columns at most
+    data = F.map_filter("cells", lambda name, value: ~name.rlike(f"^({INDEX_COLUMN})$"))
+    cells = cells.filter(F.exists(F.map_values(data), lambda value: text(value).isNotNull()))
     rows = cells.select("journal_id", "row_ord", F.map_keys("cells").alias(HEADER), *(F.try_element_at("cells", F.lit(n)).alias(n) for n in names))
     rows = rows.join(by_journal, "journal_id", "left")
     dates = {}
@@ -190,7 +192,7 @@ def widened(cells: DataFrame, forms: DataFrame | None = None) -> DataFrame:
                 chosen = functools.reduce(operator.and_, earlier, F.lit(True))
                 parsed = F.when(chosen, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")).otherwise(quoted(c))
             dates[c] = parsed
-    return normalise(rows.withColumns(dates), dates=False)
+    return normalise(rows.withColumns(dates), read=True)
 
 
 def read_journals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

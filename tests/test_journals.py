@@ -159,32 +159,32 @@ def test_bar_stamps(spark):
         assert bars.parse(df.filter(F.col("TimestampUTC").eqNullSafe(F.lit(t)))).first()["reason"] == want, t
 
 
-SCOPED = [
-    ("2025-03-10 07:15:00", "NAT_GAS", "buy", 31, "gap fill"), ("2025-03-11 21:45:00", "CORN", "sell", -8, "fade"),
-    ("2025-03-12 09:05:00", "GASOIL", "buy", 64, "trend day"), ("2025-03-14 16:20:00", "WHEAT", "sell", 12, "roll"),
-]
-
-
 def scoped(spark):
-    df = spark.createDataFrame(SCOPED, "t string, Symbol string, Type string, Profit long, Notes string")
-    return df.withColumn("Open Time", F.col("t").cast("timestamp_ntz")).drop("t").withColumn("journal_id", F.lit("j"))
+    """Two journals: one of dated rows around midnight with a missing date and a missing symbol, one of a single row."""
+    rows = [
+        ("a", 1, "2031-05-04 00:00:00", "Copper", 1250.5, None), ("a", 2, "2031-05-04 23:59:59", "copper.x", -3.25, "late"), ("a", 3, "2031-05-05 00:00:00", None, 7.0, "COPPER in the note"),
+        ("a", 4, None, "Copper", 0.0, "undated"), ("a", 5, "2031-06-01 12:00:00", "Tin", None, "1250.5 as text"), ("b", 6, "2031-05-04 12:00:00", "Tin", 1250.500000001, None),
+    ]
+    df = spark.createDataFrame(rows, "journal_id string, n int, t string, Symbol string, Profit double, Notes string")
+    return df.withColumn("Date", F.col("t").cast("timestamp_ntz")).drop("t")
 
 
 @pytest.mark.parametrize(
-    ("params", "symbols"),
+    ("params", "kept"),
     [
-        ({"start_date": "2025-03-12"}, ["GASOIL", "WHEAT"]), ({"end_date": "2025-03-11"}, ["CORN", "NAT_GAS"]), ({"symbol": "gas"}, ["GASOIL", "NAT_GAS"]),
-        ({"q": "buy"}, ["GASOIL", "NAT_GAS"]), ({"q": "64"}, ["GASOIL"]), ({"q": "2025-03-12"}, ["GASOIL"]), ({"q": "none"}, []),
-        ({"start_date": "bad", "q": None}, ["CORN", "GASOIL", "NAT_GAS", "WHEAT"]),
+        ({"start_date": "2031-05-04", "end_date": "2031-05-04"}, {1, 2, 6}), ({"start_date": "2031-05-05"}, {3, 5}), ({"end_date": "2031-05-03"}, set()),
+        ({"symbol": " COPPER "}, {1, 2, 4}), ({"symbol": "tin", "start_date": "2031-05-05"}, {5}), ({"q": "copper"}, {1, 2, 3, 4}), ({"q": "1,250.5"}, {1, 6}),
+        ({"q": "1250.5"}, {1, 5, 6}), ({"q": "2031-06"}, {5}), ({"q": "%"}, set()), ({"q": " "}, {1, 2, 3, 4, 5, 6}), ({"start_date": "2031-13-01"}, {1, 2, 3, 4, 5, 6}),
     ],
 )
-def test_scope(spark, params, symbols):
-    assert sorted(r["Symbol"] for r in scope.apply_scope(scoped(spark), params).collect()) == symbols
+def test_scope(spark, params, kept):
+    assert {r["n"] for r in scope.apply_scope(scoped(spark), params).collect()} == kept
 
 
 def test_lineage(spark):
-    found = scope.lineage(scoped(spark), {"symbol": "zzz", "start_date": "oops"}).first()
-    assert (found["source_rows"], found["analysed_rows"], found["zero_result"], found["active_filters"]) == (4, 0, True, {"symbol": "zzz"})
+    found = {r["journal_id"]: r for r in scope.lineage(scoped(spark), {"symbol": "copper", "end_date": "2031-05-31", "start_date": "soon"}).collect()}
+    assert [(found[j]["source_rows"], found[j]["analysed_rows"], found[j]["zero_result"]) for j in "ab"] == [(5, 2, False), (1, 0, True)]
+    assert all(r["active_filters"] == {"end_date": "2031-05-31", "symbol": "copper"} for r in found.values())
 
 
 def strict(spark, rows, schema, query):
