@@ -9,6 +9,9 @@ decides.
 n-grams are runs of four bytes of the lower-cased text, with all ASCII that is no
 letter taken as a blank; those with no letter are left out.
 
+A filter holds ``PASS_LANGUAGES`` languages; where there are more, texts pass one filter after the
+other and keep the best language of all, so none is left out and a task never holds more than one.
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a text
 with letters but no known n-gram gets the first language by name with score 0;
 without training rows every text is ``und``; ties go to the first language by
@@ -22,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.llm.labels import remainder
+from tallyspark.llm.scratch import materialize
 
 #: Training documents per language, about.
 TRAIN_DOCS = 3_000
@@ -37,8 +41,8 @@ SHARE = 0.02
 #: Languages that one bitmask word holds; more languages take more words.
 WORD_BITS = 64
 
-#: Languages that a model learns at most: those with the most documents.
-MAX_LANGUAGES = 256
+#: Languages of one filter: 16 MB for each 64 of them.
+PASS_LANGUAGES = 256
 
 
 def has_letter(text: str | None) -> bool:
@@ -69,17 +73,21 @@ def lowered(column: pa.Array) -> list[bytes]:
     return W.utf8(pc.utf8_lower(column.cast(pa.large_string())).cast(pa.large_binary()))
 
 
-def learn(docs: DataFrame, keep, train_docs: int = TRAIN_DOCS, share: float = SHARE) -> tuple[list[str], np.ndarray]:
-    """(languages, filter of shape (mask words, places)) from ``docs`` (doc_id, text, lang).
+def language_counts(docs: DataFrame, keep: Column) -> dict[str, int]:
+    """The languages of the documents to learn from, by name, with their documents: a row per language reaches the driver."""
+    usable = keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    counted = docs.filter(usable).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    return dict(sorted((r["lang"], r["n"]) for r in counted))
+
+
+def learn(docs: DataFrame, keep: Column, counts: dict[str, int], train_docs: int = TRAIN_DOCS, share: float = SHARE) -> tuple[list[str], np.ndarray]:
+    """(languages, filter of shape (mask words, places)) from ``docs`` (doc_id, text, lang), for the languages in ``counts``.
 
-    About ``train_docs`` documents of each language are taken, by hash of their ids;
-    of a column with more than ``MAX_LANGUAGES`` values the most frequent are learnt.
+    About ``train_docs`` documents of each language are taken, by hash of their ids.
     What reaches the driver is at most (n-grams per document / share) n-grams for
     each language.
     """
     usable = keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    by_lang = docs.filter(usable).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-    counts = {r["lang"]: r["n"] for r in by_lang.limit(MAX_LANGUAGES).collect()}
     languages = sorted(counts)
     planes = max(1, -(-len(languages) // WORD_BITS))
     table = np.zeros((planes, PLACES), np.uint64)
@@ -97,22 +105,15 @@ def learn(docs: DataFrame, keep, train_docs: int = TRAIN_DOCS, share: float = SH
                 key = np.unique(rows.astype(np.int64) << np.int64(32) | gram.astype(np.int64))
                 rows, gram = key >> np.int64(32), key & np.int64(0xFFFFFFFF)
                 pair, docs_in = np.unique(lang[at : at + n][rows] << np.int64(32) | gram, return_counts=True)
-                used = np.bincount(lang[at : at + n], minlength=len(languages))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.append(pair >> np.int64(32), np.arange(len(languages)))),
-                        pa.array(np.append(pair & np.int64(0xFFFFFFFF), np.full(len(languages), -1))),
-                        pa.array(np.append(docs_in, used)),
-                    ],
-                    ["lang", "gram", "n"],
-                )
+                names = ["lang", "gram", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(pair >> np.int64(32)), pa.array(pair & np.int64(0xFFFFFFFF)), pa.array(docs_in)], names)
 
     found = (
         taken.select("text", "lang").mapInArrow(distinct, "lang long, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     least = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (i, share * min(train_docs, counts[k]))])
-    kept = found.filter((F.col("gram") >= 0) & (F.col("n") >= least[F.col("lang").cast("int")])).toArrow()
+    kept = found.filter(F.col("n") >= least[F.col("lang").cast("int")]).toArrow()
     lang, gram = kept["lang"].to_numpy(), kept["gram"].to_numpy()
     for i in range(len(languages)):
         bit = np.uint64(1 << (i % WORD_BITS))
@@ -132,9 +133,9 @@ def smallest(table: np.ndarray, n_languages: int) -> np.ndarray:
     return table.astype(next((t for b, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if n_languages <= b), np.uint64))
 
 
-def decide(texts: list[bytes], table: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the language, score) of each lower-cased text."""
-    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+def decide(texts: list[bytes], table: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language, its corrected hits, those of all languages) of each lower-cased text."""
+    best, most, every = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
     for at, n, rows, gram in grams(texts):
         hits, total = np.zeros((len(fp), n)), np.bincount(rows, minlength=n)
         spots = [places(gram, table.shape[1], k) for k in range(HASHES)]
@@ -148,29 +149,35 @@ def decide(texts: list[bytes], table: np.ndarray, fp: np.ndarray) -> tuple[np.nd
                 hits[plane * WORD_BITS + bit] = np.bincount(where[mask >> mask.dtype.type(bit) & mask.dtype.type(1) > 0], minlength=n)
         fixed = np.maximum(hits - total * fp[:, None], 0) / (1 - np.minimum(fp, 0.999))[:, None]
         best[at : at + n] = fixed.argmax(0)
-        score[at : at + n] = fixed.max(0) / np.maximum(fixed.sum(0), 1e-9)
-    return best, np.clip(score, 0, 1)
+        most[at : at + n], every[at : at + n] = fixed.max(0), fixed.sum(0)
+    return best, most, every
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text)."""
+JUDGED = "doc_id long, text string, name string, most double, every double"
+VERDICT = "doc_id long, lang_pred string, score double"
+
+
+def judged(rows: DataFrame, model: tuple[list[str], np.ndarray], last: bool) -> DataFrame:
+    """``rows`` (JUDGED) with the best language of those so far and of ``model``, of equals the earlier; after the last model the VERDICT."""
     languages, table = model
-    held = docs.sparkSession.sparkContext.broadcast(smallest(table, len(languages)))  # PLACES mask words
+    held = rows.sparkSession.sparkContext.broadcast(smallest(table, len(languages)))  # PLACES mask words
     fp = false_positive_rates(table, len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lettered = [bool(languages) and has_letter(t) for t in texts]
-            if languages:
-                best, score = decide(lowered(batch.column(1)), held.value, fp)
-            names = [languages[best[i]] if has else "und" for i, has in enumerate(lettered)]
-            scores = [float(score[i]) if has else 0.0 for i, has in enumerate(lettered)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+            best, most, every = decide(lowered(batch.column(1)), held.value, fp)
+            before, every = batch.column(3).to_numpy(), every + batch.column(4).to_numpy()
+            names = [languages[b] if m > m0 else old for b, m, m0, old in zip(best, most, before, batch.column(2).to_pylist(), strict=True)]
+            most = np.maximum(most, before)
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(most), pa.array(every)], ["doc_id", "text", "name", "most", "every"])
+                continue
+            lettered = np.array([has_letter(t) for t in batch.column(1).to_pylist()], bool)
+            shown = [name if has else "und" for name, has in zip(names, lettered, strict=True)]
+            score = np.clip(most / np.maximum(every, 1e-9), 0, 1) * lettered
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, VERDICT if last else JUDGED)
 
 
 def language_id(
@@ -181,7 +188,15 @@ def language_id(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    model = learn(rows, remainder("doc_id", modulus) != held_out, train_docs)
-    return identify(rows, model).select(
-        "doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "lang_pred", "score"
-    )
+    keep = remainder("doc_id", modulus) != held_out
+    counts = language_counts(rows, keep)
+    names = list(counts)
+    passes = [names[at : at + PASS_LANGUAGES] for at in range(0, len(names), PASS_LANGUAGES)]
+    seen = rows.select("doc_id", "text", F.lit(None).cast("string").alias("name"), F.lit(-1.0).alias("most"), F.lit(0.0).alias("every"))
+    for k, some in enumerate(passes):
+        last = k + 1 == len(passes)
+        seen = judged(seen, learn(rows, keep, {name: counts[name] for name in some}, train_docs), last)
+        seen = seen if last else materialize(seen, "languages-seen")
+    if not passes:
+        seen = rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    return seen.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "lang_pred", "score")
