@@ -7,7 +7,7 @@ count is corrected for the language's false-positive rate, and the highest count
 decides.
 
 n-grams are runs of four bytes of the lower-cased text, with all ASCII that is no
-letter taken as a blank; those with no letter are left out.
+letter taken as a blank and blanks after its end; those with no letter are left out.
 
 A filter holds ``PASS_LANGUAGES`` languages; where there are more, texts pass one filter after the
 other and keep the best language of all, so none is left out and a task never holds more than one.
@@ -53,14 +53,17 @@ def has_letter(text: str | None) -> bool:
 def grams(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each n-gram, n-gram) for block after block."""
     for at, n, data, starts in W.blocks(texts):
-        letter = W.IS_LETTER[data]
-        clean = np.where(letter, data, np.uint8(32)).astype(np.uint32)
-        if len(clean) < 4:
-            clean, letter = np.append(clean, [32] * 3).astype(np.uint32), np.append(letter, [False] * 3)
-        gram = clean[:-3] << np.uint32(24) | clean[1:-2] << np.uint32(16) | clean[2:-1] << np.uint32(8) | clean[3:]
-        some = letter[:-3] | letter[1:-2] | letter[2:-1] | letter[3:]
+        row = np.repeat(np.arange(n), np.diff(np.append(starts, len(data))))
+        more = np.zeros(3, np.int64)  # so that the last bytes begin n-grams as those of other texts do
+        letter, row = np.append(W.IS_LETTER[data], more > 0), np.append(row, more - 1)
+        clean = np.where(letter, np.append(data, more).astype(np.uint32), np.uint32(32))
+        gram, some = clean[:-3] << np.uint32(24), letter[:-3].copy()
+        for k, shift in ((1, 16), (2, 8), (3, 0)):
+            own = row[k : len(row) - 3 + k] == row[:-3]  # what follows a text counts as blank
+            gram |= np.where(own, clean[k : len(clean) - 3 + k], np.uint32(32)) << np.uint32(shift)
+            some |= letter[k : len(letter) - 3 + k] & own
         begins = np.flatnonzero(some)
-        yield at, n, np.searchsorted(starts, begins, "right") - 1, gram[begins]
+        yield at, n, row[begins], gram[begins]
 
 
 def places(gram: np.ndarray, n_places: int, k: int) -> np.ndarray:

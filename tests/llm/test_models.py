@@ -123,6 +123,18 @@ def test_language_filters_against_sets():
         assert hits[b] == max(hits) and (m, e) == pytest.approx((max(hits), sum(hits)), abs=1e-2)
 
 
+def test_grams_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [b"one two", b"x", b"", b"3 4", b"ends in a word", "\u00e9t\u00e9".encode(), b"q"]
+    together = {i: [] for i in range(len(texts))}
+    for at, _, rows, found in language_id.grams(texts):
+        for r, g in zip(rows.tolist(), found.tolist(), strict=True):
+            together[at + r].append(g)
+    for i, t in enumerate(texts):
+        clean = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in t) + b"   "
+        want = [int.from_bytes(clean[j : j + 4], "big") for j in range(len(t)) if clean[j : j + 4].strip()]
+        assert together[i] == want == [g for *_, gs in language_id.grams([t]) for g in gs.tolist()]
+
+
 def brute_toxicity(text, lexicon):
     words = re.findall("[a-z]+", text.lower())
     hits = [i for i, x in enumerate(words) if x in lexicon]
