@@ -12,8 +12,12 @@ containment then decides. A window can only share a band's row if it holds the
 shingle that has the template's least value there (its lead), so leads are looked up
 in the texts, and the bands of the windows around each are worked out and compared.
 
-All of it is DataFrame functions. Templates are a list of bounded length
-(``MAX_TEMPLATES``), which is why their tables may be broadcast.
+A text longer than ``LONG_WORDS`` words is a whole license: it is cut into parts of ``PART_WORDS``
+words, each a template, and the license is found in a document that holds half of its parts.
+
+All of it is DataFrame functions. Templates are scanned for ``PASS_TEMPLATES`` at a time, which
+bounds the tables that are broadcast; where there are more, the documents are written once
+and read again for each further pass.
 
 Edge cases: null and empty texts and texts of fewer than five words match nothing;
 a template needs five words; repeated rows are reported each (``row`` tells them
@@ -25,6 +29,9 @@ are read.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +40,13 @@ from tallyspark.llm.scratch import materialize
 WORDS = 5
 BANDS = 32
 CONTAINED = 0.8
-MAX_TEMPLATES = 200
+#: Templates of one pass over the documents.
+PASS_TEMPLATES = 200
+#: Words from which on a license is known by its parts, the words of a part, and the share of the parts that tells it.
+LONG_WORDS, PART_WORDS = 256, 128
+PARTS_FOUND = 0.5
+#: Whole texts of licenses, a file each, as their authors give them out.
+WHOLE = Path(__file__).resolve().parent / "licenses"
 
 # Notices as the licenses' own texts word them.
 TEMPLATES = [
@@ -92,29 +105,65 @@ def _leads(shingles: str) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(valued(b))["lead"]))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, size_class, tset, bands, leads) of notices of five words or more."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(t).alias("text")) for i, (k, t) in enumerate(templates or [("", "")])))
+def known_templates() -> list[tuple[str, str]]:
+    """The notices above, and the whole licenses of the folder ``WHOLE``."""
+    return TEMPLATES + [(path.stem, path.read_text("utf-8")) for path in sorted(WHOLE.glob("*.txt"))]
+
+
+def template_parts(templates: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """(number of the template, parts it takes, license, text) of each template or part of one; parts take up all words, the last the rest."""
+    out = []
+    for k, (name, text) in enumerate(templates):
+        words = text.split()
+        n = max(1, len(words) // PART_WORDS) if len(words) > LONG_WORDS else 1
+        edges = [i * PART_WORDS for i in range(n)] + [len(words)]
+        out += [(k, n, name, " ".join(words[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def template_table(spark: SparkSession, parts: list[tuple[int, int, str, str]], first: int = 0) -> DataFrame:
+    """(template, whole, needed, license, size_class, tset, bands, leads) of templates of five words or more, numbered from ``first``."""
+    entry = lambda i, k, n, name, text: F.struct(
+        F.lit(first + i).alias("template"), F.lit(k).alias("whole"), F.lit(math.ceil(PARTS_FOUND * n)).alias("needed"), F.lit(name).alias("license"), F.lit(text).alias("text")
+    )
+    listed = F.array(*(entry(i, *part) for i, part in enumerate(parts or [(0, 1, "", "")])))
     rows = spark.range(1).select(F.inline(listed)).withColumn("words", _words("text")).filter(F.size("words") >= WORDS)
     rows = rows.withColumn("seq", _shingles("words"))
     size = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("seq")))).cast("int")
-    return rows.select("template", "license", size.alias("size_class"), F.array_distinct("seq").alias("tset"), _bands("seq").alias("bands"), _leads("seq").alias("leads"))
+    return rows.select("template", "whole", "needed", "license", size.alias("size_class"), F.array_distinct("seq").alias("tset"), _bands("seq").alias("bands"), _leads("seq").alias("leads"))
 
 
 def scan(
     docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(row, doc_id, license, containment, n_windows, first_word) of each text and license found in it."""
-    spark = docs.sparkSession
-    notices = materialize(template_table(spark, TEMPLATES if templates is None else templates).coalesce(1), "license-templates")
-    leads = notices.select("size_class", F.explode("leads").alias("h")).distinct()  # MAX_TEMPLATES * BANDS rows at most
+    parts = template_parts(known_templates() if templates is None else templates)
+    texts = docs.select(F.lit(None).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if len(parts) > PASS_TEMPLATES:
+        texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "license-documents")
+    found = [_matched(texts, parts[at : at + PASS_TEMPLATES], at) for at in range(0, max(1, len(parts)), PASS_TEMPLATES)]
+    matched = found[0]
+    for more in found[1:]:
+        matched = matched.unionByName(more)
+    best = _best(matched)
+    told = best.groupBy("row", "doc_id", "whole", "license").agg(
+        F.max("contained").alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min(F.array_min("at")).cast("long").alias("first_word"),
+        F.count_distinct("template").alias("n_parts"), F.max("needed").alias("needed"),
+    )
+    return told.filter("n_parts >= needed").groupBy("row", "doc_id", "license").agg(
+        F.max("containment").alias("containment"), F.sum("n_windows").alias("n_windows"), F.min("first_word").alias("first_word")
+    )
+
+
+def _matched(texts: DataFrame, parts: list[tuple[int, int, str, str]], first: int) -> DataFrame:
+    """(row, doc_id, size_class, w, template, ...) of the windows of ``texts`` that hold four fifths of one of ``parts``."""
+    notices = materialize(template_table(texts.sparkSession, parts, first).coalesce(1), "license-templates")
+    leads = notices.select("size_class", F.explode("leads").alias("h")).distinct()  # PASS_TEMPLATES * BANDS rows at most
     known = [r[0] for r in leads.select("h").distinct().collect()] or [0]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", _words("text").alias("words"))
+    rows = texts.select("row", "doc_id", _words("text").alias("words"))
     # The row number keeps the filter below from being pushed into the words, which would split a text anew per shingle.
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", _shingles("words").alias("seq"))
+    number = F.coalesce("row", F.monotonically_increasing_id())
+    rows = rows.select(number.alias("row"), "doc_id", _shingles("words").alias("seq"))
     held = materialize(rows.filter(F.exists("seq", lambda h: h.isin(known))), "license-texts")
 
     touched = held.select("row", F.posexplode("seq").alias("pos", "h")).join(F.broadcast(leads), "h")
@@ -124,22 +173,15 @@ def scan(
         "row", "doc_id", "size_class", "w", F.expr("slice(seq, w * size_class + 1, 2 * size_class)").alias("part")
     )
     banded = windows.withColumn("bands", _bands("part")).select("*", F.posexplode("bands").alias("band", "value")).drop("bands")
-    of_template = notices.select("template", "license", "size_class", "tset", F.posexplode("bands").alias("band", "value"))
+    of_template = notices.select("template", "whole", "needed", "license", "size_class", "tset", F.posexplode("bands").alias("band", "value"))
     retrieved = banded.join(F.broadcast(of_template), ["size_class", "band", "value"])
     per_window = retrieved.groupBy("row", "doc_id", "size_class", "w", "template").agg(
-        F.first("license").alias("license"), F.first("part").alias("part"), F.first("tset").alias("tset")
+        *(F.first(c).alias(c) for c in ("whole", "needed", "license", "part", "tset"))
     )
     contained = F.size(F.array_intersect("tset", "part")) / F.size("tset")
     places_of = F.expr("filter(transform(part, (h, i) -> if(array_contains(tset, h), w * size_class + i, -1)), x -> x >= 0)")
     matched = per_window.withColumn("contained", contained).filter(F.col("contained") >= CONTAINED).withColumn("at", places_of)
-    matched = materialize(matched.drop("part", "tset"), "license-matched")
-    return (
-        _best(matched).groupBy("row", "doc_id", "license")
-        .agg(
-            F.max("contained").alias("containment"), F.count(F.lit(1)).alias("n_windows"),
-            F.min(F.array_min("at")).cast("long").alias("first_word"),
-        )
-    )
+    return materialize(matched.drop("part", "tset"), "license-matched")
 
 
 def _best(matched: DataFrame) -> DataFrame:

@@ -289,6 +289,33 @@ def test_whole_licenses(spark):
     assert {i: {"bsd", "bsd-2-clause"} if name == "bsd-2-clause" else {name} for i, name in ids.items()} == found
 
 
+def test_license_bodies(spark, monkeypatch):
+    """Whole long licenses, some of their words changed, are told apart; a paragraph of one is not it; passes find what one pass finds."""
+    r = random.Random(8)
+    bodies = {name: text.split() for name, text in license_scan.known_templates()[len(license_scan.TEMPLATES) :]}
+    assert {"gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "apache-2.0", "cc0-1.0"} == set(bodies)
+    rows = []
+    for i, words in enumerate(bodies.values()):
+        changed = [w if r.random() > 0.01 else "altered" for w in words]
+        rows += [(i, " ".join(["intro"] * 77 + changed + ["outro"] * 9)), (100 + i, " ".join(words[: len(words) // 5]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = [(name, " ".join(words)) for name, words in bodies.items()]
+    told = {}
+    for size in (40, 500):
+        monkeypatch.setattr(license_scan, "PASS_TEMPLATES", size)
+        told[size] = {(x["doc_id"], x["license"], x["n_windows"], x["first_word"]) for x in license_scan.scan(df, wanted).collect()}
+    assert told[40] == told[500]
+    assert {(i, name) for i, name, *_ in told[40]} == {(i, name) for i, name in enumerate(bodies)}
+
+
+def test_many_templates(spark):
+    """Three hundred notices, more than a pass holds; of two with equal words the one that is held is told, both if both are."""
+    notices = [(f"l{k:03d}", " ".join(f"n{k}w{j}" for j in range(12))) for k in range(300)] + [("same-a", "one notice of two names here"), ("same-b", "one notice of two names here")]
+    rows = [(k, f"before {text} after") for k, (_, text) in enumerate(notices[:-1])]
+    found = {(x["doc_id"], x["license"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices).collect()}
+    assert found == {(k, f"l{k:03d}") for k in range(300)} | {(300, "same-a"), (300, "same-b")}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     vectors = r.normal(size=(900, 8)).round(2)
