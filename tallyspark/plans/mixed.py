@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
 from tallyspark.operators import corpus, excursion, review, scope, strict_queries
-from tallyspark.plans.queries import TRADES, query
-from tallyspark.plans.tables import BAR_SECONDS, event_bars, event_trades, table
+from tallyspark.plans.queries import EVENTS, TRADES, query
+from tallyspark.plans.tables import BAR_SECONDS, event_bars, event_journal, event_trades, table
 from tallyspark.session import settled, shared_path
 from tallyspark.sources import journals as files
+from tallyspark.sources.csv_text import DELIMITERS
+from tallyspark.sources.ranges import range_cells
 
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 MIXED = f"""{TRADES}, mx AS (SELECT *, ticket % 4 AS kind, ticket // 4 % 3 AS part, round(exit - entry, 2) AS p FROM tr)"""
@@ -142,6 +144,23 @@ def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {EVENTS} SELECT symbol, side, count(*) AS n, round(sum(p), 4) AS profit, count(*) AS broken_lines, count(*) AS places, true AS shared FROM ev GROUP BY 1, 2""")
+def journal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events journal as one file, every note with quotes and line breaks, read in ranges of 64 KB by many tasks."""
+    path = shared_path(spark, "one-file")
+    rows = event_journal(spark, sf_dir).withColumn("Notes", F.concat(F.lit('a "b"\n\nc, '), F.coalesce("Notes", F.lit("")), F.lit("\n,x")))
+    shown = rows.select("Ticket", "Open Time", "Symbol", "Notes", "Type", "Profit")
+    shown.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    sizes = {r[0]: r[1] for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()}
+    cells = range_cells(spark, sizes, DELIMITERS, 1 << 16)
+    found = files.widened(cells.drop("fault"))
+    notes = F.col("Notes").startswith('a "b"\n\nc, ') & F.col("Notes").endswith("\n,x")
+    return found.groupBy(F.col("Symbol").alias("symbol"), F.col("Type").alias("side")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("Profit"), 4).alias("profit"), F.count_if(notes).alias("broken_lines"),
+        F.count_distinct("journal_id", "row_ord").alias("places"), F.lit(max(sizes.values()) > 1 << 16).alias("shared"),
+    )
+
+
 @query("""SELECT name || '.csv' AS file, status, reason, CAST(CASE WHEN name IN ('sound', 'words', 'other') THEN n ELSE 0 END AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM part),
 (VALUES ('sound', 'processed', 'OK'), ('words', 'error', 'NO_PARSABLE_PROFIT'), ('other', 'error', 'MISSING_PROFIT'), ('header', 'error', 'EMPTY_DATASET'), ('empty', 'error', 'EMPTY_DATASET'),
  ('open', 'error', 'UNREADABLE_FILE')) v(name, status, reason) UNION ALL SELECT 'sound.txt', 'error', 'UNSUPPORTED_FILE', 0""")

@@ -21,11 +21,10 @@ from tallyspark.functions.cleaning import (
     recorded_time, text, without_zone,
 )
 from tallyspark.session import settled
+from tallyspark.sources.csv_text import DELIMITERS, decoded, delimiter, header_names, records
+from tallyspark.sources.ranges import range_cells
 
-# Encodings in the order tried, the characters that may part fields, and the columns of a bar file.
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
-DELIMITERS = ",;\t|"
-HEAD_CHARS = 2048
+# The columns of a bar file.
 BAR_COLUMNS = ("TimestampUTC", "Symbol", "Open", "High", "Low", "Close")
 #: Rows that leave a file's reader together.
 BATCH_ROWS = 10_000
@@ -34,52 +33,6 @@ JOURNAL_ROWS = "journal_id string, row_ord long, cells map<string,string>, fault
 BAR_ROWS = "bar_set_id string, fault string, " + ", ".join(f"{c} string" for c in BAR_COLUMNS)
 
 
-def decoded(content: bytes) -> str:
-    """A file's text by the first encoding that reads all of it."""
-    for encoding in ENCODINGS:
-        try:
-            return content.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return content.decode(ENCODINGS[-1], "replace")
-
-
-def delimiter(content: str) -> str:
-    """What parts the fields, seen from the file's head."""
-    try:
-        return csv.Sniffer().sniff(content[:HEAD_CHARS], DELIMITERS).delimiter
-    except csv.Error:
-        return ","
-
-
-def header_names(fields: list[str]) -> list[str]:
-    """Trimmed names, told apart where they repeat; empty ones count their place."""
-    out: list[str] = []
-    for i, field in enumerate(fields):
-        name = field.strip() or f"_c{i}"
-        out.append(name if name not in out else f"{name}.{sum(n == name or n.startswith(f'{name}.') for n in out)}")
-    if "Commissions" in out and "Commission" not in out:
-        out[out.index("Commissions")] = "Commission"
-    return out
-
-
-class _Lines:
-    """The lines of a text, and whether the last has been asked for."""
-
-    def __init__(self, text: str) -> None:
-        self.rest, self.over = io.StringIO(text, newline=""), False
-
-    def __iter__(self) -> _Lines:
-        return self
-
-    def __next__(self) -> str:
-        line = self.rest.readline()
-        if not line:
-            self.over = True
-            raise StopIteration
-        return line
-
-
 def journal_lines(content: bytes) -> Iterator[tuple[int | None, list[tuple[str, str]], str | None]]:
     """(place, cells, fault) of a journal file's data rows; a quoted field may hold line breaks.
 
@@ -87,15 +40,12 @@ def journal_lines(content: bytes) -> Iterator[tuple[int | None, list[tuple[str,
     cells, blank lines are no rows. What is no CSV, or ends inside quotes, ends with a row of
     the fault UNREADABLE_FILE, which goes for the whole file.
     """
-    csv.field_size_limit(1 << 30)
     text = decoded(content)
-    lines = _Lines(text)
-    rows = csv.reader(lines, delimiter=delimiter(text))
     names: list[str] = []
     place = 0
     try:
-        for fields in rows:
-            if lines.over:  # the reader asked for more inside quotes
+        for fields, whole in records(text, delimiter(text)):
+            if not whole:
                 raise csv.Error("the file ends inside quotes")
             if not fields:
                 continue
@@ -133,9 +83,19 @@ def _parsed(files: DataFrame, read: Callable[[str, bytes], Iterator[tuple]], sch
     return files.filter(F.lower("path").endswith(".csv")).select("path", "content").mapInArrow(run, schema)
 
 
+#: Bytes from which on a journal file is read in ranges, by many tasks; a smaller one is read whole by one.
+LARGE_FILE = 64 << 20
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(journal_id, row_ord, cells, fault) of all CSV files below ``path``: the file, the row's place in it, name -> text."""
-    return _parsed(_files(spark, path), lambda p, content: ((p, *row) for row in journal_lines(content)), JOURNAL_ROWS)
+    """(journal_id, row_ord, cells, fault) of all CSV files below ``path``: the file, the row's place in it, name -> text.
+
+    The names of large files, as many at most as the data have ``LARGE_FILE`` bytes, reach the driver.
+    """
+    files = _files(spark, path).filter(F.lower("path").endswith(".csv"))
+    large = {r[0]: r[1] for r in files.filter(F.col("length") > LARGE_FILE).select("path", "length").collect()}
+    small = _parsed(files.filter(F.col("length") <= LARGE_FILE), lambda p, content: ((p, *row) for row in journal_lines(content)), JOURNAL_ROWS)
+    return small.unionByName(range_cells(spark, large, DELIMITERS)) if large else small
 
 
 def date_forms(cells: DataFrame) -> DataFrame:
