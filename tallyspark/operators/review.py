@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
+from tallyspark.session import settled
 
 DISAGREEMENT = 0.1
 PAGE_ROWS = 10
@@ -63,16 +64,16 @@ def enrich(df: DataFrame) -> DataFrame:
     return joined.withColumns({f"movement_{k}": v for k, v in found.items()}).drop("_told", "_own")
 
 
-def sort_order(df: DataFrame, key: str, descending: bool = False, order_by: str = "row_ord") -> list[Column]:
-    """Nulls (blank and nan-like text too) last either way; ties by numeric ticket, then input order.
+def sort_values(df: DataFrame, key: str, order_by: str = "row_ord") -> list[Column]:
+    """What rows are compared by: the sorted column of each journal's own header, the numeric ticket, the input order.
 
-    The sorted column is that of each journal's own header; a journal without one stays in input order.
+    Blank and nan-like text is null. A journal without such a column stays in input order.
     """
     names, kind = SORT_KEYS.get(key, ((), ""))
     if not any(c in df.columns for c in names):
-        return [F.col(order_by).asc()]
+        return [F.col(order_by)]
     has = C.own_any(df, names)
-    ties = [F.when(has, C.number(C.by_header(df, C.TICKET_COLUMNS))).asc_nulls_last()] if "Ticket" in df.columns else []
+    ties = [F.when(has, C.number(C.by_header(df, C.TICKET_COLUMNS)))] if "Ticket" in df.columns else []
     if kind == "number":
         value = C.number(C.by_header(df, names))
     elif kind == "date":
@@ -80,13 +81,52 @@ def sort_order(df: DataFrame, key: str, descending: bool = False, order_by: str
     else:
         lower = F.lower(C.text(C.by_header(df, names)))
         value = F.when(~lower.isin("nan", "none", "nat", "<na>"), lower)
-    return [value.desc_nulls_last() if descending else value.asc_nulls_last(), *ties, F.col(order_by).asc()]
+    return [value, *ties, F.col(order_by)]
+
+
+def directions(values: Sequence[Column], descending: bool) -> list[Column]:
+    """Nulls last either way; only the first value descends."""
+    first, *ties = [v.asc_nulls_last() for v in values]
+    return [values[0].desc_nulls_last() if descending and ties else first, *ties]
+
+
+def sort_order(df: DataFrame, key: str, descending: bool = False, order_by: str = "row_ord") -> list[Column]:
+    """Nulls (blank and nan-like text too) last either way; ties by numeric ticket, then input order."""
+    return directions(sort_values(df, key, order_by), descending)
+
+
+#: Places up to which each task keeps the first rows of a journal by itself; deeper pages are looked up by counted ranges.
+DEEP = 1000
 
 
-def page(df: DataFrame, key: str, descending: bool = False, number: int = 1, rows: int = PAGE_ROWS) -> DataFrame:
-    """One page of each journal, with each row's place in the sorted journal."""
-    place = F.row_number().over(Window.partitionBy("journal_id").orderBy(*sort_order(df, key, descending)))
-    return df.withColumn("place", place).filter(F.col("place").between((number - 1) * rows + 1, number * rows))
+def page(df: DataFrame, key: str, descending: bool = False, number: int = 1, rows: int = PAGE_ROWS, partitions: int | None = None) -> DataFrame:
+    """One page of each journal, with each row's place in the sorted journal.
+
+    Spark keeps the first rows of each journal in every task where the last place is
+    ``DEEP`` or less. For a deeper page the rows' values are dealt by ranges of (journal,
+    values) and counted per range; only the ranges that hold the page are ordered, each by a
+    task of its own, so no task sorts a journal. A row's (journal_id, row_ord) is its own.
+    """
+    lo, hi = (number - 1) * rows + 1, number * rows
+    if hi <= DEEP:
+        place = F.row_number().over(Window.partitionBy("journal_id").orderBy(*sort_order(df, key, descending)))
+        return df.withColumn("place", place).filter(F.col("place").between(lo, hi))
+    values = sort_values(df, key)
+    names = [f"_v{i}" for i in range(len(values))]
+    narrow = df.select("journal_id", F.col("row_ord").alias("_row"), *(v.alias(n) for v, n in zip(values, names, strict=True)))
+    order = directions([F.col(n) for n in names], descending)
+    ranges = [F.col("journal_id").asc(), *order]
+    dealt = narrow.repartitionByRange(partitions, *ranges) if partitions else narrow.repartitionByRange(*ranges)
+    # Written, so that the ranges are drawn once.
+    dealt = settled(dealt.withColumn("_part", F.spark_partition_id()))
+    counted = dealt.groupBy("journal_id", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("journal_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per journal and range
+    counted = counted.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    wanted = counted.filter((F.col("_first") < hi) & (F.col("_first") + F.col("_rows") >= lo)).drop("_rows")
+    inside = Window.partitionBy("journal_id", "_part").orderBy(*order)
+    placed = dealt.join(wanted, ["journal_id", "_part"]).withColumn("place", (F.col("_first") + F.row_number().over(inside)).cast("int"))
+    found = placed.filter(F.col("place").between(lo, hi)).select("journal_id", F.col("_row").alias("row_ord"), "place")
+    return df.join(found, ["journal_id", "row_ord"])
 
 
 def first_page(df: DataFrame, key: str, descending: bool = False, rows: int = PAGE_ROWS) -> DataFrame:

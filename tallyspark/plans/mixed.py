@@ -129,6 +129,14 @@ def mixed_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {EVENTS}, o AS (SELECT event_id, row_number() OVER (ORDER BY lower(symbol) DESC, event_id) AS place, count(*) OVER () AS n FROM ev)
+SELECT event_id AS ticket, place FROM o WHERE place BETWEEN 3001 AND 3010""")
+def review_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 301st page of all events as one journal, sorted by a column of five values."""
+    found = review.page(event_journal(spark, sf_dir, 1), "symbol", descending=True, number=301)
+    return found.select(F.col("Ticket").alias("ticket"), F.col("place").cast("long").alias("place"))
+
+
 @query(f"""WITH {MIXED}, s AS (SELECT *, CASE kind WHEN 0 THEN '%Y-%m-%d %H:%M:%S' WHEN 1 THEN '%d/%m/%Y %H:%M:%S' ELSE '%m/%d/%Y %H:%M:%S' END AS shape FROM mx)
 SELECT ticket, symbol, CASE kind WHEN 0 THEN side WHEN 1 THEN upper(left(side, 1)) || substr(side, 2) WHEN 2 THEN upper(side) ELSE '' END AS side, CASE WHEN kind < 3 THEN strftime(o, '%Y-%m-%d %H:%M:%S') ELSE '' END AS opened,
   CASE kind WHEN 0 THEN strftime(c, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(c, '%d/%m/%Y %H:%M:%S') WHEN 2 THEN strftime(c, '%m/%d/%Y %H:%M:%S') ELSE '' END AS closed, CASE WHEN kind < 3 THEN entry END AS entry, false AS told FROM s""")

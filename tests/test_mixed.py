@@ -102,3 +102,16 @@ def test_a_journal_without_rows_has_no_data(spark):
     listed = spark.createDataFrame([("a",), ("b",)], "journal_id string")
     found = {r["journal_id"]: (r["n_rows"], r["status"]) for r in strict_queries.run(rows, "TRADE_COUNT", journals=listed).status.collect()}
     assert found == {"a": (1, "OK"), "b": (0, "NO_DATA")}
+
+
+@pytest.mark.parametrize("key", ["profit", "symbol", "open_time", "no_such_key"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages_by_ranges(spark, monkeypatch, key, descending):
+    """Every page by counted ranges is that of the sorted journal, with ties, nulls and a journal far larger than the others."""
+    rows = [("hot" if i % 5 else f"j{i % 3}", i, str(i % 50), (i * 37) % 11 if i % 7 else None, ["TIN", "tin", None, " ", "nan"][i % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "journal_id string, row_ord long, Ticket string, Profit long, Symbol string").repartition(4)
+    pages = [review.page(df, key, descending, number=n, rows=60).select("journal_id", "row_ord", "place").collect() for n in range(1, 8)]
+    monkeypatch.setattr(review, "DEEP", 0)
+    deep = [review.page(df, key, descending, number=n, rows=60, partitions=7) for n in (1, 3, 6, 7)]
+    for n, found in zip((1, 3, 6, 7), deep, strict=True):
+        assert sorted(map(tuple, found.select("journal_id", "row_ord", "place").collect())) == sorted(map(tuple, pages[n - 1]))
