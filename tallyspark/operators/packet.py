@@ -11,6 +11,14 @@ from tallyspark.session import settled
 TRADE, KPI, DATASET = "TRADE_EVIDENCE", "KPI_EVIDENCE", "DATASET_CONTEXT"
 REQUEST_VERSION, TASK_TYPE = "grounded-ai-request-v1", "EVIDENCE_SUMMARY"
 MAX_ITEMS, MAX_QUESTION_CHARS, MAX_TEXT_CHARS = 10, 500, 80
+# Evidence states that each type of document may have.
+STATUSES = {
+    TRADE: (
+        "COMPUTED", "NO_MARKET_DATA", "NO_M1_EVIDENCE", "INVALID_TRADE_DATA", "TIMEZONE_AMBIGUOUS", "TIME_BASIS_INCONSISTENT", "INCOMPLETE_COVERAGE",
+        "INVARIANT_VIOLATION",
+    ),
+    KPI: ("AUTHORITATIVE",), DATASET: ("NO_M1_EVIDENCE", "BOUND"),
+}
 # The fields a packet may hold: key, label, type, unit, document type.
 FIELDS = [
     ("ticket", "Ticket", "IDENTIFIER", "", TRADE), ("symbol", "Symbol", "IDENTIFIER", "", TRADE), ("side", "Type", "ENUM", "", TRADE),
@@ -135,17 +143,58 @@ def packets(results: DataFrame, states: DataFrame, questions: DataFrame, fields:
         )
     )
     request = F.to_json(F.struct(c("fields"), c("limitation_codes"), c("question"), F.lit(REQUEST_VERSION).alias("schema_version"), F.lit(TASK_TYPE).alias("task_type")))
-    return joined.withColumns({"fault": fault, "limitation_codes": limits}).select("request_id", "question", "fault", "limitation_codes", F.sha2(request, 256).alias("request_sha256"), c("n").alias("n_items"), "journal_fingerprint", "document_ids")
+    return joined.withColumns({"fault": fault, "limitation_codes": limits}).select("request_id", "question", "fault", "limitation_codes", F.sha2(request, 256).alias("request_sha256"), c("n").alias("n_items"), "journal_fingerprint", "document_ids", F.lit(REQUEST_VERSION).alias("schema_version"), F.lit(TASK_TYPE).alias("task_type"))
 
 
-def integrity(fields: DataFrame, headers: DataFrame) -> DataFrame:
-    """Per request: whether aliases run E1..En, fields are unique, and excursion fields come in fours."""
-    unique = fields.groupBy("request_id", "alias", "field_key").agg(F.count(F.lit(1)).alias("n"))
-    items = unique.groupBy("request_id", "alias").agg(F.max("n").alias("n"), F.count_if(F.col("field_key").isin(*EXCURSION_FIELDS)).alias("k"))
-    number = F.regexp_extract("alias", r"^E([1-9][0-9]*)$", 1).try_cast("int")
-    found = items.groupBy("request_id").agg(F.max("n").alias("n"), F.bool_and(F.col("k").isin(0, 4)).alias("fours"), F.count(F.lit(1)).alias("items"), F.max(number).alias("last"), F.count_distinct(number).alias("numbers"))
-    sound = (F.col("n") == 1) & F.col("fours") & (F.col("items") <= MAX_ITEMS) & (F.col("last") == F.col("items")) & (F.col("numbers") == F.col("items"))
-    return headers.select("request_id").join(found, "request_id", "left").select("request_id", F.coalesce(sound, F.lit(False)).alias("sound"))
+def integrity(fields: DataFrame, headers: DataFrame, items: DataFrame) -> DataFrame:
+    """(request_id, verdict, sound) of each packet: OK, or the first rule that it breaks.
+
+    ``items``: request_id, rank, document_type, evidence_status. The rules, in order: versions and
+    task; at least one item and at most ``MAX_ITEMS``; aliases E1..En; per item a known type, a
+    state that the type may have, some fields, none twice, each one authorised for the type and
+    of its form, only numbers claimable; all four excursion fields where a trade is computed
+    and none where it is not; the stated bar evidence is the item's; the limitation codes are those
+    that the evidence asks for. PARTIAL_EVIDENCE rests on what was not taken, so it is
+    free here. One row per item and request is shuffled.
+    """
+    known = field_dictionary(fields.sparkSession).select("field_key", F.col("value_type").alias("known_type"), F.col("document_type").alias("of_type"))
+    c = F.col
+    typed = fields.join(items.select("request_id", "rank", "document_type"), ["request_id", "rank"]).join(F.broadcast(known), "field_key", "left")
+    # A status is an enumeration whose values the item's own state decides.
+    formed = F.when(c("field_key") == "bar_evidence_status", F.lit(True)).otherwise(F.coalesce(valid_value(c("value"), c("value_type")), F.lit(False)))
+    bad = ~F.coalesce((c("of_type") == c("document_type")) & (c("known_type") == c("value_type")), F.lit(False)) | ~formed | c("fault").isNotNull()
+    bad |= c("claimable") & ~c("value_type").isin("DECIMAL", "INTEGER")
+    excursion = c("field_key").isin(*EXCURSION_FIELDS)
+    per_item = typed.groupBy("request_id", "rank").agg(
+        F.count(F.lit(1)).alias("n_fields"), F.count_distinct("field_key").alias("n_keys"), F.bool_or(bad).alias("bad"), F.min("alias").alias("a0"), F.max("alias").alias("a1"),
+        F.count_distinct(F.when(excursion, c("field_key"))).alias("k"), F.max(F.when(c("field_key") == "bar_evidence_status", c("value"))).alias("told"),
+        F.bool_or(c("field_key").isin("approx_mfe", "approx_mae")).alias("approx"), F.max(F.when(c("field_key") == "symbol", c("value"))).alias("symbol"),
+    )
+    item = items.select("request_id", "rank", "document_type", "evidence_status").join(per_item, ["request_id", "rank"], "left")
+    trade, computed = c("document_type") == TRADE, c("evidence_status") == "COMPUTED"
+    allowed = F.coalesce(*(F.when(c("document_type") == kind, c("evidence_status").isin(*states)) for kind, states in STATUSES.items()), F.lit(False))
+    unfit = ~F.coalesce(allowed, F.lit(False)) | c("n_fields").isNull() | (c("n_fields") != c("n_keys")) | c("bad")
+    unfit |= trade & F.when(computed, c("k") < len(EXCURSION_FIELDS)).otherwise(c("k") > 0)
+    aliased = F.coalesce((c("a0") == c("a1")) & (c("a0") == F.concat(F.lit("E"), c("rank").cast("string"))), c("n_fields").isNull())
+    approx = trade & computed & F.coalesce("approx", F.lit(False))
+    found = item.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count_distinct("rank").alias("ranks"), F.max("rank").alias("last"), F.min("rank").alias("first"), F.bool_and(aliased).alias("aliased"),
+        F.bool_or(F.coalesce(unfit, F.lit(True))).alias("unfit"), F.bool_or(trade & (c("told") != c("evidence_status"))).alias("untrue"), F.bool_or(approx).alias("approx"),
+        F.bool_or(trade & (c("evidence_status") == "NO_MARKET_DATA")).alias("unavailable"), F.count_distinct(F.when(approx, c("symbol"))).alias("n_symbols"),
+    )
+    needs = F.array(*(F.struct(F.coalesce(on, F.lit(False)).alias("on"), F.lit(code).alias("code")) for on, code in ((c("approx"), LIMITATIONS[0]), (c("unavailable"), LIMITATIONS[1]), (c("n_symbols") > 1, LIMITATIONS[2]))))
+    joined = headers.select("request_id", "limitation_codes", "schema_version", "task_type").join(found, "request_id", "left").withColumn("needs", needs)
+    stated = lambda need: F.array_contains(F.coalesce("limitation_codes", F.array().cast("array<string>")), need["code"])
+    unknown = F.exists("limitation_codes", lambda code: ~code.isin(*LIMITATIONS)) | (F.size("limitation_codes") != F.size(F.array_distinct("limitation_codes")))
+    verdict = (
+        F.when(~c("schema_version").eqNullSafe(F.lit(REQUEST_VERSION)) | ~c("task_type").eqNullSafe(F.lit(TASK_TYPE)), "SCHEMA_VERSION_MISMATCH")
+        .when(c("items").isNull(), "REQUEST_EMPTY_EVIDENCE").when(c("items") > MAX_ITEMS, "SCHEMA_LIMIT_EXCEEDED")
+        .when(~c("aliased") | (c("first") != 1) | (c("last") != c("items")) | (c("ranks") != c("items")), "REQUEST_MISMATCH")
+        .when(c("unfit"), "EVIDENCE_FIELD_INVALID").when(c("untrue"), "STATUS_CONTRADICTION")
+        .when(F.coalesce(unknown, F.lit(False)), "LIMITATION_UNKNOWN_CODE").when(F.exists("needs", lambda n: n["on"] & ~stated(n)), "LIMITATION_REQUIRED_MISSING")
+        .when(F.exists("needs", lambda n: ~n["on"] & stated(n)), "STATUS_CONTRADICTION").otherwise("OK")
+    )
+    return joined.select("request_id", verdict.alias("verdict"), (verdict == "OK").alias("sound"))
 
 
 def prompt(fields: DataFrame, headers: DataFrame) -> DataFrame:

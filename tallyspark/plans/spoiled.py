@@ -364,12 +364,59 @@ def retrieval_case_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STATES} SELECT query_id AS request_id, state = 'OK' AS sound FROM st UNION ALL
-SELECT journal_id || '-' || v.k, v.k <> 'empty' FROM st, (VALUES ('empty'), ('invalid'), ('other')) v(k) WHERE st.k = 'ticket'""")
+SELECT journal_id || '-' || v.k, false FROM st, (VALUES ('empty'), ('invalid'), ('other')) v(k) WHERE st.k = 'ticket'""")
 def packet_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a request's packet is well formed: those without rows are not."""
+    """Whether a request's packet is well formed: those without rows, with a value of a wrong form or another symbol are not."""
     results, states, questions = _requests(spark, sf_dir)
     fields = settled(packet.packet_fields(results))
-    return packet.integrity(fields, packet.packets(results, states, questions, fields))
+    return packet.integrity(fields, packet.packets(results, states, questions, fields), results).drop("verdict")
+
+
+#: What is spoiled in a copy of each ticket's packet, and the rule that it then breaks.
+BROKEN = {
+    "sound": "OK", "version": "SCHEMA_VERSION_MISMATCH", "task": "SCHEMA_VERSION_MISMATCH", "alias": "REQUEST_MISMATCH", "gap": "REQUEST_MISMATCH", "kind": "EVIDENCE_FIELD_INVALID",
+    "status": "EVIDENCE_FIELD_INVALID", "twice": "EVIDENCE_FIELD_INVALID", "unknown": "EVIDENCE_FIELD_INVALID", "form": "EVIDENCE_FIELD_INVALID", "claimed": "EVIDENCE_FIELD_INVALID",
+    "measured": "EVIDENCE_FIELD_INVALID", "unmeasured": "EVIDENCE_FIELD_INVALID", "untrue": "STATUS_CONTRADICTION", "computed": "OK", "no_limit": "LIMITATION_REQUIRED_MISSING",
+    "limit": "STATUS_CONTRADICTION", "market": "LIMITATION_REQUIRED_MISSING", "told_market": "OK", "strange": "LIMITATION_UNKNOWN_CODE", "partial": "OK",
+}
+
+
+@query(f"""WITH {EVENTS}, u AS (SELECT DISTINCT journal_id FROM ev) SELECT journal_id, v.k AS form, v.verdict FROM u, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in BROKEN.items())}) v(k, verdict)""")
+def packet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule for packets, met by a packet of each user that breaks it alone, and those that keep them all."""
+    results, states, questions = _requests(spark, sf_dir)
+    own = "request_id LIKE '%-ticket'"
+    results = settled(results.filter(own))
+    fields = settled(packet.packet_fields(results))
+    headers = settled(packet.packets(results, states.filter(own), questions.filter(own), fields))
+    forms = F.explode(F.array(*map(F.lit, BROKEN))).alias("form")
+    copied = lambda rows: rows.select("*", forms).withColumn("request_id", F.regexp_replace("request_id", "-ticket$", "")).withColumn("request_id", F.concat_ws("-", "request_id", "form"))
+    fields, headers, items = copied(fields), copied(headers), copied(results.select("request_id", "rank", "document_type", "evidence_status"))
+    form, key = F.col("form"), F.col("field_key")
+    is_form = lambda *names: form.isin(*names)
+    measured = is_form("computed", "no_limit", "measured")
+    state = F.when(is_form("computed", "no_limit", "unmeasured"), "COMPUTED").when(is_form("market", "told_market"), "NO_MARKET_DATA").when(is_form("status"), "AUTHORITATIVE").otherwise(F.col("evidence_status"))
+    items = items.withColumns({"evidence_status": state, "document_type": F.when(is_form("kind"), "RUMOUR").otherwise(F.col("document_type")), "rank": F.when(is_form("gap"), 2).otherwise(F.col("rank"))})
+    told = F.when((key == "bar_evidence_status") & is_form("computed", "no_limit", "unmeasured", "untrue"), "COMPUTED").when((key == "bar_evidence_status") & is_form("market", "told_market"), "NO_MARKET_DATA")
+    told = told.when((key == "bar_evidence_status") & is_form("status"), "AUTHORITATIVE").when((key == "profit") & is_form("form"), "1.5.2")
+    changed = {
+        "value": F.coalesce(told, "value"), "alias": F.when(is_form("alias"), "E2").when(is_form("gap"), "E2").otherwise(F.col("alias")), "rank": F.when(is_form("gap"), 2).otherwise(F.col("rank")),
+        "claimable": F.when(is_form("claimed") & (key == "symbol"), True).otherwise(F.col("claimable")), "field_key": F.when(is_form("unknown") & (key == "symbol"), "mood").otherwise(key),
+    }
+    more = fields.filter((key == "ticket") & is_form("twice"))
+    for name in packet.EXCURSION_FIELDS:
+        extra = fields.filter((key == "ticket") & measured)
+        more = more.unionByName(extra.withColumns({"field_key": F.lit(name), "value": F.lit("1.5"), "value_type": F.lit("DECIMAL"), "claimable": F.lit(True)}))
+    codes = F.when(is_form("computed"), F.array(F.lit("APPROXIMATE_M1_EVIDENCE"))).when(is_form("limit"), F.array(F.lit("CROSS_SYMBOL_NOT_COMPARABLE"))).when(is_form("told_market"), F.array(F.lit("EVIDENCE_UNAVAILABLE")))
+    codes = codes.when(is_form("strange"), F.array(F.lit("NO_SUCH_CODE"))).when(is_form("partial"), F.array(F.lit("PARTIAL_EVIDENCE"))).otherwise(F.array().cast("array<string>"))
+    headers = headers.withColumns(
+        {
+            "limitation_codes": codes, "schema_version": F.when(is_form("version"), "older").otherwise(F.col("schema_version")),
+            "task_type": F.when(is_form("task"), "OTHER").otherwise(F.col("task_type")),
+        }
+    )
+    found = packet.integrity(fields.withColumns(changed).unionByName(more.select(fields.columns)), headers, items)
+    return found.select(F.regexp_extract("request_id", "^(.*)-[a-z_]+$", 1).alias("journal_id"), F.regexp_extract("request_id", "-([a-z_]+)$", 1).alias("form"), "verdict")
 
 
 @query(f"""WITH {EVENTS}, u AS (SELECT DISTINCT journal_id FROM ev) SELECT journal_id || '-ticket' AS request_id, true AS asks, 1 AS items, true AS names_ticket, '' AS limits FROM u""")

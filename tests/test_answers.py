@@ -106,7 +106,7 @@ def test_validation(spark, answers):
     one = states.withColumnRenamed("query_id", "request_id").withColumn("candidate_count", F.lit(1))
     headers = settled(packet.packets(exact, one, asked))
     assert headers.first()["fault"] is None and headers.first()["limitation_codes"] == []
-    assert packet.integrity(fields, headers).first()["sound"]
+    assert packet.integrity(fields, headers, exact).first()["verdict"] == "OK"
     assert packet.prompt(fields, headers).first()["prompt"].startswith("Question: What was  it?")
     rows = [(f"c{i:02d}", "exact", c if isinstance(c, str) else json.dumps(c)) for i, (c, _) in enumerate(CANDIDATES)]
     candidates = spark.createDataFrame(rows, "case_id string, request_id string, candidate_json string")
