@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from tallyspark.session import settled
 
 
-def _placed(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str], partitions: int | None) -> DataFrame:
+def placed(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str], partitions: int | None) -> DataFrame:
     """``df`` with its range ``_part``, and place ``_n`` and sum ``_sum`` within the key's rows there."""
     order = [*keys, *order_by]
     dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     # Written, so that the ranges are drawn once; what is read back is grouped by range where it lies.
-    placed = settled(dealt.withColumn("_part", F.spark_partition_id()))
+    dealt = settled(dealt.withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *keys).orderBy(*order_by)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumns({"_sum": F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(upto), "_n": F.row_number().over(inside) - 1})
+    return dealt.withColumns({"_sum": F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(upto), "_n": F.row_number().over(inside) - 1})
 
 
 def _offsets(placed: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def _joined(placed: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 def running_sum(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """``df`` with ``position`` (from 0) and ``running`` in each key's sequence (null values count as 0)."""
-    joined = _joined(_placed(df, value, order_by, keys, partitions), value, keys)
+    joined = _joined(placed(df, value, order_by, keys, partitions), value, keys)
     return joined.withColumns({"position": F.col("_first") + F.col("_n"), "running": F.col("_base") + F.col("_sum")}).drop(
         "_part", "_sum", "_n", "_base", "_first", "_peak"
     )
@@ -58,7 +58,7 @@ def running_sum(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequen
 def max_drawdown(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Per key: the largest fall of the running sum from its peak, 0 being the first peak."""
     columns = list(dict.fromkeys([*keys, *order_by, value]))
-    joined = _joined(_placed(df.select(*columns), value, order_by, keys, partitions), value, keys)
+    joined = _joined(placed(df.select(*columns), value, order_by, keys, partitions), value, keys)
     inside = Window.partitionBy("_part", *keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     level = F.col("_base") + F.col("_sum")
     peak = F.greatest(F.lit(0.0), F.col("_peak"), F.max(level).over(inside))

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
-from tallyspark.operators import corpus, excursion, review, scope, strict_queries
+from tallyspark.operators import corpus, excursion, review, scope, segments, strict_queries
 from tallyspark.plans.queries import EVENTS, TRADES, query
 from tallyspark.plans.tables import BAR_SECONDS, event_bars, event_journal, event_trades, table
 from tallyspark.session import settled, shared_path
 from tallyspark.sources import journals as files
+from tallyspark.sources import versions
 from tallyspark.sources.csv_text import DELIMITERS
 from tallyspark.sources.ranges import range_cells
 
@@ -190,3 +191,33 @@ def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, audit = files.read_journals(spark, path)
     folder = F.regexp_extract("journal_id", r"/([a-z-]+)/[^/]*$", 1)
     return audit.select(F.when(folder == "sound-text", "sound.txt").otherwise(F.concat(folder, F.lit(".csv"))).alias("file"), "status", "reason", F.when(F.col("reason").isin("UNREADABLE_FILE", "UNSUPPORTED_FILE"), 0).otherwise(F.col("n_rows")).cast("long").alias("n_rows"))
+
+
+# --- kept tables --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {EVENTS}, run AS (SELECT journal_id, p, sum(p) OVER w AS level, ts, event_id FROM ev WINDOW w AS (PARTITION BY journal_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+fall AS (SELECT journal_id, p, greatest(0, max(level) OVER (PARTITION BY journal_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) - level AS fall FROM run)
+SELECT journal_id, count(*) AS rows, round(sum(p), 4) AS total, round(max(fall), 4) AS max_drawdown FROM fall GROUP BY 1""")
+def drawdown_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawdowns from kept days, after a seventh of all rows came late: only their days were summarised anew."""
+    rows = event_journal(spark, sf_dir)
+    late = F.col("Ticket") % 7 == 3
+    order = ["Open Time", "Ticket"]
+    stored = settled(segments.day_summaries(rows.filter(~late), "Profit", order, "Open Time"))
+    found = segments.drawdowns(segments.refreshed(stored, rows.filter(late), rows, "Profit", order, "Open Time"))
+    return found.select("journal_id", "rows", F.round("total", 4).alias("total"), F.round("max_drawdown", 4).alias("max_drawdown"))
+
+
+@query(f"""WITH {EVENTS} SELECT v.version, journal_id, count(*) AS n, round(sum(CASE WHEN v.version >= 2 AND CAST(journal_id AS BIGINT) % 10 = 3 THEN p + 1 ELSE p END), 4) AS profit
+FROM ev, (VALUES (1), (2), (3)) v(version) WHERE NOT (v.version = 3 AND CAST(journal_id AS BIGINT) % 10 = 4) GROUP BY 1, 2""")
+def journal_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the events' journals: as they are, with a tenth of them changed, and with a tenth gone."""
+    path = shared_path(spark, "versions")
+    rows = event_journal(spark, sf_dir)
+    tenth = F.col("journal_id").cast("long") % 10
+    versions.write(rows, path)
+    versions.write(rows.filter(tenth == 3).withColumn("Profit", F.col("Profit") + 1), path)
+    versions.write(rows.limit(0), path, journals=rows.filter(tenth == 4).select("journal_id").distinct())
+    found = [versions.load(spark, path, v).groupBy("journal_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Profit"), 4).alias("profit")).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])

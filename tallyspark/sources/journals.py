@@ -227,18 +227,6 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(_files(spark, path), bar_lines, BAR_ROWS)
 
 
-def persist(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Keep cleaned journals so that one journal's rows lie together and in order."""
-    bucket = F.pmod(F.xxhash64("journal_id"), F.lit(buckets))
-    df.withColumn("journal_bucket", bucket).repartitionByRange("journal_id", "row_ord").sortWithinPartitions("journal_id", "row_ord").write.mode(
-        "overwrite"
-    ).partitionBy("journal_bucket").parquet(path)
-
-
-def reload(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("journal_bucket")
-
-
 def download(df: DataFrame, path: str) -> None:
     """The whole cleaned table as CSV, whatever filters a view has."""
     df.drop(HEADER, DATE_FORM).write.mode("overwrite").option("header", True).csv(path)

@@ -11,7 +11,7 @@ from tallyspark.functions import cleaning as C
 from tallyspark.operators import bars, charts, kpis, prefix_scan, scope, strict_queries
 from tallyspark.operators.exact_sum import exact_sums, two_places
 from tallyspark.session import settled
-from tallyspark.sources import journals
+from tallyspark.sources import journals, versions
 
 
 def profits(spark, values):
@@ -261,5 +261,5 @@ def test_exports(spark, tmp_path):
     assert journals.export_rows(df, ["Open Time", "Symbol"], 2.5).count() == 0
     first = journals.export_rows(df, ["Open Time", "Symbol", "Nope"], 2.0).orderBy("Open Time").first()
     assert tuple(first) == ("2025-03-10 07:15", "NAT_GAS")
-    journals.persist(df.withColumn("row_ord", F.monotonically_increasing_id()), str(tmp_path / "kept"))
-    assert journals.reload(spark, str(tmp_path / "kept")).count() == 4
+    versions.write(df.withColumn("row_ord", F.monotonically_increasing_id()), str(tmp_path / "kept"))
+    assert versions.load(spark, str(tmp_path / "kept")).count() == 4
