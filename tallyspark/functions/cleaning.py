@@ -111,6 +111,15 @@ def text(value: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def folded(value: Column) -> Column:
+    """Text with case folded in full, as ``str.casefold`` does: ß is ss, final and other sigmas are one, the dotless i stays.
+
+    Upper and then lower case unfold what is longer in capitals; the dotless i would become a plain one on the way, so it waits aside.
+    """
+    capitals = F.replace(F.upper(F.translate(value, "\u0131", "\ue000")), F.lit("\u1e9e"), F.lit("SS"))
+    return F.translate(F.lower(capitals), "\u03c2\ue000", "\u03c3\u0131")
+
+
 def number(value: Column) -> Column:
     """The finite number in a cell, else null."""
     cell = text(value)

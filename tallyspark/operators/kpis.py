@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.cleaning import folded
 from tallyspark.operators import prefix_scan
 
 # Measure names in their fixed order, with the column that holds each.
@@ -84,5 +85,5 @@ def rendered(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def search_rendered(long: DataFrame, query: object) -> DataFrame:
     """Measures whose name or value text contains the query."""
-    wanted = "" if query is None else str(query).strip().lower()
-    return long.filter(F.lower("metric").contains(wanted) | F.lower("value").contains(wanted)) if wanted else long
+    wanted = "" if query is None else str(query).strip()
+    return long.filter(folded(F.col("metric")).contains(folded(F.lit(wanted))) | folded(F.col("value")).contains(folded(F.lit(wanted)))) if wanted else long

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.cleaning import folded
 from tallyspark.operators.scope import clean
 
 
@@ -42,16 +43,16 @@ def measures(trades: DataFrame) -> DataFrame:
 
 def filtered(trades: DataFrame, symbol: object = None, side: object = None, status: object = None, q: object = None) -> DataFrame:
     """Symbol contains, side and status equal, q in any of five columns; newest first."""
-    low = lambda c: F.lower(F.col(c))
+    low = lambda c: folded(F.col(c))
     if clean(symbol):
-        trades = trades.filter(low("symbol").contains(clean(symbol).lower()))
+        trades = trades.filter(low("symbol").contains(folded(F.lit(clean(symbol)))))
     for name, value in (("side", side), ("status", status)):
         if clean(value):
             trades = trades.filter(F.col(name) == clean(value))
     if clean(q):
         hit = F.lit(False)
         for c in ("symbol", "tag", "notes", "status", "side"):
-            hit |= F.coalesce(low(c).contains(clean(q).lower()), F.lit(False))
+            hit |= F.coalesce(low(c).contains(folded(F.lit(clean(q)))), F.lit(False))
         trades = trades.filter(hit)
     return trades.orderBy(F.desc("open_time"))
 

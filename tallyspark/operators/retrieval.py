@@ -151,6 +151,7 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
 
     ``queries``: query_id, journal_id, text, ticket, symbol, document_type, top_k (null: default) and, if
     the column is there, the journal_fingerprint that the journal's documents must carry.
+    A corpus whose documents carry several fingerprints answers nothing.
     A query that cannot be asked (text over the limit, top_k below 1, a ticket that is
     no ticket, an unknown type) gives no rows and counts nothing. A ticket's candidates
     are the trades with that ticket. Documents are read once; statistics belong to the
@@ -172,6 +173,7 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
         sound = F.coalesce(F.col("verdict") == "OK", F.lit(False))
     else:
         sound = F.lit(True)
+    sound &= F.coalesce(F.col("print0") == F.col("print1"), F.lit(True))  # a corpus is of one state of its journal
     if guarded:
         sound &= F.coalesce((F.col("print0") == F.col("wanted_print")) & (F.col("print1") == F.col("wanted_print")), F.lit(False))
     fault = (

@@ -79,7 +79,7 @@ def sort_values(df: DataFrame, key: str, order_by: str = "row_ord") -> list[Colu
     elif kind == "date":
         value = C.opened(df, names)
     else:
-        lower = F.lower(C.text(C.by_header(df, names)))
+        lower = C.folded(C.text(C.by_header(df, names)))
         value = F.when(~lower.isin("nan", "none", "nat", "<na>"), lower)
     return [value, *ties, F.col(order_by)]
 

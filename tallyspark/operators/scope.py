@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.cleaning import HEADER, OPEN_COLUMNS, number, opened, own, own_any, quoted
+from tallyspark.functions.cleaning import HEADER, OPEN_COLUMNS, folded, number, opened, own, own_any, quoted
 
 # The columns that a search looks into.
 SEARCH_TEXT = ("Symbol", "Type", "Side", "Tag", "Tags", "Notes", "Comment", "Comments", "Strategy", "Reason")
@@ -33,14 +33,14 @@ def _any(found: list[Column]) -> Column:
 
 
 def search(df: DataFrame, query: str) -> Column:
-    """Literal, case-insensitive match in text, numbers (8 places) or dates; null never matches.
+    """Literal match, case folded, in text, numbers (8 places) or dates; null never matches.
 
     Text is looked for in the named columns that the row's own journal has, or else in all its text.
     """
     kinds = dict(df.dtypes)
     listed = [c for c in SEARCH_TEXT if c in kinds]
     others = [c for c, k in kinds.items() if k == "string" and c != "journal_id"]
-    within = lambda columns: _any([F.coalesce(F.lower(quoted(c).cast("string")).contains(query.lower()), F.lit(False)) for c in columns])
+    within = lambda columns: _any([F.coalesce(folded(quoted(c).cast("string")).contains(folded(F.lit(query))), F.lit(False)) for c in columns])
     found = [F.when(own_any(df, listed), within(listed)).otherwise(within(others)) if HEADER in kinds else within(listed or others)]
     try:
         wanted = float(query.replace(",", ""))
@@ -67,7 +67,7 @@ def predicate(df: DataFrame, params: Mapping[str, object]) -> tuple[Column, dict
             active[key] = (dated, bound.isoformat())
     wanted = clean(params.get("symbol"))
     if wanted and "Symbol" in df.columns:
-        keep &= ~own(df, "Symbol") | F.coalesce(F.lower(F.col("Symbol").cast("string")).contains(wanted.lower()), F.lit(False))
+        keep &= ~own(df, "Symbol") | F.coalesce(folded(F.col("Symbol").cast("string")).contains(folded(F.lit(wanted))), F.lit(False))
         active["symbol"] = (own(df, "Symbol"), wanted)
     query = clean(params.get("q"))
     if query:
@@ -92,4 +92,4 @@ def lineage(df: DataFrame, params: Mapping[str, object], journal: str = "journal
 def select_raw(df: DataFrame, symbol: object) -> DataFrame:
     """The rows of a symbol scope as they are, without any parsing."""
     wanted = clean(symbol)
-    return df.filter(F.lower(F.col("Symbol").cast("string")).contains(wanted.lower())) if wanted and "Symbol" in df.columns else df
+    return df.filter(folded(F.col("Symbol").cast("string")).contains(folded(F.lit(wanted)))) if wanted and "Symbol" in df.columns else df

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.cleaning import OPEN_COLUMNS, by_header, name_by_header, number, number_class, offset_text, opened, own, own_any, quoted, text
+from tallyspark.functions.cleaning import OPEN_COLUMNS, by_header, folded, name_by_header, number, number_class, offset_text, opened, own, own_any, quoted, text
 from tallyspark.functions.digests import table_digest
 from tallyspark.operators.exact_sum import exact_sums, two_places
 
@@ -41,7 +41,7 @@ def duplicate_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
 
 def symbol_variants(df: DataFrame, keys: list[str], symbol: str = "Symbol") -> DataFrame:
     """Symbols that differ only by case or outer blanks: folded form and number of spellings."""
-    spelled = df.filter(text(quoted(symbol)).isNotNull()).select(*keys, F.lower(F.trim(quoted(symbol))).alias("folded"), quoted(symbol).alias("spelling"))
+    spelled = df.filter(text(quoted(symbol)).isNotNull()).select(*keys, folded(F.trim(quoted(symbol))).alias("folded"), quoted(symbol).alias("spelling"))
     counts = spelled.distinct().groupBy(*keys, "folded").agg(F.count(F.lit(1)).alias("spellings"))
     return counts.filter("spellings >= 2")
 

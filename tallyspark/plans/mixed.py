@@ -8,12 +8,13 @@ beside its Open; kind 3 has neither times, sides nor prices.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
-from tallyspark.operators import corpus, excursion, review, scope, segments, strict_queries
-from tallyspark.plans.queries import EVENTS, TRADES, query
+from tallyspark.operators import bars as B
+from tallyspark.operators import corpus, excursion, retrieval, review, scope, segments, strict_queries
+from tallyspark.plans.queries import BARS, EVENTS, STATES, TRADES, _asked, _corpus, query
 from tallyspark.plans.tables import BAR_SECONDS, event_bars, event_journal, event_trades, table
 from tallyspark.session import settled, shared_path
 from tallyspark.sources import journals as files
@@ -221,3 +222,69 @@ def journal_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions.write(rows.limit(0), path, journals=rows.filter(tenth == 4).select("journal_id").distinct())
     found = [versions.load(spark, path, v).groupBy("journal_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Profit"), 4).alias("profit")).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+# --- what other queries do not meet -------------------------------------------------------------------
+
+
+@query(f"""WITH {STATES} SELECT query_id, CASE WHEN CAST(journal_id AS BIGINT) % 5 = 2 AND k <> 'long' THEN 'CORPUS_INVALID' ELSE state END AS state FROM st""")
+def retrieval_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to corpora of which a fifth mix documents of two states of their journal."""
+    docs = _corpus(spark, sf_dir)
+    mixed = (F.col("journal_id").cast("long") % 5 == 2) & (F.col("document_type") == "DATASET_CONTEXT")
+    docs = docs.withColumn("journal_fingerprint", F.when(mixed, "older").otherwise(F.col("journal_fingerprint")))
+    _, states = retrieval.retrieve(docs, _asked(spark, sf_dir))
+    return states.select("query_id", "state")
+
+
+@query(f"""WITH {EVENTS.replace("CAST(user_id AS VARCHAR)", "CAST(user_id % 7 AS VARCHAR)")} SELECT journal_id, CASE WHEN count(*) FILTER (WHERE event_id % 9 = 4) > 0 THEN 'INVALID_INPUT' ELSE 'OK' END AS status,
+CASE WHEN count(*) FILTER (WHERE event_id % 9 = 4) > 0 THEN 'SYMBOL_MISSING Symbol ' || count(*) FILTER (WHERE event_id % 9 = 4) ELSE '' END AS issues FROM ev GROUP BY 1""")
+def strict_missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal with a blank or missing symbol anywhere gives no count by symbol, but the count of such rows."""
+    rows = event_journal(spark, sf_dir, 7)
+    t = F.col("Ticket")
+    rows = rows.withColumn("Symbol", F.when((t % 9 == 4) & (t % 2 == 0), "  ").when(t % 9 != 4, F.col("Symbol")))
+    found = strict_queries.run(rows, "TRADE_COUNT_BY_SYMBOL").status
+    first = F.try_element_at("issues", F.lit(1))
+    return found.select("journal_id", "status", F.coalesce(F.concat_ws(" ", first["reason"], first["column"], first["row_count"].cast("string")), F.lit("")).alias("issues"))
+
+
+@query(f"""WITH {BARS} SELECT symbol, count(*) AS n_rows, min(t) AS first_at, max(t) AS last_at, true AS in_order, true AS hashed FROM bars GROUP BY 1""")
+def bar_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of bars per symbol: its rows and range, its hash against that of its own bytes, and whether kept bars lie in order."""
+    path = shared_path(spark, "bar-provenance")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = event_bars(spark, sf_dir).select(F.col("symbol").alias("part"), stamp.alias("TimestampUTC"), F.col("symbol").alias("Symbol"), *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close")))
+    rows.repartition("part").write.partitionBy("part").option("header", True).csv(path)
+    parsed = settled(B.parse(files.read_bars(spark, path)).filter("reason IS NULL"))
+    B.stored(parsed, f"{path}-kept")
+    kept = spark.read.parquet(f"{path}-kept").withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    before = F.lag("ts").over(Window.partitionBy("_file", "symbol").orderBy("_at"))
+    order = kept.withColumn("ok", F.coalesce(F.col("ts") >= before, F.lit(True))).groupBy("symbol").agg(F.bool_and("ok").alias("in_order"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    told = B.provenance(raw, parsed).select("*", F.explode("symbols").alias("symbol"))
+    bytes_of = raw.select(F.col("path").alias("bar_set_id"), F.sha2("content", 256).alias("own"))
+    return told.join(bytes_of, "bar_set_id").join(order, "symbol").select(
+        "symbol", "n_rows", F.unix_timestamp("first_bar").alias("first_at"), F.unix_timestamp("last_bar").alias("last_at"), "in_order", (F.col("sha256") == F.col("own")).alias("hashed")
+    )
+
+
+@query("""SELECT c_custkey, c_name || '.csv' AS file FROM customer WHERE contains(lower(c_name || '.csv'), '1.csv') AND c_custkey % 3 = 0""")
+def file_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named after customers, those whose name holds a text and whose state is asked for, whatever the case."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat("c_name", F.lit(".csv")).alias("file"), F.when(F.col("c_custkey") % 3 == 0, "Error").otherwise("processed").alias("status"), F.timestamp_seconds("c_custkey").alias("uploaded_at")
+    )
+    return files.registry(rows, " 1.CSV ", "ERROR").select("c_custkey", "file")
+
+
+@query("""SELECT event_id % 3 AS kind, CASE WHEN h < l THEN 'INVARIANT_VIOLATION' ELSE 'COMPUTED' END AS status, count(*) AS n FROM (SELECT event_id, 3.0 AS h, CASE event_id % 3 WHEN 0 THEN 5.0 ELSE 1.0 END AS l FROM events) GROUP BY ALL""")
+def evidence_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trade per event within one bar of its own; a third of the bars have their low above their high."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_id"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("symbol"))
+    at = F.lit("2024-01-05 10:00:00").cast("timestamp")
+    trades = ids.select(F.col("event_id").alias("ticket"), "symbol", F.lit("buy").alias("side"), F.lit(2.0).alias("entry"), F.lit(2.5).alias("exit"), at.alias("open_utc"), at.alias("close_utc"))
+    low = F.when(F.col("event_id") % 3 == 0, 5.0).otherwise(1.0)
+    bars = ids.select("symbol", at.alias("ts"), F.lit(3.0).alias("high"), low.alias("low"))
+    found = excursion.window_join(trades, bars, ["ticket"])
+    return found.groupBy((F.col("ticket") % 3).alias("kind"), "status").agg(F.count(F.lit(1)).alias("n"))

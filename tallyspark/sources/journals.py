@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.cleaning import (
-    CLOSE_COLUMNS, DATE_FORM, FORMS, HEADER, INDEX_COLUMN, OPEN_COLUMNS, RR_COLUMNS, basename, by_header, contract, forms_read, normalise, number, own, quoted,
+    CLOSE_COLUMNS, DATE_FORM, FORMS, HEADER, INDEX_COLUMN, OPEN_COLUMNS, RR_COLUMNS, basename, by_header, contract, folded, forms_read, normalise, number, own, quoted,
     recorded_time, text, without_zone,
 )
 from tallyspark.session import settled
@@ -280,9 +280,9 @@ def preview(df: DataFrame, order_by: str = "row_ord", rows: int = 25, columns: S
 def registry(files: DataFrame, name: str | None = None, status: str | None = None) -> DataFrame:
     """File registry, newest first; ``name`` is contained, ``status`` equal, case aside."""
     if text_of(name):
-        files = files.filter(F.lower("file").contains(text_of(name).lower()))
+        files = files.filter(folded(F.col("file")).contains(folded(F.lit(text_of(name)))))
     if text_of(status):
-        files = files.filter(F.lower("status") == text_of(status).lower())
+        files = files.filter(folded(F.col("status")) == folded(F.lit(text_of(status))))
     return files.orderBy(F.desc("uploaded_at"), "file")
 
 
