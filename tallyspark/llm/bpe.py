@@ -11,6 +11,11 @@ is a tree of its own, over tokens: an encoding is the right one when each adjace
 pair of its tokens is, so agreement in one token at either end of a window makes
 the joined list exact.
 
+The upper halves of a text longer than ``PART_TEXT`` are rows of their own, encoded by
+tasks that other parts of the same text do not share; in a second step the parts of a
+text meet by its row, and the seams between them are encoded anew in the same way. Only there is
+a text's list of pieces whole, as its digests ask for.
+
 Edge cases: null text counts as empty; empty text gives no ids; each input row
 gives one output row, repeated rows and null ids included; only the named id and
 text columns are read, so further columns never clash.
@@ -24,11 +29,16 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.scratch import materialize
+
 #: Characters above which a piece is encoded as a tree of leaves, and above which a text is.
 LEAF_CHARS, LEAF_TEXT = 1024, 512
+#: Characters above which the halves of a text are rows of their own.
+PART_TEXT = 1 << 16
 #: Characters on either side of a seam that the first window holds.
 SEAM_CHARS = 24
 #: Pieces that a worker remembers before it starts anew.
@@ -110,11 +120,14 @@ class PieceEncoder:
                     out += [MAPPED + piece for piece, _ in mapped]
         return out
 
-    def tree_pieces(self, text: str) -> list[str]:
-        """As ``pieces``, by halves that are encoded on their own and joined."""
-        plain = self.plain(text)
+    def tree_pieces(self, text: str, plain: bool | None = None, known: dict[tuple[int, int], list[str]] | None = None) -> list[str]:
+        """As ``pieces``, by halves that are encoded on their own and joined; ``known`` holds the pieces of some parts (``halves``)."""
+        plain = self.plain(text) if plain is None else plain
+        known = known or {}
 
         def tree(start: int, stop: int) -> list[str]:
+            if (start, stop) in known:
+                return known[start, stop]
             if stop - start <= LEAF_TEXT:
                 return self.pieces(text[start:stop], plain)
             middle = (start + stop) // 2
@@ -180,14 +193,25 @@ class PieceEncoder:
                 return left[: len(left) - len(a)] + seam + right[len(b) :]
             width *= 2
 
+    def piece_list_ids(self, pieces: list[str]) -> list[int]:
+        return [i for piece in pieces for i in self.piece_ids(piece)]
+
     def ids(self, text: str) -> list[int]:
-        return [i for piece in self.tree_pieces(text) for i in self.piece_ids(piece)]
+        return self.piece_list_ids(self.tree_pieces(text))
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary names no decoder: its tokens are joined by blanks."""
         return " ".join(self.token[i] for i in ids)
 
 
+def halves(start: int, stop: int, most: int) -> list[tuple[int, int]]:
+    """The parts of at most ``most`` characters that halving leaves, in order."""
+    if stop - start <= most:
+        return [(start, stop)]
+    middle = (start + stop) // 2
+    return halves(start, middle, most) + halves(middle, stop, most)
+
+
 def _merges(path: str) -> list[tuple[str, str]]:
     import json
 
@@ -221,41 +245,71 @@ def _id_text(ids: list[int]) -> str:
     return " ".join(map(str, ids))
 
 
-def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids (array of int) and the text decoded from them."""
+def _encoded(docs: DataFrame, vocab: str, told: Callable[[PieceEncoder, list[str]], tuple], schema: str, kinds: list[pa.DataType], id_col: str, text_col: str) -> DataFrame:
+    """doc_id and what ``told`` makes of the pieces of each text: short texts as they lie, long ones by parts."""
+    names, most = [c.split()[0] for c in schema.split(", ")], PART_TEXT
+    part_names = ["row", "doc_id", "plain", "start", "stop", "text"]
+    part_kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds], strict=True)], names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(vocab)
+        for batch in batches:
+            yield rows_of([(i, *told(coder, coder.tree_pieces(t or ""))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, row = encoder(vocab), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text, row = text.as_py(), row + 1
+                plain = coder.plain(text)
+                found = [(row, doc_id, plain, a, b, text[a:b]) for a, b in halves(0, len(text), most)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), part_kinds, strict=True)], part_names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocab)
         for batch in batches:
-            ids = [coder.ids(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+            pieces = [coder.tree_pieces(t.as_py(), p.as_py()) for t, p in zip(batch.column("text"), batch.column("plain"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in part_names), pa.array(pieces, pa.list_(pa.string()))], [*part_names, "pieces"])
+
+    def join(table: pa.Table) -> pa.Table:
+        coder = encoder(vocab)
+        table = table.sort_by("start")
+        bounds = zip(table["start"].to_pylist(), table["stop"].to_pylist(), strict=True)
+        known = {at: pieces.as_py() for at, pieces in zip(bounds, table["pieces"], strict=True)}
+        pieces = coder.tree_pieces("".join(table["text"].to_pylist()), table["plain"][0].as_py(), known)
+        return pa.Table.from_batches([rows_of([(table["doc_id"][0].as_py(), *told(coder, pieces))])])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    long = F.char_length("text") > most
+    short = rows.filter(~F.coalesce(long, F.lit(False))).mapInArrow(whole, schema)
+    part_schema = "row long, doc_id long, plain boolean, start long, stop long, text string"
+    # Written, so that the rows' numbers are drawn once.
+    parts = materialize(rows.filter(long).mapInArrow(parted, part_schema), "bpe-parts")
+    pieces = parts.repartition("row", "start").mapInArrow(encode, f"{part_schema}, pieces array<string>")
+    return short.unionByName(pieces.groupBy("row").applyInArrow(join, schema))
+
+
+def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ids (array of int) and the text decoded from them."""
+
+    def told(coder: PieceEncoder, pieces: list[str]) -> tuple:
+        ids = coder.piece_list_ids(pieces)
+        return ids, coder.decode(ids)
+
+    return _encoded(docs, vocab, told, "doc_id long, ids array<int>, decoded string", [pa.list_(pa.int32()), pa.string()], id_col, text_col)
 
 
 def encode_digests(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, number of tokens, digests of the ids and of the decoded text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocab)
-        for batch in batches:
-            id_text = remembered(vocab, "id_text", _id_text)
-            decoded = remembered(vocab, "decoded", coder.decode)
-            counts, id_sums, text_sums = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = coder.tree_pieces(text or "")
-                joined = " ".join([id_text[p] for p in pieces])
-                counts.append(joined.count(" ") + 1 if joined else 0)
-                id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sums.append(hashlib.sha256(" ".join([decoded[p] for p in pieces]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+    def told(coder: PieceEncoder, pieces: list[str]) -> tuple:
+        id_text, decoded = remembered(vocab, "id_text", _id_text), remembered(vocab, "decoded", coder.decode)
+        joined = " ".join([id_text[p] for p in pieces])
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        return joined.count(" ") + 1 if joined else 0, digest(joined), digest(" ".join([decoded[p] for p in pieces]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, vocab, told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], id_col, text_col)

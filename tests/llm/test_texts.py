@@ -84,6 +84,24 @@ def test_halves_join_anywhere(whole, monkeypatch):
             assert coder.ids(text) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_by_parts(spark, whole, monkeypatch):
+    """A text of a million words, one without blanks and texts whose parts end anywhere, encoded by many tasks, against the library."""
+    monkeypatch.setattr(bpe, "PART_TEXT", 1000)
+    r = random.Random(9)
+    words = ["a", "the", "ing's", "é", "日本語", "12½", "--", "<|endoftext|>", "\n", "don't", "x" * 30]
+    rows = [(i, "".join(r.choice(words) + r.choice(["", " "]) for _ in range(900))) for i in range(12)] + [(50, "ab" * 3000), (51, "long " * 3000), (51, "long " * 3000), (None, "日" * 2500)]
+    million = " ".join(f"{w}{i % 977}" for i, w in enumerate(["some", "words", "of", "it"] * 250_000))
+    for most, texts in ((1000, rows), (1 << 16, [(60, million)])):
+        monkeypatch.setattr(bpe, "PART_TEXT", most)
+        found = Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"]) for x in bpe.encode_digests(spark.createDataFrame(texts, "doc_id long, text string"), VOCAB).collect())
+        want = Counter()
+        for i, text in texts:
+            ids = whole.encode(text, add_special_tokens=False).ids
+            want[(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] += 1
+        assert found == want
+    assert bpe.halves(0, 10, 3) == [(0, 2), (2, 5), (5, 7), (7, 10)]
+
+
 def test_digests_of_an_empty_table(spark, docs):
     assert bpe.encode_digests(docs.limit(0), VOCAB).count() == 0
 
