@@ -31,6 +31,16 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return wanted or 0, found
 
 
+def last_tag(spark: SparkSession, path: str) -> int:
+    """The highest tag that a version was written with, -1 without any: what a restarted writer has done already."""
+    try:
+        told = spark.read.option("mergeSchema", True).parquet(f"{path}/manifest")
+    except AnalysisException:
+        return -1
+    found = told.agg(F.max("tag")).first()[0]
+    return -1 if found is None else found
+
+
 def _rows(spark: SparkSession, path: str, folders: dict[int, str]) -> DataFrame | None:
     if not folders:
         return None
@@ -38,11 +48,11 @@ def _rows(spark: SparkSession, path: str, folders: dict[int, str]) -> DataFrame
     return spark.read.option("mergeSchema", True).parquet(*names)
 
 
-def write(df: DataFrame, path: str, journals: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+def write(df: DataFrame, path: str, journals: DataFrame | None = None, buckets: int = BUCKETS, tag: int | None = None) -> int:
     """Replace the journals in ``df``, and those in ``journals`` of which it has no rows, and return the new version.
 
     The rows of a bucket that changes are written again, in journal order; the others stay where they are. Columns
-    that only some rows have are null in the others.
+    that only some rows have are null in the others. ``tag`` is kept with the version.
     """
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64("journal_id"), F.lit(buckets)).cast("int")
@@ -62,7 +72,7 @@ def write(df: DataFrame, path: str, journals: DataFrame | None = None, buckets:
     present = {r[0] for r in rows.select(BUCKET).distinct().collect()}
     now = {b: f for b, f in before.items() if b not in touched} | {b: folder for b in present}
     entries = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(f).alias("folder")) for b, f in now.items())) if now else F.array(F.struct(F.lit(-1).alias("bucket"), F.lit("").alias("folder")))
-    spark.range(1).select(F.inline(entries)).coalesce(1).write.parquet(f"{path}/manifest/version={last + 1}")
+    spark.range(1).select(F.inline(entries)).withColumn("tag", F.lit(tag).cast("long")).coalesce(1).write.parquet(f"{path}/manifest/version={last + 1}")
     return last + 1
 
 

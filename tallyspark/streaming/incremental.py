@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.functions.cleaning import number, recorded_time
+from tallyspark.session import settled
+from tallyspark.sources import versions
 
 
 def arriving_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
@@ -18,15 +20,34 @@ def arriving_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataF
 
 
 def monthly_profit(rows: DataFrame) -> DataFrame:
-    """Running monthly totals; null dates take no part."""
+    """(journal_id, month, profit, n_rows); null dates take no part."""
     month = F.date_format("Open Time", "yyyy-MM").alias("month")
-    return rows.filter(F.col("Open Time").isNotNull()).groupBy("journal_id", month).agg(F.sum(F.coalesce("Profit", F.lit(0.0))).alias("profit"))
-
-
-def keep_current(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replace the table at ``path`` with the totals after each batch; a restart goes on from ``checkpoint``."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return totals.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    dated = rows.filter(F.col("Open Time").isNotNull())
+    return dated.groupBy("journal_id", month).agg(F.sum(F.coalesce("Profit", F.lit(0.0))).alias("profit"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def merge(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Add a batch's rows to the totals at ``path``, once: a batch whose version stands is not added again.
+
+    Only the journals of the batch are read and written again. The version, with the batch's
+    number, appears whole or not at all, so a batch that fails midway is added by its next run.
+    """
+    spark = batch.sparkSession
+    if versions.last_tag(spark, path) >= batch_id:
+        return
+    sums = settled(monthly_profit(batch))
+    if sums.isEmpty():
+        return
+    if versions.manifest(spark, path)[1]:
+        known = versions.load(spark, path).join(sums.select("journal_id").distinct(), "journal_id", "left_semi")
+        sums = known.select(sums.columns).unionByName(sums).groupBy("journal_id", "month").agg(F.sum("profit").alias("profit"), F.sum("n_rows").alias("n_rows"))
+    versions.write(settled(sums), path, tag=batch_id)
+
+
+def keep_current(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the monthly totals at ``path`` (``versions.load``) up to date with the stream's rows; a restart goes on from ``checkpoint``.
+
+    The stream keeps no state of its own; readers hold the version that they have opened.
+    """
+    add = lambda batch, batch_id: merge(batch, batch_id, path)
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
