@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cleaning as C
+from tallyspark.functions import digests
 from tallyspark.operators import bars as B
 from tallyspark.operators import corpus, excursion, retrieval, review, scope, segments, strict_queries
 from tallyspark.plans.queries import BARS, EVENTS, STATES, TRADES, _asked, _corpus, query
@@ -224,6 +225,22 @@ def journal_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(f"""WITH {EVENTS}, x AS (SELECT journal_id, event_id % 89 = 3 AS gone, event_id % 97 = 5 AS changed, event_id % 101 = 7 AS twice FROM ev)
+SELECT journal_id, count(*) FILTER (WHERE gone OR changed) AS lost, count(*) FILTER (WHERE changed AND NOT gone) AS came, count(*) FILTER (WHERE twice AND NOT gone AND NOT changed) AS more FROM x GROUP BY 1
+HAVING count(*) FILTER (WHERE gone OR changed OR twice) > 0""")
+def digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two kept digest trees say of journals of which some rows went, changed or were doubled."""
+    rows = event_journal(spark, sf_dir)
+    t = F.col("Ticket")
+    later = rows.filter(t % 89 != 3).withColumn("Profit", F.when(t % 97 == 5, F.col("Profit") + 1).otherwise(F.col("Profit")))
+    later = later.unionByName(later.filter((t % 101 == 7) & (t % 97 != 5)))
+    columns = [F.col("Ticket"), F.col("`Open Time`"), F.col("Profit")]
+    trees = [digests.digest_tree(x, ["journal_id"], columns) for x in (rows, later)]
+    found = digests.changed_rows(*trees, ["journal_id"])
+    counts = {"lost": F.col("n_after") == 0, "came": F.col("n_before") == 0, "more": (F.col("n_before") > 0) & (F.col("n_after") > F.col("n_before"))}
+    return found.groupBy("journal_id").agg(*(F.count_if(v).alias(k) for k, v in counts.items()))
+
+
 # --- what other queries do not meet -------------------------------------------------------------------
 
 
