@@ -289,8 +289,10 @@ def _encoded(docs: DataFrame, vocab: str, told: Callable[[PieceEncoder, list[str
     part_schema = "row long, doc_id long, plain boolean, start long, stop long, text string"
     # Written, so that the rows' numbers are drawn once.
     parts = materialize(rows.filter(long).mapInArrow(parted, part_schema), "bpe-parts")
-    pieces = parts.repartition("row", "start").mapInArrow(encode, f"{part_schema}, pieces array<string>")
-    return short.unionByName(pieces.groupBy("row").applyInArrow(join, schema))
+    # A number of tasks is named, as few bytes are much work here and would be put together otherwise.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = parts.repartition(tasks, "row", "start").mapInArrow(encode, f"{part_schema}, pieces array<string>")
+    return short.unionByName(pieces.repartition(tasks, "row").groupBy("row").applyInArrow(join, schema))
 
 
 def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
