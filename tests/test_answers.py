@@ -1,5 +1,6 @@
 """Evidence corpus, retrieval, packets and answer validation on a small journal."""
 
+import hashlib
 import json
 import math
 
@@ -107,6 +108,12 @@ def test_validation(spark, answers):
     headers = settled(packet.packets(exact, one, asked))
     assert headers.first()["fault"] is None and headers.first()["limitation_codes"] == []
     assert packet.integrity(fields, headers, exact).first()["verdict"] == "OK"
+    listed = sorted((r["rank"], r["field_key"], r["value"], r["unit"]) for r in fields.collect())
+    request = {
+        "fields": [dict(zip(("rank", "field_key", "value", "unit"), x, strict=True)) for x in listed], "limitation_codes": [], "question": "What was  it?",
+        "schema_version": packet.REQUEST_VERSION, "task_type": packet.TASK_TYPE,
+    }
+    assert headers.first()["request_sha256"] == hashlib.sha256(json.dumps(request, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
     assert packet.prompt(fields, headers).first()["prompt"].startswith("Question: What was  it?")
     rows = [(f"c{i:02d}", "exact", c if isinstance(c, str) else json.dumps(c)) for i, (c, _) in enumerate(CANDIDATES)]
     candidates = spark.createDataFrame(rows, "case_id string, request_id string, candidate_json string")
