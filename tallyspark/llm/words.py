@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 1 << 20
+#: A block's working arrays take some hundred times its bytes, and a worker keeps what it once took.
+BLOCK_BYTES = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -55,15 +56,20 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-#: Rows that reach a Python worker at a time: texts are long.
-BATCH_ROWS = 2048
+#: Rows, and bytes of rows, that reach a Python worker at a time: texts are long.
+BATCH_ROWS, BATCH_BYTES = 2048, 1 << 22
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches hold ``BATCH_ROWS`` rows at most, which bounds a worker's memory."""
+    """From now on the session's Arrow batches hold ``BATCH_ROWS`` rows at most and end at ``BATCH_BYTES``, which bounds a worker's memory.
+
+    A bound of bytes that the session has already stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_field(column: pa.Array, name: str) -> pa.Array:
