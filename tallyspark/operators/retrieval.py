@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import cleaning as C
-from tallyspark.session import settled
+from tallyspark.session import settled, stored
 
 # Token pattern, limits, score step, order of document types.
 TOKEN = r"-?\d+(?:\.\d+)?|[a-z0-9]+"
@@ -19,8 +19,8 @@ DEFAULT_TOP_K, MAX_TOP_K, MAX_QUERY_CHARS = 5, 10, 500
 QUANTUM_DIGITS = 9
 TYPE_PRIORITY = {"TRADE_EVIDENCE": 0, "KPI_EVIDENCE": 1, "DATASET_CONTEXT": 2}
 
-#: Documents per chunk and queries per block that one task compares, about.
-CHUNK_DOCUMENTS, BLOCK_QUERIES = 4096, 512
+#: Documents and characters per chunk, and queries per block, that one task compares, about.
+CHUNK_DOCUMENTS, CHUNK_CHARS, BLOCK_QUERIES = 4096, 1 << 25, 512
 
 
 @F.pandas_udf(T.StringType())
@@ -45,91 +45,167 @@ def term_counts(documents: DataFrame, keys: list[str], content: str = "content",
     return dealt.select(*keys, F.explode(tokens(F.col("_text"), normalise)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _weighted(terms: DataFrame, query_terms: DataFrame, sizes: DataFrame, scope: list[str], document: str, query: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of documents, (scope, document, length, terms, weights) of asked terms, and of queries; terms as 64-bit hashes."""
-    df = terms.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = settled(df.join(sizes, scope).select(*scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("_df"))) + 1).alias("_idf")))  # a row per word
-    on = [c for c in (*scope, "term") if c in query_terms.columns]
-    known = idf.join(query_terms.select(*on).distinct().withColumn("_asked", F.lit(True)), on, "left")
-    weighted = terms.join(known, [*scope, "term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
-    pair = F.when(F.col("_asked"), F.struct(F.xxhash64("term").alias("term"), "_w"))
-    docs = weighted.groupBy(*scope, document).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("length"), F.collect_list(pair).alias("pairs"))
-    asked = query_terms.join(idf, on).withColumn("_w", F.col("tf") * F.col("_idf"))
-    asked = asked.groupBy(*scope, query).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("length"), F.collect_list(F.struct(F.xxhash64("term").alias("term"), "_w")).alias("pairs"))
-    flat = lambda rows, key: rows.filter(F.size("pairs") > 0).select(*scope, key, "length", F.col("pairs.term").alias("terms"), F.col("pairs._w").alias("weights"))
-    return flat(docs, document), flat(asked, query)
+def hashes(text: Column) -> Column:
+    """The text's tokens as 64-bit hashes, repeated as often as they occur."""
+    return F.coalesce(F.transform(tokens(text), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+
+
+def parts(n: Column, size: int) -> Column:
+    """How many parts of ``size``, about, ``n`` make; 1 at least."""
+    return F.coalesce(F.greatest(F.ceil(n / size), F.lit(1)), F.lit(1)).cast("long")
+
+
+def chunks_of(n: Column, chars: Column) -> Column:
+    return F.greatest(parts(n, CHUNK_DOCUMENTS), parts(chars, CHUNK_CHARS))
 
 
 def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(all entries, first entry of each row)."""
-    return np.concatenate(list(lists)), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    """(all entries, the row of each)."""
+    lists = [np.asarray(x) for x in lists]
+    return np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _counted(owner: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, word, occurrences) of each word of each owner, in order."""
+    pairs, n = np.unique(owner * n_words + word, return_counts=True)
+    return pairs // n_words, pairs % n_words, n
 
 
 def _compare(k: int, scope: list[str], document: str, query: str):
     """The ``k`` best documents of a chunk for every query of a block, ties to the lower ``tie``."""
 
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = [*scope, query, document, "score"]
+        columns = [*scope, query, document, "tie", "score"]
+        none = pd.DataFrame({c: [] for c in columns})
+        told, asked = asked[asked["freq"].notna()], asked[asked["freq"].isna()]
         if docs.empty or asked.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        docs = docs.sort_values("tie", kind="stable")
-        terms, edges = _flat(asked["terms"])
-        words, at = np.unique(terms, return_inverse=True)
-        table = np.zeros((len(words), len(asked)))
-        table[at, np.repeat(np.arange(len(asked)), np.diff(edges))] = _flat(asked["weights"])[0]
-        table /= asked["length"].to_numpy()
-        terms, edges = _flat(docs["terms"])
-        at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
-        weight, length = np.where(words[at] == terms, _flat(docs["weights"])[0], 0.0), docs["length"].to_numpy()
+            return none
+        docs = docs.sort_values("tie", kind="stable").reset_index(drop=True)
+        code, names = pd.factorize(docs[document])  # rows of one document are one text
+        first = np.unique(code, return_index=True)[1]
+        terms, row = _flat(docs["hashes"])
+        asked_terms, asked_row = _flat(asked["hashes"])
+        words = np.unique(np.concatenate([terms, asked_terms]))
+        doc, word, tf = _counted(code[row], np.searchsorted(words, terms), len(words))
+        if len(told):  # a scope of several chunks: documents with a word are counted over all of them
+            df, known, freq = np.zeros(len(words), np.int64), _flat(told["hashes"])[0], _flat(told["freq"])[0]
+            at = np.minimum(np.searchsorted(words, known), len(words) - 1)
+            here = words[at] == known  # not those of other blocks' queries
+            df[at[here]] = freq[here]
+        else:
+            df = np.bincount(word, minlength=len(words))
+        idf = np.where(df > 0, np.log((1 + int(asked["n"].iloc[0])) / (1 + df)) + 1, 0.0)
+        weight = tf * idf[word]
+        length = np.sqrt(np.bincount(doc, weight * weight, len(names)))
+        q, q_word, q_tf = _counted(asked_row, np.searchsorted(words, asked_terms), len(words))
+        q_weight = q_tf * idf[q_word]
+        q_length = np.sqrt(np.bincount(q, q_weight * q_weight, len(asked)))
+        wanted = np.unique(q_word)
+        table = np.zeros((len(wanted), len(asked)))
+        table[np.searchsorted(wanted, q_word), q] = q_weight / np.where(q_length > 0, q_length, 1)[q]
+        at = np.minimum(np.searchsorted(wanted, word), max(len(wanted) - 1, 0))
+        kept = wanted[at] == word if len(wanted) else np.zeros(len(word), bool)
+        doc, at, weight = doc[kept], at[kept], weight[kept] / length[doc[kept]]
+        met, edges = np.unique(doc, return_index=True)
+        edges = np.append(edges, len(doc))
         best, best_at = np.zeros((0, len(asked))), np.zeros((0, len(asked)), np.int64)
-        for start in range(0, len(docs), 1024):
-            stop = min(start + 1024, len(docs))
+        for start in range(0, len(met), 1024):
+            stop = min(start + 1024, len(met))
             scores = np.zeros((stop - start, len(asked)))
             for i in range(start, stop):
                 here = slice(edges[i], edges[i + 1])
-                scores[i - start] = weight[here] @ table[at[here]] / length[i]
+                scores[i - start] = weight[here] @ table[at[here]]
             scores = np.round(scores, QUANTUM_DIGITS)
-            rows = np.broadcast_to(np.arange(start, stop)[:, None], scores.shape)
+            rows = np.broadcast_to(met[start:stop, None], scores.shape)
             best, best_at = np.concatenate([best, scores]), np.concatenate([best_at, rows])
             order = np.argsort(-best, axis=0, kind="stable")[:k]
             best, best_at = np.take_along_axis(best, order, 0), np.take_along_axis(best_at, order, 0)
         i, j = np.nonzero(best > 0)
-        out = {c: docs[c].iloc[0] for c in scope} | {query: asked[query].to_numpy()[j], document: docs[document].to_numpy()[best_at[i, j]], "score": best[i, j]}
+        if not len(i):
+            return none
+        at = first[best_at[i, j]]
+        out = {c: asked[c].iloc[0] for c in scope} | {query: asked[query].to_numpy()[j], document: docs[document].to_numpy()[at], "tie": docs["tie"].to_numpy()[at], "score": best[i, j]}
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _chunk_words(scope: list[str], document: str):
+    """The words of a chunk, with the documents that hold each."""
+
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        code, _ = pd.factorize(docs[document])
+        terms, row = _flat(docs["hashes"])
+        words, at = np.unique(terms, return_inverse=True)
+        n = np.bincount(_counted(code[row], at, len(words))[1], minlength=len(words))
+        return pd.DataFrame({c: docs[c].iloc[0] for c in (*scope, "chunk")} | {"term": words, "_n": n}, index=range(len(words)))
+
+    return run
+
+
+#: Rows in which a chunk's document frequencies go to its task.
+WORD_ROWS = 16
+
+
+def rank_texts(
+    docs: DataFrame, words: Column, asked: DataFrame, scope: list[str], k: int = MAX_TOP_K, document: str = "document_id", query: str = "query_id",
+) -> DataFrame:
+    """(scope, query, document, score, rank <= k): cosine of TF-IDF vectors above 0, in steps of 1e-9.
+
+    ``docs``: scope, document, ``tie`` (its order decides between equal scores), the ``chunks`` of its scope and what ``words``,
+    an array of hashed tokens, is made of. ``asked``: scope, query, ``hashes``, the scope's documents ``n`` and its ``chunks`` and
+    ``blocks``. Scope keys are not null. idf = ln((1 + N) / (1 + df)) + 1 within a scope; query terms that no document has are left
+    out, a document without a term counts in N.
+
+    Texts, not their terms, are shuffled: a task takes a chunk of a scope's documents and a block of its queries, counts words
+    itself and keeps its k best a query. In a scope of one chunk the task sees every document, so document frequencies are its own.
+    Of larger scopes each chunk's words are counted first and summed over the chunks, a row per word and chunk.
+    """
+    keys = [*scope, "chunk", "block"]
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    chunk = F.pmod(F.xxhash64(document), F.col("chunks")).alias("chunk")
+    asked = asked.select(*scope, query, "hashes", F.col("n").cast("long").alias("n"), "chunks", "blocks").withColumn("block", F.pmod(F.xxhash64(query), F.col("blocks")))
+    right = asked.withColumn("chunk", upto("chunks")).select(*keys, query, "hashes", F.lit(None).cast("array<bigint>").alias("freq"), "n")
+    several = asked.filter("chunks > 1").groupBy(*scope, "chunks", "blocks").agg(F.min(query).alias(query), F.min("n").alias("n"))
+    if not several.isEmpty():
+        kinds = dict(docs.dtypes)
+        dealt = docs.filter("chunks > 1").select("*", chunk).repartition(*scope, "chunk").select(*scope, "chunk", document, words.alias("hashes"))
+        shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in scope), "chunk bigint, term bigint, _n bigint"])
+        own = dealt.groupBy(*scope, "chunk").applyInPandas(_chunk_words(scope, document), shape)
+        sought = asked.filter("chunks > 1").select(*scope, "chunks", F.explode("hashes").alias("term")).distinct().withColumn("chunk", upto("chunks"))
+        every = own.unionByName(sought.select(*scope, "chunk", "term", F.lit(0).cast("long").alias("_n"))).groupBy(*scope, "chunk", "term").agg(F.sum("_n").alias("_n"))
+        every = every.withColumn("_df", F.sum("_n").over(Window.partitionBy(*scope, "term"))).withColumn("_slot", F.pmod(F.xxhash64("term"), F.lit(WORD_ROWS)))
+        packed = every.groupBy(*scope, "chunk", "_slot").agg(F.collect_list(F.struct("term", "_df")).alias("_words")).join(several.drop("chunks"), scope)
+        told = packed.withColumn("block", upto("blocks")).select(*keys, query, F.col("_words.term").alias("hashes"), F.col("_words._df").alias("freq"), "n")
+        right = right.unionByName(told)
+    blocks = asked.select(*scope, "blocks").distinct() if asked.filter("blocks > 1").limit(1).count() else None
+    left = docs.select("*", chunk)
+    left = left.withColumn("block", F.lit(0).cast("long")) if blocks is None else left.join(blocks, scope).withColumn("block", upto("blocks"))
+    left = left.repartition(*keys).select(*keys, document, "tie", words.alias("hashes"))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table: tell their columns apart
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*scope, query, document, "tie")), "score double"])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k, scope, document, query), shape)
+    place = F.row_number().over(Window.partitionBy(*scope, query).orderBy(F.desc("score"), "tie"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).drop("tie")
+
+
 def top_k(
     terms: DataFrame, query_terms: DataFrame, ties: DataFrame, scope: list[str], k: int = MAX_TOP_K,
     document: str = "document_id", query: str = "query_id",
 ) -> DataFrame:
-    """(scope, query, document, score, rank <= k): cosine of TF-IDF vectors above 0, in steps of 1e-9.
+    """``rank_texts`` of counted terms.
 
-    ``terms`` has (scope, document, term, tf), ``query_terms`` (scope, query, term,
-    tf), or no scope where every scope is asked, ``ties`` every document of a scope
-    with its ``tie``, whose order decides between equal scores; a document without a
-    term counts in N. Scope keys are not null. idf = ln((1 + N) / (1 + df)) + 1 within a scope; query terms that no
-    document has are left out. Queries go in blocks against chunks of documents of
-    bounded size, and each task keeps its k best a query, so what is shuffled are
-    vectors of asked terms and k rows per query and chunk, never the pairs that
-    share a word.
+    ``terms`` has (scope, document, term, tf), ``query_terms`` (scope, query, term, tf), ``ties`` every document of a scope with its ``tie``.
     """
+    repeated = F.flatten(F.collect_list(F.array_repeat(F.xxhash64("term"), F.col("tf").cast("int")))).alias("hashes")
     sizes = ties.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-    docs, asked = _weighted(terms, query_terms, sizes, scope, document, query)
+    asked = query_terms.groupBy(*scope, query).agg(repeated)
     per = sizes.join(asked.groupBy(*scope).agg(F.count(F.lit(1)).alias("m")), scope)
-    per = per.select(*scope, F.ceil(F.col("n") / CHUNK_DOCUMENTS).alias("chunks"), F.ceil(F.col("m") / BLOCK_QUERIES).alias("blocks"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    dealt = docs.join(ties, [*scope, document]).join(per, scope)
-    dealt = dealt.withColumns({"chunk": F.pmod(F.xxhash64(document), F.col("chunks")), "block": upto("blocks")}).drop("chunks", "blocks")
-    asked = asked.join(per, scope).withColumns({"block": F.pmod(F.xxhash64(query), F.col("blocks")), "chunk": upto("chunks")}).drop("chunks", "blocks")
-    kinds = dict(dealt.dtypes) | dict(asked.dtypes)
-    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*scope, query, document)), "score double"])
-    keys = [*scope, "chunk", "block"]
-    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # both sides come from one table: tell their columns apart
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_compare(k, scope, document, query), shape)
-    place = F.row_number().over(Window.partitionBy(*scope, query).orderBy(F.desc("score"), "tie"))
-    return found.join(ties, [*scope, document]).withColumn("rank", place).filter(F.col("rank") <= k).drop("tie")
+    per = settled(per.select(*scope, "n", parts(F.col("n"), CHUNK_DOCUMENTS).alias("chunks"), parts(F.col("m"), BLOCK_QUERIES).alias("blocks")))
+    docs = ties.join(terms.groupBy(*scope, document).agg(repeated), [*scope, document], "left").join(per.drop("n", "blocks"), scope)
+    words = F.coalesce("hashes", F.array().cast("array<bigint>"))
+    return rank_texts(docs, words, settled(asked.join(per, scope)), scope, k, document, query)
 
 
 def rank_key() -> Column:
@@ -154,8 +230,9 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
     A corpus whose documents carry several fingerprints answers nothing.
     A query that cannot be asked (text over the limit, top_k below 1, a ticket that is
     no ticket, an unknown type) gives no rows and counts nothing. A ticket's candidates
-    are the trades with that ticket. Documents are read once; statistics belong to the
-    distinct (journal, type, symbol) filters, not to queries.
+    are the trades with that ticket. Documents are stored once; their texts are shuffled for
+    free queries, if there are any, and to fetch what was found. Statistics belong to
+    the distinct (journal, type, symbol) filters, not to queries.
     """
     guarded = "journal_fingerprint" in queries.columns
     asked = queries.select(
@@ -166,7 +243,9 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
         (F.col("journal_fingerprint") if guarded else F.lit(None).cast("string")).alias("wanted_print"),
     )
     asked = asked.withColumn("symbol", F.when(F.col("symbol") != "", F.col("symbol")))
-    prints = documents.groupBy("journal_id").agg(F.min("journal_fingerprint").alias("print0"), F.max("journal_fingerprint").alias("print1"), F.count(F.lit(1)).alias("corpus_size"))
+    kept = ["journal_id", "document_id", "document_type", "journal_fingerprint", "source_record_key", "content", "evidence_status", "symbol"]
+    docs = stored(documents.select(*kept, F.lower(compatible(F.trim("symbol"))).alias("_symbol"), F.monotonically_increasing_id().alias("_row")))
+    prints = docs.groupBy("journal_id").agg(F.min("journal_fingerprint").alias("print0"), F.max("journal_fingerprint").alias("print1"), F.count(F.lit(1)).alias("corpus_size"))
     asked = asked.join(prints, "journal_id", "left")
     if verdicts is not None:
         asked = asked.join(verdicts.select("journal_id", "verdict"), "journal_id", "left")
@@ -180,35 +259,38 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
         F.when(F.char_length("text") > MAX_QUERY_CHARS, "INVALID_QUERY").when(F.col("top_k") < 1, "INVALID_TOP_K").when(~sound, "CORPUS_INVALID")
         .when(~F.col("document_type").isin(*TYPE_PRIORITY), "INVALID_DOCUMENT_TYPE").when(F.col("no_ticket"), "INVALID_TICKET")
     )
-    combo = F.sha2(F.to_json(F.struct("journal_id", "document_type", "symbol"), {"ignoreNullFields": "false"}), 256)
+    combo = F.to_json(F.struct("journal_id", "document_type", "symbol"), {"ignoreNullFields": "false"})
     asked = settled(asked.withColumns({"fault": fault, "combo": combo}))
     live = asked.filter("fault IS NULL")
-    docs = documents.withColumns({"_symbol": F.lower(compatible(F.trim("symbol"))), "tie": rank_key()})
-    filters = live.select("combo", "journal_id", F.col("document_type").alias("want_type"), F.col("symbol").alias("want_symbol")).distinct()
+    want = live.select(F.col("combo").alias("combo"), F.col("journal_id").alias("journal_id"), F.col("document_type").alias("want_type"), F.col("symbol").alias("want_symbol"))
     fits = (F.col("want_type").isNull() | (F.col("want_type") == F.col("document_type"))) & (
         F.col("want_symbol").isNull() | ((F.col("document_type") == "TRADE_EVIDENCE") & (F.col("_symbol") == F.col("want_symbol")))
     )
+    kinds = docs.groupBy("journal_id", "document_type", "_symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("content")).alias("chars"))
+    by_combo = settled(want.distinct().join(kinds, "journal_id").filter(fits).groupBy("combo").agg(F.sum("n").alias("candidates"), F.sum("chars").alias("chars")).withColumnRenamed("combo", "_combo")).withColumnRenamed("_combo", "combo")
+
+    trades = docs.filter("document_type = 'TRADE_EVIDENCE'").select("journal_id", "document_type", "_symbol", "_row", rank_key().alias("tie"), C.ticket(F.col("source_record_key")).alias("ticket"))
+    by_ticket = live.filter("ticket IS NOT NULL").select("query_id", "journal_id", "ticket", "top_k", F.col("document_type").alias("want_type"), F.col("symbol").alias("want_symbol"))
+    exact = by_ticket.join(trades, ["journal_id", "ticket"]).filter(fits)
+    one = Window.partitionBy("query_id")
+    exact = exact.select("query_id", "top_k", "_row", F.lit("EXACT_TICKET").alias("method"), F.lit(None).cast("double").alias("score"), F.row_number().over(one.orderBy("tie")).alias("rank"), F.count(F.lit(1)).over(one).alias("with_ticket"))
+    hits = exact.filter(F.col("rank") <= F.col("top_k"))
+    free = live.filter("ticket IS NULL AND text <> ''")
+    if not free.isEmpty():
+        m = free.groupBy("combo").agg(F.count(F.lit(1)).alias("m"))
+        per = by_combo.join(m, "combo").select("combo", F.col("candidates").alias("n"), chunks_of(F.col("candidates"), F.col("chars")).alias("chunks"), parts(F.col("m"), BLOCK_QUERIES).alias("blocks"))
+        scopes = want.distinct().join(per.select("combo", "chunks"), "combo")
+        texts = docs.withColumn("tie", rank_key()).join(scopes, "journal_id").filter(fits).select("combo", "chunks", "_row", "tie", "content")
+        words = settled(free.select(F.col("combo").alias("combo"), "query_id", hashes(F.col("text")).alias("hashes")).join(per, "combo"))
+        ranked = rank_texts(texts, hashes(F.col("content")), words, ["combo"], document="_row").join(free.select("query_id", "top_k"), "query_id")
+        ranked = ranked.select("query_id", "top_k", "_row", F.lit("TFIDF_COSINE").alias("method"), "score", "rank", F.lit(None).cast("long").alias("with_ticket"))
+        hits = hits.unionByName(ranked.filter(F.col("rank") <= F.col("top_k")))
+    hits = settled(hits.drop("top_k"))  # at most ten rows a query
     columns = ["document_id", "document_type", "journal_fingerprint", "source_record_key", "content", "evidence_status", "symbol"]
-    candidates = docs.join(filters, "journal_id").filter(fits).select("combo", "journal_id", "tie", *columns)
-
-    plain = live.select("query_id", "journal_id", "combo", "ticket", "text", "top_k")
-    trades = candidates.filter("document_type = 'TRADE_EVIDENCE'").withColumn("ticket", C.ticket(F.col("source_record_key"))).drop("journal_id")
-    exact = plain.filter("ticket IS NOT NULL").join(trades, ["combo", "ticket"])
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tie"))
-    exact = exact.select("query_id", "journal_id", "top_k", *columns, F.lit("EXACT_TICKET").alias("method"), F.lit(None).cast("double").alias("score"), place.alias("rank"))
-    free = plain.filter("ticket IS NULL AND text <> ''")
-    words = term_counts(docs.join(live.select("journal_id").distinct(), "journal_id", "left_semi"), ["journal_id", "document_id"])
-    held = candidates.select("combo", "journal_id", "document_id", "tie")
-    terms = words.join(held.drop("tie"), ["journal_id", "document_id"]).select("combo", "document_id", "term", "tf")
-    ranked = top_k(terms, term_counts(free, ["combo", "query_id"], "text"), held.drop("journal_id"), ["combo"])
-    ranked = ranked.join(candidates.select("combo", *columns), ["combo", "document_id"]).join(free.select("query_id", "journal_id", "top_k"), "query_id")
-    ranked = ranked.select("query_id", "journal_id", "top_k", *columns, F.lit("TFIDF_COSINE").alias("method"), "score", "rank")
-    results = settled(exact.unionByName(ranked).filter(F.col("rank") <= F.col("top_k")))  # at most ten rows a query
-
-    by_combo = candidates.groupBy("combo").agg(F.count(F.lit(1)).alias("candidates"))
-    by_ticket = trades.groupBy("combo", "ticket").agg(F.count(F.lit(1)).alias("with_ticket"))
-    returned = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
-    states = asked.join(by_combo, "combo", "left").join(by_ticket, ["combo", "ticket"], "left").join(returned, "query_id", "left")
+    results = stored(hits.join(docs, "_row").select("query_id", "journal_id", *columns, "method", "score", "rank"))
+
+    returned = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"), F.max("with_ticket").alias("with_ticket"))
+    states = asked.join(by_combo, "combo", "left").join(returned, "query_id", "left")
     state = F.coalesce(
         "fault",
         F.when(F.coalesce("returned", F.lit(0)) > 0, "OK").when(F.col("ticket").isNull() & (F.col("text") == ""), "EMPTY_QUERY").otherwise("NO_RELEVANT_EVIDENCE"),
@@ -220,4 +302,4 @@ def retrieve(documents: DataFrame, queries: DataFrame, verdicts: DataFrame | Non
         F.when(asked_well, F.coalesce("corpus_size", F.lit(0))).otherwise(0).alias("corpus_size"),
         F.when(asked_well, F.coalesce(met, F.lit(0))).otherwise(0).alias("candidate_count"),
     )
-    return results.drop("top_k"), states
+    return results, states

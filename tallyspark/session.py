@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,16 @@ def settled(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed Parquet table, for wide tables of which later steps read some columns each.
+
+    What was shuffled to make it is of no use then: objects that nothing refers to are collected, so that Spark removes those files.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
