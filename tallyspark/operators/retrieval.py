@@ -71,60 +71,74 @@ def _counted(owner: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndar
     return pairs // n_words, pairs % n_words, n
 
 
+def _best(k: int, names: np.ndarray, texts: np.ndarray, asked: np.ndarray, n: int, told: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, query, score): the ``k`` best documents of one scope, in order of their ties, for each of its queries. ``told``: words and their document frequencies, if not the scope's own."""
+    code, own = pd.factorize(names)  # rows of one document are one text
+    first = np.unique(code, return_index=True)[1]
+    terms, row = _flat(texts)
+    asked_terms, asked_row = _flat(asked)
+    words = np.unique(np.concatenate([terms, asked_terms]))
+    doc, word, tf = _counted(code[row], np.searchsorted(words, terms), max(len(words), 1))
+    if told and len(words):
+        known, freq = told
+        df, at = np.zeros(len(words), np.int64), np.minimum(np.searchsorted(words, known), len(words) - 1)
+        here = words[at] == known  # not those of other blocks' queries
+        df[at[here]] = freq[here]
+    else:
+        df = np.bincount(word, minlength=len(words))
+    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
+    weight = tf * idf[word]
+    length = np.sqrt(np.bincount(doc, weight * weight, len(own)))
+    q, q_word, q_tf = _counted(asked_row, np.searchsorted(words, asked_terms), max(len(words), 1))
+    q_weight = q_tf * idf[q_word]
+    q_length = np.sqrt(np.bincount(q, q_weight * q_weight, len(asked)))
+    wanted = np.unique(q_word)
+    table = np.zeros((len(wanted), len(asked)))
+    table[np.searchsorted(wanted, q_word), q] = q_weight / np.where(q_length > 0, q_length, 1)[q]
+    at = np.minimum(np.searchsorted(wanted, word), max(len(wanted) - 1, 0))
+    kept = wanted[at] == word if len(wanted) else np.zeros(len(word), bool)
+    doc, at, weight = doc[kept], at[kept], weight[kept] / length[doc[kept]]
+    met, edges = np.unique(doc, return_index=True)
+    edges = np.append(edges, len(doc))
+    best, best_at = np.zeros((0, len(asked))), np.zeros((0, len(asked)), np.int64)
+    for start in range(0, len(met), 1024):
+        stop = min(start + 1024, len(met))
+        scores = np.zeros((stop - start, len(asked)))
+        for i in range(start, stop):
+            here = slice(edges[i], edges[i + 1])
+            scores[i - start] = weight[here] @ table[at[here]]
+        scores = np.round(scores, QUANTUM_DIGITS)
+        rows = np.broadcast_to(met[start:stop, None], scores.shape)
+        best, best_at = np.concatenate([best, scores]), np.concatenate([best_at, rows])
+        order = np.argsort(-best, axis=0, kind="stable")[:k]
+        best, best_at = np.take_along_axis(best, order, 0), np.take_along_axis(best_at, order, 0)
+    i, j = np.nonzero(best > 0)
+    return first[best_at[i, j]], j, best[i, j]
+
+
 def _compare(k: int, scope: list[str], document: str, query: str):
-    """The ``k`` best documents of a chunk for every query of a block, ties to the lower ``tie``."""
+    """For every query of some scopes' blocks the ``k`` best documents of their chunks, ties to the lower ``tie``."""
 
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         columns = [*scope, query, document, "tie", "score"]
-        none = pd.DataFrame({c: [] for c in columns})
-        told, asked = asked[asked["freq"].notna()], asked[asked["freq"].isna()]
         if docs.empty or asked.empty:
-            return none
-        docs = docs.sort_values("tie", kind="stable").reset_index(drop=True)
-        code, names = pd.factorize(docs[document])  # rows of one document are one text
-        first = np.unique(code, return_index=True)[1]
-        terms, row = _flat(docs["hashes"])
-        asked_terms, asked_row = _flat(asked["hashes"])
-        words = np.unique(np.concatenate([terms, asked_terms]))
-        doc, word, tf = _counted(code[row], np.searchsorted(words, terms), len(words))
-        if len(told):  # a scope of several chunks: documents with a word are counted over all of them
-            df, known, freq = np.zeros(len(words), np.int64), _flat(told["hashes"])[0], _flat(told["freq"])[0]
-            at = np.minimum(np.searchsorted(words, known), len(words) - 1)
-            here = words[at] == known  # not those of other blocks' queries
-            df[at[here]] = freq[here]
-        else:
-            df = np.bincount(word, minlength=len(words))
-        idf = np.where(df > 0, np.log((1 + int(asked["n"].iloc[0])) / (1 + df)) + 1, 0.0)
-        weight = tf * idf[word]
-        length = np.sqrt(np.bincount(doc, weight * weight, len(names)))
-        q, q_word, q_tf = _counted(asked_row, np.searchsorted(words, asked_terms), len(words))
-        q_weight = q_tf * idf[q_word]
-        q_length = np.sqrt(np.bincount(q, q_weight * q_weight, len(asked)))
-        wanted = np.unique(q_word)
-        table = np.zeros((len(wanted), len(asked)))
-        table[np.searchsorted(wanted, q_word), q] = q_weight / np.where(q_length > 0, q_length, 1)[q]
-        at = np.minimum(np.searchsorted(wanted, word), max(len(wanted) - 1, 0))
-        kept = wanted[at] == word if len(wanted) else np.zeros(len(word), bool)
-        doc, at, weight = doc[kept], at[kept], weight[kept] / length[doc[kept]]
-        met, edges = np.unique(doc, return_index=True)
-        edges = np.append(edges, len(doc))
-        best, best_at = np.zeros((0, len(asked))), np.zeros((0, len(asked)), np.int64)
-        for start in range(0, len(met), 1024):
-            stop = min(start + 1024, len(met))
-            scores = np.zeros((stop - start, len(asked)))
-            for i in range(start, stop):
-                here = slice(edges[i], edges[i + 1])
-                scores[i - start] = weight[here] @ table[at[here]]
-            scores = np.round(scores, QUANTUM_DIGITS)
-            rows = np.broadcast_to(met[start:stop, None], scores.shape)
-            best, best_at = np.concatenate([best, scores]), np.concatenate([best_at, rows])
-            order = np.argsort(-best, axis=0, kind="stable")[:k]
-            best, best_at = np.take_along_axis(best, order, 0), np.take_along_axis(best_at, order, 0)
-        i, j = np.nonzero(best > 0)
-        if not len(i):
-            return none
-        at = first[best_at[i, j]]
-        out = {c: asked[c].iloc[0] for c in scope} | {query: asked[query].to_numpy()[j], document: docs[document].to_numpy()[at], "tie": docs["tie"].to_numpy()[at], "score": best[i, j]}
+            return pd.DataFrame({c: [] for c in columns})
+        docs, told = docs.sort_values("tie", kind="stable").reset_index(drop=True), asked[asked["freq"].notna()]
+        asked = asked[asked["freq"].isna()].reset_index(drop=True)
+        frames = [docs, asked, told]
+        codes = np.split(pd.concat([f[scope] for f in frames]).groupby(scope, sort=False).ngroup().to_numpy(), np.cumsum([len(f) for f in frames])[:-1])
+        order = [np.argsort(c, kind="stable") for c in codes]
+        at = lambda i, c: order[i][slice(*np.searchsorted(codes[i][order[i]], [c, c + 1]))]
+        names, texts, words = docs[document].to_numpy(), docs["hashes"].to_numpy(), asked["hashes"].to_numpy()
+        known, freq, n = told["hashes"].to_numpy(), told["freq"].to_numpy(), asked["n"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for c in np.unique(codes[1]):
+            d, a, t = (at(i, c) for i in range(3))
+            if len(d):
+                i, j, score = _best(k, names[d], texts[d], words[a], int(n[a[0]]), (_flat(known[t])[0], _flat(freq[t])[0]) if len(t) else None)
+                found.append((d[i], a[j], score))
+        d, a, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = {c: asked[c].to_numpy()[a] for c in (*scope, query)} | {document: names[d], "tie": docs["tie"].to_numpy()[d], "score": score}
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -157,15 +171,17 @@ def rank_texts(
     ``blocks``. Scope keys are not null. idf = ln((1 + N) / (1 + df)) + 1 within a scope; query terms that no document has are left
     out, a document without a term counts in N.
 
-    Texts, not their terms, are shuffled: a task takes a chunk of a scope's documents and a block of its queries, counts words
-    itself and keeps its k best a query. In a scope of one chunk the task sees every document, so document frequencies are its own.
+    Texts, not their terms, are shuffled: a group is a chunk of a scope's documents and a block of its queries, of small scopes
+    several together (a call per scope costs more than its work); it counts words itself and keeps its k best a query. In a scope of one chunk the task sees every document, so document frequencies are its own.
     Of larger scopes each chunk's words are counted first and summed over the chunks, a row per word and chunk.
     """
-    keys = [*scope, "chunk", "block"]
+    keys = ["bucket", "chunk", "block"]
+    total = asked.select(*scope, "n").distinct().agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(*scope), F.lit(-(-total // CHUNK_DOCUMENTS) or 1)).cast("long")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     chunk = F.pmod(F.xxhash64(document), F.col("chunks")).alias("chunk")
     asked = asked.select(*scope, query, "hashes", F.col("n").cast("long").alias("n"), "chunks", "blocks").withColumn("block", F.pmod(F.xxhash64(query), F.col("blocks")))
-    right = asked.withColumn("chunk", upto("chunks")).select(*keys, query, "hashes", F.lit(None).cast("array<bigint>").alias("freq"), "n")
+    right = asked.withColumn("chunk", upto("chunks")).select(*scope, "chunk", "block", query, "hashes", F.lit(None).cast("array<bigint>").alias("freq"), "n")
     several = asked.filter("chunks > 1").groupBy(*scope, "chunks", "blocks").agg(F.min(query).alias(query), F.min("n").alias("n"))
     if not several.isEmpty():
         kinds = dict(docs.dtypes)
@@ -176,12 +192,13 @@ def rank_texts(
         every = own.unionByName(sought.select(*scope, "chunk", "term", F.lit(0).cast("long").alias("_n"))).groupBy(*scope, "chunk", "term").agg(F.sum("_n").alias("_n"))
         every = every.withColumn("_df", F.sum("_n").over(Window.partitionBy(*scope, "term"))).withColumn("_slot", F.pmod(F.xxhash64("term"), F.lit(WORD_ROWS)))
         packed = every.groupBy(*scope, "chunk", "_slot").agg(F.collect_list(F.struct("term", "_df")).alias("_words")).join(several.drop("chunks"), scope)
-        told = packed.withColumn("block", upto("blocks")).select(*keys, query, F.col("_words.term").alias("hashes"), F.col("_words._df").alias("freq"), "n")
+        told = packed.withColumn("block", upto("blocks")).select(*scope, "chunk", "block", query, F.col("_words.term").alias("hashes"), F.col("_words._df").alias("freq"), "n")
         right = right.unionByName(told)
     blocks = asked.select(*scope, "blocks").distinct() if asked.filter("blocks > 1").limit(1).count() else None
     left = docs.select("*", chunk)
     left = left.withColumn("block", F.lit(0).cast("long")) if blocks is None else left.join(blocks, scope).withColumn("block", upto("blocks"))
-    left = left.repartition(*keys).select(*keys, document, "tie", words.alias("hashes"))
+    left = left.withColumn("bucket", bucket).repartition(*keys).select(*keys, *scope, document, "tie", words.alias("hashes"))
+    right = right.withColumn("bucket", bucket)
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table: tell their columns apart
     kinds = dict(left.dtypes) | dict(right.dtypes)
     shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*scope, query, document, "tie")), "score double"])

@@ -47,6 +47,21 @@ def test_chunks_and_blocks_give_what_one_task_gives(spark):
         assert got == _plain(texts, asked), (chunks, blocks)
 
 
+def test_small_scopes_share_a_group_and_nothing_else(spark):
+    """Nine scopes of some documents each, ranked together, give what each gives alone."""
+    texts, asked = _texts(99), ["w1 w2 w3", "w5 w11", "w0"]
+    of = lambda *names: [F.lit(1).cast("long").alias(c) for c in names]
+    docs = spark.createDataFrame([(str(i % 9), i, t) for i, t in enumerate(texts)], "s string, document_id long, text string").select("*", F.col("document_id").alias("tie"), *of("chunks"))
+    queries = spark.createDataFrame([(str(s), q, t) for s in range(9) for q, t in enumerate(asked)], "s string, q long, text string")
+    queries = queries.select("s", F.concat_ws("-", "s", "q").alias("query_id"), retrieval.hashes(F.col("text")).alias("hashes"), F.lit(11).alias("n"), *of("chunks", "blocks"))
+    got = {}
+    for r in retrieval.rank_texts(docs, retrieval.hashes(F.col("text")), queries, ["s"]).orderBy("query_id", "rank").collect():
+        assert r["query_id"].startswith(r["s"])
+        got.setdefault(r["query_id"], []).append(r["document_id"])
+    wanted = {f"{s}-{q}": [d * 9 + s for d in found] for s in range(9) for q, found in _plain(texts[s::9], asked).items() if found}
+    assert got == wanted
+
+
 def test_terms_are_not_shuffled(spark):
     """No step of a ranking over one chunk makes or counts a row per word: what is dealt are texts."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(_texts(30))], "document_id long, text string").withColumns({"s": F.lit("x"), "tie": F.col("document_id"), "chunks": F.lit(1).cast("long")})
